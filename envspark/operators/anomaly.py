@@ -9,29 +9,40 @@ never has to be held by one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark.operators.series import _cols
 
 
-def _with_stats(df: DataFrame, keys, aggs) -> DataFrame:
+def _with_stats(df: DataFrame, keys, aggs, via: str = "join") -> DataFrame:
+    """Attach per-series statistics to every row.
+
+    ``join``   partial aggregate per key, joined back: skew-safe for raw
+               readings where one key may hold a large share of all rows.
+    ``window`` window over ``partitionBy(keys)``: no second scan of the
+               input; right for bounded per-key grids (resampled series)
+               that are already partitioned by ``keys``.
+    """
     keys = list(keys)
-    stats = df.groupBy(*keys).agg(*aggs)
+    if via == "window":
+        w = Window.partitionBy(*keys)
+        return df.select("*", *[a.over(w).alias(n) for n, a in aggs])
+    stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs])
     return df.join(stats, keys, "left") if keys else df.crossJoin(stats)
 
 
 def zscore_flags(df: DataFrame, cols=None, keys=("source_id",), time_col="ts",
-                 threshold: float = 3.0, population: bool = False) -> DataFrame:
+                 threshold: float = 3.0, population: bool = False, via: str = "join") -> DataFrame:
     """N9 (sample std) / N10 (population std + 1e-10): |x - mean| / std > t.
     A zero or undefined std gives no anomaly; null values are not anomalies."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
     aggs = []
     for c in cols:
-        aggs += [F.avg(c).alias(f"__m_{c}"),
-                 (F.stddev_pop(c) if population else F.stddev_samp(c)).alias(f"__s_{c}")]
-    j = _with_stats(df, keys, aggs)
+        aggs += [(f"__m_{c}", F.avg(c)),
+                 (f"__s_{c}", F.stddev_pop(c) if population else F.stddev_samp(c))]
+    j = _with_stats(df, keys, aggs, via)
     flags = []
     for c in cols:
         m, s = F.col(f"__m_{c}"), F.col(f"__s_{c}")
@@ -44,13 +55,13 @@ def zscore_flags(df: DataFrame, cols=None, keys=("source_id",), time_col="ts",
 
 
 def iqr_flags(df: DataFrame, cols=None, keys=("source_id",), time_col="ts",
-              k: float = 1.5) -> DataFrame:
+              k: float = 1.5, via: str = "join") -> DataFrame:
     """Outside [Q1 - k*IQR, Q3 + k*IQR] (exact linear quantiles).
     k=1.5 is the sensor default, k=3 the series default."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    aggs = [F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"__q_{c}") for c in cols]
-    j = _with_stats(df, keys, aggs)
+    aggs = [(f"__q_{c}", F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75)))) for c in cols]
+    j = _with_stats(df, keys, aggs, via)
     flags = []
     for c in cols:
         q1, q3 = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]
@@ -61,13 +72,13 @@ def iqr_flags(df: DataFrame, cols=None, keys=("source_id",), time_col="ts",
 
 
 def detect_anomalies(df: DataFrame, method: str = "zscore", cols=None, keys=("source_id",),
-                     time_col="ts", threshold: float | None = None) -> DataFrame:
+                     time_col="ts", threshold: float | None = None, via: str = "join") -> DataFrame:
     if method == "zscore":
-        return zscore_flags(df, cols, keys, time_col, 3.0 if threshold is None else threshold)
+        return zscore_flags(df, cols, keys, time_col, 3.0 if threshold is None else threshold, via=via)
     if method == "zscore_pop":
-        return zscore_flags(df, cols, keys, time_col, 3.0 if threshold is None else threshold, True)
+        return zscore_flags(df, cols, keys, time_col, 3.0 if threshold is None else threshold, True, via)
     if method == "iqr":
-        return iqr_flags(df, cols, keys, time_col, 1.5 if threshold is None else threshold)
+        return iqr_flags(df, cols, keys, time_col, 1.5 if threshold is None else threshold, via)
     raise ValueError(f"Unsupported anomaly detection method: {method}")
 
 

@@ -40,8 +40,17 @@ def _cols(df: DataFrame, cols, keys, time_col) -> list[str]:
     return list(cols)
 
 
-def _grid_window(keys: Sequence[str], time_col: str):
-    return Window.partitionBy(*keys).orderBy(time_col) if keys else Window.orderBy(time_col)
+def _grid_window(keys: Sequence[str], time_col: str, descending: bool = False):
+    o = F.col(time_col).desc() if descending else F.col(time_col)
+    return Window.partitionBy(*keys).orderBy(o) if keys else Window.orderBy(o)
+
+
+def _running(keys: Sequence[str], time_col: str, backwards: bool = False):
+    """Running frame from the first row (or, backwards, from the last row) to
+    the current one.  Spark evaluates running frames incrementally; a frame
+    ending at UNBOUNDED FOLLOWING is re-aggregated per row (quadratic), so
+    "next value" lookups use a reversed order with a running frame instead."""
+    return _grid_window(keys, time_col, backwards).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _key_window(keys: Sequence[str]):
@@ -133,14 +142,13 @@ def _asof_fill(df: DataFrame, freq, cols, keys, time_col, direction: str) -> Dat
     red = red.withColumn("__hit", F.lit(True))
     grid = _grid(df, step, keys, time_col)
     j = grid.join(red, [*keys, time_col], "left")
-    w = _grid_window(keys, time_col)
     if direction == "ffill":
-        frame = w.rowsBetween(Window.unboundedPreceding, 0)
+        frame = _running(keys, time_col)
         pick = {c: F.last(F.when(F.col("__hit"), F.struct(F.col(c).alias("v"))), True).over(frame)["v"]
                 for c in cols}
     else:
-        frame = w.rowsBetween(0, Window.unboundedFollowing)
-        pick = {c: F.first(F.when(F.col("__hit"), F.struct(F.col(c).alias("v"))), True).over(frame)["v"]
+        frame = _running(keys, time_col, backwards=True)
+        pick = {c: F.last(F.when(F.col("__hit"), F.struct(F.col(c).alias("v"))), True).over(frame)["v"]
                 for c in cols}
     return j.select(*keys, time_col, *[pick[c].alias(c) for c in cols])
 
@@ -156,15 +164,15 @@ def fill_linear(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") ->
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
     w = _grid_window(keys, time_col)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    before = _running(keys, time_col)
+    after = _running(keys, time_col, backwards=True)
     out = df.withColumn("__pos", F.row_number().over(w).cast("double"))
     pos = F.col("__pos")
     for c in cols:
         p0 = F.last(F.when(F.col(c).isNotNull(), pos), True).over(before)
         v0 = F.last(F.col(c), True).over(before)
-        p1 = F.first(F.when(F.col(c).isNotNull(), pos), True).over(after)
-        v1 = F.first(F.col(c), True).over(after)
+        p1 = F.last(F.when(F.col(c).isNotNull(), pos), True).over(after)
+        v1 = F.last(F.col(c), True).over(after)
         out = (out.withColumn("__p0", p0).withColumn("__v0", v0)
                .withColumn("__p1", p1).withColumn("__v1", v1)
                .withColumn(c, F.when(F.col(c).isNotNull(), F.col(c))
@@ -179,7 +187,7 @@ def fill_ffill(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") ->
     """P4 (``ffill`` / ``pad``): last non-null value so far."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    frame = _grid_window(keys, time_col).rowsBetween(Window.unboundedPreceding, 0)
+    frame = _running(keys, time_col)
     return df.select(*[F.last(F.col(c), True).over(frame).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
@@ -188,8 +196,8 @@ def fill_bfill(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") ->
     """P5: next non-null value."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    frame = _grid_window(keys, time_col).rowsBetween(0, Window.unboundedFollowing)
-    return df.select(*[F.first(F.col(c), True).over(frame).alias(c) if c in cols else F.col(c)
+    frame = _running(keys, time_col, backwards=True)
+    return df.select(*[F.last(F.col(c), True).over(frame).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
 
 
