@@ -129,7 +129,7 @@ def view_sql(name: str) -> str:
             "CAST(FLOOR(i / 8) AS BIGINT) AS row, CAST(i % 8 AS BIGINT) AS col, "
             "ROUND((CAST(x AS DOUBLE) + 1) * 5000) AS value "
             "FROM (SELECT vec_id, UNNEST(embedding) AS x, "
-            "UNNEST(generate_subscripts(embedding, 1)) - 1 AS i FROM embeddings)")
+            "UNNEST(range(len(embedding))) AS i FROM embeddings)")
     if name == "thermal":
         return f"SELECT image_id, row, col, value FROM ({view_sql('pixels')}) WHERE band = 'B08'"
     base, exprs = VIEW_EXPRS[name]
