@@ -104,17 +104,26 @@ def aoi_bounds(features: DataFrame, geometry_col: str = "geometry") -> DataFrame
                    F.max(x).alias("max_lon"), F.max(y).alias("max_lat"))
 
 
+# GeoJSON collections with mixed geometry types defeat schema inference
+# (coordinate nesting differs), so geometry and properties are read as raw
+# JSON text through an explicit schema.
+_GEOJSON = T.StructType([
+    T.StructField("crs", T.StructType([T.StructField("properties", T.StructType([
+        T.StructField("name", T.StringType())]))])),
+    T.StructField("features", T.ArrayType(T.StructType([
+        T.StructField("geometry", T.StringType()), T.StructField("properties", T.StringType())]))),
+])
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """GeoJSON FeatureCollection file(s) -> one row per feature:
-    geometry type, coordinates (JSON text), properties (JSON text), crs
+    geometry type, geometry (JSON text), properties (JSON text), crs
     (EPSG:4326 unless the collection names another)."""
-    raw = spark.read.option("multiLine", "true").json(path)
-    crs = (F.coalesce(F.col("crs.properties.name"), F.lit("EPSG:4326"))
-           if "crs" in raw.columns else F.lit("EPSG:4326"))
-    feats = raw.select(crs.alias("crs"), F.explode("features").alias("f"))
-    return feats.select(F.col("f.geometry.type").alias("geometry_type"),
-                        F.to_json(F.col("f.geometry")).alias("geometry"),
-                        F.to_json(F.col("f.properties")).alias("properties"), "crs")
+    raw = spark.read.schema(_GEOJSON).option("multiLine", "true").json(path)
+    feats = raw.select(F.coalesce(F.col("crs.properties.name"), F.lit("EPSG:4326")).alias("crs"),
+                       F.explode("features").alias("f"))
+    return feats.select(F.get_json_object("f.geometry", "$.type").alias("geometry_type"),
+                        F.col("f.geometry").alias("geometry"), F.col("f.properties").alias("properties"), "crs")
 
 
 def flight_outputs(spark: SparkSession, out_dir: str, metadata: dict, tables: dict[str, DataFrame]) -> dict:
