@@ -226,8 +226,11 @@ def tile_equalise(pixels: DataFrame, clip_limit: float = 0.03, tiles: int = 8) -
     4. the cumulative histogram scaled by 255 / area is the tile LUT;
     5. every pixel blends the LUTs of its four nearest tile centres
        bilinearly; result / 255.
-    Steps 3-4 run on a table of (tile, bin) rows; step 5 is one equi-join of
-    four candidate rows per pixel with the LUT table and a sum."""
+    Only the LUT entries some pixel needs are computed: the clipped
+    cumulative count at bin v is a running sum over the *occupied* bins of
+    the tile plus closed-form terms for the spread excess, so the work is
+    proportional to the pixels, not to tiles x 256 bins.  Step 5 is one
+    equi-join of four candidate rows per pixel with that LUT table."""
     u8 = to_uint8(pixels)
     dims = u8.groupBy(IMG, "band").agg((F.max("row") + 1).alias("__H"), (F.max("col") + 1).alias("__W"))
     dims = dims.select("*", (F.ceil(F.col("__H") / tiles) * tiles).cast("int").alias("__Hp"),
@@ -235,10 +238,18 @@ def tile_equalise(pixels: DataFrame, clip_limit: float = 0.03, tiles: int = 8) -
     dims = dims.select("*", (F.col("__Hp") / tiles).cast("int").alias("__th"),
                        (F.col("__Wp") / tiles).cast("int").alias("__tw"))
     # padded image: every padded position reads its reflect-101 source
-    pad = dims.select(IMG, "band", "__H", "__W", "__th", "__tw",
-                      F.explode(F.sequence(F.lit(0), F.col("__Hp") - 1)).alias("prow"), "__Wp")
-    pad = pad.select("*", F.explode(F.sequence(F.lit(0), F.col("__Wp") - 1)).alias("pcol"))
-    pad = pad.where((F.col("prow") >= F.col("__H")) | (F.col("pcol") >= F.col("__W"))).select(
+    # only the pad strips are generated: rows below the image (all columns)
+    # and columns right of it (image rows)
+    def span(lo, hi):
+        return F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
+    strips = F.concat(
+        F.transform(span(F.col("__H"), F.col("__Hp")), lambda r: F.struct(r.alias("r"), F.lit(True).alias("all"))),
+        F.transform(span(F.lit(0), F.col("__H")), lambda r: F.struct(r.alias("r"), F.lit(False).alias("all"))))
+    pad = dims.select(IMG, "band", "__H", "__W", "__th", "__tw", "__Wp", F.explode(strips).alias("s"))
+    pad = pad.select("*", F.col("s.r").alias("prow"), F.explode(
+        F.when(F.col("s.all"), span(F.lit(0), F.col("__Wp"))).otherwise(span(F.col("__W"), F.col("__Wp"))))
+        .alias("pcol"))
+    pad = pad.select(
         IMG, "band", "__th", "__tw", "prow", "pcol",
         _reflect(F.col("prow"), F.col("__H")).alias("row"), _reflect(F.col("pcol"), F.col("__W")).alias("col"))
     base = u8.join(dims.select(IMG, "band", "__th", "__tw"), [IMG, "band"])
@@ -247,31 +258,20 @@ def tile_equalise(pixels: DataFrame, clip_limit: float = 0.03, tiles: int = 8) -
                   IMG, "band", "__th", "__tw", "prow", "pcol", "value")))
     tiled = padded.select(IMG, "band", "__th", "__tw", (F.col("prow") / F.col("__th")).cast("int").alias("ty"),
                           (F.col("pcol") / F.col("__tw")).cast("int").alias("tx"), "value")
-    hist = tiled.groupBy(IMG, "band", "ty", "tx", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("h"))
-    tiles_t = (dims.select(IMG, "band", "__th", "__tw", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("ty"))
-               .select("*", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tx")))
+    tk = [IMG, "band", "ty", "tx"]
     area = F.col("__th") * F.col("__tw")
-    limit = F.greatest((F.lit(clip_limit) * area / 256).cast("int"), F.lit(1)) if clip_limit > 0 else None
-    full = (tiles_t.select("*", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("bin"))
-            .join(hist, [IMG, "band", "ty", "tx", "bin"], "left")
-            .select("*", F.coalesce(F.col("h"), F.lit(0)).alias("__h0")))
-    wt = Window.partitionBy(IMG, "band", "ty", "tx")
-    if limit is not None:
-        full = full.withColumn("__lim", limit)
-        full = full.withColumn("__ex", F.sum(F.greatest(F.col("__h0") - F.col("__lim"), F.lit(0))).over(wt))
-        batch = (F.col("__ex") / 256).cast("int")
-        resid = F.col("__ex") - batch * 256
-        step = F.greatest((F.lit(256) / F.when(resid > 0, resid).otherwise(1)).cast("int"), F.lit(1))
-        extra = F.when((resid > 0) & (F.col("bin") % step == 0) & ((F.col("bin") / step).cast("int") < resid), 1) \
-            .otherwise(0)
-        full = full.withColumn("__hc", F.least(F.col("__h0"), F.col("__lim")) + batch + extra)
-    else:
-        full = full.withColumn("__hc", F.col("__h0"))
-    cum = F.sum("__hc").over(wt.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    lut = full.select(IMG, "band", "ty", "tx", "bin",
-                      F.least(F.greatest(F.bround(cum * (F.lit(255.0) / area), 0), F.lit(0.0)),
-                              F.lit(255.0)).alias("lut"))
-    # bilinear blend of the four nearest tile LUTs
+    lim = (F.greatest((F.lit(clip_limit) * area / 256).cast("int"), F.lit(1)) if clip_limit > 0
+           else F.lit(2 ** 62))
+    hist = (tiled.groupBy(*tk, "__th", "__tw", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("h"))
+            .withColumn("__lim", lim))
+    # per tile: clipped excess -> evenly spread batch + remainder on every step-th bin
+    consts = hist.groupBy(*tk, "__th", "__tw").agg(
+        F.sum(F.greatest(F.col("h") - F.col("__lim"), F.lit(0))).alias("__ex"))
+    consts = consts.select(*tk, "__th", "__tw", (F.col("__ex") / 256).cast("long").alias("__batch"),
+                           (F.col("__ex") - (F.col("__ex") / 256).cast("long") * 256).alias("__res"))
+    consts = consts.withColumn("__step", F.greatest(
+        (F.lit(256) / F.when(F.col("__res") > 0, F.col("__res")).otherwise(1)).cast("long"), F.lit(1)))
+    # bilinear blend: each pixel reads the LUT of its four nearest tile centres
     t = u8.join(dims.select(IMG, "band", "__th", "__tw"), [IMG, "band"])
     txf = F.col("col") / F.col("__tw") - 0.5
     tyf = F.col("row") / F.col("__th") - 0.5
@@ -286,8 +286,20 @@ def tile_equalise(pixels: DataFrame, clip_limit: float = 0.03, tiles: int = 8) -
            * F.when(F.col("k.dy") == 1, F.col("__ya")).otherwise(1 - F.col("__ya")))
     t = t.select(*PIX, ty.cast("int").alias("ty"), tx.cast("int").alias("tx"), F.col("value").alias("bin"),
                  wgt.alias("__w"))
-    blended = t.join(lut, [IMG, "band", "ty", "tx", "bin"]).groupBy(*PIX).agg(
-        F.sum(F.col("__w") * F.col("lut")).alias("__v"))
+    # only the LUT entries some pixel needs: the clipped cumulative histogram
+    # at bin v = running sum of min(h, limit) over occupied bins <= v
+    # + (v + 1) * batch + number of remainder bins <= v
+    need = t.select(*tk, "bin").distinct().select(*tk, "bin", F.lit(1).alias("__kind"), F.lit(0).alias("__c"))
+    occ = hist.select(*tk, "bin", F.lit(0).alias("__kind"), F.least(F.col("h"), F.col("__lim")).alias("__c"))
+    run = Window.partitionBy(*tk).orderBy("bin", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (occ.unionByName(need).withColumn("__cum", F.sum("__c").over(run)).where(F.col("__kind") == 1)
+           .join(consts, tk))
+    nres = F.when(F.col("__res") > 0, F.least(F.col("__res"), F.floor(F.col("bin") / F.col("__step")) + 1)) \
+        .otherwise(F.lit(0))
+    total = F.col("__cum") + (F.col("bin") + 1) * F.col("__batch") + nres
+    lut = cum.select(*tk, "bin", F.least(F.greatest(F.bround(total * (F.lit(255.0) / area), 0), F.lit(0.0)),
+                                         F.lit(255.0)).alias("lut"))
+    blended = t.join(lut, [*tk, "bin"]).groupBy(*PIX).agg(F.sum(F.col("__w") * F.col("lut")).alias("__v"))
     return blended.select(*PIX, (F.least(F.greatest(F.bround("__v", 0), F.lit(0.0)), F.lit(255.0)) / 255.0)
                           .alias("value"))
 
