@@ -166,12 +166,13 @@ def alerts(detections: DataFrame, threshold: float = 0.7, limit: int = 10) -> Da
 
 
 def sort_by_time(df: DataFrame, keys=(), time_col="ts", id_col=None) -> DataFrame:
-    """T5: global order (range-partitioned sort) or, with ``keys``, order
-    within each series only (``sortWithinPartitions`` after a hash
-    repartition by key - no global range sort)."""
+    """T5: global time order (range-partitioned sort), or with ``keys`` each
+    series in time order: range partitioning on (keys, time) keeps a series
+    contiguous and ordered across partitions while splitting a huge series
+    over several of them (a hash repartition by key would put it in one)."""
     order = [F.col(time_col)] + ([F.col(id_col)] if id_col else [])
     if keys:
-        return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+        return df.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*keys, *order)
     return df.orderBy(*order)
 
 

@@ -112,13 +112,15 @@ def _rolling_exprs(x: Column, frame, window: int) -> dict[str, Column]:
 
 
 def rolling_stats(df: DataFrame, cols=None, window: int = 24, keys=("source_id",), time_col="ts",
-                  volatility: bool = True, chunk=None) -> DataFrame:
+                  volatility: bool = True, chunk="1d") -> DataFrame:
     """W1 (+W3): mean, std (ddof 1), min, max, median over the last
     ``window`` rows, null until the frame holds ``window`` non-null values;
     ``<col>_volatility`` = rolling std / rolling mean.
 
-    ``chunk`` (e.g. ``'1d'``) spreads each series over time chunks with a
-    halo (exact; for series too large for one task)."""
+    ``chunk`` (default one day) spreads each series over time chunks with
+    a halo of ``window - 1`` rows - exact, and a series holding a large share
+    of all rows is processed by many tasks.  ``chunk=None`` orders each
+    series in one window partition (cheaper for many small series)."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
     if chunk is not None:
@@ -138,25 +140,49 @@ def rolling_stats(df: DataFrame, cols=None, window: int = 24, keys=("source_id",
     return res.where(~F.col("__halo")).drop("__halo") if chunk is not None else res
 
 
-def pct_change(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
+def _chunk_carry(indexed: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Per (series, chunk) what the rows before the chunk carry in: the last
+    non-null value and the last value of every column of all earlier chunks.
+    Computed on the small per-chunk table (one row per chunk)."""
+    keys = list(keys)
+    tail = indexed.groupBy(*keys, "__chunk").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__rn"))).alias(f"__lnn_{c}") for c in cols],
+        *[F.max_by(c, F.col("__rn")).alias(f"__lst_{c}") for c in cols])
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    prev1 = Window.partitionBy(*keys).orderBy("__chunk")
+    return tail.select(*keys, "__chunk",
+                       *[F.last(f"__lnn_{c}", True).over(before).alias(f"__carry_{c}") for c in cols],
+                       *[F.lag(f"__lst_{c}").over(prev1).alias(f"__prev_{c}") for c in cols],
+                       F.lag("__chunk").over(prev1).isNotNull().alias("__has_prev"))
+
+
+def pct_change(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", chunk="1d") -> DataFrame:
     """X / previous - 1 after forward-filling nulls; previous 0 gives
-    +-inf (or NaN for 0/0) as in IEEE arithmetic."""
+    +-inf (or NaN for 0/0) as in IEEE arithmetic.
+
+    Each series is processed in time chunks; the forward fill across chunk
+    borders comes from the small per-chunk carry table, so a series of any
+    size is spread over many tasks and the result is exact."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    w = _w(df, keys, time_col)
-    out = df
-    for c in cols:
-        filled = F.last(F.col(c), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn(f"__f_{c}", filled)
+    indexed, _ = indexed_rows(df, keys, time_col, chunk)
+    carry = _chunk_carry(indexed, keys, cols)
+    j = indexed.join(carry, [*keys, "__chunk"], "left")
+    wc = Window.partitionBy(*keys, "__chunk").orderBy("__rn")
+    upto = wc.rowsBetween(Window.unboundedPreceding, 0)
     exprs = []
     for c in cols:
-        cur, prev = F.col(f"__f_{c}"), F.lag(F.col(f"__f_{c}")).over(w)
+        filled = F.coalesce(F.last(F.col(c), True).over(upto), F.col(f"__carry_{c}"))
+        j = j.withColumn(f"__f_{c}", filled)
+    for c in cols:
+        cur = F.col(f"__f_{c}")
+        prev = F.when(F.col("__rn") == 1, F.col(f"__carry_{c}")).otherwise(F.lag(cur).over(wc))
         ch = (F.when(prev.isNull() | cur.isNull(), F.lit(None).cast("double"))
               .when(prev != 0, cur / prev - 1)
               .when(cur > 0, F.lit(float("inf"))).when(cur < 0, F.lit(float("-inf")))
               .otherwise(F.lit(float("nan"))))
         exprs.append(ch.alias(f"{c}_pct_change"))
-    return out.select(*df.columns, *exprs)
+    return j.select(*df.columns, *exprs)
 
 
 def ewma(df: DataFrame, cols=None, span: float = 30.0, keys=("source_id",), time_col="ts",
@@ -196,45 +222,62 @@ def ewma(df: DataFrame, cols=None, span: float = 30.0, keys=("source_id",), time
 
 def make_sequences(df: DataFrame, seq_length: int, target_length: int = 1, step: int = 1,
                    feature_cols=None, target_col: str | None = None, keys=("source_id",),
-                   time_col="ts") -> DataFrame:
+                   time_col="ts", chunk="1d") -> DataFrame:
     """Sliding (sequence, target) pairs per series: windows start at
     positions 0, step, 2*step, ... while ``start + seq + target <= n``.
     With a ``target_col`` the features exclude it and the target is taken
     from it; otherwise sequences and targets come from the same features.
-    Univariate input gives ``array<double>``, multivariate ``array<struct>``."""
+    Univariate input gives ``array<double>``, multivariate ``array<struct>``.
+
+    Each window is emitted at its *last* row (a preceding rows frame), so
+    the series is cut into time chunks with a halo of ``seq + target - 1``
+    rows (``chunked_rows``) - exact and spread over many tasks."""
     keys = list(keys)
     feats = [c for c in _cols(df, feature_cols, keys, time_col) if c != target_col]
     span = seq_length + target_length
-    w = _w(df, keys, time_col)
-    frame = w.rowsBetween(0, span - 1)
+    parts = chunked_rows(df, keys, time_col, span - 1, chunk)
+    frame = Window.partitionBy(*keys, "__chunk").orderBy("__idx").rowsBetween(-(span - 1), 0)
     fv = F.col(feats[0]).cast("double") if len(feats) == 1 else F.struct(*[F.col(c) for c in feats])
     tv = F.col(target_col).cast("double") if target_col else fv
-    win_f = F.collect_list(F.struct(fv.alias("v"))).over(frame)
-    win_t = F.collect_list(F.struct(tv.alias("v"))).over(frame)
-    out = (df.withColumn("__pos", F.row_number().over(w) - 1)
-           .withColumn("__f", win_f).withColumn("__t", win_t)
-           .where((F.size("__f") == span) & (F.col("__pos") % step == 0)))
-    return out.select(*keys, F.col(time_col).alias("start_ts"),
-                      F.transform(F.slice("__f", 1, seq_length), lambda e: e["v"]).alias("sequence"),
-                      F.transform(F.slice("__t", seq_length + 1, target_length), lambda e: e["v"]).alias("target"))
-
-
-def zero_crossings(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
-    """Number of sign-bit flips between neighbouring values per series."""
+    win = F.collect_list(F.struct(F.col(time_col).alias("t"), fv.alias("f"), tv.alias("y"))).over(frame)
+    start = F.col("__idx") - (span - 1)
+    out = (parts.withColumn("__w", win)
+           .where(~F.col("__halo") & (F.size("__w") == span) & (start % step == 0)))
+    return out.select(*keys, F.col("__w")[0]["t"].alias("start_ts"),
+                      F.transform(F.slice("__w", 1, seq_length), lambda e: e["f"]).alias("sequence"),
+                      F.transform(F.slice("__w", seq_length + 1, target_length), lambda e: e["y"]).alias("target"))
+
+
+def zero_crossings(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", chunk="1d") -> DataFrame:
+    """Number of sign-bit flips between neighbouring values per series:
+    flips inside each time chunk plus flips across chunk borders (from the
+    per-chunk carry table); partial sums per key."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    w = _w(df, keys, time_col)
-    sb = {c: F.col(c) < 0 for c in cols}
-    lagged = df.select(*keys, *[sb[c].alias(f"__s_{c}") for c in cols],
-                       *[F.lag(sb[c]).over(w).alias(f"__p_{c}") for c in cols])
-    return lagged.groupBy(*keys).agg(*[F.count_if(F.col(f"__s_{c}") != F.col(f"__p_{c}")).alias(f"{c}_zero_crossings")
-                                      for c in cols])
+    indexed, _ = indexed_rows(df, keys, time_col, chunk)
+    carry = _chunk_carry(indexed, keys, cols)
+    j = indexed.join(carry, [*keys, "__chunk"], "left")
+    wc = Window.partitionBy(*keys, "__chunk").orderBy("__rn")
+    aggs = []
+    for c in cols:
+        sb = F.col(c) < 0
+        prev = F.when(F.col("__rn") == 1, F.col(f"__prev_{c}") < 0).otherwise(F.lag(sb).over(wc))
+        j = j.withColumn(f"__flip_{c}", sb != prev)
+        aggs.append(F.count_if(F.col(f"__flip_{c}")).alias(f"{c}_zero_crossings"))
+    return j.groupBy(*keys).agg(*aggs)
 
 
-def autocorr_lag1(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
-    """Pearson correlation of x with its previous value per series."""
+def autocorr_lag1(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", chunk="1d") -> DataFrame:
+    """Pearson correlation of x with its previous value per series; the
+    pairs across chunk borders use the carried last value; ``corr`` is a
+    partial aggregate."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    w = _w(df, keys, time_col)
-    lagged = df.select(*keys, *[F.col(c) for c in cols], *[F.lag(c).over(w).alias(f"__l_{c}") for c in cols])
+    indexed, _ = indexed_rows(df, keys, time_col, chunk)
+    carry = _chunk_carry(indexed, keys, cols)
+    j = indexed.join(carry, [*keys, "__chunk"], "left")
+    wc = Window.partitionBy(*keys, "__chunk").orderBy("__rn")
+    lagged = j.select(*keys, *[F.col(c) for c in cols], *[
+        F.when(F.col("__rn") == 1, F.col(f"__prev_{c}")).otherwise(F.lag(c).over(wc)).alias(f"__l_{c}")
+        for c in cols])
     return lagged.groupBy(*keys).agg(*[F.corr(c, f"__l_{c}").alias(f"{c}_autocorr_lag1") for c in cols])

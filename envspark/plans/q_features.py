@@ -36,7 +36,7 @@ _ROLL_COLS = [f"{c}_{k}" for c in COLS for k in ("rolling_mean", "rolling_std",
 
 @register("w1_rolling_stats", _ROLL, ["readings"], rnd=_ROLL_COLS)
 def w1(spark, sf):
-    return windows.rolling_stats(R(spark, sf), COLS, 24, KEYS)
+    return windows.rolling_stats(R(spark, sf), COLS, 24, KEYS, chunk=None)
 
 
 @register("w1_rolling_stats_chunked", _ROLL, ["readings"], rnd=_ROLL_COLS)

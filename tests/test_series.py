@@ -133,14 +133,28 @@ def test_rolling_matches_pandas(spark, chunk):
     assert len(got) == 240
 
 
-def test_pct_change_matches_pandas(spark):
-    vals = [1.0, 2.0, None, 4.0, 0.0, 3.0, 0.0, 0.0]
+@pytest.mark.parametrize("chunk", ["1d", "1h", "2h"])
+def test_pct_change_matches_pandas(spark, chunk):
+    vals = [1.0, 2.0, None, None, None, 4.0, 0.0, 3.0, 0.0, 0.0, None, -2.0]
     df = _frame(spark, [(1, T(i), v) for i, v in enumerate(vals)])
-    got = windows.pct_change(df, ["v"], ["source_id"]).orderBy("ts").toPandas()["v_pct_change"].to_numpy(dtype=float)
+    got = windows.pct_change(df, ["v"], ["source_id"], chunk=chunk).orderBy("ts").toPandas()["v_pct_change"] \
+        .to_numpy(dtype=float)
     want = pd.Series(vals, dtype=float).ffill().pct_change().to_numpy()
     assert np.allclose(got, want, equal_nan=True)
 
 
+@pytest.mark.parametrize("chunk", ["1h", "1d"])
+def test_crossings_and_autocorr_across_chunks(spark, chunk):
+    x = np.array([1.0, -2.0, 3.0, None, -1.0, -4.0, 2.0, 5.0, -3.0, 1.0], dtype=float)
+    df = _frame(spark, [(1, T(i), None if np.isnan(v) else float(v)) for i, v in enumerate(x)])
+    zc = windows.zero_crossings(df, ["v"], ["source_id"], chunk=chunk).first()["v_zero_crossings"]
+    sb = x < 0
+    want = sum(1 for i in range(1, len(x)) if not np.isnan(x[i]) and not np.isnan(x[i - 1]) and sb[i] != sb[i - 1])
+    assert zc == want
+    ac = windows.autocorr_lag1(df, ["v"], ["source_id"], chunk=chunk).first()["v_autocorr_lag1"]
+    assert np.isclose(ac, pd.Series(x).autocorr(1))
+
+
 def test_make_sequences_count(spark):
     n, s, t, step = 20, 5, 2, 3
     df = _frame(spark, [(1, T(i), float(i)) for i in range(n)])
