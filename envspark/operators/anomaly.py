@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from envspark.operators.quantiles import exact_quantiles
 from envspark.operators.series import _cols
+from envspark.operators.common import attach
 
 
 def _with_stats(df: DataFrame, keys, aggs, via: str = "join") -> DataFrame:
@@ -29,7 +31,7 @@ def _with_stats(df: DataFrame, keys, aggs, via: str = "join") -> DataFrame:
         w = Window.partitionBy(*keys)
         return df.select("*", *[a.over(w).alias(n) for n, a in aggs])
     stats = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs])
-    return df.join(stats, keys, "left") if keys else df.crossJoin(stats)
+    return attach(df, stats, keys)
 
 
 def zscore_flags(df: DataFrame, cols=None, keys=("source_id",), time_col="ts",
@@ -60,8 +62,15 @@ def iqr_flags(df: DataFrame, cols=None, keys=("source_id",), time_col="ts",
     k=1.5 is the sensor default, k=3 the series default."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    aggs = [(f"__q_{c}", F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75)))) for c in cols]
-    j = _with_stats(df, keys, aggs, via)
+    if via == "window":                       # bounded per-key grids
+        aggs = [(f"__q_{c}", F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75)))) for c in cols]
+        j = _with_stats(df, keys, aggs, via)
+    else:                                     # raw data: skew-safe exact quantiles, joined back
+        j = df
+        for c in cols:
+            q = exact_quantiles(df, c, [0.25, 0.75], keys, prefix=f"__iq_{c}").select(
+                *keys, F.array(F.col(f"__iq_{c}_q0"), F.col(f"__iq_{c}_q1")).alias(f"__q_{c}"))
+            j = attach(j, q, keys)
     flags = []
     for c in cols:
         q1, q3 = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from envspark.functions.timefn import calendar_features
 from envspark.operators.series import _cols
 from envspark.operators.windows import _order, _w, pct_change, rolling_stats
+from envspark.operators.common import attach
 
 SQRT2 = math.sqrt(2.0)
 
@@ -223,7 +224,7 @@ def threshold_events(df: DataFrame, cols=None, k: float = 3.0, keys=("source_id"
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
     stats = df.groupBy(*keys).agg(*[(F.avg(c) + k * F.stddev_samp(c)).alias(f"__t_{c}") for c in cols])
-    j = df.join(stats, keys, "left") if keys else df.crossJoin(stats)
+    j = attach(df, stats, keys)
     parts = [j.where(F.col(c) > F.col(f"__t_{c}")).select(
         *keys, F.lit(c).alias("column"), F.col(time_col), F.col(c).cast("double").alias("value"),
         F.lit("threshold").alias("method"), F.col(f"__t_{c}").alias("threshold")) for c in cols]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark.functions.timefn import epoch_seconds, freq_seconds, from_epoch_seconds
+from envspark.operators.common import attach
 
 DAY = 86400
 
@@ -66,7 +67,7 @@ def bin_start(df: DataFrame, time_col: str, step: int, keys: Sequence[str]) -> t
         return df, from_epoch_seconds(F.floor(sec / step) * step)
     origin = (df.groupBy(*keys).agg(F.min(time_col).alias("__t0"))
               .select(*keys, (F.floor(epoch_seconds(F.col("__t0")) / DAY) * DAY).alias("__origin")))
-    df = df.join(origin, list(keys)) if keys else df.crossJoin(origin)  # one-row origin when unkeyed
+    df = attach(df, origin, keys, "inner")
     return df, from_epoch_seconds(F.col("__origin") + F.floor((sec - F.col("__origin")) / step) * step)
 
 
@@ -283,22 +284,33 @@ def scale_stats(df: DataFrame, method: str, cols, keys=("source_id",),
             rng = F.max(c) - F.min(c)
             scale = F.when((rng == 0) | rng.isNull(), F.lit(1.0)).otherwise(rng)
         elif method == "robust":
-            lo, hi = quantile_range
-            q = F.percentile(F.col(c), F.array(F.lit(lo / 100), F.lit(0.5), F.lit(hi / 100)))
-            center = q[1] if with_centering else F.lit(0.0)
-            iqr = q[2] - q[0]
-            scale = (F.when((iqr == 0) | iqr.isNull(), F.lit(1.0)).otherwise(iqr)
-                     if with_scaling else F.lit(1.0))
+            # exact quantiles come from the skew-safe selection (joined below)
+            center = F.lit(None)
+            scale = F.lit(None)
         else:
             raise ValueError(f"Unsupported scale method: {method}")
         aggs += [center.cast("double").alias(f"{c}__center"), scale.cast("double").alias(f"{c}__scale")]
-    return df.groupBy(*keys).agg(*aggs)
+    stats = df.groupBy(*keys).agg(*aggs)
+    if method != "robust":
+        return stats
+    from envspark.operators.quantiles import exact_quantiles
+    lo, hi = quantile_range
+    for c in cols:
+        q = exact_quantiles(df, c, [lo / 100, 0.5, hi / 100], keys, prefix=f"__rq_{c}")
+        iqr = F.col(f"__rq_{c}_q2") - F.col(f"__rq_{c}_q0")
+        q = q.select(*keys, (F.col(f"__rq_{c}_q1") if with_centering else F.lit(0.0)).alias(f"__rc_{c}"),
+                     (F.when((iqr == 0) | iqr.isNull(), F.lit(1.0)).otherwise(iqr) if with_scaling
+                      else F.lit(1.0)).alias(f"__rs_{c}"))
+        stats = attach(stats, q, keys)
+        stats = stats.withColumn(f"{c}__center", F.col(f"__rc_{c}").cast("double")) \
+            .withColumn(f"{c}__scale", F.col(f"__rs_{c}").cast("double")).drop(f"__rc_{c}", f"__rs_{c}")
+    return stats
 
 
 def apply_scale(df: DataFrame, stats: DataFrame, cols, keys=("source_id",)) -> DataFrame:
     """Apply a fitted scaler (the stats table is one row per series)."""
     keys = list(keys)
-    j = df.join(stats, keys, "left") if keys else df.crossJoin(stats)
+    j = attach(df, stats, keys)
     return j.select(*[((F.col(c) - F.col(f"{c}__center")) / F.col(f"{c}__scale")).alias(c)
                       if c in cols else F.col(c) for c in df.columns])
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envspark.functions.timefn import look_back, period_label, time_bucket, ts_lit
+from envspark.operators.quantiles import exact_quantiles
+from envspark.operators.common import attach
 
 GROUP_BY = ("hour", "day", "week", "month")
 AGGREGATION = ("minute", "hour", "day")
@@ -71,37 +73,42 @@ def source_counts(sources: DataFrame) -> DataFrame:
 
 def column_moments(df: DataFrame, cols, keys=("source_id",)) -> DataFrame:
     """Per key and column - mean, sample and population std, min, max,
-    median (exact), null count, in one aggregation pass (long output)."""
+    exact median, null count (long output).  Moments are one partial
+    aggregate; the median comes from the skew-safe rank selection."""
     keys = list(keys)
     parts = None
     for c in cols:
         x = F.col(c)
-        part = df.groupBy(*keys).agg(
-            F.lit(c).alias("column"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+        mom = df.groupBy(*keys).agg(
+            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
             F.stddev_pop(x).alias("std_pop"), F.min(x).cast("double").alias("min"),
-            F.max(x).cast("double").alias("max"), F.percentile(x, 0.5).alias("median"),
+            F.max(x).cast("double").alias("max"),
             F.count_if(x.isNull()).alias("nulls"), F.count(x).alias("count"))
+        med = exact_quantiles(df, c, [0.5], keys, prefix="__m")
+        part = attach(mom, med, keys).select(
+            *keys, F.lit(c).alias("column"), "mean", "std", "std_pop", "min", "max",
+            F.col("__m_q0").alias("median"), "nulls", "count")
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
 def quantiles(df: DataFrame, cols, ps=(0.25, 0.5, 0.75), keys=("source_id",), exact: bool = True,
               accuracy: int = 10000) -> DataFrame:
-    """Linear-interpolated exact quantiles per key (``percentile``), or
-    ``approx_percentile`` (bounded memory per group) when ``exact=False``."""
+    """Linear-interpolated exact quantiles per key (skew-safe rank
+    selection), or ``percentile_approx`` when ``exact=False``."""
     keys = list(keys)
-    out = []
-    for c in cols:
+    names = {c: [f"{c}_q{int(round(p * 100)):02d}" for p in ps] for c in cols}
+    if not exact:
         arr = F.array(*[F.lit(float(p)) for p in ps])
-        q = (F.percentile(F.col(c), arr) if exact
-             else F.percentile_approx(F.col(c).cast("double"), arr, accuracy))
-        out.append(q.alias(f"__q_{c}"))
-    g = df.groupBy(*keys).agg(*out)
-    sel = [*keys]
+        g = df.groupBy(*keys).agg(*[F.percentile_approx(F.col(c).cast("double"), arr, accuracy).alias(f"__q_{c}")
+                                    for c in cols])
+        return g.select(*keys, *[F.col(f"__q_{c}")[i].alias(n) for c in cols for i, n in enumerate(names[c])])
+    out = None
     for c in cols:
-        for i, p in enumerate(ps):
-            sel.append(F.col(f"__q_{c}")[i].alias(f"{c}_q{int(round(p * 100)):02d}"))
-    return g.select(*sel)
+        q = exact_quantiles(df, c, list(ps), keys, prefix=f"__{c}")
+        q = q.select(*keys, *[F.col(f"__{c}_q{i}").alias(n) for i, n in enumerate(names[c])])
+        out = q if out is None else out.join(q, keys, "full")
+    return out
 
 
 def mean_loss(batches: DataFrame, loss_col="loss", n_col="n", keys=()) -> DataFrame:
