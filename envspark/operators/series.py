@@ -167,21 +167,22 @@ def fill_linear(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") ->
     w = _grid_window(keys, time_col)
     before = _running(keys, time_col)
     after = _running(keys, time_col, backwards=True)
-    out = df.withColumn("__pos", F.row_number().over(w).cast("double"))
+    # one forward pass (position, previous non-null of every column) and one
+    # backward pass (next non-null): two sorts whatever the number of columns
     pos = F.col("__pos")
+    fwd = df.select("*", F.row_number().over(w).cast("double").alias("__pos"))
+    fwd = fwd.select("*", *[F.last(F.when(F.col(c).isNotNull(), pos), True).over(before).alias(f"__p0_{c}")
+                            for c in cols],
+                     *[F.last(F.col(c), True).over(before).alias(f"__v0_{c}") for c in cols])
+    both = fwd.select("*", *[F.last(F.when(F.col(c).isNotNull(), pos), True).over(after).alias(f"__p1_{c}")
+                             for c in cols],
+                      *[F.last(F.col(c), True).over(after).alias(f"__v1_{c}") for c in cols])
+    filled = {}
     for c in cols:
-        p0 = F.last(F.when(F.col(c).isNotNull(), pos), True).over(before)
-        v0 = F.last(F.col(c), True).over(before)
-        p1 = F.last(F.when(F.col(c).isNotNull(), pos), True).over(after)
-        v1 = F.last(F.col(c), True).over(after)
-        out = (out.withColumn("__p0", p0).withColumn("__v0", v0)
-               .withColumn("__p1", p1).withColumn("__v1", v1)
-               .withColumn(c, F.when(F.col(c).isNotNull(), F.col(c))
-                           .when(F.col("__p1").isNull(), F.col("__v0"))
-                           .otherwise(F.col("__v0") + (F.col("__v1") - F.col("__v0"))
-                                      * (pos - F.col("__p0")) / (F.col("__p1") - F.col("__p0"))))
-               .drop("__p0", "__v0", "__p1", "__v1"))
-    return out.drop("__pos")
+        p0, v0, p1, v1 = (F.col(f"__{n}_{c}") for n in ("p0", "v0", "p1", "v1"))
+        filled[c] = (F.when(F.col(c).isNotNull(), F.col(c)).when(p1.isNull(), v0)
+                     .otherwise(v0 + (v1 - v0) * (pos - p0) / (p1 - p0)))
+    return both.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def fill_ffill(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:

@@ -22,7 +22,7 @@ _WIDE = ("SELECT image_id, row, col, max(CASE WHEN band = 'B02' THEN value END)
 
 
 def _wide(spark, sf):
-    return raster.pixel_bands(P(spark, sf), ["B02", "B03", "B04", "B08"])
+    return raster.pixel_bands(P(spark, sf), ["B02", "B03", "B04", "B08"], fallback=False)
 
 
 @register("f14_pixel_bands", _WIDE, ["pixels"])
