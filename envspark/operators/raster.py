@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from envspark.functions.geo import point_in_ring, ring_bounds
 from envspark.functions.raster import cloud_mask
+from envspark.operators.quantiles import exact_quantiles
 
 IMG = "image_id"
 PIX = [IMG, "band", "row", "col"]
@@ -73,9 +74,11 @@ def percentile_stretch(pixels: DataFrame, low: float = 2.0, high: float = 98.0,
     if nodata is not None:
         v = F.when(v == F.lit(float(nodata)), F.lit(None).cast("double")).otherwise(v)
     p = pixels.withColumn("value", v)
-    q = F.percentile(F.col("value"), F.array(F.lit(low / 100), F.lit(high / 100)))
-    j = _image_stats(p, [IMG], {"__q": q})
-    clipped = F.least(F.greatest(F.col("value"), F.col("__q")[0]), F.col("__q")[1])
+    # exact per-image percentiles by rank selection (a float scene can have
+    # as many distinct values as pixels; no per-image value buffer)
+    q = exact_quantiles(p, "value", [low / 100, high / 100], [IMG], prefix="__p")
+    j = p.join(q, [IMG], "left")
+    clipped = F.least(F.greatest(F.col("value"), F.col("__p_q0")), F.col("__p_q1"))
     c = j.select(*[x for x in pixels.columns if x != "value"], clipped.alias("value"))
     c = _image_stats(c, [IMG], {"__lo": F.min("value"), "__hi": F.max("value")})
     lo, hi = F.col("__lo"), F.col("__hi")

@@ -404,7 +404,11 @@ def c3(spark, sf):
         "id", iso.alias("iso"), parse_iso(iso).alias("parsed"), parse_iso(F.concat(iso, F.lit("Z"))).alias("parsed_z"))
 
 
-@register("c5_geojson_feature")
+@register("c5_geojson_feature",
+          "SELECT id, CAST(json_object('type', 'Feature', 'geometry', json_object('type', 'Point', 'coordinates', "
+          "json_array(lon, lat)), 'properties', json_object('id', id, 'threat_type', threat_type, "
+          "'confidence', confidence, 'timestamp', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'source_type', source_type, "
+          "'is_verified', is_verified)) AS VARCHAR) AS feature FROM detections", ["detections"])
 def c5(spark, sf):
     return dashboard.geojson_feature(V(spark, sf, "detections"))
 
