@@ -54,7 +54,7 @@ def semi(df: DataFrame, other: DataFrame, on, how="left_semi") -> DataFrame:
     return df.join(other, on, how)
 
 
-def grid_cells(min_x, min_y, max_x, max_y, cell: float) -> F.Column:
+def grid_cells(min_x, min_y, max_x, max_y, cell) -> F.Column:
     """All (cx, cy) cells of size ``cell`` a closed box touches."""
     x0, x1 = F.floor(min_x / cell), F.floor(max_x / cell)
     y0, y1 = F.floor(min_y / cell), F.floor(max_y / cell)
@@ -62,20 +62,35 @@ def grid_cells(min_x, min_y, max_x, max_y, cell: float) -> F.Column:
         F.sequence(y0, y1), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
+def grid_candidates(points: DataFrame, x: str, y: str, boxes: DataFrame, min_x: str, min_y: str,
+                    max_x: str, max_y: str, base_cell: float = 1.0) -> DataFrame:
+    """Candidate (point, box) pairs of a point-in-box join by a multi-level
+    grid equi-join.  Each box uses the level whose cell (base * 2^level) is
+    at least its extent, so it touches at most 2 x 2 cells; each point gets
+    one cell id per level that occurs among the boxes (a few integers).
+    Work is O(points x levels + boxes), never points x boxes.  The caller
+    refines the candidates with the exact predicate."""
+    ext = F.greatest(F.col(max_x) - F.col(min_x), F.col(max_y) - F.col(min_y))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(ext, F.lit(1e-300)) / base_cell))).cast("int")
+    bx = boxes.withColumn("__lvl", level).withColumn("__cell", F.lit(base_cell) * F.pow(F.lit(2.0), F.col("__lvl")))
+    bx = bx.withColumn("__c", F.explode(grid_cells(F.col(min_x), F.col(min_y), F.col(max_x), F.col(max_y),
+                                                  F.col("__cell"))))
+    bx = bx.select("*", F.col("__c.cx").alias("__cx"), F.col("__c.cy").alias("__cy")).drop("__c", "__cell")
+    # the levels present: a handful of small integers (bounded by log2 of the extent range)
+    levels = [r[0] for r in bx.select("__lvl").distinct().limit(64).collect()] or [0]
+    pts = points.select("*", F.explode(F.array(*[F.lit(v) for v in levels])).alias("__lvl"))
+    cell = F.lit(base_cell) * F.pow(F.lit(2.0), F.col("__lvl"))
+    pts = pts.select("*", F.floor(F.col(x) / cell).alias("__cx"), F.floor(F.col(y) / cell).alias("__cy"))
+    return pts.join(bx, ["__lvl", "__cx", "__cy"]).drop("__lvl", "__cx", "__cy")
+
+
 def detections_in_images(detections: DataFrame, images: DataFrame, cell: float = 1.0) -> DataFrame:
     """Pairs (detection, image) where the detection point lies in the
-    image box (edges inclusive).  Each box is exploded to the grid cells it
-    touches, each point to its single cell, and the two are equi-joined on
-    the cell, then refined with the exact predicate.  Work is proportional
-    to the true matches plus box area / cell area - no nested loop."""
-    img = (images.select(F.col("id").alias("image_id"), "min_lon", "min_lat", "max_lon", "max_lat")
-           .withColumn("c", F.explode(grid_cells(F.col("min_lon"), F.col("min_lat"),
-                                                 F.col("max_lon"), F.col("max_lat"), cell)))
-           .select("image_id", "min_lon", "min_lat", "max_lon", "max_lat",
-                   F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy")))
-    pts = detections.select(F.col("id").alias("detection_id"), "lon", "lat",
-                            F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    j = pts.join(img, ["cx", "cy"])
+    image box (edges inclusive): multi-level grid equi-join (see
+    ``grid_candidates``) refined with the exact box test."""
+    img = images.select(F.col("id").alias("image_id"), "min_lon", "min_lat", "max_lon", "max_lat")
+    pts = detections.select(F.col("id").alias("detection_id"), "lon", "lat")
+    j = grid_candidates(pts, "lon", "lat", img, "min_lon", "min_lat", "max_lon", "max_lat", cell)
     return (j.where((F.col("lon") >= F.col("min_lon")) & (F.col("lon") <= F.col("max_lon"))
                     & (F.col("lat") >= F.col("min_lat")) & (F.col("lat") <= F.col("max_lat")))
             .select("detection_id", "image_id"))

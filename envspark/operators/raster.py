@@ -177,14 +177,10 @@ def clip_pixels(pixels: DataFrame, polygons: DataFrame, nodata=None, crop: bool
     y = y_expr if y_expr is not None else F.col("row") + 0.5
     pb = ring_bounds(F.col("ring"))
     polys = polygons.select("polygon_id", "ring", *[v.alias(k) for k, v in pb.items()])
-    cells = polys.select("polygon_id", "ring", F.explode(F.flatten(F.transform(
-        F.sequence(F.floor(F.col("min_lon") / cell), F.floor(F.col("max_lon") / cell)),
-        lambda cx: F.transform(F.sequence(F.floor(F.col("min_lat") / cell), F.floor(F.col("max_lat") / cell)),
-                               lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))).alias("c"))
-    cells = cells.select("polygon_id", "ring", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
-    px = pixels.withColumn("__x", x).withColumn("__y", y) \
-        .withColumn("cx", F.floor(F.col("__x") / cell)).withColumn("cy", F.floor(F.col("__y") / cell))
-    cand = px.join(cells, ["cx", "cy"]).where(point_in_ring(F.col("__x"), F.col("__y"), F.col("ring")))
+    px = pixels.withColumn("__x", x).withColumn("__y", y)
+    from envspark.operators.joins import grid_candidates
+    cand = grid_candidates(px, "__x", "__y", polys, "min_lon", "min_lat", "max_lon", "max_lat", cell) \
+        .where(point_in_ring(F.col("__x"), F.col("__y"), F.col("ring")))
     inside = cand.select(*PIX).distinct().withColumn("__in", F.lit(True))
     j = pixels.join(inside, PIX, "left")
     val = F.when(F.col("__in"), F.col("value")).otherwise(F.lit(nodata))

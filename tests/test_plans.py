@@ -42,3 +42,19 @@ def test_latest_per_source_is_partial_aggregate(spark):
 def test_resample_has_no_spine_join(spark):
     p = _plan(spark, "p1_resample_mean")
     assert "Join" not in p
+
+
+def test_multilevel_grid_join_matches_brute_force(spark):
+    import numpy as np
+    from envspark.operators.joins import detections_in_images
+    rng = np.random.default_rng(4)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-180, 180, (400, 2)) * [1, 0.5])]
+    boxes = []
+    for j, ext in enumerate([0.01, 0.5, 3.0, 40.0, 300.0] * 4):
+        x0, y0 = rng.uniform(-180, 180 - ext), rng.uniform(-90, 90 - min(ext, 170))
+        boxes.append((j, float(x0), float(y0), float(x0 + ext), float(y0 + min(ext, 170))))
+    d = spark.createDataFrame(pts, "id long, lon double, lat double")
+    im = spark.createDataFrame(boxes, "id long, min_lon double, min_lat double, max_lon double, max_lat double")
+    got = {(r[0], r[1]) for r in detections_in_images(d, im).collect()}
+    want = {(p[0], b[0]) for p in pts for b in boxes if b[1] <= p[1] <= b[3] and b[2] <= p[2] <= b[4]}
+    assert got == want and len(want) > 0
