@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark.functions.timefn import time_bucket
+from envspark.operators.quantiles import exact_quantiles
 
 EULER = 0.5772156649015329
 
@@ -123,7 +124,7 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], contamination="auto", n
                      psi: int = 256, seed: int = 42) -> DataFrame:
     """Adds ``score`` (2^(-E[h]/c(psi)), higher = more anomalous) and
     ``anomaly``: score > 0.5 for ``'auto'``, else the top ``contamination``
-    share of scores (threshold = approximate (1 - c) quantile).  Rows with a
+    share of scores (threshold = exact (1 - c) quantile of all scores).  Rows with a
     null feature get null score and no flag."""
     cols = list(cols)
     trees, psi_used = fit_isolation_forest(df, cols, n_trees, psi, seed)
@@ -147,7 +148,8 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], contamination="auto", n
         thr = F.lit(0.5)
         return scored.withColumn("anomaly", F.coalesce(F.col("score") > thr, F.lit(False)))
     c = float(contamination)
-    q = scored.agg(F.percentile_approx("score", 1.0 - c, 100000).alias("q")).first()["q"]
+    # exact (1 - c) quantile of all scores by skew-safe rank selection
+    q = exact_quantiles(scored, "score", [1.0 - c]).first()["score_q0"]
     return scored.withColumn("anomaly", F.coalesce(F.col("score") > F.lit(q), F.lit(False)))
 
 
@@ -219,7 +221,7 @@ def one_class_svm(df: DataFrame, cols: Sequence[str], nu: float = 0.05, gamma="s
             yield pdf
 
     scored = df.mapInPandas(scorer, schema)
-    rho_q = scored.agg(F.percentile_approx("raw", nu, 100000).alias("q")).first()["q"]
+    rho_q = exact_quantiles(scored, "raw", [nu]).first()["raw_q0"]
     return (scored.withColumn("score", F.col("raw") - F.lit(rho_q)).drop("raw")
             .withColumn("anomaly", F.coalesce(F.col("score") < 0, F.lit(False))))
 
