@@ -113,7 +113,7 @@ def series_shape_features(df: DataFrame, col: str, window: int = 24, keys=("sour
     sb = F.transform(v, lambda x: x < 0)
     flips = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.lit(0),
                         lambda acc, i: acc + F.when((n > 1) & (F.get(sb, i) != F.get(sb, i - 1)), 1).otherwise(0))
-    return arr.select(*keys, n.alias("n"), haar_energy(v).alias("wavelet_energy"),
+    return arr.select(*keys, n.cast("bigint").alias("n"), haar_energy(v).alias("wavelet_energy"),
                       hist_entropy(v).alias("entropy"), flips.alias("zero_crossings"), "values")
 
 
