@@ -160,3 +160,31 @@ def test_unknown_methods_raise(spark):
     with pytest.raises(ValueError):
         anomaly.detect_anomalies(df, "mad", ["v"])
     assert F is not None
+
+
+def test_reconstruction_score_flags_off_plane_pixel(spark):
+    t = RNG.normal(0, 1, 200)
+    pts = np.stack([t, 2 * t, -t], axis=1) + RNG.normal(0, 0.01, (200, 3))
+    pts[17] = [0.0, 3.0, 3.0]                          # off the dominant line
+    rows = [(0, i // 20, i % 20, *map(float, p)) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "image_id long, row long, col long, a double, b double, c double")
+    out = models.reconstruction_score(df, ["a", "b", "c"], k=1).toPandas()
+    top = out.sort_values("score", ascending=False).iloc[0]
+    assert (top.row, top.col) == (0, 17) and abs(top.score - 1.0) < 1e-6 and out.score.min() >= 0
+
+
+def test_slic_segments_follow_colour_halves(spark):
+    from envspark.operators import raster_models
+    rows = [(0, r, c, 0.1 if c < 8 else 0.9) for r in range(8) for c in range(16)]
+    df = spark.createDataFrame(rows, "image_id long, row long, col long, g double")
+    seg = raster_models.segment_slic(df, ["g"], n_segments=2, compactness=0.1, iterations=5).toPandas()
+    left = set(seg[seg.col < 8].segment)
+    right = set(seg[seg.col >= 8].segment)
+    assert len(left) == 1 and len(right) == 1 and left != right
+
+
+def test_ewma_anomalies_planted_spike(spark):
+    x = list(RNG.normal(10, 0.5, 80))
+    x[60] = 30.0
+    out = features.ewma_anomalies(_series(spark, x), ["v"], 30.0, 3.0).orderBy("ts").toPandas()
+    assert bool(out.anomaly_v.iloc[60]) and out.anomaly_v.sum() <= 2
