@@ -98,6 +98,52 @@ def resample_mean(df: DataFrame, freq="1h", cols=None, keys=("source_id",), time
     return _fill_gaps(binned, keys, time_col, step, cols) if fill_gaps else binned
 
 
+def resample_fill(df: DataFrame, freq="1h", method: str = "linear", cols=None, keys=("source_id",),
+                  time_col="ts") -> DataFrame:
+    """P1 followed by P3/P4/P5 in one plan: bin means, then the gaps filled
+    while they are generated.  The fill windows run on the *occupied* bins
+    only (far fewer rows than the grid): for every column the last non-null
+    (position, value) at or before the bin and the first non-null strictly
+    after it; each exploded grid row then computes its value directly.
+    Positions are grid indices, so this equals interpolating the full grid
+    by row position.  The grid itself is never sorted."""
+    if method not in ("linear", "ffill", "pad", "bfill"):
+        raise ValueError(f"Unsupported fill method: {method}")
+    keys = list(keys)
+    cols = _cols(df, cols, keys, time_col)
+    step = freq_seconds(freq)
+    df2, b = bin_start(df, time_col, step, keys)
+    binned = df2.groupBy(*keys, b.alias(time_col)).agg(*[F.avg(c).alias(c) for c in cols])
+    binned = binned.withColumn("__pos", F.round(epoch_seconds(F.col(time_col)) / step))
+    w = _grid_window(keys, time_col)
+    upto = _running(keys, time_col)
+    after = _grid_window(keys, time_col, True).rowsBetween(Window.unboundedPreceding, -1)
+    pos = F.col("__pos")
+    sel = [F.lead("__pos").over(w).alias("__next")]
+    for c in cols:
+        sel += [F.last(F.when(F.col(c).isNotNull(), pos), True).over(upto).alias(f"__p0_{c}"),
+                F.last(F.col(c), True).over(upto).alias(f"__v0_{c}"),
+                F.last(F.when(F.col(c).isNotNull(), pos), True).over(after).alias(f"__p1_{c}"),
+                F.last(F.col(c), True).over(after).alias(f"__v1_{c}")]
+    marked = binned.select("*", *sel)
+    n = F.coalesce((F.col("__next") - pos).cast("long"), F.lit(1))
+    grid = marked.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    gpos = pos + F.col("__k")
+    out = [*[F.col(k) for k in keys],
+           from_epoch_seconds((pos + F.col("__k")) * step).alias(time_col)]
+    for c in cols:
+        own = F.when(F.col("__k") == 0, F.col(c))
+        p0, v0, p1, v1 = (F.col(f"__{x}_{c}") for x in ("p0", "v0", "p1", "v1"))
+        if method == "linear":
+            gap = F.when(p1.isNull(), v0).otherwise(v0 + (v1 - v0) * (gpos - p0) / (p1 - p0))
+        elif method in ("ffill", "pad"):
+            gap = v0
+        else:
+            gap = v1
+        out.append(F.coalesce(own, gap).alias(c))
+    return grid.select(*out)
+
+
 def _grid(df: DataFrame, step: int, keys, time_col) -> DataFrame:
     """Grid ``(keys, time_col)`` from the first to the last bin of each series."""
     df2, b = bin_start(df, time_col, step, keys)
@@ -317,7 +363,7 @@ def apply_scale(df: DataFrame, stats: DataFrame, cols, keys=("source_id",)) -> D
 
 
 def scale(df: DataFrame, method: str | None, cols=None, keys=("source_id",), time_col="ts",
-          quantile_range=(25.0, 75.0), with_centering=True, with_scaling=True) -> DataFrame:
+          quantile_range=(25.0, 75.0), with_centering=True, with_scaling=True, via: str = "window") -> DataFrame:
     """P10 standard (population std, 0 -> 1), P11 minmax (range 0 -> 1),
     P12 robust ((x - median) / IQR).  Window statistics over the series: the
     input is already partitioned by ``keys`` after the fills, so this adds no
@@ -326,6 +372,9 @@ def scale(df: DataFrame, method: str | None, cols=None, keys=("source_id",), tim
         return df
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
+    if via == "join" and method in ("standard", "minmax"):
+        # partial aggregates per key + broadcast-size join: no sort of the rows
+        return apply_scale(df, scale_stats(df, method, cols, keys), cols, keys)
     w = _key_window(keys)
     exprs = {}
     for c in cols:
@@ -353,7 +402,10 @@ def preprocess(df: DataFrame, freq="1h", fill_method="linear", scale_method="sta
     """Resample (bin means) -> fill -> scale, one lazy plan."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    out = resample_mean(df, freq, cols, keys, time_col) if freq else df.select(*keys, time_col, *cols)
-    if fill_method in FILLS:
-        out = FILLS[fill_method](out, cols, keys, time_col)
-    return scale(out, scale_method, cols, keys, time_col, **scale_kw)
+    if freq and fill_method in ("linear", "ffill", "pad", "bfill"):
+        out = resample_fill(df, freq, fill_method, cols, keys, time_col)
+    else:
+        out = resample_mean(df, freq, cols, keys, time_col) if freq else df.select(*keys, time_col, *cols)
+        if fill_method in FILLS:
+            out = FILLS[fill_method](out, cols, keys, time_col)
+    return scale(out, scale_method, cols, keys, time_col, via="join", **scale_kw)

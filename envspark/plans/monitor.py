@@ -14,8 +14,8 @@ def monitor_flags(readings: DataFrame, cols=("temperature", "humidity"), keys=("
                   method="zscore", threshold: float = 3.0) -> DataFrame:
     cols = list(cols)
     prepared = series.preprocess(readings, freq, fill_method, scale_method, cols, keys, time_col)
-    # the grid is already partitioned by keys: window statistics, no re-scan
-    return anomaly.detect_anomalies(prepared, method, cols, keys, time_col, threshold, via="window")
+    # per-key statistics as partial aggregates joined back: the grid is never sorted
+    return anomaly.detect_anomalies(prepared, method, cols, keys, time_col, threshold, via="join")
 
 
 def monitor(readings: DataFrame, cols=("temperature", "humidity"), keys=("source_id",),
