@@ -40,9 +40,8 @@ def detection_stats_nested(detections: DataFrame, as_of, time_range="7d", group_
     """A2: one row per period with ``map<threat, struct<count, avg_confidence>>``
     (at most five entries per period - bounded)."""
     flat = detection_stats(detections, as_of, time_range, group_by)
-    return (flat.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct(
-        "threat_type", F.struct("count", "avg_confidence")))).alias("stats"))
-        .orderBy("label"))
+    entries = F.array_sort(F.collect_list(F.struct("threat_type", F.struct("count", "avg_confidence"))))
+    return flat.groupBy("label").agg(F.map_from_entries(entries).alias("stats")).orderBy("label")
 
 
 def sensor_stats(readings: DataFrame, as_of, time_range="24h", aggregation="hour",

@@ -230,9 +230,18 @@ for _u in ("hour", "day", "week", "month"):
     _a1(_u)
 
 
-@register("a2_detection_stats_nested")
+@register("a2_detection_stats_nested",
+          "SELECT label, '{' || string_agg('\"' || threat_type || '\":' || CAST(json_object('count', count, "
+          "'avg_confidence', round(avg_confidence, 6)) AS VARCHAR), ',' ORDER BY threat_type) || '}' AS stats "
+          "FROM (SELECT strftime(date_trunc('day', "
+          f"ts), '%Y-%m-%d') AS label, threat_type, count(*) AS count, avg(confidence) AS avg_confidence FROM detections "
+          f"WHERE ts >= {T} - INTERVAL 7 DAY GROUP BY ALL) GROUP BY label", ["detections"])
 def a2(spark, sf):
-    return stats.detection_stats_nested(V(spark, sf, "detections"), AS_OF, "7d", "day")
+    """The nested map as JSON text (entries in threat order, averages to 6 decimals)."""
+    nested = stats.detection_stats_nested(V(spark, sf, "detections"), AS_OF, "7d", "day")
+    rounded = F.transform_values("stats", lambda k, v: F.struct(v["count"].alias("count"),
+                                                                F.round(v["avg_confidence"], 6).alias("avg_confidence")))
+    return nested.select("label", F.to_json(rounded).alias("stats"))
 
 
 _A3 = {"minute": ("24h", "24 HOUR"), "hour": ("7d", "7 DAY"), "day": ("30d", "30 DAY")}
