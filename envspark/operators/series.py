@@ -99,21 +99,36 @@ def resample_mean(df: DataFrame, freq="1h", cols=None, keys=("source_id",), time
 
 
 def resample_fill(df: DataFrame, freq="1h", method: str = "linear", cols=None, keys=("source_id",),
-                  time_col="ts") -> DataFrame:
+                  time_col="ts", agg: str = "mean", edges: bool = False) -> DataFrame:
     """P1 followed by P3/P4/P5 in one plan: bin means, then the gaps filled
     while they are generated.  The fill windows run on the *occupied* bins
     only (far fewer rows than the grid): for every column the last non-null
     (position, value) at or before the bin and the first non-null strictly
     after it; each exploded grid row then computes its value directly.
     Positions are grid indices, so this equals interpolating the full grid
-    by row position.  The grid itself is never sorted."""
+    by row position.  The grid itself is never sorted.
+
+    ``agg='asfreq'`` takes the reading exactly on each grid point instead of
+    the bin mean (two readings on one grid point fail the query);
+    ``edges=True`` then fills what is left forward and backward (leading /
+    trailing runs), as the series preprocessing does."""
     if method not in ("linear", "ffill", "pad", "bfill"):
         raise ValueError(f"Unsupported fill method: {method}")
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
     step = freq_seconds(freq)
     df2, b = bin_start(df, time_col, step, keys)
-    binned = df2.groupBy(*keys, b.alias(time_col)).agg(*[F.avg(c).alias(c) for c in cols])
+    if agg == "mean":
+        binned = df2.groupBy(*keys, b.alias(time_col)).agg(*[F.avg(c).alias(c) for c in cols])
+    elif agg == "asfreq":
+        on = F.col(time_col) == b
+        g = df2.groupBy(*keys, b.alias(time_col)).agg(
+            F.count_if(on).alias("__dup"), *[F.first(F.when(on, F.col(c)), True).alias(c) for c in cols])
+        binned = g.select(*keys, time_col, *[
+            F.when(F.col("__dup") > 1, F.raise_error(F.lit("duplicate timestamps on the grid")))
+            .otherwise(F.col(c)).alias(c) for c in cols])
+    else:
+        raise ValueError(f"Unsupported resample aggregation: {agg}")
     binned = binned.withColumn("__pos", F.round(epoch_seconds(F.col(time_col)) / step))
     w = _grid_window(keys, time_col)
     upto = _running(keys, time_col)
@@ -140,7 +155,10 @@ def resample_fill(df: DataFrame, freq="1h", method: str = "linear", cols=None, k
             gap = v0
         else:
             gap = v1
-        out.append(F.coalesce(own, gap).alias(c))
+        val = F.coalesce(own, gap)
+        if edges:                                   # remaining leading/trailing nulls
+            val = F.coalesce(val, v0, v1)
+        out.append(val.alias(c))
     return grid.select(*out)
 
 
@@ -299,15 +317,13 @@ def preprocess_series(df: DataFrame, freq="1h", fill_method="linear", cols=None,
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
     if fill_method == "linear":
-        out = fill_linear(resample_asfreq(df, freq, cols, keys, time_col), cols, keys, time_col)
-    elif fill_method in ("ffill", "pad"):
-        out = _asof_fill(df, freq, cols, keys, time_col, "ffill")
-    elif fill_method == "bfill":
-        out = _asof_fill(df, freq, cols, keys, time_col, "bfill")
-    elif fill_method == "mean":
-        out = resample_mean(df, freq, cols, keys, time_col)
-    else:
-        out = resample_asfreq(df, freq, cols, keys, time_col)
+        return resample_fill(df, freq, "linear", cols, keys, time_col, agg="asfreq", edges=True)
+    if fill_method == "mean":
+        return resample_fill(df, freq, "ffill", cols, keys, time_col, agg="mean", edges=True)
+    if fill_method not in ("ffill", "pad", "bfill"):
+        return resample_fill(df, freq, "ffill", cols, keys, time_col, agg="asfreq", edges=True)
+    direction = "bfill" if fill_method == "bfill" else "ffill"
+    out = _asof_fill(df, freq, cols, keys, time_col, direction)
     return fill_bfill(fill_ffill(out, cols, keys, time_col), cols, keys, time_col)
 
 
