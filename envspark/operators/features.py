@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from envspark.functions.timefn import calendar_features
 from envspark.operators.series import _cols
-from envspark.operators.windows import _order, _w, pct_change, rolling_stats
+from envspark.operators.windows import _order, pct_change, rolling_stats
 from envspark.operators.common import attach
 
 SQRT2 = math.sqrt(2.0)
@@ -233,7 +233,3 @@ def threshold_events(df: DataFrame, cols=None, k: float = 3.0, keys=("source_id"
         out = out.unionByName(p)
     return out
 
-
-__all__ = ["window_features", "series_shape_features", "welch_features", "all_window_features",
-           "extract_features", "ewma_anomalies", "threshold_events", "haar_energy", "hist_entropy",
-           "last_window", "_w"]

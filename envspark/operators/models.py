@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,5 +80,3 @@ def segment_kmeans(pixels_wide: DataFrame, bands: Sequence[str], k: int = 5, see
     out = model.transform(data).drop("__features")
     return out, float(model.summary.trainingCost)
 
-
-__all__ = ["score", "evaluate", "reconstruction_score", "segment_kmeans", "vector_to_array"]

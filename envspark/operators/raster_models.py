@@ -10,11 +10,9 @@ seeds of their neighbouring grid cells.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,5 +139,3 @@ def segment_slic(pixels_wide: DataFrame, bands: Sequence[str], n_segments: int =
         seeds = cut_lineage(seeds.select(IMG, "seed", "gy", "gx", "S").join(upd, [IMG, "seed"]))
     return assigned.select(IMG, "row", "col", *bands, F.col("seed").cast("int").alias("segment"))
 
-
-__all__ = ["pixel_anomaly", "segment_meanshift", "segment_slic", "math", "pd"]

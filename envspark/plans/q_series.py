@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from envspark.operators import anomaly, series
 from envspark.plans import sqlgen as S
 from envspark.plans.catalog import register
@@ -219,5 +217,3 @@ def n18(spark, sf):
 def flagship(spark, sf):
     return n18(spark, sf)
 
-
-__all__ = ["flagship", "F"]
