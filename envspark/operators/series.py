@@ -218,6 +218,43 @@ def _asof_fill(df: DataFrame, freq, cols, keys, time_col, direction: str) -> Dat
     return j.select(*keys, time_col, *[pick[c].alias(c) for c in cols])
 
 
+def _asof_ffill_sparse(df: DataFrame, freq, cols, keys, time_col) -> DataFrame:
+    """P9 ``ffill`` (as-of, then forward and backward fill) without sorting
+    the grid.  A reading serves first the grid point at or after it (its
+    *hit*); after the fills, a grid point holds the latest non-null hit at or
+    before it, else the earliest non-null hit of the series.  Both come from
+    windows over the sparse table of occupied bins and hits; the gaps are
+    exploded afterwards and inherit the value."""
+    keys = list(keys)
+    step = freq_seconds(freq)
+    df2, b = bin_start(df, time_col, step, keys)
+    order = F.struct(F.col(time_col), F.col("id")) if "id" in df.columns else F.col(time_col)
+    target = F.when(F.col(time_col) == b, b).otherwise(from_epoch_seconds(epoch_seconds(b) + step))
+    hits = df2.groupBy(*keys, target.alias("__t")).agg(*[F.max_by(c, order).alias(c) for c in cols])
+    hits = hits.select(*keys, "__t", F.lit(True).alias("__hit"), F.lit(False).alias("__occ"), *cols)
+    occ = df2.groupBy(*keys, b.alias("__t")).agg(F.lit(1).alias("__one")).select(
+        *keys, "__t", F.lit(False).alias("__hit"), F.lit(True).alias("__occ"),
+        *[F.lit(None).cast("double").alias(c) for c in cols])
+    sp = (hits.unionByName(occ).groupBy(*keys, "__t")
+          .agg(F.max("__hit").alias("__hit"), F.max("__occ").alias("__occ"),
+               *[F.max(F.when(F.col("__hit"), F.col(c))).alias(c) for c in cols]))
+    w = _grid_window(keys, "__t")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sel = [F.lead("__t").over(w).alias("__next"),
+           F.max(F.when(F.col("__occ"), F.col("__t"))).over(whole).alias("__end")]
+    for c in cols:
+        nn = F.when(F.col("__hit") & F.col(c).isNotNull(), F.col(c))
+        sel += [F.last(nn, True).over(upto).alias(f"__f_{c}"), F.first(nn, True).over(whole).alias(f"__e_{c}")]
+    m = sp.select(*keys, "__t", *sel).where(F.col("__t") <= F.col("__end"))
+    stop = F.least(F.coalesce(F.col("__next"), F.col("__end") + F.expr(f"INTERVAL {step} SECONDS")),
+                   F.col("__end") + F.expr(f"INTERVAL {step} SECONDS"))
+    n = ((epoch_seconds(stop) - epoch_seconds(F.col("__t"))) / step).cast("long")
+    g = m.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    return g.select(*keys, from_epoch_seconds(epoch_seconds(F.col("__t")) + F.col("__k") * step).alias(time_col),
+                    *[F.coalesce(F.col(f"__f_{c}"), F.col(f"__e_{c}")).alias(c) for c in cols])
+
+
 # ---------------------------------------------------------------------------
 # Fills on a regular grid (P3-P8).  Input: output of P1/P2 (one row per bin).
 
@@ -322,8 +359,9 @@ def preprocess_series(df: DataFrame, freq="1h", fill_method="linear", cols=None,
         return resample_fill(df, freq, "ffill", cols, keys, time_col, agg="mean", edges=True)
     if fill_method not in ("ffill", "pad", "bfill"):
         return resample_fill(df, freq, "ffill", cols, keys, time_col, agg="asfreq", edges=True)
-    direction = "bfill" if fill_method == "bfill" else "ffill"
-    out = _asof_fill(df, freq, cols, keys, time_col, direction)
+    if fill_method in ("ffill", "pad"):
+        return _asof_ffill_sparse(df, freq, cols, keys, time_col)
+    out = _asof_fill(df, freq, cols, keys, time_col, "bfill")
     return fill_bfill(fill_ffill(out, cols, keys, time_col), cols, keys, time_col)
 
 

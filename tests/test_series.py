@@ -170,3 +170,16 @@ def test_chunked_rows_indices_are_dense(spark):
     df, _ = _random_series(spark, 100, nulls=False)
     parts = windows.chunked_rows(df, ["source_id"], "ts", 5, "1h").where("not __halo").toPandas()
     assert sorted(parts["__idx"]) == list(range(100))
+
+
+@pytest.mark.parametrize("method", ["ffill", "bfill", "linear", "mean"])
+def test_preprocess_series_matches_pandas_with_nulls(spark, method):
+    rows = [(T(0, 0), 1.0), (T(0, 40), None), (T(1, 10), 3.0), (T(2, 0), None), (T(2, 30), 5.0),
+            (T(5, 0), None), (T(6, 20), 2.0), (T(9, 0), 7.0)]
+    df = _frame(spark, [(1, t, v) for t, v in rows])
+    got = _vals(series.preprocess_series(df, "1h", method, ["v"], ["source_id"]))
+    s = pd.Series([np.nan if v is None else v for _, v in rows], index=pd.DatetimeIndex([t for t, _ in rows]))
+    r = s.resample("1h")
+    want = {"ffill": r.ffill(), "bfill": r.bfill(), "mean": r.mean(),
+            "linear": r.asfreq().interpolate(method="linear")}[method].ffill().bfill()
+    assert got == [round(x, 9) for x in want]
