@@ -340,21 +340,31 @@ EVENT_SCHEMA_FIELDS = [("column", T.StringType()), ("value", T.DoubleType()), ("
 
 
 def _series_events(df: DataFrame, cols, keys, time_col, frame, method, **kw) -> DataFrame:
+    """Events of each series per bounded (series, frame) group.  For the CWT
+    every frame also receives ``halo`` rows of its neighbours on both sides
+    (10 x the largest wavelet width), so the wavelet coefficients of the
+    frame's own rows equal those of the whole series; only peaks on the
+    frame's own rows are reported."""
     keys = list(keys)
     cols = list(cols)
     # series statistics for standardisation (exact, partial aggregate)
     stats = df.groupBy(*keys).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols],
                                   *[F.stddev_pop(c).alias(f"__s_{c}") for c in cols])
-    tagged = df.withColumn("__frame", time_bucket(time_col, frame)).join(stats, keys, "left")
-    order = [time_col] + (["id"] if "id" in df.columns else [])
-    slim = tagged.select(*keys, "__frame", *order, *cols, *[f"__m_{c}" for c in cols], *[f"__s_{c}" for c in cols])
+    halo = int(10 * max(kw.get("widths", [1]))) if method == "cwt" else 0
+    from envspark.operators.windows import halo_frames
+    framed = halo_frames(df.select(*keys, time_col, *(["id"] if "id" in df.columns else []), *cols),
+                         keys, time_col, frame, halo, halo)
+    slim = framed.join(stats, keys, "left").select(
+        *keys, "__chunk", "__idx", "__halo", time_col, *cols,
+        *[f"__m_{c}" for c in cols], *[f"__s_{c}" for c in cols])
     ftypes = {f.name: f.dataType for f in slim.schema.fields}
     schema = T.StructType([T.StructField(k, ftypes[k]) for k in keys]
                           + [T.StructField(time_col, ftypes[time_col])]
                           + [T.StructField(n, t) for n, t in EVENT_SCHEMA_FIELDS])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
+        pdf = pdf.sort_values("__idx", kind="mergesort").reset_index(drop=True)
+        core = ~pdf["__halo"].to_numpy(dtype=bool)
         out = []
         for c in cols:
             s = pdf[c].astype(float).ffill().bfill().to_numpy()
@@ -369,19 +379,22 @@ def _series_events(df: DataFrame, cols, keys, time_col, frame, method, **kw) ->
             else:
                 idx = np.asarray(pelt_l2(s, kw.get("pen", 10.0), kw.get("min_size", 2), kw.get("jump", 5)), int)
             for i in idx:
+                if not core[i]:
+                    continue
                 row = {k: pdf[k].iloc[0] for k in keys}
                 row.update({time_col: pdf[time_col].iloc[i], "column": c, "value": float(pdf[c].iloc[i]),
                             "method": method})
                 out.append(row)
         return pd.DataFrame(out, columns=[f.name for f in schema.fields])
 
-    return slim.groupBy(*keys, "__frame").applyInPandas(run, schema)
+    return slim.groupBy(*keys, "__chunk").applyInPandas(run, schema)
 
 
 def cwt_events(df: DataFrame, cols, keys=("source_id",), time_col="ts", frame: str = "month",
                widths=np.arange(1, 31), min_snr: float = 1.0) -> DataFrame:
     """Peaks of each series (nulls filled forward then backward,
-    standardised with the series mean and std) per bounded frame."""
+    standardised with the series mean and std) per bounded frame, each frame
+    extended by a halo of 10 x max(widths) rows on both sides."""
     return _series_events(df, cols, keys, time_col, frame, "cwt", widths=widths, min_snr=min_snr)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from envspark.functions.timefn import epoch_seconds, freq_seconds
+from envspark.functions.timefn import epoch_seconds, freq_seconds, time_bucket
 from envspark.operators.series import _cols
 
 
@@ -22,6 +22,9 @@ def _order(df: DataFrame, time_col: str) -> list[Column]:
     return [F.col(time_col)] + ([F.col("id")] if "id" in df.columns and time_col != "id" else [])
 
 
+CALENDAR = ("minute", "hour", "day", "week", "month")
+
+
 def _w(df: DataFrame, keys: Sequence[str], time_col: str):
     o = _order(df, time_col)
     return Window.partitionBy(*keys).orderBy(*o) if keys else Window.orderBy(*o)
@@ -38,9 +41,12 @@ def indexed_rows(df: DataFrame, keys: Sequence[str], time_col: str, chunk) -> tu
     Returns (rows with ``__chunk``/``__idx``/``__rn``/``__n``/``__start``,
     per-chunk offsets table)."""
     keys = list(keys)
-    step = freq_seconds(chunk)
     order = _order(df, time_col)
-    base = df.withColumn("__chunk", F.floor(epoch_seconds(F.col(time_col)) / step))
+    if chunk in CALENDAR:
+        cid = F.floor(epoch_seconds(time_bucket(time_col, chunk)))
+    else:
+        cid = F.floor(epoch_seconds(F.col(time_col)) / freq_seconds(chunk))
+    base = df.withColumn("__chunk", cid)
     counts = base.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     wk = Window.partitionBy(*keys).orderBy("__chunk") if keys else Window.orderBy("__chunk")
     offsets = counts.withColumn("__start", F.sum("__n").over(wk.rowsBetween(Window.unboundedPreceding, 0))
@@ -81,6 +87,32 @@ def chunked_rows(df: DataFrame, keys: Sequence[str], time_col: str, halo: int, c
     return body.select(*cols).unionByName(halo_rows.select(*cols))
 
 
+def halo_frames(df: DataFrame, keys: Sequence[str], time_col: str, chunk, before: int, after: int) -> DataFrame:
+    """Rows grouped by (keys, ``__chunk``) with copies of up to ``before``
+    preceding and ``after`` following rows of the series (flagged
+    ``__halo``), ordered by the global row index ``__idx``.  Rows that can be
+    needed by a neighbouring chunk are within ``before``/``after`` rows of
+    their own chunk's border, so only chunk tails and heads are joined to the
+    wanted index ranges."""
+    keys = list(keys)
+    indexed, offsets = indexed_rows(df, keys, time_col, chunk)
+    wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    offsets = offsets.withColumn("__total", F.max(F.col("__start") + F.col("__n")).over(wk))
+    wanted = (offsets.where(F.col("__start") > 0).select(
+        *keys, F.col("__chunk").alias("__target"),
+        F.explode(F.sequence(F.greatest(F.col("__start") - before, F.lit(0)), F.col("__start") - 1)).alias("__idx"))
+        .unionByName(offsets.where(F.col("__start") + F.col("__n") < F.col("__total")).select(
+            *keys, F.col("__chunk").alias("__target"),
+            F.explode(F.sequence(F.col("__start") + F.col("__n"),
+                                 F.least(F.col("__start") + F.col("__n") + after - 1, F.col("__total") - 1)))
+            .alias("__idx"))))
+    border = indexed.where((F.col("__rn") > F.col("__n") - before) | (F.col("__rn") <= after)).drop("__chunk")
+    cols = [*df.columns, "__chunk", "__idx", "__halo"]
+    halo = (border.join(wanted, [*keys, "__idx"]).withColumnRenamed("__target", "__chunk")
+            .withColumn("__halo", F.lit(True)))
+    return indexed.withColumn("__halo", F.lit(False)).select(*cols).unionByName(halo.select(*cols))
+
+
 def row_blocks(df: DataFrame, keys: Sequence[str], time_col: str, block: int, halo: int,
                chunk="1d") -> DataFrame:
     """Rows grouped into blocks of ``block`` consecutive rows per series

@@ -188,3 +188,17 @@ def test_ewma_anomalies_planted_spike(spark):
     x[60] = 30.0
     out = features.ewma_anomalies(_series(spark, x), ["v"], 30.0, 3.0).orderBy("ts").toPandas()
     assert bool(out.anomaly_v.iloc[60]) and out.anomaly_v.sum() <= 2
+
+
+def test_cwt_events_find_peaks_on_frame_borders(spark):
+    n = 720                                            # five days of 10-minute readings
+    t = np.arange(n)
+    planted = [144, 287, 433, 575]                     # on / next to day borders
+    x = sum(np.exp(-((t - p) / 4.0) ** 2) for p in planted) + RNG.normal(0, 0.01, n)
+    df = _series(spark, x, step_min=10)
+    ev = detectors.cwt_events(df, ["v"], frame="day").toPandas()
+    t0 = dt.datetime(2024, 1, 1)
+    found = sorted(int((ts - t0).total_seconds() // 600) for ts in ev.ts)
+    for p in planted:
+        assert any(abs(f - p) <= 2 for f in found), (p, found)
+    assert len(found) == len(set(found))             # no peak reported twice by two frames
