@@ -350,7 +350,7 @@ def _series_events(df: DataFrame, cols, keys, time_col, frame, method, **kw) ->
     # series statistics for standardisation (exact, partial aggregate)
     stats = df.groupBy(*keys).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols],
                                   *[F.stddev_pop(c).alias(f"__s_{c}") for c in cols])
-    halo = int(10 * max(kw.get("widths", [1]))) if method == "cwt" else 0
+    halo = int(10 * max(kw.get("widths", [1]))) if method == "cwt" else int(kw.get("halo", 100))
     from envspark.operators.windows import halo_frames
     framed = halo_frames(df.select(*keys, time_col, *(["id"] if "id" in df.columns else []), *cols),
                          keys, time_col, frame, halo, halo)
@@ -399,10 +399,13 @@ def cwt_events(df: DataFrame, cols, keys=("source_id",), time_col="ts", frame: s
 
 
 def change_points(df: DataFrame, cols, keys=("source_id",), time_col="ts", frame: str = "month",
-                  pen: float = 10.0, min_size: int = 2, jump: int = 5) -> DataFrame:
+                  pen: float = 10.0, min_size: int = 2, jump: int = 5, halo: int = 100) -> DataFrame:
     """PELT change points (L2 cost) of each series per bounded frame;
-    the end of the frame is not reported."""
-    return _series_events(df, cols, keys, time_col, frame, "change_point", pen=pen, min_size=min_size, jump=jump)
+    each frame is segmented together with ``halo`` neighbouring rows on both
+    sides and reports the change points on its own rows (the series end is
+    not a change point)."""
+    return _series_events(df, cols, keys, time_col, frame, "change_point", pen=pen, min_size=min_size, jump=jump,
+                          halo=halo)
 
 
 def detect_multivariate(df: DataFrame, method: str, cols, **kw) -> DataFrame:

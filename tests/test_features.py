@@ -202,3 +202,9 @@ def test_cwt_events_find_peaks_on_frame_borders(spark):
     for p in planted:
         assert any(abs(f - p) <= 2 for f in found), (p, found)
     assert len(found) == len(set(found))             # no peak reported twice by two frames
+
+
+def test_change_point_on_frame_border(spark):
+    x = np.concatenate([np.zeros(144), np.full(144, 6.0)]) + RNG.normal(0, 0.05, 288)   # step at a day border
+    ev = detectors.change_points(_series(spark, x, step_min=10), ["v"], frame="day").collect()
+    assert [r["ts"] for r in ev] == [dt.datetime(2024, 1, 2)]
