@@ -351,9 +351,13 @@ def _series_events(df: DataFrame, cols, keys, time_col, frame, method, **kw) ->
     stats = df.groupBy(*keys).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols],
                                   *[F.stddev_pop(c).alias(f"__s_{c}") for c in cols])
     halo = int(10 * max(kw.get("widths", [1]))) if method == "cwt" else int(kw.get("halo", 100))
-    from envspark.operators.windows import halo_frames
-    framed = halo_frames(df.select(*keys, time_col, *(["id"] if "id" in df.columns else []), *cols),
-                         keys, time_col, frame, halo, halo)
+    from envspark.operators.windows import halo_frames, row_blocks
+    base = df.select(*keys, time_col, *(["id"] if "id" in df.columns else []), *cols)
+    if isinstance(frame, int):        # blocks of ``frame`` rows: bounded by rows, not by duration
+        framed = row_blocks(base, keys, time_col, frame, min(halo, frame), after=min(halo, frame)) \
+            .withColumnRenamed("__blk", "__chunk")
+    else:                             # calendar frames
+        framed = halo_frames(base, keys, time_col, frame, halo, halo)
     slim = framed.join(stats, keys, "left").select(
         *keys, "__chunk", "__idx", "__halo", time_col, *cols,
         *[f"__m_{c}" for c in cols], *[f"__s_{c}" for c in cols])
@@ -390,15 +394,17 @@ def _series_events(df: DataFrame, cols, keys, time_col, frame, method, **kw) ->
     return slim.groupBy(*keys, "__chunk").applyInPandas(run, schema)
 
 
-def cwt_events(df: DataFrame, cols, keys=("source_id",), time_col="ts", frame: str = "month",
+def cwt_events(df: DataFrame, cols, keys=("source_id",), time_col="ts", frame: str | int = "month",
                widths=np.arange(1, 31), min_snr: float = 1.0) -> DataFrame:
     """Peaks of each series (nulls filled forward then backward,
     standardised with the series mean and std) per bounded frame, each frame
-    extended by a halo of 10 x max(widths) rows on both sides."""
+    extended by a halo of 10 x max(widths) rows on both sides.  ``frame`` is
+    a calendar unit or a number of rows (blocks bounded by size, for very
+    high-rate sensors)."""
     return _series_events(df, cols, keys, time_col, frame, "cwt", widths=widths, min_snr=min_snr)
 
 
-def change_points(df: DataFrame, cols, keys=("source_id",), time_col="ts", frame: str = "month",
+def change_points(df: DataFrame, cols, keys=("source_id",), time_col="ts", frame: str | int = "month",
                   pen: float = 10.0, min_size: int = 2, jump: int = 5, halo: int = 100) -> DataFrame:
     """PELT change points (L2 cost) of each series per bounded frame;
     each frame is segmented together with ``halo`` neighbouring rows on both

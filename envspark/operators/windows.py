@@ -114,20 +114,28 @@ def halo_frames(df: DataFrame, keys: Sequence[str], time_col: str, chunk, before
 
 
 def row_blocks(df: DataFrame, keys: Sequence[str], time_col: str, block: int, halo: int,
-               chunk="1d") -> DataFrame:
+               chunk="1d", after: int = 0) -> DataFrame:
     """Rows grouped into blocks of ``block`` consecutive rows per series
     (``__blk = __idx // block``), each block preceded by copies of the
-    ``halo`` (<= block) rows before it (flagged ``__halo``).  Every row is
-    emitted once or twice - no join, bounded partitions."""
-    if halo > block:
+    ``halo`` rows before it and followed by copies of the ``after`` rows
+    after it (flagged ``__halo``; both <= block).  Every row is emitted at
+    most three times - no join, partitions bounded by the block size."""
+    if halo > block or after > block:
         raise ValueError("halo must not exceed the block size")
     indexed, _ = indexed_rows(df, keys, time_col, chunk)
     own = F.floor(F.col("__idx") / block)
     pos = F.col("__idx") % block
-    targets = F.when(pos >= block - halo, F.array(own, own + 1)).otherwise(F.array(own)) if halo > 0 \
-        else F.array(own)
-    out = indexed.select(*df.columns, "__idx", F.posexplode(targets).alias("__k", "__blk"))
-    return out.withColumn("__halo", F.col("__k") == 1).drop("__k")
+    targets = F.array(F.struct(own.alias("b"), F.lit(False).alias("h")))
+    if halo > 0:      # tail rows also precede the next block
+        targets = F.concat(targets, F.when(pos >= block - halo, F.array(
+            F.struct((own + 1).alias("b"), F.lit(True).alias("h")))).otherwise(
+            F.array().cast("array<struct<b:bigint,h:boolean>>")))
+    if after > 0:     # head rows also follow the previous block
+        targets = F.concat(targets, F.when((pos < after) & (own > 0), F.array(
+            F.struct((own - 1).alias("b"), F.lit(True).alias("h")))).otherwise(
+            F.array().cast("array<struct<b:bigint,h:boolean>>")))
+    out = indexed.select(*df.columns, "__idx", F.explode(targets).alias("__t"))
+    return out.select(*df.columns, "__idx", F.col("__t.b").alias("__blk"), F.col("__t.h").alias("__halo"))
 
 
 # ---------------------------------------------------------------------------

@@ -208,3 +208,13 @@ def test_change_point_on_frame_border(spark):
     x = np.concatenate([np.zeros(144), np.full(144, 6.0)]) + RNG.normal(0, 0.05, 288)   # step at a day border
     ev = detectors.change_points(_series(spark, x, step_min=10), ["v"], frame="day").collect()
     assert [r["ts"] for r in ev] == [dt.datetime(2024, 1, 2)]
+
+
+def test_cwt_events_row_blocks_match_calendar_frames(spark):
+    n = 720
+    t = np.arange(n)
+    x = sum(np.exp(-((t - p) / 4.0) ** 2) for p in (100, 144, 400, 650)) + RNG.normal(0, 0.01, n)
+    df = _series(spark, x, step_min=10)
+    by_day = sorted(r["ts"] for r in detectors.cwt_events(df, ["v"], frame="day").collect())
+    by_rows = sorted(r["ts"] for r in detectors.cwt_events(df, ["v"], frame=300).collect())
+    assert by_day == by_rows and len(by_day) >= 4
