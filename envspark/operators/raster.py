@@ -230,29 +230,34 @@ def tile_equalise(pixels: DataFrame, clip_limit: float = 0.03, tiles: int = 8) -
     the tile plus closed-form terms for the spread excess, so the work is
     proportional to the pixels, not to tiles x 256 bins.  Step 5 is one
     equi-join of four candidate rows per pixel with that LUT table."""
-    u8 = to_uint8(pixels)
-    dims = u8.groupBy(IMG, "band").agg((F.max("row") + 1).alias("__H"), (F.max("col") + 1).alias("__W"))
-    dims = dims.select("*", (F.ceil(F.col("__H") / tiles) * tiles).cast("int").alias("__Hp"),
-                       (F.ceil(F.col("__W") / tiles) * tiles).cast("int").alias("__Wp"))
-    dims = dims.select("*", (F.col("__Hp") / tiles).cast("int").alias("__th"),
-                       (F.col("__Wp") / tiles).cast("int").alias("__tw"))
-    # padded image: every padded position reads its reflect-101 source
-    # only the pad strips are generated: rows below the image (all columns)
-    # and columns right of it (image rows)
-    def span(lo, hi):
-        return F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
+    # one aggregate per image band: value range (for the byte scaling) and
+    # size (for tiles and padding), carried on every pixel by one join
+    st = pixels.groupBy(IMG, "band").agg(
+        F.min("value").alias("__lo"), F.max("value").alias("__hi"),
+        (F.max("row") + 1).cast("int").alias("__H"), (F.max("col") + 1).cast("int").alias("__W"))
+    st = st.select("*", (F.ceil(F.col("__H") / tiles) * tiles).cast("int").alias("__Hp"),
+                   (F.ceil(F.col("__W") / tiles) * tiles).cast("int").alias("__Wp"))
+    st = st.select("*", (F.col("__Hp") / tiles).cast("int").alias("__th"),
+                   (F.col("__Wp") / tiles).cast("int").alias("__tw"))
+    lo, hi, v = F.col("__lo"), F.col("__hi"), F.col("value")
+    byte = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * 255)).otherwise(
+        F.pmod(F.floor(v).cast("bigint"), F.lit(256))).cast("int")
+    u8 = pixels.join(st, [IMG, "band"]).select(*PIX, byte.alias("value"), "__H", "__W", "__th", "__tw")
+
+    # padded image: only the pad strips are generated (rows below the image,
+    # columns right of it); each padded position reads its reflect-101 source
+    def span(a, b):
+        return F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
     strips = F.concat(
         F.transform(span(F.col("__H"), F.col("__Hp")), lambda r: F.struct(r.alias("r"), F.lit(True).alias("all"))),
         F.transform(span(F.lit(0), F.col("__H")), lambda r: F.struct(r.alias("r"), F.lit(False).alias("all"))))
-    pad = dims.select(IMG, "band", "__H", "__W", "__th", "__tw", "__Wp", F.explode(strips).alias("s"))
+    pad = st.select(IMG, "band", "__H", "__W", "__th", "__tw", "__Wp", F.explode(strips).alias("s"))
     pad = pad.select("*", F.col("s.r").alias("prow"), F.explode(
         F.when(F.col("s.all"), span(F.lit(0), F.col("__Wp"))).otherwise(span(F.col("__W"), F.col("__Wp"))))
         .alias("pcol"))
-    pad = pad.select(
-        IMG, "band", "__th", "__tw", "prow", "pcol",
-        _reflect(F.col("prow"), F.col("__H")).alias("row"), _reflect(F.col("pcol"), F.col("__W")).alias("col"))
-    base = u8.join(dims.select(IMG, "band", "__th", "__tw"), [IMG, "band"])
-    padded = (base.select(IMG, "band", "__th", "__tw", F.col("row").alias("prow"), F.col("col").alias("pcol"), "value")
+    pad = pad.select(IMG, "band", "prow", "pcol",
+                     _reflect(F.col("prow"), F.col("__H")).alias("row"), _reflect(F.col("pcol"), F.col("__W")).alias("col"))
+    padded = (u8.select(IMG, "band", "__th", "__tw", F.col("row").alias("prow"), F.col("col").alias("pcol"), "value")
               .unionByName(pad.join(u8, [IMG, "band", "row", "col"]).select(
                   IMG, "band", "__th", "__tw", "prow", "pcol", "value")))
     tiled = padded.select(IMG, "band", "__th", "__tw", (F.col("prow") / F.col("__th")).cast("int").alias("ty"),
@@ -271,7 +276,7 @@ def tile_equalise(pixels: DataFrame, clip_limit: float = 0.03, tiles: int = 8) -
     consts = consts.withColumn("__step", F.greatest(
         (F.lit(256) / F.when(F.col("__res") > 0, F.col("__res")).otherwise(1)).cast("long"), F.lit(1)))
     # bilinear blend: each pixel reads the LUT of its four nearest tile centres
-    t = u8.join(dims.select(IMG, "band", "__th", "__tw"), [IMG, "band"])
+    t = u8
     txf = F.col("col") / F.col("__tw") - 0.5
     tyf = F.col("row") / F.col("__th") - 0.5
     t = t.select(*PIX, "value", F.floor(txf).alias("__tx1"), F.floor(tyf).alias("__ty1"),
