@@ -61,7 +61,27 @@ def w2(spark, sf):
     return windows.pct_change(R(spark, sf), COLS, KEYS)
 
 
-@register("w4_ewma")
+_EW_D = 1.0 - 2.0 / 31.0
+_EW_L = "list(humidity) OVER (PARTITION BY source_id ORDER BY ts, id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)"
+
+
+def _ew_sum(expr):
+    return (f"list_sum(list_transform(range(len(l)), lambda i: CASE WHEN l[i + 1] IS NOT NULL THEN "
+            f"{expr} END))")
+
+
+_EWMA = (
+    "SELECT id, source_id, ts, temperature, humidity, s1 / s0 AS humidity_ewma, "
+    "CASE WHEN s0 * s0 - w2 > s0 * s0 * 1e-12 THEN sqrt(greatest(s2 / s0 - (s1 / s0) * (s1 / s0), 0.0) "
+    "* s0 * s0 / (s0 * s0 - w2)) END AS humidity_ewmstd FROM (SELECT *, "
+    + _ew_sum(f"pow({_EW_D}, len(l) - 1 - i)") + " AS s0, "
+    + _ew_sum(f"pow({_EW_D}, len(l) - 1 - i) * l[i + 1]") + " AS s1, "
+    + _ew_sum(f"pow({_EW_D}, len(l) - 1 - i) * l[i + 1] * l[i + 1]") + " AS s2, "
+    + _ew_sum(f"pow({_EW_D}, 2 * (len(l) - 1 - i))") + " AS w2 "
+    f"FROM (SELECT *, {_EW_L} AS l FROM readings))")
+
+
+@register("w4_ewma", _EWMA, ["readings"], rnd=["humidity_ewma", "humidity_ewmstd"])
 def w4(spark, sf):
     return windows.ewma(R(spark, sf), ["humidity"], 30.0, KEYS)
 
@@ -182,7 +202,9 @@ def n8(spark, sf):
     return features.all_window_features(R(spark, sf), "humidity", 24, KEYS)
 
 
-@register("n12_ewma_anomalies")
+@register("n12_ewma_anomalies",
+          "SELECT id, source_id, ts, temperature, humidity, COALESCE(abs(humidity - humidity_ewma) > "
+          f"2.0 * humidity_ewmstd, false) AS anomaly_humidity FROM ({_EWMA})", ["readings"])
 def n12(spark, sf):
     return features.ewma_anomalies(R(spark, sf), ["humidity"], 30.0, 2.0, KEYS)
 
