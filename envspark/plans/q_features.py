@@ -162,7 +162,33 @@ def n5(spark, sf):
     return features.series_shape_features(R(spark, sf), "humidity", 24, KEYS).select("source_id", "n", "entropy")
 
 
-@register("n3_wavelet_energy")
+def _haar_level(a):
+    """DuckDB list expressions for one Haar level of list column ``a``:
+    (detail energy, approximation list); odd lengths repeat the last sample."""
+    x0 = f"{a}[2 * k + 1]"
+    x1 = f"{a}[least(2 * k + 2, len({a}))]"
+    rng = f"range((len({a}) + 1) // 2)"
+    d = f"list_sum(list_transform({rng}, lambda k: pow(({x0} - {x1}) / sqrt(2), 2)))"
+    nxt = f"list_transform({rng}, lambda k: ({x0} + {x1}) / sqrt(2))"
+    return d, nxt
+
+
+_D1, _A1 = _haar_level("a0")
+_D2, _A2 = _haar_level("a1")
+_D3, _A3 = _haar_level("a2")
+_N3 = (f"WITH w AS (SELECT source_id, count(*) AS n, list(x ORDER BY pos) AS a0 FROM ({_LAST}) GROUP BY source_id), "
+       f"l1 AS (SELECT *, least(3, CAST(floor(log2(n)) AS INTEGER)) AS lvl, {_D1} AS d1, {_A1} AS a1 FROM w), "
+       f"l2 AS (SELECT *, {_D2} AS d2, {_A2} AS a2 FROM l1), "
+       f"l3 AS (SELECT *, {_D3} AS d3, {_A3} AS a3 FROM l2) "
+       "SELECT source_id, n, CASE lvl WHEN 0 THEN list_sum(list_transform(a0, lambda v: v * v)) "
+       "WHEN 1 THEN d1 + list_sum(list_transform(a1, lambda v: v * v)) "
+       "WHEN 2 THEN d1 + d2 + list_sum(list_transform(a2, lambda v: v * v)) "
+       "ELSE d1 + d2 + d3 + list_sum(list_transform(a3, lambda v: v * v)) END AS wavelet_energy, "
+       "CAST(list_sum(list_transform(range(1, len(a0)), lambda i: CASE WHEN (a0[i] < 0) <> (a0[i + 1] < 0) "
+       "THEN 1 ELSE 0 END)) AS INTEGER) AS zero_crossings FROM l3")
+
+
+@register("n3_wavelet_energy", _N3, ["readings"], rnd=["wavelet_energy"])
 def n3(spark, sf):
     return features.series_shape_features(R(spark, sf), "humidity", 24, KEYS).select(
         "source_id", "n", "wavelet_energy", "zero_crossings")
