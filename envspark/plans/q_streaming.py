@@ -126,7 +126,14 @@ def x10(spark, sf):
     return streams.run_to_table(streams.stream_anomaly(r, stats, _COLS, 3.0), "x10")
 
 
-@register("x10_stream_running_zscore")
+_PREV = "(PARTITION BY source_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@register("x10_stream_running_zscore",
+          "SELECT source_id, ts, humidity, z AS zscore, COALESCE(abs(z) > 3.0, false) AS anomaly FROM ("
+          f"SELECT source_id, ts, humidity, CASE WHEN humidity IS NOT NULL AND stddev_samp(humidity) OVER {_PREV} > 0 "
+          f"THEN (humidity - avg(humidity) OVER {_PREV}) / stddev_samp(humidity) OVER {_PREV} END AS z FROM readings)",
+          ["readings"], rnd=["zscore"])
 def x10r(spark, sf):
     r = _stream_view(spark, sf, "readings")
     return streams.run_to_table(streams.stream_running_zscore(r, "humidity", 3.0), "x10r")
