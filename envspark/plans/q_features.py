@@ -194,7 +194,24 @@ def n3(spark, sf):
         "source_id", "n", "wavelet_energy", "zero_crossings")
 
 
-@register("n4_welch_spectrum")
+# Welch with one segment (n <= 256): periodic Hann window w, mean-detrended
+# y = (x - mean) * w, one-sided density PSD.  Its sum is n * sum(y^2) / sum(w^2)
+# (Parseval); the dominant frequency is the first argmax of |DFT|^2 over
+# k = 0..n/2 (doubling of the interior bins does not move a strict maximum
+# away from them, so it is applied before the argmax as well).
+_WELCH = (
+    f"WITH w AS (SELECT source_id, list(x ORDER BY pos) AS a FROM ({_LAST}) GROUP BY source_id), "
+    "h AS (SELECT source_id, a, len(a) AS n, list_avg(a) AS m, list_transform(range(len(a)), "
+    "lambda j: 0.5 - 0.5 * cos(2 * pi() * j / len(a))) AS win FROM w), "
+    "y AS (SELECT *, list_transform(range(n), lambda j: (a[j + 1] - m) * win[j + 1]) AS yy FROM h), "
+    "p AS (SELECT *, list_transform(range(n // 2 + 1), lambda k: (CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END) * "
+    "(pow(list_sum(list_transform(range(n), lambda j: yy[j + 1] * cos(2 * pi() * j * k / n))), 2) + "
+    "pow(list_sum(list_transform(range(n), lambda j: yy[j + 1] * sin(2 * pi() * j * k / n))), 2))) AS ps FROM y) "
+    "SELECT source_id, n * list_sum(list_transform(yy, lambda v: v * v)) / list_sum(list_transform(win, lambda v: v * v)) "
+    "AS spectral_energy, CAST(list_position(ps, list_max(ps)) - 1 AS DOUBLE) / n AS dominant_freq FROM p")
+
+
+@register("n4_welch_spectrum", _WELCH, ["readings"], rnd=["spectral_energy", "dominant_freq"])
 def n4(spark, sf):
     return features.welch_features(R(spark, sf), "humidity", 24, KEYS)
 
