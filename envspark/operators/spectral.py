@@ -18,7 +18,9 @@ from envspark.functions.timefn import time_bucket
 
 def fft_summary(values: np.ndarray) -> tuple[float, float, float]:
     """(dominant frequency, its magnitude, spectral entropy in bits) of the
-    full FFT; the DC term is excluded from the dominant search."""
+    full FFT.  The dominant search excludes the DC term and covers the
+    positive frequencies 1..n/2 (for a real signal |X_k| = |X_{n-k}|, so the
+    mirrored negative bin would only be chosen by rounding noise)."""
     x = np.nan_to_num(np.asarray(values, dtype=float), nan=0.0)
     n = len(x)
     if n < 2:
@@ -26,11 +28,11 @@ def fft_summary(values: np.ndarray) -> tuple[float, float, float]:
     spec = np.fft.fft(x)
     freqs = np.fft.fftfreq(n)
     mag = np.abs(spec)
-    idx = int(np.argmax(mag[1:])) + 1
+    idx = int(np.argmax(mag[1:n // 2 + 1])) + 1
     psd = mag ** 2
     tot = psd.sum()
     ent = float(-np.sum((psd / tot) * np.log2(psd / tot + 1e-10))) if tot > 0 else float("nan")
-    return float(freqs[idx]), float(mag[idx]), ent
+    return float(abs(freqs[idx])), float(mag[idx]), ent
 
 
 def fft_features(df: DataFrame, cols, keys=("source_id",), time_col="ts", frame: str | None = "month",

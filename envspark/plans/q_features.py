@@ -216,7 +216,23 @@ def n4(spark, sf):
     return features.welch_features(R(spark, sf), "humidity", 24, KEYS)
 
 
-@register("n6_fft_features")
+_DFT = ("list_transform(range({n}), lambda k: sqrt(pow(list_sum(list_transform(range({n}), lambda j: "
+        "a[j + 1] * cos(2 * pi() * j * k / {n}))), 2) + pow(list_sum(list_transform(range({n}), lambda j: "
+        "a[j + 1] * sin(2 * pi() * j * k / {n}))), 2)))")
+_FFT = (
+    "WITH f AS (SELECT source_id, date_trunc('month', ts) AS fr, list(COALESCE(humidity, 0.0) ORDER BY ts, id) AS a, "
+    "count(*) AS n FROM readings GROUP BY ALL), "
+    f"m AS (SELECT *, {_DFT.format(n='n')} AS mag FROM f), "
+    "s AS (SELECT *, list_slice(mag, 2, n // 2 + 1) AS pos, list_sum(list_transform(mag, lambda v: v * v)) AS tot FROM m), "
+    "r AS (SELECT source_id, fr, CAST(list_position(pos, list_max(pos)) AS DOUBLE) / n AS humidity_dominant_freq, "
+    "list_max(pos) AS humidity_dominant_power, -list_sum(list_transform(mag, lambda v: (v * v / tot) * "
+    "log2(v * v / tot + 1e-10))) AS humidity_spectral_entropy FROM s) "
+    "SELECT x.id, x.source_id, x.ts, x.temperature, x.humidity, r.humidity_dominant_freq, r.humidity_dominant_power, "
+    "r.humidity_spectral_entropy FROM readings x JOIN r ON x.source_id = r.source_id AND date_trunc('month', x.ts) = r.fr")
+
+
+@register("n6_fft_features", _FFT, ["readings"],
+          rnd=["humidity_dominant_freq", "humidity_dominant_power", "humidity_spectral_entropy"])
 def n6(spark, sf):
     return spectral.fft_features(R(spark, sf), ["humidity"], KEYS, "ts", "month")
 
