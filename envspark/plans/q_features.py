@@ -136,11 +136,13 @@ _LAST = ("SELECT source_id, humidity AS x, n - rd AS pos, n FROM (SELECT source_
          "FROM readings) WHERE rd <= 24")
 
 
-@register("n1_window_features",
-          f"SELECT source_id, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min, max(x) AS max, "
-          f"quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.75) AS q75, "
-          f"quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, regr_slope(x, CAST(pos AS DOUBLE)) AS trend_slope, "
-          f"regr_intercept(x, CAST(pos AS DOUBLE)) AS trend_intercept FROM ({_LAST}) GROUP BY source_id",
+_N1 = (f"SELECT source_id, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS std, min(x) AS min, max(x) AS max, "
+       f"quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.25) AS q25, quantile_cont(x, 0.75) AS q75, "
+       f"quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, regr_slope(x, CAST(pos AS DOUBLE)) AS trend_slope, "
+       f"regr_intercept(x, CAST(pos AS DOUBLE)) AS trend_intercept FROM ({_LAST}) GROUP BY source_id")
+
+
+@register("n1_window_features", _N1,
           ["readings"], rnd=["mean", "std", "min", "max", "median", "q25", "q75", "iqr", "trend_slope",
                              "trend_intercept"])
 def n1(spark, sf):
@@ -256,7 +258,16 @@ def n7(spark, sf):
     return features.extract_features(R(spark, sf), COLS, 24, KEYS)
 
 
-@register("n8_all_window_features")
+_AC = (f"SELECT source_id, CASE WHEN count(*) > 2 THEN corr(x, xl) END AS autocorr_lag1 FROM (SELECT source_id, x, "
+       f"lag(x) OVER (PARTITION BY source_id ORDER BY pos) AS xl FROM ({_LAST})) GROUP BY source_id")
+_N8 = ("SELECT a.*, b.wavelet_energy, e.entropy, b.zero_crossings, w.spectral_energy, w.dominant_freq, c.autocorr_lag1 "
+       f"FROM ({_N1}) a JOIN ({_N3}) b USING (source_id) JOIN ({_ENT}) e USING (source_id) "
+       f"JOIN ({_WELCH}) w USING (source_id) JOIN ({_AC}) c USING (source_id)")
+
+
+@register("n8_all_window_features", _N8, ["readings"],
+          rnd=["mean", "std", "min", "max", "median", "q25", "q75", "iqr", "trend_slope", "trend_intercept",
+               "wavelet_energy", "entropy", "spectral_energy", "dominant_freq", "autocorr_lag1"])
 def n8(spark, sf):
     return features.all_window_features(R(spark, sf), "humidity", 24, KEYS)
 
