@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from envspark.functions.timefn import time_bucket
 from envspark.operators.quantiles import exact_quantiles
+from envspark.session import ship_package
 
 EULER = 0.5772156649015329
 
@@ -92,6 +93,7 @@ FOREST_SCHEMA = T.StructType([
 def fit_isolation_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100, psi: int = 256,
                          seed: int = 42) -> tuple[list, int]:
     """Grow the forest; returns (trees, psi_used).  The model is small."""
+    ship_package(df.sparkSession)
     cols = list(cols)
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
     n = data.count()
@@ -126,6 +128,7 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], contamination="auto", n
     ``anomaly``: score > 0.5 for ``'auto'``, else the top ``contamination``
     share of scores (threshold = exact (1 - c) quantile of all scores).  Rows with a
     null feature get null score and no flag."""
+    ship_package(df.sparkSession)
     cols = list(cols)
     trees, psi_used = fit_isolation_forest(df, cols, n_trees, psi, seed)
     cpsi = float(avg_path_length(psi_used))
@@ -163,6 +166,7 @@ def one_class_svm(df: DataFrame, cols: Sequence[str], nu: float = 0.05, gamma="s
     by full-batch subgradient steps (one distributed pass each, on the
     persisted features); the final rho is the nu-quantile of w.z(x).
     Adds ``score`` = w.z(x) - rho and ``anomaly`` = score < 0."""
+    ship_package(df.sparkSession)
     cols = list(cols)
     d = len(cols)
     st = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
@@ -345,6 +349,7 @@ def _series_events(df: DataFrame, cols, keys, time_col, frame, method, **kw) ->
     (10 x the largest wavelet width), so the wavelet coefficients of the
     frame's own rows equal those of the whole series; only peaks on the
     frame's own rows are reported."""
+    ship_package(df.sparkSession)
     keys = list(keys)
     cols = list(cols)
     # series statistics for standardisation (exact, partial aggregate)

@@ -21,6 +21,7 @@ from envspark.functions.timefn import calendar_features
 from envspark.operators.series import _cols
 from envspark.operators.windows import _order, pct_change, rolling_stats
 from envspark.operators.common import attach
+from envspark.session import ship_package
 
 SQRT2 = math.sqrt(2.0)
 
@@ -103,18 +104,52 @@ def hist_entropy(values: Column, max_bins: int = 10) -> Column:
     return F.when(n >= 2, ent)
 
 
-def series_shape_features(df: DataFrame, col: str, window: int = 24, keys=("source_id",),
-                          time_col="ts") -> DataFrame:
-    """N3, N5, W7, W8 on the last ``window`` values (bounded arrays)."""
-    keys = list(keys)
-    arr = _window_arrays(df, col, window, keys, time_col)
-    v = F.col("values")
-    n = F.size(v)
+def _shape_columns(arr: DataFrame, values: str = "values", max_level: int = 3, max_bins: int = 10) -> DataFrame:
+    """N3/N5/W7 on a bounded array column, one level per projection: every
+    intermediate array is its own column, so higher-order functions never
+    re-evaluate a nested array expression per element."""
+    v = F.col(values)
+    df = arr.withColumn("__n", F.size(v))
+    df = df.withColumn("__lvl", F.least(F.lit(max_level), F.floor(F.log2(F.col("__n").cast("double"))).cast("int")))
+    df = df.withColumn("__a0", v).withColumn("__e", F.lit(0.0))
+    for lv in range(1, max_level + 1):
+        a = F.col(f"__a{lv - 1}")
+        m = F.size(a)
+        half = ((m + 1) / 2).cast("int")
+        df = df.withColumn("__pairs", F.transform(F.sequence(F.lit(0), half - 1), lambda k: F.struct(
+            F.get(a, 2 * k).alias("x0"), F.get(a, F.least(2 * k + 1, m - 1)).alias("x1"))))
+        d_e = F.aggregate("__pairs", F.lit(0.0), lambda acc, p: acc + F.pow((p["x0"] - p["x1"]) / SQRT2, 2))
+        new_a = F.transform("__pairs", lambda p: (p["x0"] + p["x1"]) / SQRT2)
+        active = F.col("__lvl") >= lv
+        df = (df.withColumn("__e", F.col("__e") + F.when(active, d_e).otherwise(F.lit(0.0)))
+              .withColumn(f"__a{lv}", F.when(active, new_a).otherwise(a)).drop("__pairs"))
+    energy = F.col("__e") + F.aggregate(f"__a{max_level}", F.lit(0.0), lambda acc, x: acc + x * x)
+    # histogram entropy: bin index per value materialised once
+    n = F.col("__n")
+    bins = F.least(F.lit(max_bins), (n / 2).cast("int"))
+    lo0, hi0 = F.array_min(v), F.array_max(v)
+    df = df.withColumn("__bins", bins).withColumn("__lo", F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0)) \
+        .withColumn("__hi", F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0))
+    df = df.withColumn("__idx", F.transform(v, lambda x: F.least(
+        F.floor((x - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.col("__bins")).cast("int"),
+        F.col("__bins") - 1)))
+    df = df.withColumn("__cnt", F.transform(F.sequence(F.lit(0), F.greatest(F.col("__bins") - 1, F.lit(0))),
+                                            lambda b: F.size(F.filter("__idx", lambda i: i == b)).cast("double")))
+    tot = F.aggregate("__cnt", F.lit(0.0), lambda acc, c: acc + c)
+    ent = F.aggregate("__cnt", F.lit(0.0), lambda acc, c: acc - (c / tot) * F.log(c / tot + 1e-10))
     sb = F.transform(v, lambda x: x < 0)
     flips = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.lit(0),
                         lambda acc, i: acc + F.when((n > 1) & (F.get(sb, i) != F.get(sb, i - 1)), 1).otherwise(0))
-    return arr.select(*keys, n.cast("bigint").alias("n"), haar_energy(v).alias("wavelet_energy"),
-                      hist_entropy(v).alias("entropy"), flips.alias("zero_crossings"), "values")
+    return df.select(*[c for c in arr.columns if c != values], n.cast("bigint").alias("n"),
+                     F.when(n >= 1, energy).alias("wavelet_energy"),
+                     F.when(n >= 2, ent).alias("entropy"), flips.alias("zero_crossings"), v.alias(values))
+
+
+def series_shape_features(df: DataFrame, col: str, window: int = 24, keys=("source_id",),
+                          time_col="ts") -> DataFrame:
+    """N3, N5, W7 on the last ``window`` values (bounded arrays)."""
+    keys = list(keys)
+    return _shape_columns(_window_arrays(df, col, window, keys, time_col))
 
 
 def _welch_np(x: np.ndarray) -> tuple[float, float]:
@@ -153,6 +188,7 @@ def _welch_udf(values: pd.Series) -> pd.DataFrame:
 def welch_features(df: DataFrame, col: str, window: int = 24, keys=("source_id",), time_col="ts") -> DataFrame:
     """Welch spectrum summary of the last ``window`` values (Arrow UDF
     on bounded arrays; NumPy FFT)."""
+    ship_package(df.sparkSession)
     keys = list(keys)
     arr = _window_arrays(df, col, window, keys, time_col)
     return arr.select(*keys, _welch_udf("values").alias("w")).select(*keys, "w.*")
@@ -161,6 +197,7 @@ def welch_features(df: DataFrame, col: str, window: int = 24, keys=("source_id",
 def all_window_features(df: DataFrame, col: str, window: int = 24, keys=("source_id",),
                         time_col="ts") -> DataFrame:
     """N1-N5, W7, W8 of the last window in one row per series."""
+    ship_package(df.sparkSession)
     keys = list(keys)
     base = window_features(df, col, window, keys, time_col)
     shape = series_shape_features(df, col, window, keys, time_col)

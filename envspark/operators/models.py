@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark.operators import stats
+from envspark.session import ship_package
 
 
 def score(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
@@ -26,6 +27,7 @@ def score(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndarray], np
     """Batch inference.  ``make_predict_fn`` returns a function mapping a
     (batch, n_features) float array to a (batch,) array; it is called once
     per worker (model load), never per row."""
+    ship_package(df.sparkSession)
     udf = predict_batch_udf(make_predict_fn, return_type=T.DoubleType(), batch_size=batch_size,
                             input_tensor_shapes=[[len(cols)]])
     return df.withColumn(out_col, udf(F.array(*[F.col(c).cast("double") for c in cols])))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from envspark.operators import detectors, models
 from envspark.operators.raster import gaussian_blur5
 from envspark.session import cut_lineage
+from envspark.session import ship_package
 
 IMG = "image_id"
 
@@ -54,6 +55,7 @@ def segment_meanshift(pixels_wide: DataFrame, bands: Sequence[str], bandwidth: f
     bandwidth, found by an equi-join on neighbouring cell ids.  Converged
     seeds closer than a bandwidth are merged (stronger seed wins); pixels
     take the label of the nearest mode."""
+    ship_package(pixels_wide.sparkSession)
     bands = list(bands)
     d = len(bands)
     cell_of = [F.floor(F.col(b) / bandwidth).cast("long") for b in bands]

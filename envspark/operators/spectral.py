@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from envspark.functions.timefn import time_bucket
+from envspark.session import ship_package
 
 
 def fft_summary(values: np.ndarray) -> tuple[float, float, float]:
@@ -39,6 +40,7 @@ def fft_features(df: DataFrame, cols, keys=("source_id",), time_col="ts", frame:
                  order_col: str | None = "id") -> DataFrame:
     """``<col>_dominant_freq``, ``<col>_dominant_power``,
     ``<col>_spectral_entropy`` of each (series, frame) on every row."""
+    ship_package(df.sparkSession)
     keys = list(keys)
     if frame is None:
         raise ValueError("fft_features needs a bounded frame (e.g. 'day' or 'month')")

@@ -49,13 +49,36 @@ def build_session(master: str | None = None, app: str = "envspark",
 
 
 def ensure_conf(spark: SparkSession) -> SparkSession:
-    """Apply REQUIRED_CONF to an existing session (idempotent)."""
+    """Apply REQUIRED_CONF to an existing session and make the package
+    importable on the executors (idempotent)."""
     for k, v in REQUIRED_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Distribute this package to the executors (``addPyFile`` of a zip built
+    once per Spark context), so Arrow UDFs and ``applyInPandas`` functions
+    that live in the package can be imported by every Python worker - on a
+    cluster as well as from any working directory."""
+    import shutil
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="envspark-pkg-")
+    archive = shutil.make_archive(os.path.join(staging, "envspark"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 

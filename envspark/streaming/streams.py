@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from envspark.session import checkpoint_dir
 from envspark.sources import ingest
+from envspark.session import ship_package
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("topic", T.StringType()),
@@ -181,6 +182,7 @@ def stream_running_zscore(readings: DataFrame, col: str, threshold: float = 3.0,
     """X10 (running form): per-sensor Welford mean/variance kept in state
     (``applyInPandasWithState``); each reading is scored against the
     statistics of the readings before it (sample std), then folded in."""
+    ship_package(readings.sparkSession)
     out_schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(time_col, T.TimestampNTZType()),
                                T.StructField(col, T.DoubleType()), T.StructField("zscore", T.DoubleType()),
                                T.StructField("anomaly", T.BooleanType())])
