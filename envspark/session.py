@@ -4,6 +4,7 @@ checkpoint folder used to cut lineage in iterative plans."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,12 +84,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
     ``spark.checkpoint.dir`` is read from the session.  Only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    unset *and* the master is local (tests) a fresh scratch folder is created
+    and registered; on a cluster a machine-local folder would be invisible to
+    the other executors, so an unset value is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder all executors share (master {master})")
         d = tempfile.mkdtemp(prefix="envspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
