@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from envspark.llm import bpe, html_extract, license_scan, merkle, quality, secret_scan, substring_dedup
+from envspark.llm import bpe, html_extract, jaccard_join, license_scan, merkle, quality, secret_scan, substring_dedup
 from envspark.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,11 @@ def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_secret_scan(spark, sf_dir):
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
