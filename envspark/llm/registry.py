@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from envspark.llm import bpe, html_extract, jaccard_join, license_scan, merkle, quality, secret_scan, substring_dedup
+from envspark.llm import bpe, html_extract, jaccard_join, license_scan, line_dedup, merkle, quality, secret_scan, substring_dedup
 from envspark.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,11 @@ def op5_secret_scan(spark, sf_dir):
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_html_extract(spark, sf_dir):
     return html_extract.extract_main(table(spark, sf_dir, "pages"))
