@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from envspark.llm import bpe, html_extract, jaccard_join, license_scan, line_dedup, merkle, quality, secret_scan, substring_dedup
+from envspark.llm import bpe, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, merkle, quality, secret_scan, substring_dedup
 from envspark.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,11 @@ def op1_license_scan(spark, sf_dir):
     return license_scan.license_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_substring_dedup(spark, sf_dir):
     return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
