@@ -132,7 +132,7 @@ def _cells_of(s: np.ndarray, bounds: Bounds) -> np.ndarray:
         first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
         content = np.zeros(m, np.uint64)
         content[g[first]] = np.add.reduceat(mixed[order], first)
-        tag = np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1) * np.uint64(0xC2B2AE3D27D4EB4F)
+        tag = np.arange(m, dtype=np.uint64) * _FACTORS[0] + np.uint64((band + 1 << 32) + 1)
         keys.append(_mix(content + _mix(tag)))
     return np.concatenate(keys)
 

@@ -212,15 +212,16 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU,
                  min_chars: int = MIN_CHARS, hot: int = HOT, length_col: str | None = None) -> DataFrame:
     """The documents with their repeated lines taken out (all columns kept;
-    a document without repeated lines is untouched, one made of them only is
-    left with an empty text).  ``length_col`` is brought up to date."""
+    a document without repeated lines is untouched; one of which nothing is
+    left is gone).  ``length_col`` is brought up to date."""
     gone = cut_lineage(line_classes(docs, id_col, text_col, tau, min_chars, hot)
                        .groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone")))
     own = F.col(id_col).cast("long")
     maybe = F.coalesce(member_of(gone.select("__id").where("__id is not null"), own), F.lit(True))
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    touched = docs.where(maybe).join(gone, own.eqNullSafe(F.col("__id")), "left")
+    touched = (docs.where(maybe).join(gone, own.eqNullSafe(F.col("__id")), "left")
+               .where(F.col("__gone").isNull() | (F.trim(kept) != "")))
     new = {text_col: text}
     if length_col:
         new[length_col] = F.when(F.col("__gone").isNull(), F.col(length_col)).otherwise(
