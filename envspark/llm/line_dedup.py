@@ -90,6 +90,10 @@ def cells_of(lines: DataFrame, tau: int) -> DataFrame:
             .select(F.col("c.key").alias("key"), "node", F.col("c.probe").alias("probe")))
 
 
+def _equal_bits(x: Column, y: Column, bit: int) -> Column:
+    return F.zip_with(x, y, lambda p, q: F.when(p == q, bit).otherwise(0))
+
+
 def edits(a: Column, b: Column, tau: int) -> Column:
     """Edit distance of two strings up to tau, else null.
 
@@ -102,17 +106,18 @@ def edits(a: Column, b: Column, tau: int) -> Column:
     full = (1 << width) - 1
     chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
     pad = F.array_repeat(F.lit(""), tau)
-    band = F.concat(pad, chars(a), pad, pad)
+    band, cb = F.concat(pad, chars(a), pad, pad), chars(b)
+    # bit k of the j-th mask: b's j-th character is the one k places into its band
+    masks = None
+    for k in range(width):
+        bit = _equal_bits(cb, F.slice(band, k + 1, F.greatest(F.size(cb), F.lit(0))), 1 << k)
+        masks = bit if masks is None else F.zip_with(masks, bit, lambda x, y: x + y)
     rows = [f"r{e}" for e in range(tau + 1)]
-    kind = "struct<j:int," + ",".join(f"{r}:int" for r in rows) + ">"
+    kind = "struct<" + ",".join(f"{r}:int" for r in rows) + ">"
     # before any character of b: e characters of a deleted with e edits
-    zero = F.struct(F.lit(1).alias("j"), *[F.lit(sum(1 << (tau + x) for x in range(e + 1)) & full).alias(r)
-                                           for e, r in enumerate(rows)]).cast(kind)
+    zero = F.struct(*[F.lit(sum(1 << (tau + x) for x in range(e + 1)) & full).alias(r) for e, r in enumerate(rows)]).cast(kind)
 
-    def step(s, c):
-        x = F.lit(0)
-        for k in range(width):
-            x = x + F.when(F.get(band, s["j"] - 1 + k) == c, 1 << k).otherwise(0)
+    def step(s, x):
         new = []
         for e, r in enumerate(rows):
             v = s[r].bitwiseAND(x)
@@ -120,8 +125,7 @@ def edits(a: Column, b: Column, tau: int) -> Column:
                 low = s[rows[e - 1]]
                 v = v.bitwiseOR(low).bitwiseOR(F.shiftright(low, 1)).bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(full))
             new.append(v)
-        alive = s[rows[-1]] != 0
-        return F.when(alive, F.struct((s["j"] + 1).alias("j"), *[v.alias(r) for v, r in zip(new, rows)]).cast(kind)).otherwise(s)
+        return F.when(s[rows[-1]] == 0, s).otherwise(F.struct(*[v.alias(r) for v, r in zip(new, rows)]).cast(kind))
 
     def finish(s):
         bit = F.pow(F.lit(2), F.length(a) - F.length(b) + tau).cast("int")
@@ -129,7 +133,7 @@ def edits(a: Column, b: Column, tau: int) -> Column:
         for e in reversed(range(tau + 1)):
             hit = F.when(s[rows[e]].bitwiseAND(bit) != 0, e).otherwise(hit)
         return hit
-    return F.when(F.abs(F.length(a) - F.length(b)) <= tau, F.aggregate(chars(b), zero, step, finish))
+    return F.when(F.abs(F.length(a) - F.length(b)) <= tau, F.aggregate(masks, zero, step, finish))
 
 
 def _counts(line: Column) -> Column:
