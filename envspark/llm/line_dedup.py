@@ -199,9 +199,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
     counts = cut_lineage(lines.groupBy("node").agg(F.count("*").alias("n"), F.min(place).alias("first")))
     frequent = counts.where(F.col("n") > hot).select("node")
-    once = (lines.select("node", "line").join(frequent, "node", "left_anti")
-            .union(lines.select("node", "line").join(frequent, "node", "left_semi")
-                   .groupBy("node").agg(F.min("line").alias("line"))))
+    # lines that the sketch takes for frequent without need are only taken once too
+    often = F.coalesce(member_of(frequent, F.col("node")), F.lit(False))
+    once = (lines.select("node", "line").where(~often)
+            .union(lines.where(often).groupBy("node").agg(F.min("line").alias("line"))))
     comps = connected_components(line_links(lines, once, tau))
     classed = counts.join(comps, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
     first = classed.groupBy("class_id").agg(F.min("first").alias("kept"), F.sum("n").alias("lines")).where("lines > 1")
