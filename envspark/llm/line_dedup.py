@@ -57,37 +57,36 @@ def member_of(ids: DataFrame, col: Column) -> Column:
     return F.coalesce(value.bitwiseAND(bit) != 0, F.lit(False))
 
 
-def _segment(length: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 0) and size of the i-th of tau + 1 segments; the later
-    ones are longer by one where the length does not divide."""
-    k = tau + 1
-    base = F.floor(length / k).cast("int")
-    more = (length % k).cast("int")
-    start = F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - (F.lit(k) - more))
-    size = base + F.when(F.lit(i) >= F.lit(k) - more, 1).otherwise(0)
-    return start, size
+def lookups(tau: int) -> list[tuple[int, int, int, bool]]:
+    """(segment, length difference, shift, probe): a line's own segments, and
+    for each difference to a shorter line the shifts after which the edits
+    left and right of the segment can still add up to tau."""
+    probes = [(i, dl, d, True) for dl in range(tau + 1) for i in range(tau + 1) for d in range(-tau, tau + 1)
+              if abs(d) <= i and abs(d - dl) <= tau - i and (dl or d)]
+    return [(i, 0, 0, False) for i in range(tau + 1)] + probes
 
 
 def cells_of(lines: DataFrame, tau: int) -> DataFrame:
     """(key, node, probe) of every line: its own segments, and the substrings
-    it looks up among the segments of lines up to tau shorter."""
-    line, n = F.col("line"), F.length("line")
-    rows = []
-    for dl in range(tau + 1):
-        for i in range(tau + 1):
-            for d in range(-tau, tau + 1):
-                if abs(d) > i or abs(d - dl) > tau - i or (dl == 0 and d == 0):
-                    continue
-                start, size = _segment(n - dl, i, tau)
-                ok = (start + d >= 0) & (start + d + size <= n) & (n - dl > tau)
-                rows.append(F.when(ok, F.struct(
-                    F.xxhash64(F.lit(i), n - dl, F.substring(line, start + d + 1, size)).alias("key"), F.lit(True).alias("probe"))))
-    for i in range(tau + 1):
-        start, size = _segment(n, i, tau)
-        rows.append(F.struct(F.xxhash64(F.lit(i), n - 0, F.substring(line, start + 1, size)).alias("key"),
-                             F.lit(False).alias("probe")))
-    return (lines.select("node", F.explode(F.array(*rows)).alias("c")).where("c is not null")
-            .select(F.col("c.key").alias("key"), "node", F.col("c.probe").alias("probe")))
+    it looks up among the segments of lines up to tau shorter.
+
+    A line of length n is cut into k = tau + 1 segments of n div k code
+    points, the last n mod k of them longer by one.
+    """
+    k = tau + 1
+    plan = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(dl).alias("dl"), F.lit(d).alias("d"), F.lit(p).alias("probe"))
+                     for i, dl, d, p in lookups(tau)])
+    rows = (lines.select("node", "line", F.length("line").alias("n"), F.explode(plan).alias("c"))
+            .select("node", "line", "n", "c.i", "c.dl", "c.d", "c.probe")
+            .withColumn("m", F.col("n") - F.col("dl"))
+            .withColumn("more", F.col("m") % k)
+            .withColumn("short", F.col("i") - (k - F.col("more")))
+            .withColumn("size", ((F.col("m") - F.col("more")) / k).cast("int") + (F.col("short") >= 0).cast("int"))
+            .withColumn("start", F.col("i") * ((F.col("m") - F.col("more")) / k).cast("int")
+                        + F.greatest(F.lit(0), F.col("short")) + F.col("d")))
+    return (rows.where(f"m > {tau} and start >= 0 and start + size <= n")
+            .select(F.xxhash64("i", "m", F.substring(F.col("line"), F.col("start") + 1, F.col("size"))).alias("key"),
+                    "node", "probe"))
 
 
 def _equal_bits(x: Column, y: Column, bit: int) -> Column:
