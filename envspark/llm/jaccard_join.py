@@ -4,8 +4,8 @@ Every document is the set of its distinct word shingles.  Two sets of sizes a
 and b with Jaccard similarity of at least s differ in at most
 D = (a + b)(1 - s)/(1 + s) shingles.  The join runs in four exact steps:
 
-1. *Cells.*  Shingles are hashed into D + 1 groups; by the pigeonhole one
-   group must then be identical in both sets.  D depends on the sizes, so
+1. *Cells.*  Shingles are hashed into more than D groups; by the pigeonhole
+   one group must then be identical in both sets.  D depends on the sizes, so
    sizes are cut into bands a factor 1/s apart and a document takes part in
    its own band and in the one below.  A cell is (band, group, content).
 2. *Stars.*  In a cell every member is compared with one pivot only, the
@@ -43,25 +43,27 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from envspark.llm.common import connected_components, cut_lineage
+from envspark.llm.common import connected_components, cut_lineage, member_of
 
 GROUPS = 64             # coordinates of a count vector
 LEAF = 1 << 17          # difference elements in a leaf of the tree
 
 
-class _Words(dict):
-    """word -> 64-bit hash; bounded memo."""
+_RANDOM = np.random.default_rng(20240229)
+_FACTORS = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]      # of _BASE and of its inverse modulo 2^64
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
-
-_WORDS = _Words()
-_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
-                     0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, x, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.multiply.accumulate(steps)
+    return _POWERS
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -73,19 +75,53 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; words are runs
-    without ASCII white space, A-Z lower-cased."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(words))
-    m = len(words) - k + 1
-    s = np.full(m, k, np.uint64)
-    for i in range(k):
-        s += h[i:i + m] * (_FACTORS[i % 8] + np.uint64(2 * (i // 8)))
-    return np.unique(_mix(s))
+def _some_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Sets of a few texts at once.  A word's hash is the difference of two
+    prefix sums over the joined bytes, moved to the origin."""
+    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    up, down = _powers(len(joined) + 1)
+    sums = np.zeros(len(joined) + 1, np.uint64)
+    np.cumsum(_BYTES[joined] * up[:len(joined)], out=sums[1:])
+    space = np.r_[True, _SPACE[joined]]
+    starts = np.flatnonzero(space[:-1] & ~space[1:])
+    ends = np.flatnonzero(~space[:-1] & space[1:])
+    words = (sums[ends] - sums[starts]) * down[starts]
+    words = _mix(words + (ends - starts).astype(np.uint64))
+    offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+    first = np.searchsorted(starts, offsets)
+    grams = np.full(max(0, len(words) - n + 1), n, np.uint64)
+    for i in range(n):
+        grams += words[i:len(words) - n + 1 + i] * (_FACTORS[i % 64] + np.uint64(2 * (i // 64)))
+    grams = _mix(grams)
+    out = []
+    for a, b in zip(first[:-1], first[1:]):
+        if b - a >= n:
+            s = np.sort(grams[a:b - n + 1])
+            out.append(s[np.r_[True, s[1:] != s[:-1]]])
+        elif b > a:
+            k = int(b - a)
+            g = np.full(1, k, np.uint64)
+            for i in range(k):
+                g += words[a + i:a + i + 1] * (_FACTORS[i % 64] + np.uint64(2 * (i // 64)))
+            out.append(_mix(g))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def shingle_sets(texts, n: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's word n-grams; words are
+    runs without ASCII white space, A-Z lower-cased."""
+    held, size = [], 0
+    for t in texts:
+        raw = (t or "").encode("utf-8", "surrogatepass").lower()
+        if held and size + len(raw) > block:
+            yield from _some_sets(held, n)
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw) + 1
+    if held:
+        yield from _some_sets(held, n)
 
 
 def _signed(x) -> int:
@@ -108,11 +144,10 @@ class Bounds:
     def band(self, size: int) -> int:
         return int(np.searchsorted(self.edges, size, "right")) - 1
 
-    def groups(self, band: int) -> int:
-        """Groups for pairs whose smaller set is in ``band``: one more than
-        the difference of the largest such pair."""
+    def difference(self, band: int) -> int:
+        """Largest difference of linked sets the smaller of which is in ``band``."""
         small = self.edges[band + 1] - 1
-        return int(self.most_difference(small + small * 100 // self.share)) + 1
+        return int(self.most_difference(small + small * 100 // self.share))
 
     def linked(self, a, b, both):
         return 100 * both >= self.share * (a + b - both)
@@ -120,20 +155,29 @@ class Bounds:
 
 def _cells_of(s: np.ndarray, bounds: Bounds) -> np.ndarray:
     """Cell keys of a non-empty set.  A pair's smaller set is in the larger
-    one's band or the one below, so both bands' groupings are used."""
-    keys = []
+    one's band or the one below, so both bands' groupings are used.
+
+    Empty groups would bring unrelated sets together.  With D + 1 + spare
+    groups at least 1 + spare are identical, so unless both sets have more
+    than ``spare`` empty groups an identical one has elements; only sets with
+    more than that need cells for their empty groups.
+    """
+    keys = [np.empty(0, np.uint64)]
     own = bounds.band(len(s))
     mixed = _mix(s + np.uint64(0x51ED2701))
     for band in {max(own - 1, 0), own}:
-        m = bounds.groups(band)
-        group = (mixed % np.uint64(m)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        g = group[order]
-        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        d = bounds.difference(band)
+        if not d:
+            continue                    # only equal sets link, and they are one node
+        spare = 3 + d // 32
+        m = d + 1 + spare
+        group = (mixed % np.uint64(m)).astype(np.intp)
         content = np.zeros(m, np.uint64)
-        content[g[first]] = np.add.reduceat(mixed[order], first)
+        np.add.at(content, group, mixed)
         tag = np.arange(m, dtype=np.uint64) * _FACTORS[0] + np.uint64((band + 1 << 32) + 1)
-        keys.append(_mix(content + _mix(tag)))
+        cells = _mix(content + _mix(tag))
+        filled = np.bincount(group, minlength=m) > 0
+        keys.append(cells if m - filled.sum() > spare else cells[filled])
     return np.concatenate(keys)
 
 
@@ -145,7 +189,7 @@ def document_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
     """doc_id, set size and the node of every row (null without shingles)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingle_set(t, n) for t in pdf["text"]]
+            sets = list(shingle_sets(pdf["text"], n))
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
                 "node": pd.array([set_digest(s) if len(s) else None for s in sets], "Int64")})
@@ -153,13 +197,20 @@ def document_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
             .mapInPandas(run, "doc_id long, n_shingles long, node long"))
 
 
+def _same_set(n: int):
+    """The node of a text: tells texts apart that share one id."""
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_digest(s) if len(s) else None for s in shingle_sets(texts, n)], dtype="Int64")
+    return node
+
+
 def document_cells(docs: DataFrame, n: int, bounds: Bounds, text_col: str) -> DataFrame:
     """(key, node) of every row's cells."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys, nodes, held, seen = [], [], 0, set()
-            for text in pdf["text"]:
-                s = shingle_set(text, n)
+            for s in shingle_sets(pdf["text"], n):
                 node = set_digest(s) if len(s) else None
                 if node is None or node in seen:
                     continue
@@ -183,10 +234,9 @@ def compare_stars(pairs: DataFrame, n: int, bounds: Bounds) -> DataFrame:
         last, p = None, None
         for pdf in batches:
             rows = []
-            for pivot, node, ptext, text in zip(pdf["pivot"], pdf["node"], pdf["ptext"], pdf["text"]):
+            for pivot, node, ptext, s in zip(pdf["pivot"], pdf["node"], pdf["ptext"], shingle_sets(pdf["text"], n)):
                 if pivot != last:
-                    last, p = pivot, shingle_set(ptext, n)
-                s = shingle_set(text, n)
+                    last, p = pivot, next(shingle_sets([ptext], n))
                 diff = np.setxor1d(p, s, assume_unique=True)
                 both = (len(p) + len(s) - len(diff)) // 2
                 rows.append((pivot, node, len(s), bool(bounds.linked(len(p), len(s), both)), diff.view(np.int64)))
@@ -278,9 +328,13 @@ def set_links(docs: DataFrame, sets: DataFrame, n: int, share: int, id_col: str,
     pairs = met.join(pivot, "key").where("node <> pivot").select("pivot", "node").distinct()
     # one text per node: that of its smallest document
     first = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = first.join(met_often.select("node"), "node", "left_semi")
+    wanted = (first.join(met_often.select("node"), "node", "left_semi")
+              .select("node", F.col("doc_id").alias("wanted_id")))
     texts = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                        .join(wanted, "doc_id").select("node", "doc_id", "text"))
+                        .where(member_of(wanted.select("wanted_id").where("wanted_id is not null"), F.col("doc_id"))
+                               | F.col("doc_id").isNull())
+                        .join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
+                        .where(_same_set(n)("text") == F.col("node")).dropDuplicates(["node"]))
     star = cut_lineage(compare_stars(
         pairs.join(texts.select("node", "text"), "node")
         .join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("ptext")), "pivot"), n, bounds))

@@ -26,11 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from envspark.llm.common import connected_components, cut_lineage
+from envspark.llm.common import connected_components, cut_lineage, member_of
 
 TAU, MIN_CHARS, HOT = 2, 30, 1000
 LETTERS = "eatinorsdhlcumg, "
-BITS = 1 << 20          # size of the fixed membership sketch
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
@@ -41,22 +40,6 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
             .withColumn("node", F.xxhash64("line")))
 
 
-def member_of(ids: DataFrame, col: Column) -> Column:
-    """Whether a 64-bit value may be among ``ids`` (first column): a bitmap of
-    BITS bits, computed as a scalar subquery.  Its size is fixed; false
-    positives are sorted out by the join that follows."""
-    slot = F.pmod(F.col(ids.columns[0]), F.lit(BITS)) + 1
-    maps = (ids.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p"))
-            .groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
-            .agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("m")))
-    mine = F.pmod(col, F.lit(BITS)) + 1
-    at = F.bitmap_bit_position(mine)
-    byte = F.substring(F.element_at(maps.scalar(), F.bitmap_bucket_number(mine)), (F.floor(at / 8) + 1).cast("int"), F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    bit = F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")
-    return F.coalesce(value.bitwiseAND(bit) != 0, F.lit(False))
-
-
 def lookups(tau: int) -> list[tuple[int, int, int, bool]]:
     """(segment, length difference, shift, probe): a line's own segments, and
     for each difference to a shorter line the shifts after which the edits
