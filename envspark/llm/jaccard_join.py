@@ -286,25 +286,35 @@ def leaf_links(left: pd.DataFrame, right: pd.DataFrame, bounds: Bounds) -> list[
 
 def rest_links(star: DataFrame, bounds: Bounds) -> DataFrame:
     """Links (a, b) among members of one star of which at least one is not
-    linked with the pivot.  Leaves hold at most about LEAF elements; a pair
-    of leaves is one task's work, so a large family spreads over many."""
-    star = star.withColumn("x", F.size("diff"))
-    kinds = (star.groupBy("pivot", "linked").agg(F.sum("x").alias("total"))
-             .withColumn("leaves", F.ceil((F.col("total") + 1) / F.lit(LEAF)).cast("int")))
-    # the pivot itself differs from itself in nothing and is settled already
-    open_stars = kinds.where("not linked").select("pivot").distinct()
-    member = (star.join(kinds.select("pivot", "linked", "leaves"), ["pivot", "linked"])
-              .withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")))
-    mine = kinds.where("not linked").select("pivot", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("leaf"))
-    all_ = (kinds.join(open_stars, "pivot", "left_semi")
-            .select(F.col("pivot").alias("p2"), F.col("linked").alias("linked2"),
-                    F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)).alias("leaf2")))
-    tiles = (mine.join(all_, F.col("pivot") == F.col("p2"))
-             .where("linked2 or leaf <= leaf2")
-             .select("pivot", "leaf", "linked2", "leaf2").withColumn("tile", F.xxhash64("pivot", "leaf", "linked2", "leaf2")))
-    left = member.where("not linked").join(tiles.select("tile", "pivot", "leaf"), ["pivot", "leaf"])
-    right = (member.withColumnRenamed("leaf", "leaf2").withColumnRenamed("linked", "linked2")
-             .join(tiles.select("tile", "pivot", "linked2", "leaf2"), ["pivot", "linked2", "leaf2"]))
+    linked with the pivot.
+
+    Distances to the pivot of linked members differ by at most D, so members
+    are put into zones of that width (each into two, so that neighbours meet)
+    and only zones with an open member and a partner go on.  Leaves hold
+    about LEAF elements; a pair of leaves is one task's work, so a large
+    family spreads over many.
+    """
+    light = star.select("pivot", "node", "n", "linked", F.size("diff").alias("x"))
+    widest = light.groupBy("pivot").agg((F.max("n") * 2 * (100 - bounds.share) / (100 + bounds.share) + 1).alias("width"))
+    zoned = (light.join(widest, "pivot").withColumn("c", F.floor(F.col("x") / F.col("width")))
+             .select("pivot", "node", "linked", "x", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("zone")))
+    leaves = lambda of: F.ceil(F.sum(F.when(of, F.col("x") + 1).otherwise(0)) / LEAF).cast("int")
+    zones = (zoned.groupBy("pivot", "zone")
+             .agg(F.count("*").alias("members"), leaves(~F.col("linked")).alias("open_leaves"),
+                  leaves(F.col("linked")).alias("linked_leaves"))
+             .where("members > 1 and open_leaves > 0"))
+    rows = (zoned.join(zones, ["pivot", "zone"]).drop("x", "members")
+            .withColumn("leaf", F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("linked_leaves"))
+                                       .otherwise(F.col("open_leaves"))).cast("int"))
+            .join(star.select("pivot", "node", "n", "diff"), ["pivot", "node"]))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda left, linked, right: F.xxhash64("pivot", "zone", left, linked, right)
+    mine = F.concat(F.transform(F.sequence(F.col("leaf"), F.col("open_leaves") - 1), lambda r: tile("leaf", F.lit(False), r)),
+                    F.transform(upto(F.col("linked_leaves")), lambda r: tile("leaf", F.lit(True), r)))
+    theirs = (F.when(F.col("linked"), F.transform(upto(F.col("open_leaves")), lambda m: tile(m, F.lit(True), F.col("leaf"))))
+              .otherwise(F.transform(F.sequence(F.lit(0), F.col("leaf")), lambda m: tile(m, F.lit(False), F.col("leaf")))))
+    left = rows.where("not linked").select(F.explode(mine).alias("tile"), "node", "n", "diff")
+    right = rows.select(F.explode(theirs).alias("tile"), "node", "n", "diff")
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = leaf_links(a, b, bounds) if len(a) and len(b) else []
