@@ -44,55 +44,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark.llm.common import connected_components, cut_lineage, member_of
+from envspark.llm.hashing import FACTORS, NOT_SPACE, blocks, mix, word_hashes
 
 GROUPS = 64             # coordinates of a count vector
 LEAF = 1 << 17          # difference elements in a leaf of the tree
 
 
-_RANDOM = np.random.default_rng(20240229)
-_FACTORS = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]      # of _BASE and of its inverse modulo 2^64
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, x, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spread 64-bit values (xor-shift and multiply)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _some_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """Sets of a few texts at once.  A word's hash is the difference of two
-    prefix sums over the joined bytes, moved to the origin."""
-    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    up, down = _powers(len(joined) + 1)
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_BYTES[joined] * up[:len(joined)], out=sums[1:])
-    space = np.r_[True, _SPACE[joined]]
-    starts = np.flatnonzero(space[:-1] & ~space[1:])
-    ends = np.flatnonzero(~space[:-1] & space[1:])
-    words = (sums[ends] - sums[starts]) * down[starts]
-    words = _mix(words + (ends - starts).astype(np.uint64))
-    offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
-    first = np.searchsorted(starts, offsets)
+    """Sets of a few texts at once."""
+    words, first = word_hashes(texts, NOT_SPACE)
     grams = np.full(max(0, len(words) - n + 1), n, np.uint64)
     for i in range(n):
-        grams += words[i:len(words) - n + 1 + i] * (_FACTORS[i % 64] + np.uint64(2 * (i // 64)))
-    grams = _mix(grams)
+        grams += words[i:len(words) - n + 1 + i] * (FACTORS[i % 64] + np.uint64(2 * (i // 64)))
+    grams = mix(grams)
     out = []
     for a, b in zip(first[:-1], first[1:]):
         if b - a >= n:
@@ -102,26 +66,18 @@ def _some_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
             k = int(b - a)
             g = np.full(1, k, np.uint64)
             for i in range(k):
-                g += words[a + i:a + i + 1] * (_FACTORS[i % 64] + np.uint64(2 * (i // 64)))
-            out.append(_mix(g))
+                g += words[a + i:a + i + 1] * (FACTORS[i % 64] + np.uint64(2 * (i // 64)))
+            out.append(mix(g))
         else:
             out.append(np.empty(0, np.uint64))
     return out
 
 
-def shingle_sets(texts, n: int, block: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word n-grams; words are
     runs without ASCII white space, A-Z lower-cased."""
-    held, size = [], 0
-    for t in texts:
-        raw = (t or "").encode("utf-8", "surrogatepass").lower()
-        if held and size + len(raw) > block:
-            yield from _some_sets(held, n)
-            held, size = [], 0
-        held.append(raw)
-        size += len(raw) + 1
-    if held:
-        yield from _some_sets(held, n)
+    for some in blocks((t or "").encode("utf-8", "surrogatepass").lower() for t in texts):
+        yield from _some_sets(some, n)
 
 
 def _signed(x) -> int:
@@ -164,7 +120,7 @@ def _cells_of(s: np.ndarray, bounds: Bounds) -> np.ndarray:
     """
     keys = [np.empty(0, np.uint64)]
     own = bounds.band(len(s))
-    mixed = _mix(s + np.uint64(0x51ED2701))
+    mixed = mix(s + np.uint64(0x51ED2701))
     for band in {max(own - 1, 0), own}:
         d = bounds.difference(band)
         if not d:
@@ -174,8 +130,8 @@ def _cells_of(s: np.ndarray, bounds: Bounds) -> np.ndarray:
         group = (mixed % np.uint64(m)).astype(np.intp)
         content = np.zeros(m, np.uint64)
         np.add.at(content, group, mixed)
-        tag = np.arange(m, dtype=np.uint64) * _FACTORS[0] + np.uint64((band + 1 << 32) + 1)
-        cells = _mix(content + _mix(tag))
+        tag = np.arange(m, dtype=np.uint64) * FACTORS[0] + np.uint64((band + 1 << 32) + 1)
+        cells = mix(content + mix(tag))
         filled = np.bincount(group, minlength=m) > 0
         keys.append(cells if m - filled.sum() > spare else cells[filled])
     return np.concatenate(keys)
@@ -250,7 +206,7 @@ def _counts(items: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(items), GROUPS), np.int32)
     for i, x in enumerate(items):
         if len(x):
-            out[i] = np.bincount((_mix(x.view(np.uint64)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+            out[i] = np.bincount((mix(x.view(np.uint64)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
     return out
 
 
