@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from envspark.llm.common import small_batches
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> rank from a rank file (base64 bytes, rank per line)."""
@@ -218,7 +220,7 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "d
             frame = pd.DataFrame(out, columns=["__id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
             frame["__id"] = frame["__id"].astype("Int64")
             yield frame
-    src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
+    src = small_batches(docs).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     return src.mapInPandas(run, schema).withColumnRenamed("__id", id_col)
 
 

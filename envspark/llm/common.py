@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from envspark.session import cut_lineage, ensure_conf
 
-__all__ = ["table", "cut_lineage", "spans", "spaces", "connected_components", "member_of", "blank"]
+__all__ = ["table", "cut_lineage", "spans", "spaces", "connected_components", "member_of", "blank", "small_batches"]
 
 BITS = 1 << 20          # size of the fixed membership sketch
 
@@ -17,6 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Hand texts to Python workers in batches of at most ``rows`` rows, to
+    bound their memory."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    ensure_conf(df.sparkSession)
+    return df
+
+
 def blank(text: str) -> Column:
     """The text column with null read as the empty string."""
     return F.coalesce(F.col(text), F.lit(""))

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from envspark.llm.common import connected_components, cut_lineage, member_of
+from envspark.llm.common import connected_components, cut_lineage, member_of, small_batches
 from envspark.llm.hashing import FACTORS, NOT_SPACE, blocks, mix, word_hashes
 
 GROUPS = 64             # coordinates of a count vector
@@ -311,7 +311,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     share: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest id
     reachable over links (Jaccard similarity of at least ``share`` percent)."""
-    sets = cut_lineage(document_sets(docs, n, id_col, text_col))
+    sets = cut_lineage(document_sets(small_batches(docs), n, id_col, text_col))
     comps = connected_components(set_links(docs, sets, n, share, id_col, text_col))
     own = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = own.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))

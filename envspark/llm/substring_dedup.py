@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from envspark.llm.common import small_batches
+
 UNIT = re.compile(r"[^\n.!?]*[.!?]+|[^\n.!?]+")
 WORDS = re.compile(r"\w+")
 SCHEMA = "doc_id long, unit int, start int, end int, n_words int, h1 long, h2 long"
@@ -47,7 +49,7 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All units of all texts: document, unit number, [start, end) in code
     points, words and the 128-bit digest of the normalised unit."""
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return (small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
             .mapInPandas(_cut, SCHEMA))
 
 
