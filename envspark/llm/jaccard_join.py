@@ -125,7 +125,8 @@ def _cells_of(s: np.ndarray, bounds: Bounds) -> np.ndarray:
         d = bounds.difference(band)
         if not d:
             continue                    # only equal sets link, and they are one node
-        spare = 3 + d // 32
+        # half as many again as a random set of the band's least size leaves empty
+        spare = 4 + int(1.6 * d * np.exp(-bounds.edges[band] / (1.08 * d + 4)))
         m = d + 1 + spare
         group = (mixed % np.uint64(m)).astype(np.intp)
         content = np.zeros(m, np.uint64)
@@ -330,4 +331,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = jaccard_classes(docs, id_col, text_col, n, share)
     gone = (classes.where(F.col(id_col) != F.col("component_id"))
             .select(F.col(id_col).cast("long").alias("__gone")).distinct())
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = cut_lineage(gone)
+    maybe = F.coalesce(member_of(gone, F.col(id_col).cast("long")), F.lit(False))
+    return (docs.where(maybe).join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+            .union(docs.where(~maybe)))
