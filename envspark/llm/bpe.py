@@ -26,6 +26,7 @@ import hashlib
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -43,7 +44,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Bytes in, token ids out; see the module text."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes = {i: b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
@@ -190,7 +191,7 @@ def _worker(lines: bytes, pattern: str, memo: int):
 
 
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                 with_ids: bool = True, memo: int = 500_000, block: int = 1 << 20) -> DataFrame:
+                 with_ids: bool = True, memo: int = 250_000, block: int = 1 << 20) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and (``with_ids``) the ids.
 
     A narrow map: nothing is shuffled.  The rank file is read once on the
@@ -206,7 +207,7 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "d
         transducer, split, memoised = _worker(shared.value, pattern, memo)
         token_bytes = transducer.bytes.__getitem__
         for pdf in batches:
-            out = []
+            out, held = [], 0
             for doc, text in zip(pdf["__id"], pdf["__text"]):
                 ids_hash, text_hash, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
                 for packed in _packed(text or "", split, memoised, block):
@@ -215,11 +216,19 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "d
                     ids_hash.update(packed)
                     text_hash.update(b"".join(map(token_bytes, ids)))
                     if with_ids:
-                        kept += ids
-                out.append((doc, n, ids_hash.hexdigest(), text_hash.hexdigest()) + ((kept,) if with_ids else ()))
-            frame = pd.DataFrame(out, columns=["__id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-            frame["__id"] = frame["__id"].astype("Int64")
-            yield frame
+                        kept.append(packed)
+                ids = (np.frombuffer(b"".join(kept), "<i4"),) if with_ids else ()
+                out.append((doc, n, ids_hash.hexdigest(), text_hash.hexdigest(), *ids))
+                held += n
+                if held > 500_000:
+                    yield frame(out)
+                    out, held = [], 0
+            yield frame(out)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["__id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        made["__id"] = made["__id"].astype("Int64")
+        return made
     src = small_batches(docs).select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     return src.mapInPandas(run, schema).withColumnRenamed("__id", id_col)
 
