@@ -56,10 +56,19 @@ class Transducer:
     def reset(self) -> None:
         # a state: the bytes since the first open end, and for each open end
         # how far back it lies and the last token there (-1: piece start)
-        start = (b"", ((0, -1),))
-        self.states: dict[tuple, int] = {start: 0}
-        self.keys: list[tuple] = [start]
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        start = self.pack(b"", [(0, -1)])
+        self.states: dict[bytes, int] = {start: 0}
+        self.keys: list[bytes] = [start]
+        self.moves: dict[int, int] = {}     # state and byte -> next state and token, packed
+
+    @staticmethod
+    def pack(window: bytes, ends: list[tuple[int, int]]) -> bytes:
+        return struct.pack("<I", len(window)) + window + b"".join(struct.pack("<Ii", *e) for e in ends)
+
+    @staticmethod
+    def unpack(key: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+        n = 4 + int.from_bytes(key[:4], "little")
+        return key[4:n], list(struct.iter_unpack("<Ii", key[n:]))
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the lowest-ranked neighbours until none is left (used on one
@@ -77,14 +86,15 @@ class Transducer:
             return True
         known = self.pair.get((left, right))
         if known is None:
-            if len(self.pair) > 2_000_000:
+            if len(self.pair) > 300_000:
                 self.pair.clear()
             known = self.pair[left, right] = self.merge(self.bytes[left] + self.bytes[right]) == [left, right]
         return known
 
-    def step(self, key: tuple, byte: int) -> tuple[tuple, int]:
+    def step(self, key: bytes, byte: int) -> tuple[bytes, int]:
         """Follow one byte: the new state and the token that ends there."""
-        window, ends = key[0] + bytes((byte,)), key[1]
+        window, ends = self.unpack(key)
+        window += bytes((byte,))
         n, token, live = len(window), None, []
         for back, left in ends:
             piece = window[n - 1 - back:]
@@ -96,23 +106,22 @@ class Transducer:
         if token is None:
             raise ValueError("the vocabulary lacks single bytes")
         live.append((0, token))
-        return (window[n - live[0][0]:], tuple(live)), token
+        return self.pack(window[n - live[0][0]:], live), token
 
-    def move(self, state: int, byte: int) -> tuple[int, int]:
+    def move(self, state: int, byte: int) -> int:
         key, token = self.step(self.keys[state], byte)
         to = self.states.get(key)
         if to is None:
             to = self.states[key] = len(self.keys)
             self.keys.append(key)
-            self.moves.append({})
-        made = self.moves[state][byte] = (to, token)
+        made = self.moves[state << 8 | byte] = to << 32 | token
         return made
 
     def settled(self, ending: list[int], state: int) -> int:
         """The last position that the token chains behind all open ends of
         the state share: tokens up to there are certain."""
         chains = []
-        for back, _ in self.keys[state][1]:
+        for back, _ in self.unpack(self.keys[state])[1]:
             p, chain = len(ending) - back, set()
             while p > 0:
                 chain.add(p)
@@ -139,8 +148,11 @@ class Transducer:
             self.reset()
         state, ending, out, moves = 0, [], [], self.moves
         for byte in piece:
-            state, token = moves[state].get(byte) or self.move(state, byte)
-            ending.append(token)
+            made = moves.get(state << 8 | byte)
+            if made is None:
+                made = self.move(state, byte)
+            state = made >> 32
+            ending.append(made & 0xFFFFFFFF)
             if len(ending) >= lookahead:
                 sure = self.settled(ending, state)
                 out += self.path(ending, sure)
@@ -191,7 +203,7 @@ def _worker(lines: bytes, pattern: str, memo: int):
 
 
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                 with_ids: bool = True, memo: int = 250_000, block: int = 1 << 20) -> DataFrame:
+                 with_ids: bool = True, memo: int = 150_000, block: int = 1 << 20) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and (``with_ids``) the ids.
 
     A narrow map: nothing is shuffled.  The rank file is read once on the
