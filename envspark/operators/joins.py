@@ -77,7 +77,7 @@ def grid_candidates(points: DataFrame, x: str, y: str, boxes: DataFrame, min_x:
                                                   F.col("__cell"))))
     bx = bx.select("*", F.col("__c.cx").alias("__cx"), F.col("__c.cy").alias("__cy")).drop("__c", "__cell")
     # the levels present: a handful of small integers (bounded by log2 of the extent range)
-    levels = [r[0] for r in bx.select("__lvl").distinct().limit(64).collect()] or [0]
+    levels = [r[0] for r in bx.select("__lvl").distinct().collect()] or [0]
     pts = points.select("*", F.explode(F.array(*[F.lit(v) for v in levels])).alias("__lvl"))
     cell = F.lit(base_cell) * F.pow(F.lit(2.0), F.col("__lvl"))
     pts = pts.select("*", F.floor(F.col(x) / cell).alias("__cx"), F.floor(F.col(y) / cell).alias("__cy"))

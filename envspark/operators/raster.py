@@ -28,15 +28,14 @@ def pixel_bands(pixels: DataFrame, bands: Sequence[str] = ("B04", "B03", "B02"),
                 fallback: bool = True) -> DataFrame:
     """wide table ``(image_id, row, col, <band>...)`` for the requested
     band names.  When none of them exists the first three bands (by name)
-    are used instead.  The pivot has an explicit value list: one shuffle,
-    no extra pass to discover values."""
+    are used instead.  One conditional aggregate: one shuffle."""
     bands = list(bands)
     if fallback:
-        # band names are metadata (a handful of values), not data
-        present = [r["band"] for r in pixels.select("band").distinct().orderBy("band").limit(1024).collect()]
-        if not any(b in present for b in bands):
-            bands = present[:3]
-    return (pixels.groupBy(IMG, "row", "col").pivot("band", bands).agg(F.first("value")))
+        names = pixels.select("band").where(F.col("band").isNotNull())
+        if names.where(F.col("band").isin(*bands)).isEmpty():
+            bands = [r["band"] for r in names.distinct().orderBy("band").limit(3).collect()]
+    return pixels.groupBy(IMG, "row", "col").agg(
+        *[F.first(F.when(F.col("band") == b, F.col("value")), ignorenulls=True).alias(b) for b in bands])
 
 
 def scl_cloud_mask(pixels: DataFrame, scl_band: str = "B02", scl_expr=None) -> DataFrame:

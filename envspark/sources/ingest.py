@@ -194,8 +194,11 @@ def register_sources(new: DataFrame, existing: DataFrame, order_col: str = "id")
     reason = (F.when(F.col("name").isNull(), "missing name").when(F.col("type").isNull(), "missing type")
               .when(~F.col("type").isin(*SOURCE_TYPES), "invalid type"))
     checked = new.withColumn("__reason", reason)
+    # only valid rows compete for a name
+    valid = checked.where(F.col("__reason").isNull())
     w = Window.partitionBy("name").orderBy(F.col(order_col))
-    ranked = checked.withColumn("__rank", F.when(F.col("__reason").isNull(), F.row_number().over(w)))
+    ranked = (valid.withColumn("__rank", F.row_number().over(w))
+              .unionByName(checked.where(F.col("__reason").isNotNull()).withColumn("__rank", F.lit(None).cast("int"))))
     taken = existing.select(F.col("name").alias("__taken")).distinct()
     j = ranked.join(taken, ranked["name"] == taken["__taken"], "left")
     final_reason = F.coalesce(F.col("__reason"), F.when(F.col("__taken").isNotNull(), "duplicate name"),

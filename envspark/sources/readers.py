@@ -79,10 +79,13 @@ def scan_image_catalog(spark: SparkSession, root: str, max_samples: int | None =
               .select(F.col("path").alias("label_path"),
                       F.regexp_extract(name, r"^(.*)_mask\.tif$", 1).alias("__stem"),
                       F.regexp_extract("path", r"^(.*)/labels/[^/]+$", 1).alias("__root")))
-    j = images.join(labels, (images["image_id"] == labels["__stem"])
-                    & ((images["__dir"] == labels["__root"])
-                       | (F.regexp_extract(images["__dir"], r"^(.*)/[^/]+$", 1) == labels["__root"])), "left")
-    out = j.select("image_id", "path", "label_path", "split", "length")
+    # the folder beside the image goes before the one beside its parent
+    labels = labels.groupBy("__stem", "__root").agg(F.min("label_path").alias("label_path"))
+    up = labels.select(F.col("__stem").alias("__stem2"), F.col("__root").alias("__root2"), F.col("label_path").alias("__up"))
+    j = (images.withColumn("__parent", F.regexp_extract("__dir", r"^(.*)/[^/]+$", 1))
+         .join(labels, (F.col("image_id") == F.col("__stem")) & (F.col("__dir") == F.col("__root")), "left")
+         .join(up, (F.col("image_id") == F.col("__stem2")) & (F.col("__parent") == F.col("__root2")), "left"))
+    out = j.select("image_id", "path", F.coalesce("label_path", "__up").alias("label_path"), "split", "length")
     if max_samples is not None:
         out = out.orderBy("path").limit(max_samples)   # sampling operator: the limit is the feature
     return out
