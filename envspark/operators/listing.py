@@ -197,6 +197,8 @@ def query_points(points: DataFrame, measurement: str, start, stop, tags: dict |
     sees rows that passed the pushed-down range filter."""
     df = points.where((F.col("measurement") == measurement)
                       & (F.col("time") >= ts_lit(start)) & (F.col("time") < ts_lit(stop)))
+    if "date" in points.columns:        # the sink's partitions: prune them
+        df = df.where((F.col("date") >= F.to_date(ts_lit(start))) & (F.col("date") <= F.to_date(ts_lit(stop))))
     for k, v in (tags or {}).items():
         df = df.where(F.col("tags")[k] == F.lit(str(v)))
     # maps are not hashable: the series key uses the sorted tag entries.
@@ -205,4 +207,4 @@ def query_points(points: DataFrame, measurement: str, start, stop, tags: dict |
     series_key = [F.col("measurement"), F.array_sort(F.map_entries("tags")), F.col("field")]
     w = Window.partitionBy(*series_key).orderBy(F.col("time"), F.col("value"))
     return (df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= limit)
-            .drop("__rn"))
+            .drop("__rn").orderBy("time", "value"))

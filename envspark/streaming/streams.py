@@ -183,14 +183,17 @@ def stream_running_zscore(readings: DataFrame, col: str, threshold: float = 3.0,
     (``applyInPandasWithState``); each reading is scored against the
     statistics of the readings before it (sample std), then folded in."""
     ship_package(readings.sparkSession)
-    out_schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(time_col, T.TimestampNTZType()),
+    ties = ["id"] if "id" in readings.columns and key != "id" else []
+    out_schema = T.StructType([T.StructField(key, readings.schema[key].dataType), T.StructField(time_col, T.TimestampNTZType()),
                                T.StructField(col, T.DoubleType()), T.StructField("zscore", T.DoubleType()),
                                T.StructField("anomaly", T.BooleanType())])
 
     def fold(k, batches: Iterable[pd.DataFrame], state: GroupState):
         n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
-        for pdf in batches:
-            pdf = pdf.sort_values(time_col, kind="mergesort")
+        # a key's rows of the micro-batch may come in several Arrow batches
+        held = list(batches)
+        for pdf in [pd.concat(held)] if held else []:
+            pdf = pdf.sort_values([time_col, *ties], kind="mergesort")
             zs, flags = [], []
             for x in pdf[col].to_numpy(dtype=float):
                 if x != x:  # null reading: not scored, not folded
@@ -209,7 +212,7 @@ def stream_running_zscore(readings: DataFrame, col: str, threshold: float = 3.0,
             yield pd.DataFrame({key: pdf[key].to_numpy(), time_col: pdf[time_col].to_numpy(),
                                 col: pdf[col].to_numpy(dtype=float), "zscore": zs, "anomaly": flags})
 
-    slim = readings.select(key, time_col, F.col(col).cast("double").alias(col))
+    slim = readings.select(key, time_col, F.col(col).cast("double").alias(col), *ties)
     return slim.groupBy(key).applyInPandasWithState(fold, out_schema, RUNNING_SCHEMA, "append",
                                                     GroupStateTimeout.NoTimeout)
 
