@@ -249,6 +249,30 @@ def test_decontamination(spark):
     assert decontaminate.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_an_item_in_many_rows(spark):
+    """Copies of a passage make its own words frequent; they are found all the
+    same, up to a passage in every row, and blocks are cut by terms."""
+    rng = random.Random(8)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    items = [say(30) for _ in range(3)]
+    texts = [f"{say(60)} {items[0]} {items[1] if i % 3 == 0 else ''} {items[2] if i == 7 else ''} {say(60)}" for i in range(90)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, 0) for i in range(90)} | {(i, 1) for i in range(0, 90, 3)} | {(7, 2)}
+    df = docs_of(spark, texts, 0)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == want
+    assert decontaminate.without_leaks(df, bench).count() == 0
+
+
+def test_decontamination_of_an_item_with_many_words(spark):
+    """No word of an item is left out, however many terms the items hold."""
+    words = [f"w{i}x" for i in range(decontaminate.LATENT + 2000)]
+    bench = spark.createDataFrame([(0, " ".join(words)), (1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    index = list(decontaminate.build_indexes(docs_of(spark, [f"lead {' '.join(words[:500])}"]), bench, "doc_id", "text",
+                                             "item_id", "text", 0.1, 0.6, 0.4))
+    assert [i.ids for i in index] == [[0], [1]]
+    assert all((i.row[decontaminate.term_ids(w)] >= 0).all() for i in index for w in i.words)
+
+
 def test_html(spark):
     menu = "<nav><a>Home</a><a>News</a></nav>"
     pages = [
