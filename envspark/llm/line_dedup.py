@@ -15,8 +15,10 @@ of all documents adds one row to its cells.  In a cell, members are first
 compared with one pivot (the member of most cells); only pairs that are not
 both linked to it are compared with each other.
 
-Lines are compared as they are.  Lines below ``min_chars`` code points are
-kept untouched (two edits would turn one into another).  Null and empty texts
+Lines are compared as they are.  Lines below ``min_chars`` code points take no
+part in the edit join (two edits would turn one into another); equal ones are
+one class from ``exact_chars`` code points on (``min_chars`` unless given).
+Shorter lines of white space only separate others and stay.  Null and empty texts
 have no lines; a null id ranks last; rows with the same id share its places,
 so equal lines of theirs at the same number stay or go together.
 """
@@ -32,11 +34,15 @@ TAU, MIN_CHARS, HOT = 2, 30, 1000
 LETTERS = "eatinorsdhlcumg, "
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc_id, line_no, line and its 64-bit hash, for lines long enough."""
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """doc_id, line_no, line and its 64-bit hash, for lines long enough and,
+    from ``exact_chars`` on, shorter ones that are not blank."""
+    taken = F.length("line") >= min_chars
+    if exact_chars is not None:
+        taken = taken | (F.length("line") >= exact_chars) & F.col("line").rlike(r"\S")
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__t"))
             .select("doc_id", F.posexplode(F.split("__t", "\n", -1)).alias("line_no", "line"))
-            .where(F.length("line") >= min_chars)
+            .where(taken)
             .withColumn("node", F.xxhash64("line")))
 
 
@@ -174,18 +180,19 @@ def line_links(lines: DataFrame, once: DataFrame, tau: int) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU,
-                 min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+                 min_chars: int = MIN_CHARS, hot: int = HOT, exact_chars: int | None = None) -> DataFrame:
     """Every line that is not the first of its class: doc_id, line_no, node,
     class_id (smallest node), and the kept place (kept_doc_id, kept_line_no)."""
-    lines = lines_of(docs, id_col, text_col, min_chars)
+    lines = lines_of(docs, id_col, text_col, min_chars, exact_chars)
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
     counts = cut_lineage(lines.groupBy("node").agg(F.count("*").alias("n"), F.min(place).alias("first")))
     frequent = counts.where(F.col("n") > hot).select("node")
     # lines that the sketch takes for frequent without need are only taken once too
     often = F.coalesce(member_of(frequent, F.col("node")), F.lit(False))
-    once = (lines.select("node", "line").where(~often)
-            .union(lines.where(often).groupBy("node").agg(F.min("line").alias("line"))))
-    comps = connected_components(line_links(lines, once, tau))
+    long = lines.where(F.length("line") >= min_chars)
+    once = (long.select("node", "line").where(~often)
+            .union(long.where(often).groupBy("node").agg(F.min("line").alias("line"))))
+    comps = connected_components(line_links(long, once, tau))
     classed = counts.join(comps, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
     first = classed.groupBy("class_id").agg(F.min("first").alias("kept"), F.sum("n").alias("lines")).where("lines > 1")
     of_node = (classed.join(first, "class_id")
@@ -197,11 +204,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU,
-                 min_chars: int = MIN_CHARS, hot: int = HOT, length_col: str | None = None) -> DataFrame:
+                 min_chars: int = MIN_CHARS, hot: int = HOT, length_col: str | None = None,
+                 exact_chars: int | None = None) -> DataFrame:
     """The documents with their repeated lines taken out (all columns kept;
     a document without repeated lines is untouched; one of which nothing is
     left is gone).  ``length_col`` is brought up to date."""
-    gone = cut_lineage(line_classes(docs, id_col, text_col, tau, min_chars, hot)
+    gone = cut_lineage(line_classes(docs, id_col, text_col, tau, min_chars, hot, exact_chars)
                        .groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone")))
     own = F.col(id_col).cast("long")
     maybe = F.coalesce(member_of(gone.select("__id").where("__id is not null"), own), F.lit(True))

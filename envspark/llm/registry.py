@@ -49,7 +49,7 @@ def op5_secret_scan(spark, sf_dir):
 
 @query
 def op6_line_dedup(spark, sf_dir):
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), exact_chars=1)
 
 
 @query

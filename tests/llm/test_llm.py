@@ -216,6 +216,20 @@ def test_line_classes(spark):
     assert line_dedup.remove_lines(odd).count() == len(ODD) and line_dedup.line_classes(none_of(spark)).count() == 0
 
 
+def test_short_lines_that_repeat_exactly(spark, tmp_path):
+    """Short lines are classed by equality alone, in the query and the stage."""
+    import corpus_pipeline
+    from envspark.llm import registry
+    texts = [f"Licensed under CC BY-NC 4.0.\n \n\nown line of document number {'abcdefgh'[i] * 9}\nab{'cd'[i % 2]}" for i in range(8)]
+    docs_of(spark, texts, 0).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.line_no, r.kept_doc_id) for r in registry.QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {(i, 0, 0) for i in range(1, 8)} | {(i, 4, i % 2) for i in range(2, 8)}
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_filter(spark, docs_of(spark, texts, 0), "").collect()}
+    for i, t in enumerate(texts):
+        lines = t.split("\n")
+        assert left[i] == "\n".join([*lines[:1] * (i == 0), *lines[1:4], *lines[4:] * (i < 2)])
+
+
 def test_substring_dedup(spark):
     passage = "Alpha beta gamma delta epsilon zeta eta theta. " * 1 + "Iota kappa lambda mu nu xi omicron pi rho and some more words. Sigma tau upsilon phi chi psi omega again and again."
     texts = [f"First one starts here {passage} It ends so.", f"Another beginning {passage} With another end.", "Nothing of the kind. In this one."]
