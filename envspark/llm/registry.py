@@ -34,7 +34,7 @@ def op2_decontaminate(spark, sf_dir):
 
 @query
 def op3_substring_dedup(spark, sf_dir):
-    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=0)
 
 
 @query

@@ -243,6 +243,24 @@ def test_substring_dedup(spark):
     assert substring_dedup.repeated_units(docs_of(spark, ODD)).count() == 0 == substring_dedup.repeated_units(none_of(spark)).count()
 
 
+def test_substring_dedup_gives_every_repeat(spark, tmp_path):
+    """Short units in the query; runs over units without words, per row."""
+    from envspark.llm import registry
+    ten = "a b c d e f g h i j"
+    passage = f"{ten}. \n---\n{ten.upper()} k l. \n---\nshort one."
+    rows = [(1, passage), (2, f"own words. {passage}"), (2, f"other beginning here. {passage}"), (None, passage), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["op3_substring_dedup"](spark, str(tmp_path)).collect()
+    assert {r.kept_doc_id for r in got} == {1} and len(got) == 4 * 3
+    assert {r.run_words for r in got} == {24}
+    assert len({(r.doc_id, r.row, r.copy) for r in got}) == 4
+    left = sorted(r.text for r in substring_dedup.remove_units(df, substring_dedup.repeated_units(df)).collect())
+    assert passage in left and sum(ten in t for t in left) == 1
+    twice = docs_of(spark, ["One two. Three."]).union(docs_of(spark, ["One two. Three."]))
+    assert substring_dedup.repeated_units(twice, min_words=0).count() == 2
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     vocabulary = [f"{a}{b}" for a in "bcdfghjklm" for b in ("an", "et", "or", "iv", "us", "ol", "ap", "em", "ik", "ud")]
