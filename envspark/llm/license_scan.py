@@ -1,9 +1,10 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A rule is a regular expression over the normalised text (words joined by one
-space) with a label, a priority and a confidence.  A text is looked at
-closely only if the gate expression finds a license word in it; of the rules
-only those whose keyword is among the text's words run.  Overlapping
+space) with a label, a priority and a confidence.  A normalised text is
+looked at closely only if it holds the gate phrase of some rule; of the rules
+only those whose keyword is among the text's words run.  Every match of a rule
+holds both its gate phrase and its keyword.  Overlapping
 detections are resolved by interval containment: a detection inside an
 earlier-starting, longer or higher-priority one is suppressed.
 
@@ -23,7 +24,7 @@ from envspark.llm.common import blank, spaces, spans
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"      # either case; the normalised text is lower case
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-GATE = r"(?i)licen[cs]e|copyright|copyleft|spdx|all rights reserved|public domain|creative commons"
+LICENSE = "licen[cs]ed?"         # gate of the base phrases, too
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -72,35 +73,36 @@ FAMILIES = (
     ("mulan", "mulan", "(?:the )?mulan (?:permissive|public)", "mulanpsl 2 0"),
 )
 
-# how a license is announced: pattern around the name, confidence
+# how a license is announced: pattern around the name, confidence, gate (words
+# that every match holds)
 TEMPLATES = (
-    ("spdx license identifier {spdx}", 1.0),
-    ("(?:is |are )?licen[cs]ed under (?:the terms of )?{name}(?: licen[cs]e)?(?: version)?(?: \\d+)*", 0.95),
-    ("(?:is |are )?released under (?:the terms of )?{name}(?: licen[cs]e)?(?: version)?(?: \\d+)*", 0.95),
-    ("(?:is |are )?distributed under (?:the terms of )?{name}(?: licen[cs]e)?(?: version)?(?: \\d+)*", 0.95),
-    ("available under (?:the terms of )?{name}(?: licen[cs]e)?(?: version)?(?: \\d+)*", 0.9),
-    ("subject to (?:the terms of )?{name} licen[cs]e(?: version)?(?: \\d+)*", 0.9),
-    ("see {name} licen[cs]e for (?:more )?details", 0.85),
-    ("{name} licen[cs]e(?: version)?(?: \\d+)*", 0.7),
+    ("spdx license identifier {spdx}", 1.0, "spdx"),
+    ("(?:is |are )?licen[cs]ed under (?:the terms of )?{name}(?: licen[cs]e)?(?: version)?(?: \\d+)*", 0.95, LICENSE),
+    ("(?:is |are )?released under (?:the terms of )?{name}(?: licen[cs]e)?(?: version)?(?: \\d+)*", 0.95, "released under"),
+    ("(?:is |are )?distributed under (?:the terms of )?{name}(?: licen[cs]e)?(?: version)?(?: \\d+)*", 0.95, "distributed under"),
+    ("available under (?:the terms of )?{name}(?: licen[cs]e)?(?: version)?(?: \\d+)*", 0.9, "available under"),
+    ("subject to (?:the terms of )?{name} licen[cs]e(?: version)?(?: \\d+)*", 0.9, LICENSE),
+    ("see {name} licen[cs]e for (?:more )?details", 0.85, LICENSE),
+    ("{name} licen[cs]e(?: version)?(?: \\d+)*", 0.7, LICENSE),
 )
 
-# signatures without a named family: label, keyword, pattern, confidence
+# signatures without a named family: label, keyword, pattern, confidence, gate
 NOTICES = (
-    ("all-rights-reserved", "reserved", "(?:copyright )?all rights reserved", 0.6),
-    ("copyright", "copyright", "copyright(?: c)? \\d{4}", 0.5),
-    ("public-domain", "domain", "(?:released into|dedicated to|in) the public domain", 0.7),
-    ("proprietary", "proprietary", "proprietary and confidential", 0.8),
+    ("all-rights-reserved", "reserved", "(?:copyright )?all rights reserved", 0.6, "all rights reserved"),
+    ("copyright", "copyright", "copyright(?: c)? \\d{4}", 0.5, "copyright"),
+    ("public-domain", "domain", "(?:released into|dedicated to|in) the public domain", 0.7, "public domain"),
+    ("proprietary", "proprietary", "proprietary and confidential", 0.8, "proprietary and confidential"),
 )
 
 
 def signature_rules() -> list[dict]:
     """The ordered rules: every family in every template (specific templates
     first), then the notices.  The position is the priority."""
-    rules = [{"label": label, "keyword": keyword, "confidence": conf,
+    rules = [{"label": label, "keyword": "spdx" if "{spdx}" in template else keyword, "confidence": conf, "gate": gate,
               "pattern": "(?<= )" + template.format(name=name, spdx=spdx) + "(?= )"}
-             for template, conf in TEMPLATES for label, keyword, name, spdx in FAMILIES]
-    rules += [{"label": label, "keyword": keyword, "confidence": conf, "pattern": f"(?<= ){pattern}(?= )"}
-              for label, keyword, pattern, conf in NOTICES]
+             for template, conf, gate in TEMPLATES for label, keyword, name, spdx in FAMILIES]
+    rules += [{"label": label, "keyword": keyword, "confidence": conf, "gate": gate, "pattern": f"(?<= ){pattern}(?= )"}
+              for label, keyword, pattern, conf, gate in NOTICES]
     return [dict(r, priority=i) for i, r in enumerate(rules)]
 
 
@@ -135,10 +137,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         "map<string,array<struct<label:string,keyword:string,confidence:double,"
                         "pattern:string,priority:int>>>")
     keys = F.array(*[F.lit(k) for k in by_key])
+    # a rule without a gate lets every text pass
+    gate = f" (?:{'|'.join(sorted({LICENSE, *(r.get('gate', '') for r in rules)}))}) " if all(r.get("gate") for r in rules) else ""
     gated = (docs.select(F.col(id_col), blank(text_col).alias("__t"))
              .withColumn("n_words", F.regexp_count("__t", F.lit(WORD)).cast("long"))
-             .withColumn("__n", F.when(F.col("__t").rlike(GATE), _normal(F.col("__t"))))
-             .drop("__t"))
+             .withColumn("__all", _normal(F.col("__t")))
+             .withColumn("__n", F.when(F.col("__all").rlike(gate), F.col("__all")))
+             .drop("__t", "__all"))
     norm = F.col("__n")
     def base_places(phrase, label):
         return F.transform(spans(norm, F.lit(f"(?<= ){phrase}(?= )"), spaces),

@@ -3,6 +3,7 @@ odd case and on the smallest tables."""
 
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -55,6 +56,19 @@ def test_license_rules_and_containment(spark):
     assert [(f.label, f.start) for f in r.found] == [("apache", 1), ("mit", 11)]
 
 
+def test_every_license_rule_on_a_sentence_of_its_own(spark):
+    def sentence(pattern):
+        s = pattern.replace("(?<= )", "").replace("(?= )", "").replace("[cs]", "s").replace("(?: \\d+)*", "").replace("\\d{4}", "2020")
+        s = re.sub(r"\(\?:[^()]*\)\?", "", re.sub(r"\(\?:(the |sil |gnu )\)\?", "", s))
+        return re.sub(r"\(\?:([^()|]*)\|[^()]*\)", r"\1", s).replace(" ", "\n")
+    rules = license_scan.signature_rules()
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(spark, [sentence(r["pattern"]) for r in rules], 0)).collect()}
+    assert [(r["pattern"], got[r["priority"]].found) for r in rules if r["label"] not in {f.label for f in got[r["priority"]].found}] == []
+    texts = ["// SPDX-License-Identifier: MPL-2.0", "Released under the GPL v3", "proprietary and\nconfidential", "in the  public\ndomain"]
+    labels = {r.doc_id: r.labels for r in license_scan.license_report(docs_of(spark, texts)).collect()}
+    assert labels == {1: "mpl", 2: "gpl", 3: "proprietary", 4: "public-domain"}
+
+
 def test_secrets(spark, corpus):
     texts, df = corpus
     for r in secret_scan.secret_report(df).collect():
