@@ -26,7 +26,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"          # a maximal run of 24 or more
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}=*"       # = pads the end; the value of NAME=VALUE is a token of its own
 KINDS = ("assign", "access", "hex", "random")
 
 # encoding, what its tokens look like, alphabet in code order

@@ -83,6 +83,14 @@ def test_random_tokens_are_told_from_patterned_ones(spark):
     assert got == {1: 1, 2: 0}
 
 
+def test_random_values_after_an_equals_sign(spark):
+    rng = random.Random(5)
+    noise = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60))
+    texts = [f"AWS_KEY={noise}", f"https://h.example/p?sig={noise}&v=1", f"key {noise}== end"]
+    got = {r.doc_id: r.spans for r in secret_scan.secret_report(docs_of(spark, texts)).collect()}
+    assert got == {1: "random:8:68", 2: "random:24:84", 3: "random:4:66"}
+
+
 def test_merkle(spark, corpus):
     texts, df = corpus
     edited = brute.edited(texts)
