@@ -5,25 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import xxhash
 
 _RANDOM = np.random.default_rng(20240229)
 FACTORS = _RANDOM.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-
 #: whether a byte belongs to a word: all but ASCII white space; or ASCII letters, digits and all beyond ASCII
 NOT_SPACE = ~np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 ALPHANUMERIC = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]      # of _BASE and of its inverse modulo 2^64
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, x, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)      # masks of the first k bytes
+LONG = 256              # words of more bytes are hashed one by one
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,16 +27,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes], in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of some texts, in order, and where each
-    text's words begin (one more number than texts).  A word's hash is the
-    difference of two prefix sums over the joined bytes, moved to the origin."""
-    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    up, down = _powers(len(joined) + 1)
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_BYTES[joined] * up[:len(joined)], out=sums[1:])
-    word = np.r_[False, in_word[joined]]
+    text's words begin (one more number than texts).
+
+    A word is taken eight bytes at a time and the hash is mixed after each
+    piece, so words of up to eight bytes and equal length never collide and
+    the order of the bytes leaves no algebraic trace."""
+    joined = b" ".join(texts) + b" " + bytes(8)
+    eight = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+    word = np.r_[False, in_word[np.frombuffer(joined, np.uint8, len(joined) - 8)]]
     starts = np.flatnonzero(word[1:] & ~word[:-1])
     ends = np.flatnonzero(word[:-1] & ~word[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    sizes = ends - starts
+    hashes = mix(sizes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    longest = min(int(sizes.max(initial=0)), LONG)
+    for at in range(0, longest, 8):
+        live = np.flatnonzero((sizes > at) & (sizes <= LONG))
+        piece = eight[starts[live] + at] & _TAILS[np.minimum(sizes[live] - at, 8)]
+        hashes[live] = mix(hashes[live] ^ piece)
+    for i in np.flatnonzero(sizes > LONG):
+        hashes[i] = xxhash.xxh3_64_intdigest(joined[starts[i]:ends[i]])
     return hashes, np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
 
 

@@ -8,7 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from envspark.llm import bpe, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, merkle, quality, secret_scan, substring_dedup
+from envspark.llm import (bpe, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, merkle, periodic_runs,
+                          quality, secret_scan, substring_dedup, superminhash, vector_codes)
 from envspark.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -71,3 +72,22 @@ def op9_merkle(spark, sf_dir):
 def op10_byte_bpe(spark, sf_dir):
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS),
                             public_tokenizers.PATTERN, with_ids=False)
+
+
+@query
+def op11_superminhash(spark, sf_dir):
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), n=4, share=80)
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op12_vector_codes"] = vector_codes.ORACLE_SQL
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), edit=periodic_runs.planted_period)
+    return periodic_runs.run_report(found)
