@@ -10,16 +10,16 @@
    At the similarity asked for (0.8), a pair shares none of 40 bands of 5 with
    a chance of 1.3e-7.
 3. *Verification.*  In a band's bucket all members are compared with one
-   member only, that met in most buckets, on the full sets.  What is not linked
-   with it is compared with the other members of that star which it is not
-   connected with yet: signatures in tiles first (no link has so few equal
-   components, five standard deviations), the survivors on the full sets.
+   member only, that met in most buckets, on the full sets.  Members outside
+   the component of this pivot are compared with the other members of its star
+   by their differences to the pivot, which give the exact similarity: many
+   pairs at once, in tiles of bounded size.  A tile returns only links that
+   join components, less than it has rows.
 4. *Grouping.*  Connected components of the links (union by smallest label).
 
 Nodes are distinct shingle sets, named by 64 bits of their digest, so copies
-meet before any pair is made.  Pairs that no member settles grow with the
-square of the unsettled members of one star; they are spread over tiles of
-bounded size.
+meet before any pair is made.  The work in tiles grows with the square of the
+members of one star that its pivot leaves apart; their rows do not.
 
 Null and empty texts (or white space only) have no shingles and link with
 nothing.  Texts with fewer words than a shingle are one shingle.  Repeated
@@ -44,7 +44,9 @@ from envspark.llm.jaccard_join import set_digest, shingle_sets
 SIZE = 200              # components of a signature (256 at most: slots are bytes)
 ROWS = 5                # components of a band
 STAR = 256              # members compared with one copy of their pivot's text
-TILE = 512              # members on each side of a tile
+TILE = 1024             # members on each side of a tile
+LEAF = 1 << 19          # differing shingles on each side of a tile
+COLUMNS = 4096          # shingles of one incidence matrix
 LEVEL = np.uint64(32)   # bits of a value below its level
 
 
@@ -89,32 +91,24 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def least_equal(size: int, share: int) -> int:
-    """Equal low bytes of the signatures of linked sets: the mean less five
-    standard deviations of independent draws."""
-    s = share / 100
-    return int(size * s - 5 * (size * s * (1 - s)) ** 0.5)
-
-
 def document_signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """Every row's id, set size and node; the first row of a node in a task
-    also has its ``bands`` and ``brief`` (the low byte of each component)."""
+    also has its ``bands``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
             sets = list(shingle_sets(pdf["text"], n))
             nodes = [set_digest(s) if len(s) else None for s in sets]
             fresh = [i for i, x in enumerate(nodes) if x is not None and x not in seen and not seen.add(x)]
-            bands, brief = [None] * len(sets), [None] * len(sets)
+            bands = [None] * len(sets)
             for at in range(0, len(fresh), 256):
                 some = fresh[at:at + 256]
-                sig = signatures([sets[i] for i in some])
-                for i, k, low in zip(some, band_keys(sig).view(np.int64), sig.astype(np.uint8)):
-                    bands[i], brief[i] = k, low.tobytes()
+                for i, keys in zip(some, band_keys(signatures([sets[i] for i in some])).view(np.int64)):
+                    bands[i] = keys
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
-                                "node": pd.array(nodes, "Int64"), "bands": bands, "brief": brief})
+                                "node": pd.array(nodes, "Int64"), "bands": bands})
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, "doc_id long, n_shingles long, node long, bands array<long>, brief binary"))
+            .mapInPandas(run, "doc_id long, n_shingles long, node long, bands array<long>"))
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame, n: int, text_col: str) -> DataFrame:
@@ -129,69 +123,124 @@ def node_texts(docs: DataFrame, nodes: DataFrame, n: int, text_col: str) -> Data
             .where(member_of(nodes, F.col("node"))).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
-    """(a, b, linked) of every pair, on the full sets.  The partners of one
-    ``a`` are dealt into shares of about STAR, each with one copy of its text."""
-    shares = (pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("shares")))
+def compared(pairs: DataFrame, texts: DataFrame, n: int, share: int, differences: bool = False) -> DataFrame:
+    """Every pair (a, b) with ``linked``, on the full sets - or with the size
+    ``n`` of b's set and its difference to a's (``diff``).  The partners of one
+    ``a`` are dealt into shares of about STAR, each with one copy of its text.
+    Further columns of the pairs are carried along."""
+    more = [c for c in pairs.columns if c not in ("a", "b")]
+    kinds = dict(pairs.dtypes)
+    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("shares"))
     partners = (pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
-                .join(texts.withColumnRenamed("node", "b"), "b").select("a", "share", "b", "text"))
+                .join(texts.withColumnRenamed("node", "b"), "b")
+                .select("a", "share", F.lit(1).alias("role"), "b", *more, "text"))
     heads = (shares.join(texts.withColumnRenamed("node", "a"), "a")
-             .select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
-                     F.lit(None).cast("long").alias("b"), "text"))
-    dealt = heads.union(partners).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+             .select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"),
+                     *[F.lit(0).cast(kinds[c]).alias(c) for c in ["b", *more]], "text"))
+    dealt = heads.union(partners).repartition("a", "share").sortWithinPartitions("a", "share", "role")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = None
         for pdf in batches:
-            out = []
-            for a, b, s in zip(pdf["a"], pdf["b"], shingle_sets(pdf["text"], n)):
-                if pd.isna(b):
+            found = []
+            for role, s in zip(pdf["role"], shingle_sets(pdf["text"], n)):
+                if not role:
                     head = s
+                elif differences:
+                    found.append((len(s), np.setxor1d(head, s, assume_unique=True).view(np.int64)))
                 else:
                     both = len(np.intersect1d(head, s, assume_unique=True))
-                    out.append((a, int(b), bool(100 * both >= share * (len(head) + len(s) - both))))
-            yield pd.DataFrame(out, columns=["a", "b", "linked"])
-    # b travels as a string: a null among 64-bit integers would turn them into floats
-    return (dealt.select("a", F.col("b").cast("string").alias("b"), "text")
-            .mapInPandas(run, "a long, b long, linked boolean"))
-
-
-def unsettled_pairs(star: DataFrame, comps: DataFrame, briefs: DataFrame, share: int) -> DataFrame:
-    """Pairs of members of one star, at least one of them not linked with its
-    pivot, that are not connected yet and whose signatures allow a link."""
-    least = least_equal(SIZE, share)
-    open_stars = star.where("not linked").select("a").distinct()
-    rows = (star.join(open_stars, "a", "left_semi")
-            .join(comps.withColumnRenamed("node", "b"), "b", "left")
-            .select("a", "b", "linked", F.coalesce("component", "b").alias("component")))
-    tiles = lambda of: F.ceil(F.sum(F.when(of, 1).otherwise(0)) / TILE).cast("int")
-    counts = (rows.groupBy("a").agg(F.count("*").alias("members"), tiles(~F.col("linked")).alias("open_tiles"),
-                                    tiles(F.col("linked")).alias("linked_tiles")).where("members > 1"))
+                    found.append((bool(100 * both >= share * (len(head) + len(s) - both)),))
+            out = pdf.loc[pdf["role"] == 1, ["a", "b", *more]].reset_index(drop=True)
+            yield out.join(pd.DataFrame(found, columns=["n", "diff"] if differences else ["linked"]))
+    carried = "".join(f", {c} {kinds[c]}" for c in more)
+    return (dealt.select("a", "role", "b", *more, "text")
+            .mapInPandas(run, f"a long, b long{carried}, " + ("n long, diff array<long>" if differences else "linked boolean")))
+
+
+def tile_links(x: pd.DataFrame, y: pd.DataFrame, share: int) -> list[tuple[int, int]]:
+    """Links between components that the rows of two leaves (columns
+    component, n, diff) bring together; none that follows from others.
+
+    Two sets differ in ``len(diff x) + len(diff y) - 2 both`` shingles; ``both``
+    is counted for all pairs by products of incidence matrices over the
+    shingles that occur on both sides."""
+    left, right = ([np.asarray(d, np.int64) for d in side["diff"]] for side in (x, y))
+    sizes = [np.array([len(d) for d in side], np.int64) for side in (left, right)]
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    both = np.zeros((len(left), len(right)), np.int64)
+    places = []
+    for side in (left, right):
+        flat, row = np.concatenate(side), np.repeat(np.arange(len(side)), [len(d) for d in side])
+        at = np.searchsorted(common, flat)
+        hit = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == flat) if len(common) else at[:0]
+        places.append((row[hit], at[hit]))
+    for begin in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - begin)
+        parts = []
+        for side, (row, at) in zip((left, right), places):
+            m = np.zeros((len(side), width), np.float32)
+            here = (at >= begin) & (at < begin + width)
+            m[row[here], at[here] - begin] = 1
+            parts.append(m)
+        both += (parts[0] @ parts[1].T).astype(np.int64)
+    total = x["n"].to_numpy(np.int64)[:, None] + y["n"].to_numpy(np.int64)
+    shared = (total - (sizes[0][:, None] + sizes[1] - 2 * both)) // 2
+    cx, cy = x["component"].to_numpy(np.int64), y["component"].to_numpy(np.int64)
+    i, j = np.nonzero((100 * shared >= share * (total - shared)) & (cx[:, None] != cy))
+    if not len(i):
+        return []
+    met = np.unique(np.stack((np.minimum(cx[i], cy[j]), np.maximum(cx[i], cy[j])), 1), axis=0)
+    top: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in top:
+            c = top[c]
+        return c
+    links = []
+    for a, b in met.tolist():
+        ra, rb = root(a), root(b)
+        if ra != rb:
+            top[max(ra, rb)] = min(ra, rb)
+            links.append((a, b))
+    return links
+
+
+def unsettled_links(star: DataFrame, comps: DataFrame, texts: DataFrame, n: int, share: int) -> DataFrame:
+    """Links (a, b) between components among the members of one star that its
+    pivot leaves apart.
+
+    Only stars with members outside their pivot's component and another member
+    are looked at.  Their members are dealt into leaves of bounded size, and
+    every pair of leaves that holds an outside member is one tile."""
+    named = (star.select("a", "b").join(comps.withColumnRenamed("node", "b"), "b", "left")
+             .select("a", "b", F.coalesce("component", "b").alias("component"))
+             .join(comps.select(F.col("node").alias("a"), F.col("component").alias("home")), "a", "left")
+             .withColumn("main", F.col("component") == F.coalesce("home", "a")).drop("home"))
+    stars = (named.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("main")).alias("outside"))
+             .where("members > 1 and outside > 0").select("a"))
+    rows = cut_lineage(compared(named.join(stars, "a", "left_semi").select("a", "b", "component", "main"),
+                                texts, n, share, differences=True))
+    leaves = lambda of: F.greatest(
+        F.ceil(F.count_if(of) / TILE), F.ceil(F.sum(F.when(of, F.size("diff")).otherwise(0)) / LEAF)).cast("int")
+    counts = rows.groupBy("a").agg(leaves(~F.col("main")).alias("outer"), leaves(F.col("main")).alias("inner"))
     rows = (rows.join(counts, "a")
-            .withColumn("tile", F.pmod(F.xxhash64("b"), F.when(F.col("linked"), F.col("linked_tiles"))
-                                       .otherwise(F.col("open_tiles"))).cast("int"))
-            .join(briefs.withColumnRenamed("node", "b"), "b"))
-    name = lambda left, linked, right: F.xxhash64("a", left, linked, right)
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    mine = F.concat(F.transform(F.sequence(F.col("tile"), F.col("open_tiles") - 1), lambda r: name("tile", F.lit(False), r)),
-                    F.transform(upto(F.col("linked_tiles")), lambda r: name("tile", F.lit(True), r)))
-    theirs = (F.when(F.col("linked"), F.transform(upto(F.col("open_tiles")), lambda m: name(m, F.lit(True), F.col("tile"))))
-              .otherwise(F.transform(F.sequence(F.lit(0), F.col("tile")), lambda m: name(m, F.lit(False), F.col("tile")))))
-    columns = ("key", "b", "component", "brief")
-    left = rows.where("not linked").select(F.explode(mine), "b", "component", "brief").toDF(*columns)
-    right = rows.select(F.explode(theirs), "b", "component", "brief").toDF(*columns)
-
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(x) and len(y):
-            other = np.frombuffer(b"".join(y["brief"]), np.uint8).reshape(len(y), -1)
-            names, theirs = y["b"].to_numpy(), y["component"].to_numpy()
-            for b, c, brief in zip(x["b"], x["component"], x["brief"]):
-                near = np.flatnonzero(((other == np.frombuffer(brief, np.uint8)).sum(1) >= least) & (theirs != c))
-                found += [(min(int(b), int(z)), max(int(b), int(z))) for z in names[near]]
+            .withColumn("leaf", F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.when(F.col("main"), F.col("inner"))
+                                                                   .otherwise(F.col("outer")))).cast("int")))
+    name = lambda left, main, right: F.xxhash64("a", left, main, right)
+    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    mine = F.concat(F.transform(F.sequence(F.col("leaf"), F.col("outer") - 1), lambda r: name("leaf", F.lit(False), r)),
+                    F.transform(upto(F.col("inner")), lambda r: name("leaf", F.lit(True), r)))
+    theirs = (F.when(F.col("main"), F.transform(upto(F.col("outer")), lambda m: name(m, F.lit(True), F.col("leaf"))))
+              .otherwise(F.transform(F.sequence(F.lit(0), F.col("leaf")), lambda m: name(m, F.lit(False), F.col("leaf")))))
+    columns = ("key", "component", "n", "diff")
+    left = rows.where("not main").select(F.explode(mine), "component", "n", "diff").toDF(*columns)
+    right = rows.select(F.explode(theirs), "component", "n", "diff").toDF(*columns)
+
+    def work(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = tile_links(x, y, share) if len(x) and len(y) else []
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-    return (left.groupBy("key").cogroup(right.groupBy("key")).applyInPandas(compare, "a long, b long")
-            .where("a <> b").distinct())
+    return left.groupBy("key").cogroup(right.groupBy("key")).applyInPandas(work, "a long, b long")
 
 
 def connected_nodes(docs: DataFrame, sets: DataFrame, n: int, share: int, text_col: str) -> DataFrame:
@@ -205,15 +254,13 @@ def connected_nodes(docs: DataFrame, sets: DataFrame, n: int, share: int, text_c
              .select("key", F.col("top.node").alias("a")))
     pairs = cut_lineage(met.join(pivot, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
     texts = cut_lineage(node_texts(docs, met.select("node").distinct(), n, text_col))
-    star = cut_lineage(verified(pairs, texts, n, share))
+    star = cut_lineage(compared(pairs, texts, n, share))
     comps = connected_components(star.where("linked"))
     if star.where("not linked").limit(1).count() == 0:
         return comps
     comps = cut_lineage(comps)
-    briefs = sets.where("brief is not null").select("node", "brief").dropDuplicates(["node"])
-    rest = verified(cut_lineage(unsettled_pairs(star, comps, briefs, share)), texts, n, share).where("linked")
     return connected_components(comps.select(F.col("component").alias("a"), F.col("node").alias("b"))
-                                .union(rest.select("a", "b")))
+                                .union(unsettled_links(star, comps, texts, n, share)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
