@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from envspark.operators.quantiles import exact_quantiles
+from envspark.operators.quantiles import exact_quantile_table
 from envspark.operators.series import _cols
 from envspark.operators.common import attach
 
@@ -66,11 +66,8 @@ def iqr_flags(df: DataFrame, cols=None, keys=("source_id",), time_col="ts",
         aggs = [(f"__q_{c}", F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75)))) for c in cols]
         j = _with_stats(df, keys, aggs, via)
     else:                                     # raw data: skew-safe exact quantiles, joined back
-        j = df
-        for c in cols:
-            q = exact_quantiles(df, c, [0.25, 0.75], keys, prefix=f"__iq_{c}").select(
-                *keys, F.array(F.col(f"__iq_{c}_q0"), F.col(f"__iq_{c}_q1")).alias(f"__q_{c}"))
-            j = attach(j, q, keys)
+        q = exact_quantile_table(df, cols, [0.25, 0.75], keys)
+        j = attach(df, q.select(*keys, *[F.array(f"{c}_q0", f"{c}_q1").alias(f"__q_{c}") for c in cols]), keys)
     flags = []
     for c in cols:
         q1, q3 = F.col(f"__q_{c}")[0], F.col(f"__q_{c}")[1]

@@ -1,23 +1,25 @@
-"""Exact quantiles per key without holding a group in one task.
+"""Exact quantiles per key, many columns at once, without holding or sorting
+a group in one task.
 
 Spark's exact ``percentile`` aggregate keeps a map of every distinct value of
 a group in one buffer: a sensor with a third of all readings would need that
 map in one task.  Here the wanted ranks are *selected*:
 
-1. per key the count n gives the ranks floor(h), ceil(h) with h = p (n - 1)
-   (linear interpolation, as ``percentile`` / numpy);
-2. the candidate range of every wanted rank starts as all values of its key;
-   one pass counts the candidates per rank and builds bucket edges with the
-   mergeable ``percentile_approx`` sketch (bounded memory, partial
-   aggregation);
-3. ranks whose candidate set is small are finished by ordering just those
-   rows; the others keep only the bucket that contains the rank (counts per
-   bucket are a small table) and repeat - each round divides the candidates
-   by about the number of buckets, so 1e12 rows need about three rounds;
-4. a bucket of equal values resolves immediately.
-
-When the largest group (counted first) is within ``small`` values, the
-bounded exact ``percentile`` aggregate is used directly.
+1. Rows are reduced to (key, column, value, count) with partial aggregation -
+   a value that makes up nearly all rows becomes one row before the shuffle.
+2. The ranks floor(h), ceil(h) with h = p (n - 1) are wanted (linear
+   interpolation, as ``percentile`` / numpy).  Each starts in the open interval
+   of all values of its key and column.
+3. Every round puts edges into every open interval (quantiles of its distinct
+   values from the mergeable ``percentile_approx`` sketch; an edge is a value
+   of the data) and counts three ways: between two edges, on an edge.  A rank
+   that falls on an edge is found; the others go on in the interval between
+   two edges, which has lost at least those values and usually all but a
+   ``buckets``-th part.  1e12 distinct values take about five rounds.
+
+Nothing is ever ordered but the counts of one interval (2 ``buckets`` + 1
+rows).  When the largest group (counted first) is within ``small`` values, the
+bounded ``percentile`` aggregate gives the same numbers in one pass.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from envspark.operators.common import join_on
+from envspark.session import cut_lineage
+
 
-def _bucket_index(df: DataFrame, edges: str, x: str, n_edges: int, out: str) -> DataFrame:
-    """Number of edges strictly below x (binary search, one column per step)."""
+def _edges_below(df: DataFrame, edges: str, x: str, n_edges: int, out: str) -> DataFrame:
+    """Number of edges strictly below x (binary search, one step per select)."""
     df = df.withColumn("__blo", F.lit(0)).withColumn("__bhi", F.size(edges))
     for _ in range(int(math.ceil(math.log2(max(n_edges, 1) + 1))) + 1):
         mid = ((F.col("__blo") + F.col("__bhi")) / 2).cast("int")
@@ -43,91 +48,91 @@ def _bucket_index(df: DataFrame, edges: str, x: str, n_edges: int, out: str) ->
     return df.withColumnRenamed("__blo", out).drop("__bhi", "__mid", "__step")
 
 
-def _select_ranks(x: DataFrame, keys: list[str], targets: DataFrame, buckets: int, small: int,
-                  max_rounds: int = 8) -> DataFrame:
-    """Value of rank ``__r`` (0-based) among ``__x`` of each key, for every
-    row of ``targets`` (keys, __t, __r).  Returns (keys, __t, __v)."""
-    from envspark.session import cut_lineage
-    state = targets.select(*keys, "__t", F.col("__r").alias("__rel"),
-                           F.lit(None).cast("double").alias("__lo"), F.lit(None).cast("double").alias("__hi"),
-                           F.lit(False).alias("__force"))
+def select_ranks(values: DataFrame, group: list[str], wanted: DataFrame, buckets: int = 256) -> DataFrame:
+    """(group, __r, __v): the value of 0-based rank ``__r`` in its group, for
+    every row of ``wanted`` (group, __r).  ``values`` has one row per group and
+    distinct value ``__x`` with its count ``__n``.
+
+    An interval is named by the number of values up to its lower border
+    (``__base``): open intervals that hold a rank differ in it.
+    """
+    interval = [*group, "__base"]
+    state = (wanted.select(*group, "__r").distinct()
+             .select("*", F.lit(0).cast("long").alias("__base"), F.lit(None).cast("double").alias("__lo"),
+                     F.lit(None).cast("double").alias("__hi")))
+    grid = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    inside = ((F.col("__lo").isNull() | (F.col("__x") > F.col("__lo")))
+              & (F.col("__hi").isNull() | (F.col("__x") < F.col("__hi"))))
     done = None
-    grid = [float(i) / buckets for i in range(1, buckets)]
-    for rnd in range(max_rounds):
-        last_round = rnd == max_rounds - 1
-        cand = x.join(state, keys).where(
-            (F.col("__lo").isNull() | (F.col("__x") > F.col("__lo")))
-            & (F.col("__hi").isNull() | (F.col("__x") <= F.col("__hi"))))
-        summ = (cand.groupBy(*keys, "__t").agg(
-            F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__mn"), F.max("__x").alias("__mx"),
-            F.percentile_approx("__x", F.array(*[F.lit(g) for g in grid]), 4 * buckets).alias("__e"))
-            .join(state, [*keys, "__t"]))
-        summ = cut_lineage(summ)                      # small: one row per wanted rank
-        # (a) all candidates equal -> resolved
-        same = summ.where(F.col("__mn") == F.col("__mx")).select(*keys, "__t", F.col("__mn").alias("__v"))
-        # (b) few candidates (or no progress possible) -> order them
-        finish = (F.col("__c") <= small) | F.col("__force") | F.lit(last_round)
-        fin_t = summ.where((F.col("__mn") != F.col("__mx")) & finish).select(*keys, "__t")
-        fin = (cand.join(fin_t, [*keys, "__t"])
-               .withColumn("__rn", F.row_number().over(Window.partitionBy(*keys, "__t").orderBy("__x")) - 1)
-               .where(F.col("__rn") == F.col("__rel")).select(*keys, "__t", F.col("__x").alias("__v")))
-        part = same.unionByName(fin)
-        done = part if done is None else done.unionByName(part)
-        big = summ.where((F.col("__mn") != F.col("__mx")) & ~finish)
-        if big.limit(1).count() == 0:
-            break
-        # (c) keep only the bucket that holds the rank
-        sel = big.select(*keys, "__t", "__c", F.array_distinct(F.array_sort("__e")).alias("__e"))
-        cb = _bucket_index(cand.join(sel.select(*keys, "__t", "__e"), [*keys, "__t"]), "__e", "__x", buckets, "__b")
-        counts = cb.groupBy(*keys, "__t", "__b", "__rel", "__lo", "__hi").agg(F.count(F.lit(1)).alias("__bc"))
-        run = Window.partitionBy(*keys, "__t").orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("__cum", F.sum("__bc").over(run)).join(sel, [*keys, "__t"])
-        pick = counts.where((F.col("__cum") - F.col("__bc") <= F.col("__rel")) & (F.col("__rel") < F.col("__cum")))
-        state = cut_lineage(pick.select(
-            *keys, "__t", (F.col("__rel") - (F.col("__cum") - F.col("__bc"))).alias("__rel"),
-            F.when(F.col("__b") == 0, F.col("__lo")).otherwise(F.get(F.col("__e"), F.col("__b") - 1)).alias("__lo"),
-            F.when(F.col("__b") == F.size("__e"), F.col("__hi")).otherwise(F.get(F.col("__e"), F.col("__b")))
-            .alias("__hi"),
-            (F.col("__bc") >= F.col("__c")).alias("__force")))       # bucket did not shrink
-    return done
+    while True:
+        borders = state.select(*interval, "__lo", "__hi").distinct()
+        edges = cut_lineage(
+            join_on(values, borders, group, "inner").where(inside).groupBy(*interval, "__lo", "__hi")
+            .agg(F.array_sort(F.array_distinct(F.percentile_approx("__x", grid, 4 * buckets))).alias("__e")))
+        placed = _edges_below(join_on(values, edges, group, "inner").where(inside), "__e", "__x", buckets, "__b")
+        edge = F.get(F.col("__e"), F.col("__b"))
+        on = F.coalesce(edge == F.col("__x"), F.lit(False))
+        below = F.when(F.col("__b") > 0, F.get(F.col("__e"), F.col("__b") - 1)).otherwise(F.col("__lo"))
+        counts = (placed.select(*interval, (2 * F.col("__b") + on.cast("int")).alias("__code"), "__n",
+                                F.when(on, F.col("__x")).otherwise(below).alias("__from"),
+                                F.when(on, F.col("__x")).otherwise(F.coalesce(edge, F.col("__hi"))).alias("__to"))
+                  .groupBy(*interval, "__code", "__from", "__to").agg(F.sum("__n").alias("__n")))
+        run = Window.partitionBy(*interval).orderBy("__code").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("__stop", F.col("__base") + F.sum("__n").over(run))
+        state = cut_lineage(
+            join_on(state.select(*interval, "__r"), counts, interval, "inner")
+            .where((F.col("__r") < F.col("__stop")) & (F.col("__r") >= F.col("__stop") - F.col("__n")))
+            .select(*group, "__r", (F.col("__stop") - F.col("__n")).alias("__base"), F.col("__from").alias("__lo"),
+                    F.col("__to").alias("__hi"), (F.col("__code") % 2 == 1).alias("__found")))
+        found = state.where("__found").select(*group, "__r", F.col("__lo").alias("__v"))
+        done = found if done is None else done.unionByName(found)
+        state = state.where("not __found").drop("__found")
+        if state.limit(1).count() == 0:
+            return done
 
 
-def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], keys: Sequence[str] = (),
-                    prefix: str | None = None, buckets: int = 256, small: int = 1_000_000) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``col`` per key (nulls ignored):
-    one row per key with columns ``<prefix>_q<i>`` for ``ps[i]``."""
-    keys = list(keys)
-    prefix = prefix or col
-    unkeyed = not keys
-    if unkeyed:                                   # one series: a constant key, never a cross join
-        df, keys = df.withColumn("__k", F.lit(0)), ["__k"]
-    x = df.select(*keys, F.col(col).cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    n = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    largest = n.agg(F.max("__n")).first()[0]
+def exact_quantile_table(df: DataFrame, cols: Sequence[str], ps: Sequence[float], keys: Sequence[str] = (),
+                         buckets: int = 256, small: int = 1_000_000) -> DataFrame:
+    """Exact linear-interpolated quantiles per key (nulls ignored): one row
+    per key that has any value, with columns ``<col>_q<i>`` for ``ps[i]``
+    (null where the column has no value).  A null key is a key."""
+    keys, cols = list(keys), list(cols)
+    numbers = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    counts = numbers.groupBy(*keys).agg(*[F.count(c).alias(c) for c in cols])
+    largest = counts.agg(F.max(F.greatest(*[F.col(c) for c in cols], F.lit(0)))).first()[0]
     if largest is None or largest <= small:
-        # checked size: every group holds at most ``small`` values, so the
-        # exact percentile buffer of a group is bounded - one aggregate
+        # checked size: the buffer of a group holds at most ``small`` values
         arr = F.array(*[F.lit(float(p)) for p in ps])
-        g = x.groupBy(*keys).agg(F.percentile("__x", arr).alias("__qs"))
-        out = g.select(*keys, *[F.col("__qs")[i].alias(f"{prefix}_q{i}") for i in range(len(ps))])
-        return out.drop("__k") if unkeyed else out
-    specs = []
+        g = numbers.groupBy(*keys).agg(*[F.percentile(c, arr).alias(c) for c in cols])
+        g = g.where(F.coalesce(*[F.col(c) for c in cols]).isNotNull())
+        return g.select(*keys, *[F.col(c)[i].alias(f"{c}_q{i}") for c in cols for i in range(len(ps))])
+    group = [*keys, "__c"]
+    long = numbers.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("x"))
+                                                     for i, c in enumerate(cols)])).alias("s"))
+    values = cut_lineage(long.select(*keys, F.col("s.c").alias("__c"), F.col("s.x").alias("__x"))
+                         .where("__x is not null").groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__n")))
+    total = values.groupBy(*group).agg(F.sum("__n").alias("__total"))
+    ranks = []
     for i, p in enumerate(ps):
-        h = F.lit(float(p)) * (F.col("__n") - 1)
-        specs.append(F.struct(F.lit(i).alias("i"), F.floor(h).alias("lo"), F.ceil(h).alias("hi"),
+        h = F.lit(float(p)) * (F.col("__total") - 1)
+        ranks.append(F.struct(F.lit(i).alias("i"), F.floor(h).alias("lo"), F.ceil(h).alias("hi"),
                               (h - F.floor(h)).alias("frac")))
-    per = n.select(*keys, F.explode(F.array(*specs)).alias("s"))
-    targets = per.select(*keys, F.col("s.i").alias("__i"), F.col("s.frac").alias("__frac"),
-                         F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s.lo").alias("r")),
-                                           F.struct(F.lit(1).alias("side"), F.col("s.hi").alias("r")))).alias("z"))
-    targets = targets.select(*keys, "__i", "__frac", (F.col("__i") * 2 + F.col("z.side")).alias("__t"),
-                             F.col("z.r").cast("long").alias("__r"))
-    vals = _select_ranks(x, keys, targets.select(*keys, "__t", "__r"), buckets, small)
-    j = targets.join(vals, [*keys, "__t"])
-    lohi = j.groupBy(*keys, "__i", "__frac").agg(
-        F.max(F.when(F.col("__t") % 2 == 0, F.col("__v"))).alias("__vlo"),
-        F.max(F.when(F.col("__t") % 2 == 1, F.col("__v"))).alias("__vhi"))
-    q = lohi.select(*keys, "__i", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias("__q"))
-    out = q.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(f"{prefix}_q{i}")
-                                 for i in range(len(ps))])
-    return out.drop("__k") if unkeyed else out
+    targets = (total.select(*group, F.explode(F.array(*ranks)).alias("t"))
+               .select(*group, F.col("t.i").alias("__i"), F.col("t.frac").alias("__frac"),
+                       F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("t.lo").alias("r")),
+                                         F.struct(F.lit(1).alias("side"), F.col("t.hi").alias("r")))).alias("z"))
+               .select(*group, "__i", "__frac", F.col("z.side").alias("__side"), F.col("z.r").cast("long").alias("__r")))
+    hit = join_on(targets, select_ranks(values, group, targets, buckets), [*group, "__r"], "inner")
+    side = lambda s: F.max(F.when(F.col("__side") == s, F.col("__v")))
+    q = (hit.groupBy(*group, "__i", "__frac").agg(side(0).alias("__a"), side(1).alias("__b"))
+         .select(*keys, "__c", "__i", (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")).alias("__q")))
+    return q.groupBy(*keys).agg(*[F.max(F.when((F.col("__c") == j) & (F.col("__i") == i), F.col("__q"))).alias(f"{c}_q{i}")
+                                  for j, c in enumerate(cols) for i in range(len(ps))])
+
+
+def exact_quantiles(df: DataFrame, col: str, ps: Sequence[float], keys: Sequence[str] = (),
+                    prefix: str | None = None, buckets: int = 256, small: int = 1_000_000) -> DataFrame:
+    """Exact quantiles of one column: columns ``<prefix>_q<i>`` for ``ps[i]``."""
+    table = exact_quantile_table(df, [col], ps, keys, buckets, small)
+    prefix = prefix or col
+    return table.select(*keys, *[F.col(f"{col}_q{i}").alias(f"{prefix}_q{i}") for i in range(len(ps))])

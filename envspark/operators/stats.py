@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from envspark.functions.timefn import look_back, period_label, time_bucket, ts_lit
-from envspark.operators.quantiles import exact_quantiles
+from envspark.operators.quantiles import exact_quantile_table
 from envspark.operators.common import attach
 
 GROUP_BY = ("hour", "day", "week", "month")
@@ -72,23 +72,20 @@ def source_counts(sources: DataFrame) -> DataFrame:
 
 def column_moments(df: DataFrame, cols, keys=("source_id",)) -> DataFrame:
     """Per key and column - mean, sample and population std, min, max,
-    exact median, null count (long output).  Moments are one partial
-    aggregate; the median comes from the skew-safe rank selection."""
-    keys = list(keys)
-    parts = None
+    exact median, null count (long output).  The moments of all columns are
+    one partial aggregate; the medians come from one rank selection."""
+    keys, cols = list(keys), list(cols)
+    aggs = []
     for c in cols:
         x = F.col(c)
-        mom = df.groupBy(*keys).agg(
-            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.stddev_pop(x).alias("std_pop"), F.min(x).cast("double").alias("min"),
-            F.max(x).cast("double").alias("max"),
-            F.count_if(x.isNull()).alias("nulls"), F.count(x).alias("count"))
-        med = exact_quantiles(df, c, [0.5], keys, prefix="__m")
-        part = attach(mom, med, keys).select(
-            *keys, F.lit(c).alias("column"), "mean", "std", "std_pop", "min", "max",
-            F.col("__m_q0").alias("median"), "nulls", "count")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+        aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"), F.stddev_pop(x).alias(f"{c}__std_pop"),
+                 F.min(x).cast("double").alias(f"{c}__min"), F.max(x).cast("double").alias(f"{c}__max"),
+                 F.count_if(x.isNull()).alias(f"{c}__nulls"), F.count(x).alias(f"{c}__count")]
+    both = attach(df.groupBy(*keys).agg(*aggs), exact_quantile_table(df, cols, [0.5], keys), keys)
+    names = ("mean", "std", "std_pop", "min", "max", "median", "nulls", "count")
+    rows = F.array(*[F.struct(F.lit(c).alias("column"),
+                              *[F.col(f"{c}_q0" if n == "median" else f"{c}__{n}").alias(n) for n in names]) for c in cols])
+    return both.select(*keys, F.explode(rows).alias("__r")).select(*keys, "__r.column", *[f"__r.{n}" for n in names])
 
 
 def quantiles(df: DataFrame, cols, ps=(0.25, 0.5, 0.75), keys=("source_id",), exact: bool = True,
@@ -102,12 +99,8 @@ def quantiles(df: DataFrame, cols, ps=(0.25, 0.5, 0.75), keys=("source_id",), ex
         g = df.groupBy(*keys).agg(*[F.percentile_approx(F.col(c).cast("double"), arr, accuracy).alias(f"__q_{c}")
                                     for c in cols])
         return g.select(*keys, *[F.col(f"__q_{c}")[i].alias(n) for c in cols for i, n in enumerate(names[c])])
-    out = None
-    for c in cols:
-        q = exact_quantiles(df, c, list(ps), keys, prefix=f"__{c}")
-        q = q.select(*keys, *[F.col(f"__{c}_q{i}").alias(n) for i, n in enumerate(names[c])])
-        out = q if out is None else out.join(q, keys, "full")
-    return out
+    g = exact_quantile_table(df, list(cols), list(ps), keys)
+    return g.select(*keys, *[F.col(f"{c}_q{i}").alias(n) for c in cols for i, n in enumerate(names[c])])
 
 
 def mean_loss(batches: DataFrame, loss_col="loss", n_col="n", keys=()) -> DataFrame:

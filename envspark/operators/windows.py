@@ -9,12 +9,15 @@ many tasks (see ``chunked_rows``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark.functions.timefn import epoch_seconds, freq_seconds, time_bucket
+from envspark.operators.blocks import RANGE, ranges
+from envspark.operators.common import attach, join_on
 from envspark.operators.series import _cols
 
 
@@ -39,20 +42,26 @@ def indexed_rows(df: DataFrame, keys: Sequence[str], time_col: str, chunk) -> tu
     chunk sizes are counted (small aggregate), running offsets are computed
     on that small table, and each chunk numbers its own rows.
     Returns (rows with ``__chunk``/``__idx``/``__rn``/``__n``/``__start``,
-    per-chunk offsets table)."""
+    per-chunk offsets table).
+
+    A calendar unit or a width of time makes chunks by time; with
+    ``chunk="range"`` they are ranges of about equal size along (keys, time),
+    whatever the rate of a series (``blocks.ranges``; written once)."""
     keys = list(keys)
     order = _order(df, time_col)
-    if chunk in CALENDAR:
-        cid = F.floor(epoch_seconds(time_bucket(time_col, chunk)))
+    if chunk == "range":
+        names = [time_col] + (["id"] if "id" in df.columns and time_col != "id" else [])
+        base = ranges(df, keys, names).withColumnRenamed(RANGE, "__chunk")
+    elif chunk in CALENDAR:
+        base = df.withColumn("__chunk", F.floor(epoch_seconds(time_bucket(time_col, chunk))))
     else:
-        cid = F.floor(epoch_seconds(F.col(time_col)) / freq_seconds(chunk))
-    base = df.withColumn("__chunk", cid)
+        base = df.withColumn("__chunk", F.floor(epoch_seconds(F.col(time_col)) / freq_seconds(chunk)))
     counts = base.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     wk = Window.partitionBy(*keys).orderBy("__chunk") if keys else Window.orderBy("__chunk")
     offsets = counts.withColumn("__start", F.sum("__n").over(wk.rowsBetween(Window.unboundedPreceding, 0))
                                 - F.col("__n"))
     wc = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    indexed = (base.join(offsets, [*keys, "__chunk"])
+    indexed = (join_on(base, offsets, [*keys, "__chunk"], "inner")
                .withColumn("__rn", F.row_number().over(wc))
                .withColumn("__idx", F.col("__start") + F.col("__rn") - 1))
     return indexed, offsets
@@ -225,39 +234,121 @@ def pct_change(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", chu
     return j.select(*df.columns, *exprs)
 
 
+#: a weight below this share of the newest one leaves no trace, even on squares
+NEGLIGIBLE = 1e-40
+#: weights inside a block may differ by this factor, and a block holds at most so many rows
+SPREAD, LARGEST_BLOCK = 1e100, 1 << 20
+
+
+def _combined(a, b, fall: Column):
+    """The state of some rows followed by others: weight ``s0``, ``mean``,
+    (biased) ``var`` and ``u`` = 1 - sum w^2 / (sum w)^2 of weighted values.
+    Time lets only the weight of the earlier ones fall, by the factor
+    ``fall``; it is kept from vanishing, so that a mean outlives any number of
+    missing values.  Sums of positive terms only: nothing cancels."""
+    x = F.greatest(a["s0"] * fall, F.lit(1e-250))
+    p, q = x / (x + b["s0"]), b["s0"] / (x + b["s0"])
+    gap = a["mean"] - b["mean"]
+    return F.struct((x + b["s0"]).alias("s0"), (p * a["mean"] + q * b["mean"]).alias("mean"),
+                    (p * a["var"] + q * b["var"] + p * q * gap * gap).alias("var"),
+                    (p * p * a["u"] + q * q * b["u"] + 2 * p * q).alias("u"))
+
+
+def _states_before(totals: DataFrame, keys: list[str], cols: Sequence[str], decay: float, block: int) -> DataFrame:
+    """What every block takes over from the blocks before it: the sums of the
+    earlier rows relative to the row just before the block.
+
+    ``totals`` has one row per (series, block) with the sums of that block
+    relative to its end (null without values).  Sums combine associatively,
+    decayed by d^block per block; only as many blocks back as carry weight are
+    folded, counted over blocks that have values."""
+    per_block = block * math.log(decay)
+    back = max(1, math.ceil(math.log(NEGLIGIBLE) / per_block))
+    out = totals.select(*keys, "__blk")
+    series_order = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("__blk")
+    kind = "struct<b:bigint,s0:double,mean:double,var:double,u:double>"
+
+    def fold(a, t):
+        both = _combined(a, t, F.exp((t["b"] - a["b"]) * F.lit(per_block)))
+        return F.struct(t["b"].alias("b"), *[both[k].alias(k) for k in ("s0", "mean", "var", "u")]).cast(kind)
+    for c in cols:
+        filled = totals.where(F.col(f"__t_{c}").isNotNull()).select(
+            *keys, "__blk", F.struct(F.col("__blk").alias("b"), f"__t_{c}.*").alias("t"))
+        before = F.collect_list("t").over(series_order.rowsBetween(-back, 0))
+        ends = filled.select(*keys, "__blk", F.aggregate(F.slice(before, 2, back + 1), F.get(before, 0).cast(kind), fold)
+                             .alias(f"__s_{c}"))
+        out = join_on(out, ends, [*keys, "__blk"])
+    earlier = series_order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = out.select(*keys, "__blk", *[F.last(f"__s_{c}", True).over(earlier).alias(f"__s_{c}") for c in cols])
+    fallen = lambda s: F.greatest(s["s0"] * F.exp((F.col("__blk") - 1 - s["b"]) * F.lit(per_block)), F.lit(1e-250))
+    return carried.select(*keys, "__blk", *[
+        F.when(F.col(f"__s_{c}").isNotNull(), F.struct(fallen(F.col(f"__s_{c}")).alias("s0"),
+                                                       *[F.col(f"__s_{c}")[k].alias(k) for k in ("mean", "var", "u")]))
+        .alias(f"__s_{c}") for c in cols])
+
+
 def ewma(df: DataFrame, cols=None, span: float = 30.0, keys=("source_id",), time_col="ts",
-         block: int = 512, halo: int = 511, with_std: bool = True, chunk="1d") -> DataFrame:
+         with_std: bool = True, chunk="range", block: int | None = None) -> DataFrame:
     """Adjusted exponentially weighted mean and bias-corrected std with
-    alpha = 2 / (span + 1); missing values keep their place in the decay.
-
-    O(n) and skew-safe: each series is cut into row blocks with a halo of
-    ``halo`` preceding rows (``row_blocks``).  With weights rescaled to the
-    block anchor ``a`` (w_i = d^(a - i)), the weighted sums become plain
-    running sums ordered by the row index; the common factor d^(t - a)
-    cancels in the mean and in the bias correction.  Rows older than the
-    halo carry weight below d^halo (about 1e-15 for span 30)."""
+    alpha = 2 / (span + 1), span >= 1; missing values keep their place in the
+    decay and show the last value.
+
+    An associative scan, exact for every span and length: weight, mean,
+    variance and share of squared weights are running sums inside blocks of
+    consecutive rows, and each block takes over the state of the blocks before
+    it from a table with one row per block.  Blocks are as long as the weights
+    allow (``SPREAD``; ``block`` makes them shorter), about 115 spans, so with
+    any ordinary span a row sees its own block and the one before it.
+    Values are taken relative to the mean of their series.  The std is null
+    where one value has all the weight in double arithmetic."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    d = 1.0 - 2.0 / (span + 1.0)
-    parts = row_blocks(df, keys, time_col, block, halo, chunk)
-    rel = (F.col("__blk") * block - F.col("__idx")).cast("double")      # a - i
-    run = Window.partitionBy(*keys, "__blk").orderBy("__idx").rowsBetween(Window.unboundedPreceding, 0)
+    if span < 1:
+        raise ValueError(f"span {span} is below 1")
+    d = max(1.0 - 2.0 / (span + 1.0), 1e-30)
+    longest = int(min(LARGEST_BLOCK, max(1, math.log(SPREAD) / -math.log(d))))
+    block = min(block or longest, longest)
+    indexed, _ = indexed_rows(df, keys, time_col, chunk)
+    level = df.groupBy(*keys).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
+    at = F.col("__idx") % block
+    rows = attach(indexed.select(*df.columns, "__idx"), level, keys).withColumn("__blk", F.floor(F.col("__idx") / block))
+    inside = Window.partitionBy(*keys, "__blk").orderBy("__idx")
+    upto, before = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    grown = F.exp(-at * F.lit(math.log(d)))         # weights relative to the first row of the block
+    rows = rows.select("*", *[e for c in cols for e in (
+        F.when(F.col(c).isNotNull(), grown).alias(f"__w_{c}"), (F.col(c).cast("double") - F.col(f"__m_{c}")).alias(f"__x_{c}"))])
+    # weight and weighted sum before the row; then, with them, what the row adds to variance and pairs of weights
+    rows = rows.select("*", *[e for c in cols for e in (
+        F.sum(f"__w_{c}").over(before).alias(f"__p_{c}"),
+        F.sum(F.col(f"__w_{c}") * F.col(f"__x_{c}")).over(before).alias(f"__q_{c}"))])
+    terms = {}
+    for c in cols:
+        w, x, p = F.col(f"__w_{c}"), F.col(f"__x_{c}"), F.col(f"__p_{c}")
+        gap = x - F.col(f"__q_{c}") / p
+        terms[c] = {"s0": w, "s1": w * x, "m2": F.coalesce(w * p / (w + p) * gap * gap, w * 0.0),
+                    "pairs": F.coalesce(w * p, w * 0.0)}
+
+    def state(sums: dict, fall: Column) -> Column:
+        s0 = sums["s0"]
+        return F.when(s0 > 0, F.struct((s0 * fall).alias("s0"), (sums["s1"] / s0).alias("mean"),
+                                       (sums["m2"] / s0).alias("var"), (2 * sums["pairs"] / s0 / s0).alias("u")))
+    tail = F.lit(math.exp((block - 1) * math.log(d)))      # from the first to the last place of a full block
+    totals = rows.groupBy(*keys, "__blk").agg(*[state({k: F.sum(e) for k, e in terms[c].items()}, tail).alias(f"__t_{c}")
+                                                for c in cols])
+    fall = F.exp(at * F.lit(math.log(d)))
+    running = rows.select(*df.columns, "__blk", "__idx", *[f"__m_{c}" for c in cols], *[
+        state({k: F.sum(e).over(upto) for k, e in terms[c].items()}, fall).alias(f"__l_{c}") for c in cols])
+    j = join_on(running, _states_before(totals, keys, cols, d, block), [*keys, "__blk"])
     out = []
     for c in cols:
-        x = F.col(c).cast("double")
-        w = F.when(x.isNotNull(), F.pow(F.lit(d), rel)).otherwise(F.lit(0.0))
-        s0 = F.sum(w).over(run)
-        s1 = F.sum(w * F.coalesce(x, F.lit(0.0))).over(run)
-        mean = F.when(s0 > 0, s1 / s0)
-        out.append(mean.alias(f"{c}_ewma"))
+        own, old = F.col(f"__l_{c}"), F.col(f"__s_{c}")
+        s = F.when(own.isNull(), old).when(old.isNull(), own).otherwise(_combined(old, own, fall * d))
+        j = j.withColumn(f"__s_{c}", s)
+        s = F.col(f"__s_{c}")
+        out.append((F.col(f"__m_{c}") + s["mean"]).alias(f"{c}_ewma"))
         if with_std:
-            s2 = F.sum(w * F.coalesce(x * x, F.lit(0.0))).over(run)
-            w2 = F.sum(w * w).over(run)
-            biased = F.greatest(s2 / s0 - (s1 / s0) * (s1 / s0), F.lit(0.0))
-            denom = s0 * s0 - w2
-            var = F.when((s0 > 0) & (denom > s0 * s0 * 1e-12), biased * s0 * s0 / denom)
-            out.append(F.sqrt(var).alias(f"{c}_ewmstd"))
-    return parts.select(*df.columns, *out, "__halo").where(~F.col("__halo")).drop("__halo")
+            out.append(F.when(s["u"] > 2.0 ** -53, F.sqrt(s["var"] / s["u"])).alias(f"{c}_ewmstd"))
+    return j.select(*df.columns, *out)
 
 
 def make_sequences(df: DataFrame, seq_length: int, target_length: int = 1, step: int = 1,

@@ -101,18 +101,49 @@ def _random_series(spark, n=300, seed=0, nulls=True):
     return _frame(spark, rows), pd.Series(v)
 
 
-def test_ewma_matches_pandas(spark):
-    df, s = _random_series(spark, 700)
-    got = windows.ewma(df, ["v"], 30.0, ["source_id"], block=64, halo=64).orderBy("ts").toPandas()
-    want_m = s.ewm(span=30).mean().to_numpy()
-    want_s = s.ewm(span=30).std().to_numpy()
-    gm, gs = got["v_ewma"].to_numpy(dtype=float), got["v_ewmstd"].to_numpy(dtype=float)
-    # block 64 / halo 64 truncates weights older than (29/31)^64 ~ 1.4e-2 -> compare with a long halo instead
-    got2 = windows.ewma(df, ["v"], 30.0, ["source_id"], block=512, halo=511).orderBy("ts").toPandas()
-    gm2, gs2 = got2["v_ewma"].to_numpy(dtype=float), got2["v_ewmstd"].to_numpy(dtype=float)
-    assert np.allclose(gm2, want_m, rtol=1e-9, atol=1e-9, equal_nan=True)
-    assert np.allclose(gs2, want_s, rtol=1e-7, atol=1e-7, equal_nan=True)
-    assert np.isfinite(gm).sum() == np.isfinite(want_m).sum()
+@pytest.mark.parametrize("span", [1, 2, 30, 365, 2000])
+@pytest.mark.parametrize("block, chunk", [(None, "range"), (64, "range"), (7, "1h")])
+def test_ewma_matches_pandas(spark, span, block, chunk):
+    """Every span, with runs of missing values that reach over block borders
+    and a small variation on a large level."""
+    rng = np.random.default_rng(3)
+    v = 1000.0 + rng.normal(0, 0.01, 900)
+    v[rng.random(900) < 0.2] = np.nan
+    v[:5] = v[100:300] = v[620:650] = np.nan
+    w = rng.normal(0, 5, 900)
+    rows = [(1, T(0) + dt.timedelta(minutes=7 * i), *(None if np.isnan(x) else float(x) for x in p))
+            for i, p in enumerate(zip(v, w))] + [(2, T(1), None, 4.0), (None, T(1), 3.0, None), (None, T(2), 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "source_id long, ts timestamp_ntz, v double, w double").repartition(5)
+    got = windows.ewma(df, ["v", "w"], span, ["source_id"], block=block, chunk=chunk).toPandas()
+    assert len(got) == len(rows)
+    one = got[got.source_id == 1].sort_values("ts")
+    for c, x in (("v", v), ("w", w)):
+        s = pd.Series(x)
+        mean, std = s.ewm(span=span).mean().to_numpy(), s.ewm(span=span).std().to_numpy()
+        w = (1 - 2 / (span + 1)) ** np.arange(len(x), dtype=float)
+        shares = np.full(len(x), np.nan)               # 1 - sum w^2 / (sum w)^2; pandas loses it to rounding when small
+        for t in range(len(x)):
+            u = w[t::-1][~np.isnan(x[:t + 1])] if t else w[:1][~np.isnan(x[:1])]
+            u = u / u.sum() if u.sum() > 0 else u
+            shares[t] = 2 * (u[1:] * np.cumsum(u)[:-1]).sum() if len(u) else np.nan
+        std[shares < 1e-9] = np.nan
+        one.loc[(shares < 1e-9).tolist(), f"{c}_ewmstd"] = None
+        assert np.allclose(one[f"{c}_ewma"].to_numpy(dtype=float), mean, rtol=1e-12, atol=1e-12, equal_nan=True)
+        assert np.allclose(one[f"{c}_ewmstd"].to_numpy(dtype=float), std, rtol=1e-6, atol=1e-9, equal_nan=True)
+    none = got[got.source_id.isna()].sort_values("ts")
+    assert np.allclose(none.v_ewma.to_numpy(dtype=float), pd.Series([3.0, 5.0]).ewm(span=span).mean())
+    assert got[got.source_id == 2].v_ewma.isna().all()
+
+
+def test_ewma_unkeyed_and_long_gap(spark):
+    """A value, 3000 missing ones, another value; no task holds the series."""
+    v = [5.0] + [None] * 3000 + [9.0, None]
+    df = spark.createDataFrame([(T(0) + dt.timedelta(seconds=i), x) for i, x in enumerate(v)], "ts timestamp_ntz, v double")
+    for span in (2.0, 30.0):
+        got = windows.ewma(df, ["v"], span, [], block=16).orderBy("ts").toPandas()["v_ewma"].to_numpy(dtype=float)
+        assert np.allclose(got, pd.Series(v, dtype=float).ewm(span=span).mean().to_numpy(), rtol=1e-12)
+    with pytest.raises(ValueError):
+        windows.ewma(df, ["v"], 0.5, [])
 
 
 def test_ewma_triple(spark):
