@@ -9,6 +9,12 @@ is combined map-side before the shuffle.  Only the per-key *grid* (bounded by
 time span / freq, not by the number of readings) is then ordered by a window
 ``partitionBy(keys)``.  Gap rows of the grid are generated by exploding the
 distance to the next occupied bin, so no spine join is needed.
+
+One long series.  A window over a whole series is one task.  With
+``via="blocks"`` - the default without keys - the ordered steps run in ranges
+of about equal size and carry what crosses a border (``blocks.py``);
+``via="window"`` is the default with keys, where series are many and bounded.
+Both give the same rows.
 """
 
 from __future__ import annotations
@@ -20,9 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark.functions.timefn import epoch_seconds, freq_seconds, from_epoch_seconds
-from envspark.operators.common import attach
+from envspark.operators.blocks import neighbours, ranges, with_index
+from envspark.operators.common import attach, join_on
+from envspark.operators.quantiles import exact_quantile_table
 
 DAY = 86400
+STEPS = 1 << 16         # most gap rows made from one array
 
 
 def numeric_cols(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -54,8 +63,19 @@ def _running(keys: Sequence[str], time_col: str, backwards: bool = False):
     return _grid_window(keys, time_col, backwards).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _key_window(keys: Sequence[str]):
-    return Window.partitionBy(*keys) if keys else Window.partitionBy()
+def _in_blocks(keys: Sequence[str], via: str | None) -> bool:
+    if via not in (None, "window", "blocks"):
+        raise ValueError(f"unknown way {via!r}: window or blocks")
+    return via == "blocks" or (via is None and not keys)
+
+
+def _steps(df: DataFrame, n: Column, name: str) -> DataFrame:
+    """Every row ``n`` times, numbered from 0 in ``name``.  Two levels, so
+    that a gap of any length makes short arrays only."""
+    return (df.withColumn("__n", n)
+            .withColumn("__hi", F.explode(F.expr(f"sequence(0L, (__n - 1) div {STEPS}L)")))
+            .withColumn(name, F.explode(F.expr(f"sequence(__hi * {STEPS}L, least(__n, (__hi + 1) * {STEPS}L) - 1)")))
+            .drop("__n", "__hi"))
 
 
 def bin_start(df: DataFrame, time_col: str, step: int, keys: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -72,15 +92,17 @@ def bin_start(df: DataFrame, time_col: str, step: int, keys: Sequence[str]) -> t
 
 
 def _fill_gaps(binned: DataFrame, keys: Sequence[str], time_col: str, step: int,
-               value_cols: Sequence[str]) -> DataFrame:
+               value_cols: Sequence[str], via: str | None = None) -> DataFrame:
     """Insert the empty bins between occupied ones (values null)."""
-    w = _grid_window(keys, time_col)
-    nxt = F.lead(time_col).over(w)
-    gaps = (binned.withColumn("__next", nxt)
-            .withColumn("__n", F.coalesce(
-                ((epoch_seconds(F.col("__next")) - epoch_seconds(F.col(time_col))) / step).cast("long"),
-                F.lit(1)))
-            .withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))))
+    if _in_blocks(keys, via):
+        marked = neighbours(ranges(binned, keys, [time_col]), keys, [time_col],
+                            after={"__nx": F.struct(F.col(time_col).alias("t"))})
+        nxt = F.col("__nx.t")
+    else:
+        marked = binned.withColumn("__nx", F.lead(time_col).over(_grid_window(keys, time_col)))
+        nxt = F.col("__nx")
+    n = F.coalesce(((epoch_seconds(nxt) - epoch_seconds(F.col(time_col))) / step).cast("long"), F.lit(1).cast("long"))
+    gaps = _steps(marked, n, "__k")
     out = [*[F.col(k) for k in keys],
            from_epoch_seconds(epoch_seconds(F.col(time_col)) + F.col("__k") * step).alias(time_col)]
     out += [F.when(F.col("__k") == 0, F.col(c)).alias(c) for c in value_cols]
@@ -88,18 +110,18 @@ def _fill_gaps(binned: DataFrame, keys: Sequence[str], time_col: str, step: int,
 
 
 def resample_mean(df: DataFrame, freq="1h", cols=None, keys=("source_id",), time_col="ts",
-                  fill_gaps: bool = True) -> DataFrame:
+                  fill_gaps: bool = True, via: str | None = None) -> DataFrame:
     """Mean per bin; empty bins between first and last are present as null."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
     step = freq_seconds(freq)
     df2, b = bin_start(df, time_col, step, keys)
     binned = df2.groupBy(*keys, b.alias(time_col)).agg(*[F.avg(c).alias(c) for c in cols])
-    return _fill_gaps(binned, keys, time_col, step, cols) if fill_gaps else binned
+    return _fill_gaps(binned, keys, time_col, step, cols, via) if fill_gaps else binned
 
 
 def resample_fill(df: DataFrame, freq="1h", method: str = "linear", cols=None, keys=("source_id",),
-                  time_col="ts", agg: str = "mean", edges: bool = False) -> DataFrame:
+                  time_col="ts", agg: str = "mean", edges: bool = False, via: str | None = None) -> DataFrame:
     """P1 followed by P3/P4/P5 in one plan: bin means, then the gaps filled
     while they are generated.  The fill windows run on the *occupied* bins
     only (far fewer rows than the grid): for every column the last non-null
@@ -113,7 +135,7 @@ def resample_fill(df: DataFrame, freq="1h", method: str = "linear", cols=None, k
     ``edges=True`` then fills what is left forward and backward (leading /
     trailing runs), as the series preprocessing does."""
     if method not in ("linear", "ffill", "pad", "bfill"):
-        raise ValueError(f"Unsupported fill method: {method}")
+        raise ValueError(f"no gap fill called {method!r}; there are linear, ffill, pad and bfill")
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
     step = freq_seconds(freq)
@@ -128,21 +150,28 @@ def resample_fill(df: DataFrame, freq="1h", method: str = "linear", cols=None, k
             F.when(F.col("__dup") > 1, F.raise_error(F.lit("duplicate timestamps on the grid")))
             .otherwise(F.col(c)).alias(c) for c in cols])
     else:
-        raise ValueError(f"Unsupported resample aggregation: {agg}")
+        raise ValueError(f"no bin aggregation called {agg!r}; there are mean and asfreq")
     binned = binned.withColumn("__pos", F.round(epoch_seconds(F.col(time_col)) / step))
-    w = _grid_window(keys, time_col)
-    upto = _running(keys, time_col)
-    after = _grid_window(keys, time_col, True).rowsBetween(Window.unboundedPreceding, -1)
     pos = F.col("__pos")
-    sel = [F.lead("__pos").over(w).alias("__next")]
-    for c in cols:
-        sel += [F.last(F.when(F.col(c).isNotNull(), pos), True).over(upto).alias(f"__p0_{c}"),
-                F.last(F.col(c), True).over(upto).alias(f"__v0_{c}"),
-                F.last(F.when(F.col(c).isNotNull(), pos), True).over(after).alias(f"__p1_{c}"),
-                F.last(F.col(c), True).over(after).alias(f"__v1_{c}")]
-    marked = binned.select("*", *sel)
-    n = F.coalesce((F.col("__next") - pos).cast("long"), F.lit(1))
-    grid = marked.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(pos.alias("p"), F.col(c).alias("v"))) for c in cols}
+    if _in_blocks(keys, via):
+        marked = neighbours(ranges(binned, keys, [time_col]), keys, [time_col],
+                            upto={f"__b_{c}": known[c] for c in cols},
+                            after={"__nx": F.struct(pos.alias("p")), **{f"__a_{c}": known[c] for c in cols}})
+        marked = marked.select(*binned.columns, F.col("__nx.p").alias("__next"), *[
+            F.col(f"__{side}_{c}")[f].alias(f"__{f}{i}_{c}") for c in cols for i, side in enumerate("ba") for f in "pv"])
+    else:
+        upto = _running(keys, time_col)
+        after = _grid_window(keys, time_col, True).rowsBetween(Window.unboundedPreceding, -1)
+        sel = [F.lead("__pos").over(_grid_window(keys, time_col)).alias("__next")]
+        for c in cols:
+            sel += [F.last(F.when(F.col(c).isNotNull(), pos), True).over(upto).alias(f"__p0_{c}"),
+                    F.last(F.col(c), True).over(upto).alias(f"__v0_{c}"),
+                    F.last(F.when(F.col(c).isNotNull(), pos), True).over(after).alias(f"__p1_{c}"),
+                    F.last(F.col(c), True).over(after).alias(f"__v1_{c}")]
+        marked = binned.select("*", *sel)
+    n = F.coalesce((F.col("__next") - pos).cast("long"), F.lit(1).cast("long"))
+    grid = _steps(marked, n, "__k")
     gpos = pos + F.col("__k")
     out = [*[F.col(k) for k in keys],
            from_epoch_seconds((pos + F.col("__k")) * step).alias(time_col)]
@@ -162,14 +191,15 @@ def resample_fill(df: DataFrame, freq="1h", method: str = "linear", cols=None, k
     return grid.select(*out)
 
 
-def _grid(df: DataFrame, step: int, keys, time_col) -> DataFrame:
+def _grid(df: DataFrame, step: int, keys, time_col, via: str | None = None) -> DataFrame:
     """Grid ``(keys, time_col)`` from the first to the last bin of each series."""
     df2, b = bin_start(df, time_col, step, keys)
     occ = df2.groupBy(*keys, b.alias(time_col)).agg(F.lit(True).alias("__occ"))
-    return _fill_gaps(occ, keys, time_col, step, [])
+    return _fill_gaps(occ, keys, time_col, step, [], via)
 
 
-def resample_asfreq(df: DataFrame, freq="1h", cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
+def resample_asfreq(df: DataFrame, freq="1h", cols=None, keys=("source_id",), time_col="ts",
+                    via: str | None = None) -> DataFrame:
     """Grid value = reading exactly on the grid point, else null.
     Two readings on the same grid point make the query fail (as a reindex
     with duplicate labels does)."""
@@ -183,11 +213,10 @@ def resample_asfreq(df: DataFrame, freq="1h", cols=None, keys=("source_id",), ti
     checked = on_grid.select(*keys, time_col, *[
         F.when(F.col("__dup") > 1, F.raise_error(F.lit("duplicate timestamps on the grid")))
         .otherwise(F.col(c)).alias(c) for c in cols])
-    grid = _grid(df, step, keys, time_col)
-    return grid.join(checked, [*keys, time_col], "left")
+    return join_on(_grid(df, step, keys, time_col, via), checked, [*keys, time_col])
 
 
-def _asof_fill(df: DataFrame, freq, cols, keys, time_col, direction: str) -> DataFrame:
+def _asof_fill(df: DataFrame, freq, cols, keys, time_col, direction: str, via: str | None = None) -> DataFrame:
     """Upsampling fill: grid value = value of the last reading at or before
     the grid point (``ffill``) or of the first at or after it (``bfill``).
     Each reading is assigned to the one grid point it can serve first and
@@ -205,20 +234,22 @@ def _asof_fill(df: DataFrame, freq, cols, keys, time_col, direction: str) -> Dat
         red = df2.groupBy(*keys, b.alias(time_col)).agg(
             *[F.min_by(c, order).alias(c) for c in cols])
     red = red.withColumn("__hit", F.lit(True))
-    grid = _grid(df, step, keys, time_col)
-    j = grid.join(red, [*keys, time_col], "left")
-    if direction == "ffill":
-        frame = _running(keys, time_col)
-        pick = {c: F.last(F.when(F.col("__hit"), F.struct(F.col(c).alias("v"))), True).over(frame)["v"]
-                for c in cols}
+    j = join_on(_grid(df, step, keys, time_col, via), red, [*keys, time_col])
+    hit = {f"__h_{c}": F.when(F.col("__hit"), F.struct(F.col(c).alias("v"))) for c in cols}
+    if _in_blocks(keys, via):
+        base = ranges(j, keys, [time_col])
+        if direction == "ffill":
+            found = neighbours(base, keys, [time_col], upto=hit)
+        else:
+            found = neighbours(base, keys, [time_col], after=hit)
+            found = found.select(*j.columns, *[F.coalesce(e, F.col(n)).alias(n) for n, e in hit.items()])
     else:
-        frame = _running(keys, time_col, backwards=True)
-        pick = {c: F.last(F.when(F.col("__hit"), F.struct(F.col(c).alias("v"))), True).over(frame)["v"]
-                for c in cols}
-    return j.select(*keys, time_col, *[pick[c].alias(c) for c in cols])
+        frame = _running(keys, time_col, backwards=direction != "ffill")
+        found = j.select("*", *[F.last(e, True).over(frame).alias(n) for n, e in hit.items()])
+    return found.select(*keys, time_col, *[F.col(f"__h_{c}.v").alias(c) for c in cols])
 
 
-def _asof_ffill_sparse(df: DataFrame, freq, cols, keys, time_col) -> DataFrame:
+def _asof_ffill_sparse(df: DataFrame, freq, cols, keys, time_col, via: str | None = None) -> DataFrame:
     """P9 ``ffill`` (as-of, then forward and backward fill) without sorting
     the grid.  A reading serves first the grid point at or after it (its
     *hit*); after the fills, a grid point holds the latest non-null hit at or
@@ -238,19 +269,27 @@ def _asof_ffill_sparse(df: DataFrame, freq, cols, keys, time_col) -> DataFrame:
     sp = (hits.unionByName(occ).groupBy(*keys, "__t")
           .agg(F.max("__hit").alias("__hit"), F.max("__occ").alias("__occ"),
                *[F.max(F.when(F.col("__hit"), F.col(c))).alias(c) for c in cols]))
-    w = _grid_window(keys, "__t")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sel = [F.lead("__t").over(w).alias("__next"),
-           F.max(F.when(F.col("__occ"), F.col("__t"))).over(whole).alias("__end")]
-    for c in cols:
-        nn = F.when(F.col("__hit") & F.col(c).isNotNull(), F.col(c))
-        sel += [F.last(nn, True).over(upto).alias(f"__f_{c}"), F.first(nn, True).over(whole).alias(f"__e_{c}")]
-    m = sp.select(*keys, "__t", *sel).where(F.col("__t") <= F.col("__end"))
+    known = {c: F.when(F.col("__hit") & F.col(c).isNotNull(), F.col(c)) for c in cols}
+    if _in_blocks(keys, via):
+        end = sp.groupBy(*keys).agg(F.max(F.when(F.col("__occ"), F.col("__t"))).alias("__end"))
+        m = neighbours(ranges(sp, keys, ["__t"]), keys, ["__t"], upto={f"__f_{c}": known[c] for c in cols},
+                       after={"__next": F.col("__t"), **{f"__e_{c}": known[c] for c in cols}})
+        # without a hit at or before it, the first one after a row is the first of the series
+        m = attach(m, end, keys)
+    else:
+        w = _grid_window(keys, "__t")
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        sel = [F.lead("__t").over(w).alias("__next"),
+               F.max(F.when(F.col("__occ"), F.col("__t"))).over(whole).alias("__end")]
+        for c in cols:
+            sel += [F.last(known[c], True).over(upto).alias(f"__f_{c}"), F.first(known[c], True).over(whole).alias(f"__e_{c}")]
+        m = sp.select(*keys, "__t", *sel)
+    m = m.where(F.col("__t") <= F.col("__end"))
     stop = F.least(F.coalesce(F.col("__next"), F.col("__end") + F.expr(f"INTERVAL {step} SECONDS")),
                    F.col("__end") + F.expr(f"INTERVAL {step} SECONDS"))
     n = ((epoch_seconds(stop) - epoch_seconds(F.col("__t"))) / step).cast("long")
-    g = m.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    g = _steps(m, n, "__k")
     return g.select(*keys, from_epoch_seconds(epoch_seconds(F.col("__t")) + F.col("__k") * step).alias(time_col),
                     *[F.coalesce(F.col(f"__f_{c}"), F.col(f"__e_{c}")).alias(c) for c in cols])
 
@@ -258,71 +297,76 @@ def _asof_ffill_sparse(df: DataFrame, freq, cols, keys, time_col) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Fills on a regular grid (P3-P8).  Input: output of P1/P2 (one row per bin).
 
-def fill_linear(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
+def fill_linear(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", via: str | None = None) -> DataFrame:
     """Interior gaps interpolated linearly by position, trailing gaps keep
     the last value, leading gaps stay null.  Position = row number in time
     order (pandas' default ``method='linear'`` ignores index spacing; on a
     regular grid the two agree)."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    w = _grid_window(keys, time_col)
-    before = _running(keys, time_col)
-    after = _running(keys, time_col, backwards=True)
-    # one forward pass (position, previous non-null of every column) and one
-    # backward pass (next non-null): two sorts whatever the number of columns
     pos = F.col("__pos")
-    fwd = df.select("*", F.row_number().over(w).cast("double").alias("__pos"))
-    fwd = fwd.select("*", *[F.last(F.when(F.col(c).isNotNull(), pos), True).over(before).alias(f"__p0_{c}")
-                            for c in cols],
-                     *[F.last(F.col(c), True).over(before).alias(f"__v0_{c}") for c in cols])
-    both = fwd.select("*", *[F.last(F.when(F.col(c).isNotNull(), pos), True).over(after).alias(f"__p1_{c}")
-                             for c in cols],
-                      *[F.last(F.col(c), True).over(after).alias(f"__v1_{c}") for c in cols])
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(pos.alias("p"), F.col(c).alias("v"))) for c in cols}
+    if _in_blocks(keys, via):
+        base = with_index(ranges(df, keys, [time_col]), keys, [time_col], "__pos")
+        both = neighbours(base, keys, [time_col], upto={f"__b_{c}": known[c] for c in cols},
+                          after={f"__a_{c}": known[c] for c in cols})
+    else:
+        # one forward pass (position, previous non-null of every column) and one
+        # backward pass (next non-null): two sorts whatever the number of columns
+        base = df.select("*", F.row_number().over(_grid_window(keys, time_col)).alias("__pos"))
+        before, after = _running(keys, time_col), _running(keys, time_col, backwards=True)
+        both = base.select("*", *[F.last(known[c], True).over(before).alias(f"__b_{c}") for c in cols])
+        both = both.select("*", *[F.last(known[c], True).over(after).alias(f"__a_{c}") for c in cols])
     filled = {}
     for c in cols:
-        p0, v0, p1, v1 = (F.col(f"__{n}_{c}") for n in ("p0", "v0", "p1", "v1"))
+        (p0, v0), (p1, v1) = ((F.col(f"__{side}_{c}.p").cast("double"), F.col(f"__{side}_{c}.v")) for side in "ba")
         filled[c] = (F.when(F.col(c).isNotNull(), F.col(c)).when(p1.isNull(), v0)
                      .otherwise(v0 + (v1 - v0) * (pos - p0) / (p1 - p0)))
     return both.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
-def fill_ffill(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
-    """P4 (``ffill`` / ``pad``): last non-null value so far."""
+def _fill_towards(df: DataFrame, cols, keys, time_col, via: str | None, backwards: bool) -> DataFrame:
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    frame = _running(keys, time_col)
-    return df.select(*[F.last(F.col(c), True).over(frame).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    if _in_blocks(keys, via):
+        near = {f"__v_{c}": F.col(c) for c in cols}
+        found = neighbours(ranges(df, keys, [time_col]), keys, [time_col], **{"after" if backwards else "upto": near})
+        value = {c: F.coalesce(F.col(c), F.col(f"__v_{c}")) for c in cols}
+    else:
+        frame = _running(keys, time_col, backwards)
+        found, value = df, {c: F.last(F.col(c), True).over(frame) for c in cols}
+    return found.select(*[value[c].alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def fill_ffill(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", via: str | None = None) -> DataFrame:
+    """P4 (``ffill`` / ``pad``): last non-null value so far."""
+    return _fill_towards(df, cols, keys, time_col, via, backwards=False)
 
 
-def fill_bfill(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
+def fill_bfill(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", via: str | None = None) -> DataFrame:
     """P5: next non-null value."""
-    keys = list(keys)
-    cols = _cols(df, cols, keys, time_col)
-    frame = _running(keys, time_col, backwards=True)
-    return df.select(*[F.last(F.col(c), True).over(frame).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    return _fill_towards(df, cols, keys, time_col, via, backwards=True)
 
 
-def fill_mean(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
-    """Nulls replaced by the series mean."""
+def fill_mean(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", via: str | None = None) -> DataFrame:
+    """Nulls replaced by the series mean (one partial aggregate per key,
+    joined back)."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    w = _key_window(keys)
-    return df.select(*[F.coalesce(F.col(c), F.avg(c).over(w)).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    j = attach(df, df.groupBy(*keys).agg(*[F.avg(c).alias(f"__m_{c}") for c in cols]), keys)
+    return j.select(*[F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def fill_median(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
-    """Nulls replaced by the series median (exact, linear interpolation)."""
+def fill_median(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", via: str | None = None) -> DataFrame:
+    """Nulls replaced by the series median (exact, linear interpolation;
+    rank selection, so no task holds a series)."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    w = _key_window(keys)
-    return df.select(*[F.coalesce(F.col(c), F.percentile(F.col(c), 0.5).over(w)).alias(c)
-                       if c in cols else F.col(c) for c in df.columns])
+    j = attach(df, exact_quantile_table(df, cols, [0.5], keys), keys)
+    return j.select(*[F.coalesce(F.col(c), F.col(f"{c}_q0")).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def fill_zero(df: DataFrame, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
+def fill_zero(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", via: str | None = None) -> DataFrame:
     """P8."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
@@ -334,14 +378,14 @@ FILLS = {"linear": fill_linear, "ffill": fill_ffill, "pad": fill_ffill, "bfill":
          "mean": fill_mean, "median": fill_median, "zero": fill_zero}
 
 
-def fill(df: DataFrame, method: str, cols=None, keys=("source_id",), time_col="ts") -> DataFrame:
+def fill(df: DataFrame, method: str, cols=None, keys=("source_id",), time_col="ts", via: str | None = None) -> DataFrame:
     if method not in FILLS:
-        raise ValueError(f"Unsupported fill method: {method}")
-    return FILLS[method](df, cols, keys, time_col)
+        raise ValueError(f"no fill called {method!r}; there are {', '.join(FILLS)}")
+    return FILLS[method](df, cols, keys, time_col, via)
 
 
 def preprocess_series(df: DataFrame, freq="1h", fill_method="linear", cols=None,
-                      keys=("source_id",), time_col="ts") -> DataFrame:
+                      keys=("source_id",), time_col="ts", via: str | None = None) -> DataFrame:
     """Resample to ``freq`` with upsampling semantics, fill, then ffill
     and bfill whatever is left.
 
@@ -354,15 +398,15 @@ def preprocess_series(df: DataFrame, freq="1h", fill_method="linear", cols=None,
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
     if fill_method == "linear":
-        return resample_fill(df, freq, "linear", cols, keys, time_col, agg="asfreq", edges=True)
+        return resample_fill(df, freq, "linear", cols, keys, time_col, agg="asfreq", edges=True, via=via)
     if fill_method == "mean":
-        return resample_fill(df, freq, "ffill", cols, keys, time_col, agg="mean", edges=True)
+        return resample_fill(df, freq, "ffill", cols, keys, time_col, agg="mean", edges=True, via=via)
     if fill_method not in ("ffill", "pad", "bfill"):
-        return resample_fill(df, freq, "ffill", cols, keys, time_col, agg="asfreq", edges=True)
+        return resample_fill(df, freq, "ffill", cols, keys, time_col, agg="asfreq", edges=True, via=via)
     if fill_method in ("ffill", "pad"):
-        return _asof_ffill_sparse(df, freq, cols, keys, time_col)
-    out = _asof_fill(df, freq, cols, keys, time_col, "bfill")
-    return fill_bfill(fill_ffill(out, cols, keys, time_col), cols, keys, time_col)
+        return _asof_ffill_sparse(df, freq, cols, keys, time_col, via)
+    out = _asof_fill(df, freq, cols, keys, time_col, "bfill", via)
+    return fill_bfill(fill_ffill(out, cols, keys, time_col, via), cols, keys, time_col, via)
 
 
 # ---------------------------------------------------------------------------
@@ -372,7 +416,8 @@ def preprocess_series(df: DataFrame, freq="1h", fill_method="linear", cols=None,
 def scale_stats(df: DataFrame, method: str, cols, keys=("source_id",),
                 quantile_range=(25.0, 75.0), with_centering=True, with_scaling=True) -> DataFrame:
     """Fitted scaler as a table ``(keys..., <col>__center, <col>__scale)``.
-    One partially-aggregated pass; reusable on new data (``apply_scale``)."""
+    One partially-aggregated pass (robust: one rank selection for all
+    columns); reusable on new data (``apply_scale``)."""
     keys = list(keys)
     aggs = []
     for c in cols:
@@ -385,27 +430,21 @@ def scale_stats(df: DataFrame, method: str, cols, keys=("source_id",),
             rng = F.max(c) - F.min(c)
             scale = F.when((rng == 0) | rng.isNull(), F.lit(1.0)).otherwise(rng)
         elif method == "robust":
-            # exact quantiles come from the skew-safe selection (joined below)
-            center = F.lit(None)
-            scale = F.lit(None)
+            continue
         else:
-            raise ValueError(f"Unsupported scale method: {method}")
+            raise ValueError(f"no scaling called {method!r}; there are standard, minmax and robust")
         aggs += [center.cast("double").alias(f"{c}__center"), scale.cast("double").alias(f"{c}__scale")]
-    stats = df.groupBy(*keys).agg(*aggs)
     if method != "robust":
-        return stats
-    from envspark.operators.quantiles import exact_quantiles
+        return df.groupBy(*keys).agg(*aggs)
     lo, hi = quantile_range
+    q = exact_quantile_table(df, cols, [lo / 100, 0.5, hi / 100], keys)
+    out = []
     for c in cols:
-        q = exact_quantiles(df, c, [lo / 100, 0.5, hi / 100], keys, prefix=f"__rq_{c}")
-        iqr = F.col(f"__rq_{c}_q2") - F.col(f"__rq_{c}_q0")
-        q = q.select(*keys, (F.col(f"__rq_{c}_q1") if with_centering else F.lit(0.0)).alias(f"__rc_{c}"),
-                     (F.when((iqr == 0) | iqr.isNull(), F.lit(1.0)).otherwise(iqr) if with_scaling
-                      else F.lit(1.0)).alias(f"__rs_{c}"))
-        stats = attach(stats, q, keys)
-        stats = stats.withColumn(f"{c}__center", F.col(f"__rc_{c}").cast("double")) \
-            .withColumn(f"{c}__scale", F.col(f"__rs_{c}").cast("double")).drop(f"__rc_{c}", f"__rs_{c}")
-    return stats
+        iqr = F.col(f"{c}_q2") - F.col(f"{c}_q0")
+        out += [(F.col(f"{c}_q1") if with_centering else F.lit(0.0)).cast("double").alias(f"{c}__center"),
+                (F.when((iqr == 0) | iqr.isNull(), F.lit(1.0)).otherwise(iqr) if with_scaling else F.lit(1.0))
+                .cast("double").alias(f"{c}__scale")]
+    return attach(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")), q, keys).select(*keys, *out)
 
 
 def apply_scale(df: DataFrame, stats: DataFrame, cols, keys=("source_id",)) -> DataFrame:
@@ -417,49 +456,26 @@ def apply_scale(df: DataFrame, stats: DataFrame, cols, keys=("source_id",)) -> D
 
 
 def scale(df: DataFrame, method: str | None, cols=None, keys=("source_id",), time_col="ts",
-          quantile_range=(25.0, 75.0), with_centering=True, with_scaling=True, via: str = "window") -> DataFrame:
+          quantile_range=(25.0, 75.0), with_centering=True, with_scaling=True) -> DataFrame:
     """P10 standard (population std, 0 -> 1), P11 minmax (range 0 -> 1),
-    P12 robust ((x - median) / IQR).  Window statistics over the series: the
-    input is already partitioned by ``keys`` after the fills, so this adds no
-    shuffle."""
+    P12 robust ((x - median) / IQR): statistics per series from partial
+    aggregates or rank selection, joined back to the rows."""
     if method is None:
         return df
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
-    if via == "join" and method in ("standard", "minmax"):
-        # partial aggregates per key + broadcast-size join: no sort of the rows
-        return apply_scale(df, scale_stats(df, method, cols, keys), cols, keys)
-    w = _key_window(keys)
-    exprs = {}
-    for c in cols:
-        x = F.col(c)
-        if method == "standard":
-            sd = F.stddev_pop(x).over(w)
-            exprs[c] = (x - F.avg(x).over(w)) / F.when((sd == 0) | sd.isNull(), 1.0).otherwise(sd)
-        elif method == "minmax":
-            lo = F.min(x).over(w)
-            rng = F.max(x).over(w) - lo
-            exprs[c] = (x - lo) / F.when((rng == 0) | rng.isNull(), 1.0).otherwise(rng)
-        elif method == "robust":
-            lo, hi = quantile_range
-            q = F.percentile(x, F.array(F.lit(lo / 100), F.lit(0.5), F.lit(hi / 100))).over(w)
-            iqr = q[2] - q[0]
-            centred = x - q[1] if with_centering else x
-            exprs[c] = centred / F.when((iqr == 0) | iqr.isNull() | F.lit(not with_scaling), 1.0).otherwise(iqr)
-        else:
-            raise ValueError(f"Unsupported scale method: {method}")
-    return df.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
+    return apply_scale(df, scale_stats(df, method, cols, keys, quantile_range, with_centering, with_scaling), cols, keys)
 
 
 def preprocess(df: DataFrame, freq="1h", fill_method="linear", scale_method="standard",
-               cols=None, keys=("source_id",), time_col="ts", **scale_kw) -> DataFrame:
+               cols=None, keys=("source_id",), time_col="ts", via: str | None = None, **scale_kw) -> DataFrame:
     """Resample (bin means) -> fill -> scale, one lazy plan."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
     if freq and fill_method in ("linear", "ffill", "pad", "bfill"):
-        out = resample_fill(df, freq, fill_method, cols, keys, time_col)
+        out = resample_fill(df, freq, fill_method, cols, keys, time_col, via=via)
     else:
-        out = resample_mean(df, freq, cols, keys, time_col) if freq else df.select(*keys, time_col, *cols)
+        out = resample_mean(df, freq, cols, keys, time_col, via=via) if freq else df.select(*keys, time_col, *cols)
         if fill_method in FILLS:
-            out = FILLS[fill_method](out, cols, keys, time_col)
-    return scale(out, scale_method, cols, keys, time_col, via="join", **scale_kw)
+            out = FILLS[fill_method](out, cols, keys, time_col, via)
+    return scale(out, scale_method, cols, keys, time_col, **scale_kw)

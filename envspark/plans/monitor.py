@@ -37,20 +37,20 @@ def _standard_zscore_flags(grid: DataFrame, cols, keys, time_col, threshold: flo
 
 def monitor_flags(readings: DataFrame, cols=("temperature", "humidity"), keys=("source_id",),
                   time_col="ts", freq="1h", fill_method="linear", scale_method="standard",
-                  method="zscore", threshold: float = 3.0) -> DataFrame:
+                  method="zscore", threshold: float = 3.0, via: str | None = None) -> DataFrame:
     cols = list(cols)
     if scale_method == "standard" and method == "zscore" and freq and fill_method in ("linear", "ffill", "pad",
                                                                                        "bfill"):
-        grid = series.resample_fill(readings, freq, fill_method, cols, keys, time_col)
+        grid = series.resample_fill(readings, freq, fill_method, cols, keys, time_col, via=via)
         return _standard_zscore_flags(grid, cols, keys, time_col, threshold)
-    prepared = series.preprocess(readings, freq, fill_method, scale_method, cols, keys, time_col)
+    prepared = series.preprocess(readings, freq, fill_method, scale_method, cols, keys, time_col, via)
     # per-key statistics as partial aggregates joined back: the grid is never sorted
     return anomaly.detect_anomalies(prepared, method, cols, keys, time_col, threshold, via="join")
 
 
 def monitor(readings: DataFrame, cols=("temperature", "humidity"), keys=("source_id",),
             time_col="ts", freq="1h", fill_method="linear", scale_method="standard",
-            method="zscore", threshold: float = 3.0) -> DataFrame:
+            method="zscore", threshold: float = 3.0, via: str | None = None) -> DataFrame:
     flags = monitor_flags(readings, cols, keys, time_col, freq, fill_method, scale_method,
-                          method, threshold)
+                          method, threshold, via)
     return anomaly.anomaly_summary(flags, list(cols), keys, time_col, method, threshold)
