@@ -161,14 +161,14 @@ def _rolling_exprs(x: Column, frame, window: int) -> dict[str, Column]:
 
 
 def rolling_stats(df: DataFrame, cols=None, window: int = 24, keys=("source_id",), time_col="ts",
-                  volatility: bool = True, chunk="1d") -> DataFrame:
+                  volatility: bool = True, chunk="range") -> DataFrame:
     """W1 (+W3): mean, std (ddof 1), min, max, median over the last
     ``window`` rows, null until the frame holds ``window`` non-null values;
     ``<col>_volatility`` = rolling std / rolling mean.
 
-    ``chunk`` (default one day) spreads each series over time chunks with
-    a halo of ``window - 1`` rows - exact, and a series holding a large share
-    of all rows is processed by many tasks.  ``chunk=None`` orders each
+    ``chunk`` (default: ranges of equal size, see ``indexed_rows``) spreads
+    each series over chunks with a halo of ``window - 1`` rows - exact, and a
+    series holding a large share of all rows is processed by many tasks.  ``chunk=None`` orders each
     series in one window partition (cheaper for many small series)."""
     keys = list(keys)
     cols = _cols(df, cols, keys, time_col)
@@ -205,7 +205,7 @@ def _chunk_carry(indexed: DataFrame, keys: Sequence[str], cols: Sequence[str]) -
                        F.lag("__chunk").over(prev1).isNotNull().alias("__has_prev"))
 
 
-def pct_change(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", chunk="1d") -> DataFrame:
+def pct_change(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", chunk="range") -> DataFrame:
     """X / previous - 1 after forward-filling nulls; previous 0 gives
     +-inf (or NaN for 0/0) as in IEEE arithmetic.
 
@@ -353,7 +353,7 @@ def ewma(df: DataFrame, cols=None, span: float = 30.0, keys=("source_id",), time
 
 def make_sequences(df: DataFrame, seq_length: int, target_length: int = 1, step: int = 1,
                    feature_cols=None, target_col: str | None = None, keys=("source_id",),
-                   time_col="ts", chunk="1d") -> DataFrame:
+                   time_col="ts", chunk="range") -> DataFrame:
     """Sliding (sequence, target) pairs per series: windows start at
     positions 0, step, 2*step, ... while ``start + seq + target <= n``.
     With a ``target_col`` the features exclude it and the target is taken
@@ -379,7 +379,7 @@ def make_sequences(df: DataFrame, seq_length: int, target_length: int = 1, step:
                       F.transform(F.slice("__w", seq_length + 1, target_length), lambda e: e["y"]).alias("target"))
 
 
-def zero_crossings(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", chunk="1d") -> DataFrame:
+def zero_crossings(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", chunk="range") -> DataFrame:
     """Number of sign-bit flips between neighbouring values per series:
     flips inside each time chunk plus flips across chunk borders (from the
     per-chunk carry table); partial sums per key."""
@@ -398,7 +398,7 @@ def zero_crossings(df: DataFrame, cols=None, keys=("source_id",), time_col="ts",
     return j.groupBy(*keys).agg(*aggs)
 
 
-def autocorr_lag1(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", chunk="1d") -> DataFrame:
+def autocorr_lag1(df: DataFrame, cols=None, keys=("source_id",), time_col="ts", chunk="range") -> DataFrame:
     """Pearson correlation of x with its previous value per series; the
     pairs across chunk borders use the carried last value; ``corr`` is a
     partial aggregate."""

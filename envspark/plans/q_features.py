@@ -36,7 +36,7 @@ _ROLL_COLS = [f"{c}_{k}" for c in COLS for k in ("rolling_mean", "rolling_std",
 
 @register("w1_rolling_stats", _ROLL, ["readings"], rnd=_ROLL_COLS)
 def w1(spark, sf):
-    return windows.rolling_stats(R(spark, sf), COLS, 24, KEYS, chunk=None)
+    return windows.rolling_stats(R(spark, sf), COLS, 24, KEYS)
 
 
 @register("w1_rolling_stats_chunked", _ROLL, ["readings"], rnd=_ROLL_COLS)
@@ -61,29 +61,38 @@ def w2(spark, sf):
     return windows.pct_change(R(spark, sf), COLS, KEYS)
 
 
-_EW_D = 1.0 - 2.0 / 31.0
-_EW_L = "list(humidity) OVER (PARTITION BY source_id ORDER BY ts, id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW)"
+def _ewma_sql(span, cols=COLS):
+    """Weighted sums over the list of all rows up to each row (no window of a
+    fixed number of rows), the variance from the deviations."""
+    d = 1.0 - 2.0 / (span + 1.0)
+    src = ("(SELECT *, " + ", ".join(
+        f"list({c}) OVER (PARTITION BY source_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l_{c}"
+        for c in cols) + " FROM readings)")
 
+    def total(c, e):
+        return (f"list_sum(list_transform(range(len(l_{c})), lambda i: CASE WHEN l_{c}[i + 1] IS NOT NULL THEN "
+                f"pow({d!r}, len(l_{c}) - 1 - i) * ({e}) END))")
+    mean = ", ".join(f"{total(c, '1')} AS w_{c}, {total(c, f'l_{c}[i + 1]')} / {total(c, '1')} AS m_{c}, "
+                     f"{total(c, f'pow({d!r}, len(l_{c}) - 1 - i)')} AS q_{c}" for c in cols)
+    var = ", ".join(f"{total(c, f'pow(l_{c}[i + 1] - m_{c}, 2)')} AS v_{c}" for c in cols)
+    out = ", ".join(f"m_{c} AS {c}_ewma, CASE WHEN w_{c} * w_{c} - q_{c} > w_{c} * w_{c} * 1e-12 "
+                    f"THEN sqrt(v_{c} / w_{c} / (1 - q_{c} / (w_{c} * w_{c}))) END AS {c}_ewmstd" for c in cols)
+    return (f"SELECT id, source_id, ts, temperature, humidity, {out} FROM (SELECT *, {var} FROM "
+            f"(SELECT *, {mean} FROM {src}))")
 
-def _ew_sum(expr):
-    return (f"list_sum(list_transform(range(len(l)), lambda i: CASE WHEN l[i + 1] IS NOT NULL THEN "
-            f"{expr} END))")
 
+_EWM_COLS = [f"{c}_{k}" for c in COLS for k in ("ewma", "ewmstd")]
 
-_EWMA = (
-    "SELECT id, source_id, ts, temperature, humidity, s1 / s0 AS humidity_ewma, "
-    "CASE WHEN s0 * s0 - w2 > s0 * s0 * 1e-12 THEN sqrt(greatest(s2 / s0 - (s1 / s0) * (s1 / s0), 0.0) "
-    "* s0 * s0 / (s0 * s0 - w2)) END AS humidity_ewmstd FROM (SELECT *, "
-    + _ew_sum(f"pow({_EW_D}, len(l) - 1 - i)") + " AS s0, "
-    + _ew_sum(f"pow({_EW_D}, len(l) - 1 - i) * l[i + 1]") + " AS s1, "
-    + _ew_sum(f"pow({_EW_D}, len(l) - 1 - i) * l[i + 1] * l[i + 1]") + " AS s2, "
-    + _ew_sum(f"pow({_EW_D}, 2 * (len(l) - 1 - i))") + " AS w2 "
-    f"FROM (SELECT *, {_EW_L} AS l FROM readings))")
 
-
-@register("w4_ewma", _EWMA, ["readings"], rnd=["humidity_ewma", "humidity_ewmstd"])
+@register("w4_ewma", _ewma_sql(30), ["readings"], rnd=_EWM_COLS)
 def w4(spark, sf):
-    return windows.ewma(R(spark, sf), ["humidity"], 30.0, KEYS)
+    return windows.ewma(R(spark, sf), COLS, 30.0, KEYS)
+
+
+@register("w4_ewma_span365", _ewma_sql(365), ["readings"], rnd=_EWM_COLS)
+def w4_long(spark, sf):
+    """Short blocks, so that states are chained over many of them."""
+    return windows.ewma(R(spark, sf), COLS, 365.0, KEYS, block=16)
 
 
 _SEQ = ("SELECT source_id, ts AS start_ts, list_slice(w, 1, 6) AS sequence, list_slice(w, 7, 7) AS target FROM "
@@ -272,11 +281,19 @@ def n8(spark, sf):
     return features.all_window_features(R(spark, sf), "humidity", 24, KEYS)
 
 
-@register("n12_ewma_anomalies",
-          "SELECT id, source_id, ts, temperature, humidity, COALESCE(abs(humidity - humidity_ewma) > "
-          f"2.0 * humidity_ewmstd, false) AS anomaly_humidity FROM ({_EWMA})", ["readings"])
+def _n12_sql(span, k):
+    flags = ", ".join(f"COALESCE(abs({c} - {c}_ewma) > {k} * {c}_ewmstd, false) AS anomaly_{c}" for c in COLS)
+    return f"SELECT id, source_id, ts, temperature, humidity, {flags} FROM ({_ewma_sql(span)})"
+
+
+@register("n12_ewma_anomalies", _n12_sql(30, 2.0), ["readings"])
 def n12(spark, sf):
-    return features.ewma_anomalies(R(spark, sf), ["humidity"], 30.0, 2.0, KEYS)
+    return features.ewma_anomalies(R(spark, sf), COLS, 30.0, 2.0, KEYS)
+
+
+@register("n12_ewma_anomalies_span365", _n12_sql(365, 1.5), ["readings"])
+def n12_long(spark, sf):
+    return features.ewma_anomalies(R(spark, sf), COLS, 365.0, 1.5, KEYS)
 
 
 _N15 = " UNION ALL ".join(

@@ -214,6 +214,72 @@ def n18(spark, sf):
     return monitor(_readings(spark, sf), COLS, KEYS)
 
 
+# All readings as one unkeyed series: no window over the whole of it.
+
+_U10M = S.resample_mean("readings", 600, COLS, [])
+
+
+def _u(spark, sf, freq="10min"):
+    return series.resample_mean(_readings(spark, sf), freq, COLS, [])
+
+
+@register("p1_resample_mean_unkeyed", _U10M, ["readings"], rnd=COLS)
+def p1_unkeyed(spark, sf):
+    return _u(spark, sf)
+
+
+@register("p2_resample_asfreq_unkeyed",
+          f"SELECT g.ts, r.temperature, r.humidity FROM ({S.grid('readings', 600, [])}) g LEFT JOIN "
+          f"(SELECT ts, temperature, humidity FROM readings WHERE ts = {S.bin_expr(600)}) r ON g.ts = r.ts",
+          ["readings"], rnd=COLS)
+def p2_unkeyed(spark, sf):
+    return series.resample_asfreq(_readings(spark, sf), "10min", COLS, [])
+
+
+@register("p3_fill_linear_unkeyed", S.fill_linear(_U10M, COLS, []), ["readings"], rnd=COLS)
+def p3_unkeyed(spark, sf):
+    return series.fill_linear(_u(spark, sf), COLS, [])
+
+
+@register("p4_fill_ffill_unkeyed", S.fill_dir(_U10M, COLS, [], "ffill"), ["readings"], rnd=COLS)
+def p4_unkeyed(spark, sf):
+    return series.fill_ffill(_u(spark, sf), COLS, [])
+
+
+@register("p5_fill_bfill_unkeyed", S.fill_dir(_U10M, COLS, [], "bfill"), ["readings"], rnd=COLS)
+def p5_unkeyed(spark, sf):
+    return series.fill_bfill(_u(spark, sf), COLS, [])
+
+
+_ASOF_U = (f"SELECT g.ts, r.temperature, r.humidity FROM ({S.grid('readings', 600, [])}) g "
+           f"ASOF LEFT JOIN (SELECT ts AS rts, temperature, humidity FROM readings) r ON g.ts >= r.rts")
+
+
+@register("p9_preprocess_ffill_unkeyed", S.fill_dir(S.fill_dir(_ASOF_U, COLS, [], "ffill"), COLS, [], "bfill"),
+          ["readings"], rnd=COLS)
+def p9_unkeyed(spark, sf):
+    return series.preprocess_series(_readings(spark, sf), "10min", "ffill", COLS, [])
+
+
+_PRE_U = S.scale(S.fill_linear(_U10M, COLS, []), COLS, [], "standard")
+
+
+@register("p13_preprocess_unkeyed", _PRE_U, ["readings"], rnd=COLS)
+def p13_unkeyed(spark, sf):
+    return series.preprocess(_readings(spark, sf), "10min", "linear", "standard", COLS, [])
+
+
+@register("p13_preprocess_robust", S.scale(S.fill_dir(R6, COLS, KEYS, "bfill"), COLS, KEYS, "robust"), ["readings"], rnd=COLS)
+def p13_robust(spark, sf):
+    return series.preprocess(_readings(spark, sf), "6h", "bfill", "robust", COLS, KEYS)
+
+
+@register("n18_monitor_unkeyed", S.anomaly_summary(S.zscore_flags(_PRE_U, COLS, [], 2.0), COLS, [], "zscore", 2.0),
+          ["readings"])
+def n18_unkeyed(spark, sf):
+    return monitor(_readings(spark, sf), COLS, [], freq="10min", threshold=2.0)
+
+
 def flagship(spark, sf):
     return n18(spark, sf)
 
