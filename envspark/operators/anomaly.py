@@ -85,7 +85,7 @@ def detect_anomalies(df: DataFrame, method: str = "zscore", cols=None, keys=("so
         return zscore_flags(df, cols, keys, time_col, 3.0 if threshold is None else threshold, True, via)
     if method == "iqr":
         return iqr_flags(df, cols, keys, time_col, 1.5 if threshold is None else threshold, via)
-    raise ValueError(f"Unsupported anomaly detection method: {method}")
+    raise ValueError(f"no anomaly test called {method!r}; there are zscore, zscore_pop and iqr")
 
 
 def flagged_rows(flags: DataFrame, cols, keys=("source_id",), time_col="ts") -> DataFrame:

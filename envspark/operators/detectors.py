@@ -1,11 +1,12 @@
 """Multivariate anomaly models and signal events.
 
 Isolation forest (published algorithm of Liu, Ting and Zhou):
-  the sample each tree is grown on is bounded (psi rows per tree drawn from
-  a uniform sample of t*psi*1.3 rows, independent of the table size); the
-  trees are grown in ``applyInPandas`` (one task per tree); the forest is a
-  few thousand numbers, shipped to every task, and *all* rows are scored in
-  ``mapInPandas`` with vectorised NumPy traversal.
+  every tree is grown on the psi rows with the smallest hash of (row, tree,
+  seed) - a bottom-k sample, which merges over partitions and does not depend
+  on them; some trees at a time are grown in ``applyInPandas``.  One forest for
+  the whole table is a few thousand numbers, shipped to every task; with
+  ``keys`` there is a forest per key, brought to shares of its rows by a
+  cogroup.  *All* rows are scored with vectorised NumPy traversal.
 
 One-class SVM: random Fourier features of the RBF kernel and the
 nu-one-class objective trained by full-batch subgradient steps; each step is
@@ -18,18 +19,20 @@ CWT peaks and PELT change points run per (series, frame) group in
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark.functions.timefn import time_bucket
+from envspark.operators.common import attach
 from envspark.operators.quantiles import exact_quantiles
-from envspark.session import ship_package
+from envspark.session import cut_lineage, ship_package
 
 EULER = 0.5772156649015329
 
@@ -83,77 +86,107 @@ def _path_lengths(X: np.ndarray, tree) -> np.ndarray:
     return depth[cur] + avg_path_length(size[cur])
 
 
-FOREST_SCHEMA = T.StructType([
-    T.StructField("tree", T.IntegerType()), T.StructField("feature", T.ArrayType(T.IntegerType())),
-    T.StructField("threshold", T.ArrayType(T.DoubleType())), T.StructField("left", T.ArrayType(T.IntegerType())),
-    T.StructField("right", T.ArrayType(T.IntegerType())), T.StructField("size", T.ArrayType(T.IntegerType())),
-    T.StructField("depth", T.ArrayType(T.IntegerType()))])
+TREE = ("tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<int>, "
+        "depth array<int>")
+TREES_PER_TASK = 25
+ROWS_PER_SHARE = 100_000
 
 
 def fit_isolation_forest(df: DataFrame, cols: Sequence[str], n_trees: int = 100, psi: int = 256,
-                         seed: int = 42) -> tuple[list, int]:
-    """Grow the forest; returns (trees, psi_used).  The model is small."""
+                         seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per (key and) tree.  A tree's rows are those without a null or
+    NaN feature of smallest hash over all their columns, so the forest is the
+    same however the rows are partitioned.  Only rows whose hash is small
+    enough to be among them (three times psi expected) are told apart."""
     ship_package(df.sparkSession)
-    cols = list(cols)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    n = data.count()
-    psi = int(min(psi, max(n, 1)))
-    frac = min(1.0, 1.3 * n_trees * psi / max(n, 1))
-    sample = data.sample(False, frac, seed) if frac < 1.0 else data
-    sample = sample.withColumn("__rid", F.monotonically_increasing_id())
-    member = sample.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-    member = member.withColumn("__h", F.xxhash64("__rid", "tree", F.lit(seed)))
-    from pyspark.sql import Window
-    w = Window.partitionBy("tree").orderBy("__h")
-    picked = member.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= psi)
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
+    cols, keys = list(cols), list(keys)
+    whole = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in cols]
+    data = df.where(functools.reduce(lambda x, y: x & y, whole)).withColumn("__row", F.xxhash64(*df.columns))
+    counts = data.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    span = float(1 << 53)
+    place = lambda t: F.pmod(F.xxhash64("__row", t, F.lit(seed)), F.lit(1 << 53)) / span
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: place(t) < 3.0 * psi / F.col("__n"))
+    member = (attach(data.select(*keys, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)], "__row"),
+                     counts, keys, "inner")
+              .withColumn("tree", F.explode(trees)).withColumn("__h", place(F.col("tree"))))
+    xs = [f"__x{i}" for i in range(len(cols))]
+    w = Window.partitionBy(*keys, "tree").orderBy("__h", *xs)
+    picked = (member.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= psi)
+              .withColumn("__task", F.floor(F.col("tree") / TREES_PER_TASK)))
+    kinds = dict(df.dtypes)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["tree"].iloc[0])
-        X = pdf[cols].to_numpy(dtype=float)
-        rng = np.random.default_rng(seed + t)
-        f, th, le, ri, sz, dp = _grow_tree(X, rng, max_depth)
-        return pd.DataFrame({"tree": [t], "feature": [f], "threshold": [th], "left": [le], "right": [ri],
-                             "size": [sz], "depth": [dp]})
-
-    forest = picked.select("tree", *cols).groupBy("tree").applyInPandas(grow, FOREST_SCHEMA)
-    trees = [(r["feature"], r["threshold"], r["left"], r["right"], r["size"], r["depth"])
-             for r in forest.orderBy("tree").collect()]          # bounded: n_trees small trees
-    return trees, psi
+        out = []
+        for t, rows in pdf.sort_values(["tree", "__rn"]).groupby("tree"):
+            X = rows[xs].to_numpy(dtype=float)
+            max_depth = int(math.ceil(math.log2(max(len(X), 2))))
+            out.append((int(t), *_grow_tree(X, np.random.default_rng(seed + int(t)), max_depth)))
+        out = pd.DataFrame(out, columns=["tree", "feature", "threshold", "left", "right", "size", "depth"])
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "tree", "feature", "threshold", "left", "right", "size", "depth"]]
+
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + TREE
+    return picked.select(*keys, "tree", "__rn", *xs, "__task").groupBy(*keys, "__task").applyInPandas(grow, schema)
+
+
+def _forest_scores(X: np.ndarray, trees: list) -> np.ndarray:
+    """2^(-E[h] / c(psi)) of every row; NaN for rows with a missing feature."""
+    ok = ~np.isnan(X).any(axis=1)
+    out = np.full(len(X), np.nan)
+    if ok.any() and trees:
+        cpsi = float(avg_path_length(trees[0][4][0]))      # the root holds the sample
+        h = np.mean([_path_lengths(X[ok], t) for t in trees], axis=0)
+        out[ok] = np.power(2.0, -h / cpsi) if cpsi > 0 else 1.0
+    return out
 
 
 def isolation_forest(df: DataFrame, cols: Sequence[str], contamination="auto", n_trees: int = 100,
-                     psi: int = 256, seed: int = 42) -> DataFrame:
+                     psi: int = 256, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """Adds ``score`` (2^(-E[h]/c(psi)), higher = more anomalous) and
     ``anomaly``: score > 0.5 for ``'auto'``, else the top ``contamination``
     share of scores (threshold = exact (1 - c) quantile of all scores).  Rows with a
-    null feature get null score and no flag."""
+    null feature get null score and no flag.  With ``keys``, forest and
+    threshold are those of the row's key alone."""
     ship_package(df.sparkSession)
-    cols = list(cols)
-    trees, psi_used = fit_isolation_forest(df, cols, n_trees, psi, seed)
-    cpsi = float(avg_path_length(psi_used))
+    cols, keys = list(cols), list(keys)
+    forest = cut_lineage(fit_isolation_forest(df, cols, n_trees, psi, seed, keys))
+    parts = ("feature", "threshold", "left", "right", "size", "depth")
     schema = T.StructType(df.schema.fields + [T.StructField("score", T.DoubleType())])
 
-    def scorer(it):
-        for pdf in it:
-            X = pdf[cols].to_numpy(dtype=float, na_value=np.nan)
-            ok = ~np.isnan(X).any(axis=1)
-            s = np.full(len(pdf), np.nan)
-            if ok.any():
-                h = np.mean([_path_lengths(X[ok], t) for t in trees], axis=0)
-                s[ok] = np.power(2.0, -h / cpsi) if cpsi > 0 else 1.0
-            pdf = pdf.copy()
-            pdf["score"] = s
-            yield pdf
-
-    scored = df.mapInPandas(scorer, schema)
+    def scored_rows(pdf: pd.DataFrame, trees: list) -> pd.DataFrame:
+        pdf = pdf[df_columns].copy()
+        pdf["score"] = _forest_scores(pdf[cols].to_numpy(dtype=float, na_value=np.nan), trees)
+        return pdf
+    df_columns = df.columns
+    if not keys:
+        trees = [tuple(r[p] for p in parts) for r in forest.orderBy("tree").collect()]      # n_trees small trees
+
+        def scorer(it):
+            for pdf in it:
+                yield scored_rows(pdf, trees)
+        scored = df.mapInPandas(scorer, schema)
+    else:
+        shares = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SHARE).cast("int").alias("__shares"))
+        rows = (attach(df, shares, keys, "inner")
+                .withColumn("__share", F.pmod(F.xxhash64(*df.columns), F.col("__shares")).cast("int")).drop("__shares"))
+        spread = (attach(forest, shares, keys, "inner")
+                  .withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__shares"))
+
+        def work(pdf: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
+            if not len(pdf):
+                return pd.DataFrame(columns=[*df_columns, "score"])
+            grown = grown.sort_values("tree")
+            return scored_rows(pdf, list(zip(*[grown[p] for p in parts])))
+        scored = (rows.groupBy(*keys, "__share").cogroup(spread.groupBy(*keys, "__share")).applyInPandas(work, schema))
     if contamination == "auto":
-        thr = F.lit(0.5)
-        return scored.withColumn("anomaly", F.coalesce(F.col("score") > thr, F.lit(False)))
+        return scored.withColumn("anomaly", F.coalesce(F.col("score") > 0.5, F.lit(False)))
     c = float(contamination)
-    # exact (1 - c) quantile of all scores by skew-safe rank selection
-    q = exact_quantiles(scored, "score", [1.0 - c]).first()["score_q0"]
-    return scored.withColumn("anomaly", F.coalesce(F.col("score") > F.lit(q), F.lit(False)))
+    # exact (1 - c) quantile of the scores by rank selection, of scores that are written once
+    scored = cut_lineage(scored.withColumn("score", F.when(~F.isnan("score"), F.col("score"))))
+    q = exact_quantiles(scored, "score", [1.0 - c], keys, prefix="__score")
+    flagged = attach(scored, q, keys).select(*scored.columns, (F.col("score") > F.col("__score_q0")).alias("anomaly"))
+    return flagged.withColumn("anomaly", F.coalesce("anomaly", F.lit(False)))
 
 
 # ---------------------------------------------------------------- one-class SVM

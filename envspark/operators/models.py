@@ -2,24 +2,25 @@
 
 D1/D2 run a *user-supplied* batch predictor over a DataFrame with
 ``predict_batch_udf``: the model is built once per Python worker and fed
-Arrow batches.  R13/R14 fit MLlib estimators (distributed fits, small
-models) and score every pixel.
+Arrow batches.  R13/R14 fit one model per image: sufficient statistics by
+image, every image advancing in the same job.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from envspark.operators import stats
-from envspark.session import ship_package
+from envspark.operators.common import attach, join_on
+from envspark.session import ship_package, stored
 
 
 def score(df: DataFrame, make_predict_fn: Callable[[], Callable[[np.ndarray], np.ndarray]],
@@ -44,41 +45,123 @@ def evaluate(df: DataFrame, make_predict_fn, cols: Sequence[str], label_col: str
     return stats.mean_loss(per, "loss", "n", keys)
 
 
-def _assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol="__features", handleInvalid="skip").transform(df)
-
-
 def reconstruction_score(pixels_wide: DataFrame, bands: Sequence[str], k: int = 2,
                          keys=("image_id",)) -> DataFrame:
-    """A linear bottleneck (PCA with ``k`` components fitted on all
+    """A linear bottleneck (``k`` principal components of the image's own
     pixels) stands in for the small dense autoencoder: the anomaly score is
     the mean squared reconstruction residual, min-max scaled to [0, 1] per
-    image."""
-    keys = list(keys)
-    data = _assemble(pixels_wide, bands)
-    model = PCA(k=k, inputCol="__features", outputCol="__pc").fit(data)
-    comps = model.pc.toArray()                      # (n_bands, k) - small
-    proj = comps @ comps.T                          # projector onto the PC space
-    # mean of the input (PCA in MLlib does not centre): centre explicitly
-    means = data.agg(*[F.avg(b).alias(b) for b in bands]).first()
-    mu = np.array([means[b] for b in bands], dtype=float)
-    centred = [F.col(b) - float(mu[i]) for i, b in enumerate(bands)]
-    recon = [sum(float(proj[i, j]) * centred[j] for j in range(len(bands))) for i in range(len(bands))]
-    mse = sum((centred[i] - recon[i]) * (centred[i] - recon[i]) for i in range(len(bands))) / len(bands)
-    scored = pixels_wide.withColumn("__mse", mse)
-    st = scored.groupBy(*keys).agg(F.min("__mse").alias("__lo"), F.max("__mse").alias("__hi"))
-    j = scored.join(st, keys)
-    return j.select(*pixels_wide.columns,
-                    ((F.col("__mse") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-10)).alias("score"))
-
-
-def segment_kmeans(pixels_wide: DataFrame, bands: Sequence[str], k: int = 5, seed: int = 42,
-                   max_iter: int = 20) -> tuple[DataFrame, float]:
-    """K-means over the band vectors of all pixels (MLlib, k-means||
-    initialisation, seed 42); returns (labelled pixels, training cost).
-    Labels are arbitrary cluster ids."""
-    data = _assemble(pixels_wide, bands)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="__features", predictionCol="segment").fit(data)
-    out = model.transform(data).drop("__features")
-    return out, float(model.summary.trainingCost)
-
+    image.  Pixels with a null band have no score.
+
+    All images are fitted at once: one partial aggregate gives every image its
+    means and covariances, the components come from that table, and the pixels
+    meet the projector of their image in one join."""
+    ship_package(pixels_wide.sparkSession)
+    keys, bands = list(keys), list(bands)
+    d = len(bands)
+    x = [F.col(b).cast("double") for b in bands]
+    whole = functools.reduce(lambda a, b: a & b, [F.col(b).isNotNull() for b in bands])
+    moments = pixels_wide.where(whole).groupBy(*keys).agg(
+        F.array(*[F.avg(c) for c in x]).alias("__mean"),
+        F.array(*[F.covar_pop(x[min(i, j)], x[max(i, j)]) for i in range(d) for j in range(d)]).alias("__cov"))
+    kinds = dict(pixels_wide.dtypes)
+
+    def project(it):
+        for pdf in it:
+            out = []
+            for c in pdf["__cov"]:
+                values, vectors = np.linalg.eigh(np.asarray(c, float).reshape(d, d))
+                top = vectors[:, np.argsort(-values, kind="stable")[:k]]
+                out.append((top @ top.T).ravel())
+            yield pdf[[*keys, "__mean"]].assign(__proj=out)
+    fitted = moments.mapInPandas(project, "".join(f"`{c}` {kinds[c]}, " for c in keys)
+                                 + "__mean array<double>, __proj array<double>")
+    j = attach(pixels_wide, fitted, keys)
+    c = [x[i] - F.col("__mean")[i] for i in range(d)]
+    left = [c[i] - sum(F.col("__proj")[i * d + m] * c[m] for m in range(d)) for i in range(d)]
+    scored = j.select(*pixels_wide.columns, (sum(e * e for e in left) / d).alias("__mse"))
+    span = scored.groupBy(*keys).agg(F.min("__mse").alias("__lo"), F.max("__mse").alias("__hi"))
+    return attach(scored, span, keys).select(
+        *pixels_wide.columns, ((F.col("__mse") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-10)).alias("score"))
+
+
+def _start_centres(points: DataFrame, keys: list[str], k: int, n_init: int, seed: int, sample: int = 512) -> DataFrame:
+    """k-means++ centres of every key and restart, drawn from the ``sample``
+    distinct points of smallest hash (a sample that merges over partitions)."""
+    w = Window.partitionBy(*keys).orderBy("__h", "__x") if keys else Window.orderBy("__h", "__x")
+    some = (points.withColumn("__h", F.xxhash64("__x", F.lit(seed))).withColumn("__rn", F.row_number().over(w))
+            .where(F.col("__rn") <= sample).drop("__h"))
+    kinds = dict(points.dtypes)
+
+    def draw(pdf):
+        pdf = pdf.sort_values("__rn")
+        x, weight = np.stack(pdf["__x"]).astype(float), pdf["__w"].to_numpy(float)
+        rows = []
+        for r in range(n_init):
+            rng = np.random.default_rng([seed, r])
+            far, chosen = np.ones(len(x)), []
+            for _ in range(min(k, len(x))):
+                p = weight * far
+                if p.sum() <= 0:
+                    break
+                chosen.append(x[rng.choice(len(x), p=p / p.sum())])
+                far = np.min([((x - c) ** 2).sum(1) for c in chosen], axis=0)
+            rows.append((r, [c.tolist() for c in chosen]))
+        out = pd.DataFrame(rows, columns=["__r", "__c"])
+        for c in keys:
+            out[c] = pdf[c].iloc[0]
+        return out[[*keys, "__r", "__c"]]
+    return some.groupBy(*keys).applyInPandas(draw, "".join(f"`{c}` {kinds[c]}, " for c in keys)
+                                             + "__r int, __c array<array<double>>")
+
+
+def _nearest(x: str, centres: str) -> Column:
+    """(distance, index) of the nearest centre; the lower index of equals."""
+    far = lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, v: a + v)
+    return F.array_min(F.transform(F.col(centres), lambda c, i: F.struct(far(c).alias("d"), i.alias("i"))))
+
+
+def segment_kmeans(pixels_wide: DataFrame, bands: Sequence[str], k: int = 5, seed: int = 42, max_iter: int = 20,
+                   n_init: int = 4, tol: float = 1e-4, keys=("image_id",)) -> tuple[DataFrame, DataFrame]:
+    """K-means over the band vectors of each image, the best of
+    ``n_init`` restarts from k-means++ centres; returns (pixels with
+    ``segment``, cost per image).  Labels are arbitrary cluster ids; pixels
+    with a null band have none.
+
+    All images and restarts take a Lloyd step together: distinct vectors meet
+    the centres of their image, and partial aggregates of (image, restart,
+    cluster) give the next ones.  Images that have settled drop out."""
+    ship_package(pixels_wide.sparkSession)
+    keys, bands = list(keys), list(bands)
+    vector = F.array(*[F.col(b).cast("double") for b in bands])
+    points = stored(pixels_wide.select(*keys, vector.alias("__x")).where(F.forall("__x", lambda v: v.isNotNull() & ~F.isnan(v)))
+                         .groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__w")))
+    state = stored(_start_centres(points, keys, k, n_init, seed).withColumn("__open", F.lit(True)))
+    run = [*keys, "__r"]
+    for _ in range(max_iter):
+        active = state.where("__open").groupBy(*keys).agg(F.collect_list(F.struct("__r", "__c")).alias("__s"))
+        met = (attach(points, active, keys, "inner").select(*keys, "__x", "__w", F.explode("__s").alias("__s"))
+               .select(*keys, "__x", "__w", F.col("__s.__r").alias("__r"), F.col("__s.__c").alias("__c"))
+               .withColumn("__i", _nearest("__x", "__c")["i"]))
+        sums = met.groupBy(*run, "__i").agg(F.sum("__w").alias("__n"), *[
+            F.sum(F.col("__w") * F.col("__x")[i]).alias(f"__s{i}") for i in range(len(bands))])
+        means = sums.groupBy(*run).agg(F.map_from_entries(F.collect_list(F.struct(
+            "__i", F.array(*[F.col(f"__s{i}") / F.col("__n") for i in range(len(bands))])))).alias("__m"))
+        moved = join_on(state.where("__open"), means, run, "inner").withColumn(
+            "__new", F.transform("__c", lambda c, i: F.coalesce(F.col("__m")[i], c)))
+        shift = F.array_max(F.zip_with("__c", "__new", lambda a, b: F.aggregate(
+            F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)))
+        state = stored(moved.select(*run, F.col("__new").alias("__c"), (shift > tol * tol).alias("__open"))
+                            .unionByName(state.where("not __open")))
+        if state.where("__open").limit(1).count() == 0:
+            break
+    every = state.groupBy(*keys).agg(F.collect_list(F.struct("__r", "__c")).alias("__s"))
+    costs = (attach(points, every, keys, "inner").select(*keys, "__x", "__w", F.explode("__s").alias("__s"))
+             .select(*run[:-1], F.col("__s.__r").alias("__r"), "__w", "__x", F.col("__s.__c").alias("__c"))
+             .groupBy(*run).agg(F.sum(F.col("__w") * _nearest("__x", "__c")["d"]).alias("__cost")))
+    best = (join_on(state, costs, run, "inner").groupBy(*keys)
+            .agg(F.min(F.struct("__cost", "__r", "__c")).alias("__b")))
+    best = stored(best.select(*keys, F.col("__b.__cost").alias("cost"), F.col("__b.__c").alias("__c")))
+    out = (attach(pixels_wide.withColumn("__x", vector), best.drop("cost"), keys)
+           .withColumn("__c", F.when(F.forall("__x", lambda v: v.isNotNull() & ~F.isnan(v)), F.col("__c")))
+           .select(*pixels_wide.columns, _nearest("__x", "__c")["i"].cast("int").alias("segment")))
+    return out, best.select(*keys, "cost")

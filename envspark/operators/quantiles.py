@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark.operators.common import join_on
-from envspark.session import cut_lineage
+from envspark.session import stored
 
 
 def _edges_below(df: DataFrame, edges: str, x: str, n_edges: int, out: str) -> DataFrame:
@@ -66,7 +66,7 @@ def select_ranks(values: DataFrame, group: list[str], wanted: DataFrame, buckets
     done = None
     while True:
         borders = state.select(*interval, "__lo", "__hi").distinct()
-        edges = cut_lineage(
+        edges = stored(
             join_on(values, borders, group, "inner").where(inside).groupBy(*interval, "__lo", "__hi")
             .agg(F.array_sort(F.array_distinct(F.percentile_approx("__x", grid, 4 * buckets))).alias("__e")))
         placed = _edges_below(join_on(values, edges, group, "inner").where(inside), "__e", "__x", buckets, "__b")
@@ -79,7 +79,7 @@ def select_ranks(values: DataFrame, group: list[str], wanted: DataFrame, buckets
                   .groupBy(*interval, "__code", "__from", "__to").agg(F.sum("__n").alias("__n")))
         run = Window.partitionBy(*interval).orderBy("__code").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("__stop", F.col("__base") + F.sum("__n").over(run))
-        state = cut_lineage(
+        state = stored(
             join_on(state.select(*interval, "__r"), counts, interval, "inner")
             .where((F.col("__r") < F.col("__stop")) & (F.col("__r") >= F.col("__stop") - F.col("__n")))
             .select(*group, "__r", (F.col("__stop") - F.col("__n")).alias("__base"), F.col("__from").alias("__lo"),
@@ -109,7 +109,7 @@ def exact_quantile_table(df: DataFrame, cols: Sequence[str], ps: Sequence[float]
     group = [*keys, "__c"]
     long = numbers.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("x"))
                                                      for i, c in enumerate(cols)])).alias("s"))
-    values = cut_lineage(long.select(*keys, F.col("s.c").alias("__c"), F.col("s.x").alias("__x"))
+    values = stored(long.select(*keys, F.col("s.c").alias("__c"), F.col("s.x").alias("__x"))
                          .where("__x is not null").groupBy(*group, "__x").agg(F.count(F.lit(1)).alias("__n")))
     total = values.groupBy(*group).agg(F.sum("__n").alias("__total"))
     ranks = []

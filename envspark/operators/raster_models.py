@@ -28,11 +28,13 @@ IMG = "image_id"
 def pixel_anomaly(pixels_wide: DataFrame, bands: Sequence[str], method: str = "isolation_forest",
                   **kw) -> DataFrame:
     """Anomaly map per pixel (0/1, or the [0, 1] reconstruction score)
-    smoothed by the 5x5 Gaussian: ``(image_id, band='anomaly', row, col, value)``."""
+    smoothed by the 5x5 Gaussian: ``(image_id, band='anomaly', row, col, value)``.
+    Forest, components and thresholds are those of the image alone; the
+    one-class SVM is one model for all images."""
     bands = list(bands)
     if method == "isolation_forest":
         m = detectors.isolation_forest(pixels_wide, bands, contamination=kw.get("contamination", 0.01),
-                                       seed=kw.get("seed", 42))
+                                       seed=kw.get("seed", 42), keys=[IMG])
         val = F.col("anomaly").cast("double")
     elif method == "one_class_svm":
         m = detectors.one_class_svm(pixels_wide, bands, nu=kw.get("nu", 0.01), seed=kw.get("seed", 42),
@@ -42,7 +44,7 @@ def pixel_anomaly(pixels_wide: DataFrame, bands: Sequence[str], method: str = "i
         m = models.reconstruction_score(pixels_wide, bands, kw.get("k", 2))
         val = F.col("score")
     else:
-        raise ValueError(f"Unsupported anomaly detection method: {method}")
+        raise ValueError(f"no pixel anomaly method called {method!r}")
     amap = m.select(IMG, F.lit("anomaly").alias("band"), "row", "col", val.alias("value"))
     return gaussian_blur5(amap)
 

@@ -106,3 +106,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as a table into the shared folder and read back.  Cuts
+    the lineage like ``cut_lineage``; the plan that follows also knows the real
+    size (a checkpoint carries the estimate of its plan along, which grows
+    without bound in a loop that joins a state with itself)."""
+    import uuid
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -139,6 +139,8 @@ def test_kmeans_and_meanshift(spark):
     km, cost = models.segment_kmeans(df, ["a", "b"], k=2)
     labs = km.orderBy("row", "col").toPandas().segment.to_numpy()
     assert len(set(labs[:50])) == 1 and len(set(labs[50:])) == 1 and labs[0] != labs[-1]
+    inertia = sum(((p - p.mean(0)) ** 2).sum() for p in (pts[:50], pts[50:]))
+    assert np.isclose(cost.first()["cost"], inertia)
     ms = raster_models.segment_meanshift(df, ["a", "b"], bandwidth=0.3).orderBy("row", "col").toPandas().segment
     assert ms.nunique() == 2 and ms.iloc[0] != ms.iloc[-1]
 

@@ -61,11 +61,11 @@ def test_selection_never_sorts_a_group(spark):
     from envspark.operators import quantiles
     plans = []
 
-    def noting(df, _cut=quantiles.cut_lineage):
+    def noting(df, _cut=quantiles.stored):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         return _cut(df)
     df = spark.range(5000).selectExpr("double(if(id % 100 = 0, id, 7)) as v")
-    with mock.patch.object(quantiles, "cut_lineage", noting):
+    with mock.patch.object(quantiles, "stored", noting):
         r = exact_quantiles(df, "v", [0.5, 0.999], buckets=8, small=10).first()
     v = np.where(np.arange(5000) % 100 == 0, np.arange(5000), 7).astype(float)
     assert np.allclose([r["v_q0"], r["v_q1"]], np.percentile(v, [50, 99.9]))
