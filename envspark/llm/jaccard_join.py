@@ -10,12 +10,12 @@ D = (a + b)(1 - s)/(1 + s) shingles.  The join runs in four exact steps:
    its own band and in the one below.  A cell is (band, group, content).
 2. *Stars.*  In a cell every member is compared with one pivot only, the
    member met in most cells (the original of a family of copies).
-3. *Count-vector tree.*  Pairs of a star that are not settled by the pivot
-   (both linked to it, hence connected) are searched in a two-level R-tree
-   over count vectors of their differences to the pivot: members are sorted
-   along their distance to it and cut into leaves; a pair of leaves is opened
-   only if their boxes, and a pair of points only if the summed coordinate
-   minima, allow the required overlap.
+3. *Count vectors.*  Pairs of a star that are not settled by the pivot
+   (both linked to it, hence connected) are searched by count vectors of their
+   differences to the pivot: members are put into zones of their distance to
+   it and dealt by hash into leaves; a pair of leaves is opened only if their
+   boxes, and a pair of points only if the summed coordinate minima, allow the
+   required overlap.
 4. *Verification* of the surviving pairs on the exact shingle sets.
 
 A pure R-tree over the raw count vectors has nothing to prune: at these
@@ -39,51 +39,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from envspark.llm.common import connected_components, cut_lineage, member_of, small_batches
-from envspark.llm.hashing import FACTORS, NOT_SPACE, blocks, mix, word_hashes
+from envspark.llm.hashing import FACTORS, mix
+from envspark.llm.shingles import compared, node_texts, set_digest, shingle_sets
 
 GROUPS = 64             # coordinates of a count vector
 LEAF = 1 << 17          # difference elements in a leaf of the tree
 
 
-def _some_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """Sets of a few texts at once."""
-    words, first = word_hashes(texts, NOT_SPACE)
-    grams = np.full(max(0, len(words) - n + 1), n, np.uint64)
-    for i in range(n):
-        grams += words[i:len(words) - n + 1 + i] * (FACTORS[i % 64] + np.uint64(2 * (i // 64)))
-    grams = mix(grams)
-    out = []
-    for a, b in zip(first[:-1], first[1:]):
-        if b - a >= n:
-            s = np.sort(grams[a:b - n + 1])
-            out.append(s[np.r_[True, s[1:] != s[:-1]]])
-        elif b > a:
-            k = int(b - a)
-            g = np.full(1, k, np.uint64)
-            for i in range(k):
-                g += words[a + i:a + i + 1] * (FACTORS[i % 64] + np.uint64(2 * (i // 64)))
-            out.append(mix(g))
-        else:
-            out.append(np.empty(0, np.uint64))
-    return out
-
-
-def shingle_sets(texts, n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's word n-grams; words are
-    runs without ASCII white space, A-Z lower-cased."""
-    for some in blocks((t or "").encode("utf-8", "surrogatepass").lower() for t in texts):
-        yield from _some_sets(some, n)
-
-
-def _signed(x) -> int:
-    return int(x) - (1 << 64) if int(x) >= 1 << 63 else int(x)
-
-
 class Bounds:
     """Sizes, bands and allowed differences for Jaccard >= share / 100."""
 
@@ -138,28 +104,18 @@ def _cells_of(s: np.ndarray, bounds: Bounds) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def set_digest(s: np.ndarray) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(s.tobytes()))
-
-
 def document_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, set size and the node of every row (null without shingles)."""
+    """doc_id, set size and the node of every row (null without shingles), and
+    a ``row`` key that tells apart rows of one id with different texts."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = list(shingle_sets(pdf["text"], n))
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
-                "node": pd.array([set_digest(s) if len(s) else None for s in sets], "Int64")})
+                "node": pd.array([set_digest(s) if len(s) else None for s in sets], "Int64"), "row": pdf["row"]})
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInPandas(run, "doc_id long, n_shingles long, node long"))
-
-
-def _same_set(n: int):
-    """The node of a text: tells texts apart that share one id."""
-    @F.pandas_udf("long")
-    def node(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_digest(s) if len(s) else None for s in shingle_sets(texts, n)], dtype="Int64")
-    return node
+            .withColumn("row", F.xxhash64("doc_id", "text"))
+            .mapInPandas(run, "doc_id long, n_shingles long, node long, row long"))
 
 
 def document_cells(docs: DataFrame, n: int, bounds: Bounds, text_col: str) -> DataFrame:
@@ -184,24 +140,6 @@ def document_cells(docs: DataFrame, n: int, bounds: Bounds, text_col: str) -> Da
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "key long, node long")
 
 
-def compare_stars(pairs: DataFrame, n: int, bounds: Bounds) -> DataFrame:
-    """Compare members with their pivots: sizes, whether linked, and the
-    difference of the two sets.  Rows come sorted by pivot."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, p = None, None
-        for pdf in batches:
-            rows = []
-            for pivot, node, ptext, s in zip(pdf["pivot"], pdf["node"], pdf["ptext"], shingle_sets(pdf["text"], n)):
-                if pivot != last:
-                    last, p = pivot, next(shingle_sets([ptext], n))
-                diff = np.setxor1d(p, s, assume_unique=True)
-                both = (len(p) + len(s) - len(diff)) // 2
-                rows.append((pivot, node, len(s), bool(bounds.linked(len(p), len(s), both)), diff.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["pivot", "node", "n", "linked", "diff"])
-    return (pairs.select("pivot", "node", "ptext", "text")
-            .mapInPandas(run, "pivot long, node long, n long, linked boolean, diff array<long>"))
-
-
 def _counts(items: list[np.ndarray]) -> np.ndarray:
     """Count vectors: elements hashed into GROUPS coordinates."""
     out = np.zeros((len(items), GROUPS), np.int32)
@@ -282,7 +220,7 @@ def rest_links(star: DataFrame, bounds: Bounds) -> DataFrame:
             .applyInPandas(work, "a long, b long"))
 
 
-def set_links(docs: DataFrame, sets: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
+def set_links(docs: DataFrame, n: int, share: int, text_col: str) -> DataFrame:
     """Links (a, b) between nodes that connect what similarity connects."""
     bounds = Bounds(share)
     key = Window.partitionBy("key")
@@ -293,29 +231,33 @@ def set_links(docs: DataFrame, sets: DataFrame, n: int, share: int, id_col: str,
     pivot = (met.join(met_often, "node").groupBy("key")
              .agg(F.max(F.struct("cells", "node")).alias("top")).select("key", F.col("top.node").alias("pivot")))
     pairs = met.join(pivot, "key").where("node <> pivot").select("pivot", "node").distinct()
-    # one text per node: that of its smallest document
-    first = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = (first.join(met_often.select("node"), "node", "left_semi")
-              .select("node", F.col("doc_id").alias("wanted_id")))
-    texts = cut_lineage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-                        .where(member_of(wanted.select("wanted_id").where("wanted_id is not null"), F.col("doc_id"))
-                               | F.col("doc_id").isNull())
-                        .join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
-                        .where(_same_set(n)("text") == F.col("node")).dropDuplicates(["node"]))
-    star = cut_lineage(compare_stars(
-        pairs.join(texts.select("node", "text"), "node")
-        .join(texts.select(F.col("node").alias("pivot"), F.col("text").alias("ptext")), "pivot"), n, bounds))
-    return star.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(rest_links(star, bounds))
+    pairs = cut_lineage(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    texts = cut_lineage(node_texts(docs, met_often.select("node"), n, text_col))
+    star = cut_lineage(compared(pairs, texts, n, share))
+    # the differences to the pivot are needed where some member is not linked with it and is not alone
+    open_ = (star.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("rest"))
+             .where("members > 1 and rest > 0").select("a"))
+    apart = cut_lineage(compared(star.join(open_, "a", "left_semi").select("a", "b", "linked"), texts, n, share, differences=True)
+                        .withColumnsRenamed({"a": "pivot", "b": "node"}))
+    return star.where("linked").select("a", "b").union(rest_links(apart, bounds))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, n: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and (node, component) of the distinct ones."""
+    sets = cut_lineage(document_sets(small_batches(docs), n, id_col, text_col))
+    comps = connected_components(set_links(docs, n, share, text_col))
+    nodes = sets.where("node is not null").select("node").distinct()
+    return sets, (nodes.join(comps, "node", "left")
+                  .select("node", F.coalesce("component", "node").alias("component")))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4,
                     share: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest id
     reachable over links (Jaccard similarity of at least ``share`` percent)."""
-    sets = cut_lineage(document_sets(small_batches(docs), n, id_col, text_col))
-    comps = connected_components(set_links(docs, sets, n, share, id_col, text_col))
+    sets, comps = _components(docs, id_col, text_col, n, share)
     own = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = own.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = own.join(comps, "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = named.join(least, "component").select("node", "component_id")
     return (sets.join(of_node, "node", "left")
@@ -325,13 +267,22 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, share: int = 80) -> DataFrame:
-    """The documents without near duplicates: of each class the one with the
-    smallest id stays, with all its columns.  Rows that repeat an id stay
-    together; rows without an id stay."""
-    classes = jaccard_classes(docs, id_col, text_col, n, share)
-    gone = (classes.where(F.col(id_col) != F.col("component_id"))
-            .select(F.col(id_col).cast("long").alias("__gone")).distinct())
-    gone = cut_lineage(gone)
-    maybe = F.coalesce(member_of(gone, F.col(id_col).cast("long")), F.lit(False))
-    return (docs.where(maybe).join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The documents without near duplicates: of each class one row stays,
+    with all its columns - that of the smallest id (null ids last), of equal
+    ids that of the smallest ``row`` key, of rows that agree in id and text any
+    one.  Rows without shingles stay."""
+    sets, comps = _components(docs, id_col, text_col, n, share)
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")
+    own = sets.where("node is not null").groupBy("node").agg(F.min(place).alias("first")).join(comps, "node")
+    first = own.groupBy("component").agg(F.min("first").alias("first"))
+    kept = own.join(first.withColumnRenamed("first", "stays"), "component").select("node", F.col("stays.row").alias("stays"))
+    rows = cut_lineage(sets.join(kept, "node").groupBy("row").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+                       .where("row <> stays or n > 1"))
+    gone = rows.where("row <> stays").select(F.col("row").alias("__row"))
+    repeated = rows.where("row = stays").select(F.col("row").alias("__row"))
+    own_key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    maybe = member_of(rows.select("row"), own_key)
+    left = docs.where(maybe).withColumn("__row", own_key).join(gone, "__row", "left_anti")
+    once = left.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+    return (left.join(repeated, "__row", "left_anti").union(once).select(*docs.columns)
             .union(docs.where(~maybe)))

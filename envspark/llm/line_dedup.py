@@ -19,8 +19,9 @@ Lines are compared as they are.  Lines below ``min_chars`` code points take no
 part in the edit join (two edits would turn one into another); equal ones are
 one class from ``exact_chars`` code points on (``min_chars`` unless given).
 Shorter lines of white space only separate others and stay.  Null and empty texts
-have no lines; a null id ranks last; rows with the same id share its places,
-so equal lines of theirs at the same number stay or go together.
+have no lines; a null id ranks last; rows with the same id and different texts
+are told apart by a key of id and text.  Rows that agree in both share their
+places in ``line_classes``; ``remove_lines`` keeps one of them.
 """
 
 from __future__ import annotations
@@ -35,13 +36,14 @@ LETTERS = "eatinorsdhlcumg, "
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int, exact_chars: int | None = None) -> DataFrame:
-    """doc_id, line_no, line and its 64-bit hash, for lines long enough and,
-    from ``exact_chars`` on, shorter ones that are not blank."""
+    """doc_id, row key, line_no, line and its 64-bit hash, for lines long
+    enough and, from ``exact_chars`` on, shorter ones that are not blank."""
     taken = F.length("line") >= min_chars
     if exact_chars is not None:
         taken = taken | (F.length("line") >= exact_chars) & F.col("line").rlike(r"\S")
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__t"))
-            .select("doc_id", F.posexplode(F.split("__t", "\n", -1)).alias("line_no", "line"))
+            .select("doc_id", F.xxhash64("doc_id", "__t").alias("row"),
+                    F.posexplode(F.split("__t", "\n", -1)).alias("line_no", "line"))
             .where(taken)
             .withColumn("node", F.xxhash64("line")))
 
@@ -183,8 +185,12 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  min_chars: int = MIN_CHARS, hot: int = HOT, exact_chars: int | None = None) -> DataFrame:
     """Every line that is not the first of its class: doc_id, line_no, node,
     class_id (smallest node), and the kept place (kept_doc_id, kept_line_no)."""
+    return _later_lines(docs, id_col, text_col, tau, min_chars, hot, exact_chars).drop("row")
+
+
+def _later_lines(docs, id_col, text_col, tau, min_chars, hot, exact_chars) -> DataFrame:
     lines = lines_of(docs, id_col, text_col, min_chars, exact_chars)
-    place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "line_no")
     counts = cut_lineage(lines.groupBy("node").agg(F.count("*").alias("n"), F.min(place).alias("first")))
     frequent = counts.where(F.col("n") > hot).select("node")
     # lines that the sketch takes for frequent without need are only taken once too
@@ -196,11 +202,11 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classed = counts.join(comps, "node", "left").withColumn("class_id", F.coalesce("component", "node"))
     first = classed.groupBy("class_id").agg(F.min("first").alias("kept"), F.sum("n").alias("lines")).where("lines > 1")
     of_node = (classed.join(first, "class_id")
-               .select("node", "class_id", F.col("kept.doc_id").alias("kept_doc_id"),
+               .select("node", "class_id", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.row").alias("kept_row"),
                        F.col("kept.line_no").alias("kept_line_no")))
-    return (lines.select("doc_id", "line_no", "node").join(of_node, "node")
-            .where("not (doc_id <=> kept_doc_id and line_no = kept_line_no)")
-            .select("doc_id", "line_no", "node", "class_id", "kept_doc_id", "kept_line_no"))
+    return (lines.select("doc_id", "row", "line_no", "node").join(of_node, "node")
+            .where("not (row = kept_row and line_no = kept_line_no)")
+            .select("doc_id", "row", "line_no", "node", "class_id", "kept_doc_id", "kept_line_no"))
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU,
@@ -208,15 +214,23 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  exact_chars: int | None = None) -> DataFrame:
     """The documents with their repeated lines taken out (all columns kept;
     a document without repeated lines is untouched; one of which nothing is
-    left is gone).  ``length_col`` is brought up to date."""
-    gone = cut_lineage(line_classes(docs, id_col, text_col, tau, min_chars, hot, exact_chars)
-                       .groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone")))
-    own = F.col(id_col).cast("long")
-    maybe = F.coalesce(member_of(gone.select("__id").where("__id is not null"), own), F.lit(True))
+    left is gone).  Of rows that agree in id and text, and have lines, one
+    stays.  ``length_col`` is brought up to date."""
+    cut = (_later_lines(docs, id_col, text_col, tau, min_chars, hot, exact_chars)
+           .groupBy("row").agg(F.sort_array(F.collect_set("line_no")).alias("gone")))
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    blank = F.trim(F.coalesce(F.col(text_col), F.lit(""))) == ""
+    copies = (docs.where(~blank).select(key.alias("row")).groupBy("row").agg(F.count("*").alias("n")).where("n > 1")
+              .select("row", F.lit(True).alias("copies")))
+    changed = cut_lineage(cut.join(copies, "row", "full").select(F.col("row").alias("__row"), F.col("gone").alias("__gone"),
+                                                                  F.coalesce("copies", F.lit(False)).alias("__copies")))
+    maybe = member_of(changed.select("__row"), key)
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    touched = (docs.where(maybe).join(gone, own.eqNullSafe(F.col("__id")), "left")
-               .where(F.col("__gone").isNull() | (F.trim(kept) != "")))
+    touched = docs.where(maybe).withColumn("__row", key).join(changed, "__row", "left")
+    several = F.coalesce("__copies", F.lit(False))
+    touched = touched.where(~several).union(touched.where(several).dropDuplicates(["__row"]))
+    touched = touched.where(F.col("__gone").isNull() | (F.trim(kept) != ""))
     new = {text_col: text}
     if length_col:
         new[length_col] = F.when(F.col("__gone").isNull(), F.col(length_col)).otherwise(

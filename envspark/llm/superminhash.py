@@ -37,13 +37,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.llm.common import connected_components, cut_lineage, member_of, small_batches
+from envspark.llm.common import connected_components, cut_lineage, small_batches
 from envspark.llm.hashing import FACTORS, mix
-from envspark.llm.jaccard_join import set_digest, shingle_sets
+from envspark.llm.shingles import compared, node_texts, set_digest, shingle_sets
 
 SIZE = 200              # components of a signature (256 at most: slots are bytes)
 ROWS = 5                # components of a band
-STAR = 256              # members compared with one copy of their pivot's text
 TILE = 1024             # members on each side of a tile
 LEAF = 1 << 19          # differing shingles on each side of a tile
 COLUMNS = 4096          # shingles of one incidence matrix
@@ -111,53 +110,6 @@ def document_signatures(docs: DataFrame, n: int, id_col: str, text_col: str) ->
             .mapInPandas(run, "doc_id long, n_shingles long, node long, bands array<long>"))
 
 
-def node_texts(docs: DataFrame, nodes: DataFrame, n: int, text_col: str) -> DataFrame:
-    """One text for each of ``nodes`` (column node)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for pdf in batches:
-            found = [(set_digest(s), t) for s, t in zip(shingle_sets(pdf["text"], n), pdf["text"]) if len(s)]
-            found = [(x, t) for x, t in found if x not in seen and not seen.add(x)]
-            yield pd.DataFrame(found, columns=["node", "text"])
-    return (docs.select(F.col(text_col).alias("text")).mapInPandas(run, "node long, text string")
-            .where(member_of(nodes, F.col("node"))).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-
-
-def compared(pairs: DataFrame, texts: DataFrame, n: int, share: int, differences: bool = False) -> DataFrame:
-    """Every pair (a, b) with ``linked``, on the full sets - or with the size
-    ``n`` of b's set and its difference to a's (``diff``).  The partners of one
-    ``a`` are dealt into shares of about STAR, each with one copy of its text.
-    Further columns of the pairs are carried along."""
-    more = [c for c in pairs.columns if c not in ("a", "b")]
-    kinds = dict(pairs.dtypes)
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("shares"))
-    partners = (pairs.join(shares, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
-                .join(texts.withColumnRenamed("node", "b"), "b")
-                .select("a", "share", F.lit(1).alias("role"), "b", *more, "text"))
-    heads = (shares.join(texts.withColumnRenamed("node", "a"), "a")
-             .select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"),
-                     *[F.lit(0).cast(kinds[c]).alias(c) for c in ["b", *more]], "text"))
-    dealt = heads.union(partners).repartition("a", "share").sortWithinPartitions("a", "share", "role")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = None
-        for pdf in batches:
-            found = []
-            for role, s in zip(pdf["role"], shingle_sets(pdf["text"], n)):
-                if not role:
-                    head = s
-                elif differences:
-                    found.append((len(s), np.setxor1d(head, s, assume_unique=True).view(np.int64)))
-                else:
-                    both = len(np.intersect1d(head, s, assume_unique=True))
-                    found.append((bool(100 * both >= share * (len(head) + len(s) - both)),))
-            out = pdf.loc[pdf["role"] == 1, ["a", "b", *more]].reset_index(drop=True)
-            yield out.join(pd.DataFrame(found, columns=["n", "diff"] if differences else ["linked"]))
-    carried = "".join(f", {c} {kinds[c]}" for c in more)
-    return (dealt.select("a", "role", "b", *more, "text")
-            .mapInPandas(run, f"a long, b long{carried}, " + ("n long, diff array<long>" if differences else "linked boolean")))
-
-
 def tile_links(x: pd.DataFrame, y: pd.DataFrame, share: int) -> list[tuple[int, int]]:
     """Links between components that the rows of two leaves (columns
     component, n, diff) bring together; none that follows from others.

@@ -278,3 +278,33 @@ def test_registered_queries_on_the_smallest_tables(spark):
     got = registry.QUERIES["op13_periodic_runs"](spark, SF_SMALL)
     assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
     assert [t for _, t in got.dtypes] == ["bigint"] * 6 + ["string"] * 2 and got.count() == len(texts)
+
+
+# -- row keys of the filters ------------------------------------------------
+
+TEXT = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+CLEAN = "a clean text of its own that nobody else has anywhere in this corpus, kept as it is"
+
+
+def test_keep_first_tells_rows_of_one_id_apart(spark):
+    rows = [(1, TEXT, "a"), (2, TEXT, "b"), (2, CLEAN, "c"), (9, "pi " + CLEAN[::-1], "d"), (9, "pi " + CLEAN[::-1], "e"),
+            (None, TEXT, "f"), (None, "rho sigma tau upsilon phi chi psi omega", "g"), (None, None, "h"), (None, None, "i"),
+            (4, "", "j"), (4, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    from envspark.llm import jaccard_join
+    got = sorted(r.row for r in jaccard_join.keep_first(df).collect())
+    assert got in ([*"acdghijk"], [*"aceghijk"])
+    assert jaccard_join.keep_first(df.limit(0)).count() == 0
+
+
+def test_remove_lines_tells_rows_of_one_id_apart(spark):
+    from envspark.llm import line_dedup
+    line = "this line is found in more than one of the documents"
+    rows = [(1, f"{line}\nfirst of all lines in here, and long enough", 0), (2, f"{line}\nsecond text with a line of its own", 0),
+            (2, "another text of the same id as the one before\nclean line that nobody else has in the corpus", 0),
+            (None, f"third text, without an id, starts here\n{line}", 0), (7, "one and the same row\ntwice", 0),
+            (7, "one and the same row\ntwice", 0), (8, "", 0), (8, "", 0), (8, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.remove_lines(df, length_col="n_chars", exact_chars=1).collect()), key=str)
+    assert got == sorted([rows[0][:2], (2, "second text with a line of its own"), rows[2][:2],
+                          (None, "third text, without an id, starts here"), rows[4][:2], (8, ""), (8, ""), (8, None)], key=str)
