@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from envspark.functions.timefn import time_bucket
 from envspark.operators.common import attach
 from envspark.operators.quantiles import exact_quantiles
 from envspark.session import cut_lineage, ship_package
