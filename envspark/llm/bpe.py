@@ -5,12 +5,18 @@ every two neighbours are: encoding their joined bytes gives the two back.  So
 the last token of the encoding of a prefix is the one vocabulary entry that
 ends there and agrees with the last token before it.  Reading left to right,
 only prefix ends from which some vocabulary entry could still reach beyond
-the current byte matter; a state is that window of open ends with the tokens
-leading to them, and a move puts out the token that ends at the new byte.  A
+the current byte matter; a state is these open ends, each with the tree node
+of the bytes since and the token leading to it, and a move puts out the token
+that ends at the new byte.  A
 token is certain once the chains behind all open ends share it, which takes
 a few entries' lengths at most.  States and moves are built when first met
 and kept (up to ``max_states``, then started afresh).
 
+Whether two entries may stand side by side is read off their edges: an entry
+came from two halves by its last merge, so the entries that touch the border
+are known with the ranks at which each of them appeared and disappeared.  The
+two agree unless a merge across the border fell into such a time.
+
 Decoding joins the tokens' bytes and feeds them to an incremental UTF-8 state
 machine, so it can stream tokens that cut characters in half.
 
@@ -48,31 +54,53 @@ class Transducer:
         self.ranks, self.max_states = ranks, max_states
         self.bytes = {i: b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.pair: dict[tuple[int, int], bool] = {}
-        self.whole = {i for b, i in ranks.items() if self.merge(b) == [i]}
+        # the tree of all entries: node and byte -> node; per node its bytes' number, entry and whether it goes on
+        self.tree: dict[int, int] = {}
+        self.depth, self.entry, self.inner = [0], [-1], [True]
+        for b, i in ranks.items():
+            node = 0
+            for byte in b:
+                self.inner[node] = True
+                to = self.tree.get(node << 8 | byte)
+                if to is None:
+                    to = self.tree[node << 8 | byte] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
+                    self.entry.append(-1)
+                    self.inner.append(False)
+                node = to
+            self.entry[node] = i
+        self.pair: dict[int, bool] = {}
+        # the halves of an entry's last merge, and the entries that encode as themselves
+        self.left_half: dict[int, int] = {}
+        self.right_half: dict[int, int] = {}
+        self.whole: set[int] = set()
+        for i in sorted(self.bytes):
+            self._place(i)
         self.reset()
 
+    def _place(self, i: int) -> None:
+        entry, ranks = self.bytes[i], self.ranks
+        if len(entry) == 1:
+            self.whole.add(i)
+            return
+        for k in range(1, len(entry)):
+            a, b = ranks.get(entry[:k]), ranks.get(entry[k:])
+            if a is not None and b is not None and a in self.whole and b in self.whole and not self.crossed(a, b, i):
+                self.left_half[i], self.right_half[i] = a, b
+                self.whole.add(i)
+                return
+
     def reset(self) -> None:
-        # a state: the bytes since the first open end, and for each open end
-        # how far back it lies and the last token there (-1: piece start)
-        start = self.pack(b"", [(0, -1)])
+        # a state: for each open end, the furthest first, the node of the
+        # bytes since and one more than the last token there (0: piece start)
+        start = struct.pack("<Q", 0)
         self.states: dict[bytes, int] = {start: 0}
         self.keys: list[bytes] = [start]
         self.moves: dict[int, int] = {}     # state and byte -> next state and token, packed
 
-    @staticmethod
-    def pack(window: bytes, ends: list[tuple[int, int]]) -> bytes:
-        return struct.pack("<I", len(window)) + window + b"".join(struct.pack("<Ii", *e) for e in ends)
-
-    @staticmethod
-    def unpack(key: bytes) -> tuple[bytes, list[tuple[int, int]]]:
-        n = 4 + int.from_bytes(key[:4], "little")
-        return key[4:n], list(struct.iter_unpack("<Ii", key[n:]))
-
     def merge(self, piece: bytes) -> list[int]:
-        """Merge the lowest-ranked neighbours until none is left (used on one
-        or two tokens' bytes, to tell which neighbours are an encoding)."""
+        """The encoding by plain merging: the lowest-ranked neighbours first,
+        until none is left.  The yardstick of the transducer."""
         parts = [piece[i:i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             best, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
@@ -81,32 +109,55 @@ class Transducer:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def crossed(self, left: int, right: int, before: int = 1 << 60) -> bool:
+        """Whether a merge across the border of two entries comes before rank
+        ``before``.  Of merges of equal rank the leftmost comes first."""
+        ranks, token = self.ranks, self.bytes
+        a, a_gone = left, 1 << 60
+        while a is not None:
+            inner = self.right_half.get(a)
+            a_since = -1 if inner is None else a
+            b, b_gone, mine = right, 1 << 60, token[a]
+            while b is not None:
+                half = self.left_half.get(b)
+                m = ranks.get(mine + token[b])
+                if m is not None:
+                    at = max(m, a_since, -1 if half is None else b)
+                    if at < before and at < a_gone and at <= b_gone:
+                        return True
+                b, b_gone = half, b
+            a, a_gone = inner, a
+        return False
+
     def agree(self, left: int, right: int) -> bool:
+        """Whether the joined bytes of two entries are encoded as the two."""
         if left < 0:
             return True
-        known = self.pair.get((left, right))
+        key = left << 32 | right
+        known = self.pair.get(key)
         if known is None:
             if len(self.pair) > 300_000:
                 self.pair.clear()
-            known = self.pair[left, right] = self.merge(self.bytes[left] + self.bytes[right]) == [left, right]
+            known = self.pair[key] = not self.crossed(left, right)
         return known
 
     def step(self, key: bytes, byte: int) -> tuple[bytes, int]:
         """Follow one byte: the new state and the token that ends there."""
-        window, ends = self.unpack(key)
-        window += bytes((byte,))
-        n, token, live = len(window), None, []
-        for back, left in ends:
-            piece = window[n - 1 - back:]
-            t = self.ranks.get(piece)
-            if token is None and t is not None and t in self.whole and self.agree(left, t):
-                token = t
-            if piece in self.prefixes:
-                live.append((back + 1, left))
+        token, live = None, []
+        for end in struct.unpack(f"<{len(key) >> 3}Q", key):
+            node = self.tree.get(end >> 32 << 8 | byte)
+            if node is None:
+                continue
+            left = end & 0xFFFFFFFF
+            if token is None:
+                t = self.entry[node]
+                if t in self.whole and self.agree(left - 1, t):
+                    token = t
+            if self.inner[node]:
+                live.append(node << 32 | left)
         if token is None:
             raise ValueError("the vocabulary lacks single bytes")
-        live.append((0, token))
-        return self.pack(window[n - live[0][0]:], live), token
+        return struct.pack(f"<{len(live) + 1}Q", *live, token + 1), token
 
     def move(self, state: int, byte: int) -> int:
         key, token = self.step(self.keys[state], byte)
@@ -121,8 +172,9 @@ class Transducer:
         """The last position that the token chains behind all open ends of
         the state share: tokens up to there are certain."""
         chains = []
-        for back, _ in self.unpack(self.keys[state])[1]:
-            p, chain = len(ending) - back, set()
+        key = self.keys[state]
+        for end in struct.unpack(f"<{len(key) >> 3}Q", key):
+            p, chain = len(ending) - self.depth[end >> 32], set()
             while p > 0:
                 chain.add(p)
                 p -= self.size[ending[p - 1]]
@@ -175,16 +227,22 @@ class StreamDecoder:
 
 
 class _Memo(dict):
-    """Piece -> its ids as little-endian 32-bit integers; bounded."""
+    """Piece -> its ids as little-endian 32-bit integers.  Holds two
+    generations of ``limit`` / 2 pieces: a full one becomes the older, whose
+    pieces come back when met again, so that frequent pieces stay."""
 
     def __init__(self, transducer: Transducer, limit: int):
-        self.transducer, self.limit = transducer, limit
+        self.transducer, self.half, self.older = transducer, max(1, limit // 2), {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        ids = self.transducer.encode(piece.encode("utf-8", "surrogatepass"))
-        packed = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = packed
         return packed
 
 
@@ -203,7 +261,7 @@ def _worker(lines: bytes, pattern: str, memo: int):
 
 
 def encode_texts(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-                 with_ids: bool = True, memo: int = 150_000, block: int = 1 << 20) -> DataFrame:
+                 with_ids: bool = True, memo: int = 300_000, block: int = 1 << 20) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 and (``with_ids``) the ids.
 
     A narrow map: nothing is shuffled.  The rank file is read once on the

@@ -132,6 +132,37 @@ def test_transducer_with_few_states_and_short_lookahead():
         assert t.encode(piece, lookahead=8) == ([ranks[piece]] if piece in ranks else t.merge(piece))
 
 
+def test_neighbours_agree_where_plain_merging_keeps_them():
+    ranks = bpe.load_ranks(RANKS)
+    t = bpe.Transducer(ranks)
+    assert t.whole == {i for b, i in ranks.items() if t.merge(b) == [i]}
+    rng = random.Random(2)
+    ids = sorted(ranks.values())
+    for upto in (600, 3000, len(ids)):
+        for _ in range(4000):
+            a, b = ids[rng.randrange(upto)], ids[rng.randrange(upto)]
+            assert t.agree(a, b) == (t.merge(t.bytes[a] + t.bytes[b]) == [a, b])
+    # runs of one letter, where merges of equal rank compete
+    small = bpe.Transducer({b"a": 0, b"b": 1, b"aa": 2, b"aaa": 3, b"aaaa": 4, b"ba": 5})
+    for n in range(1, 40):
+        for piece in (b"a" * n, b"b" + b"a" * n, b"ab" * n):
+            assert small.encode(piece) == ([small.ranks[piece]] if piece in small.ranks else small.merge(piece))
+
+
+def test_memo_keeps_what_is_met_again():
+    made = []
+
+    class Counting:
+        def encode(self, piece):
+            made.append(piece)
+            return [len(piece)]
+    memo = bpe._Memo(Counting(), 8)
+    for i in range(50):
+        assert memo["the"] == struct.pack("<I", 3) and memo[f"word{i}"]
+        assert len(memo) + len(memo.older) <= 8
+    assert made.count(b"the") == 1 and len(made) == 51
+
+
 def test_stream_decoder_holds_back_cut_characters():
     d = bpe.StreamDecoder({0: b"\xf0\x9f", 1: b"\x99\x82", 2: b"a"})
     assert [d.feed([0]), d.feed([1, 2]), d.close()] == ["", "🙂a", ""]
