@@ -370,6 +370,64 @@ def test_html(spark):
     assert got == {1: "A & B\nOne two three", 2: "Unique words here on two", 3: "Other words on page three", 4: "", 5: "", None: "m"}
 
 
+PAGE_SCHEMA = "page_id long, url string, html string, text string, key long, page long, block int"    # clashing names
+
+
+def pages_of(spark, rows):
+    return spark.createDataFrame([(*r, "t", 1, 2, 3) for r in rows], PAGE_SCHEMA)
+
+
+def test_html_implied_ends_and_names():
+    def kinds(html):
+        return list(html_extract.blocks(html))
+    assert kinds("<article><p class=notice>We<p>Body</article>") == [("out", "We"), ("main", "Body")]
+    assert kinds("<article><li class='nav-item'>Home<p>Body</article>") == [("out", "Home"), ("main", "Body")]
+    assert kinds("<article><ul><li class='nav-item'>Home<li>Real</ul>B</article>") == [("out", "Home"), ("main", "Real"), ("main", "B")]
+    assert kinds("<table><tr><td class=ad>a<td>b<tr><td>c</table>d") == [("out", "a"), ("open", "b"), ("open", "c"), ("open", "d")]
+    assert kinds("<article><div class=notice>a<p>b</article>c") == [("out", "a"), ("out", "b"), ("open", "c")]
+    assert kinds("<div><main><p>a</div></p>b</main></div>c") == [("main", "a"), ("main", "b"), ("open", "c")]
+    assert kinds("<form><nav>n</nav><main>m<form>f</form></main></form>") == [("out", "n"), ("main", "m"), ("out", "f")]
+    assert kinds("<main><div class='section-header'>a</div><div class='comment-list'>b</div><i class='relatedWork'>c</i>"
+                 "<span class='AD'>d <span>e</span> f</span> g</main>") == [
+        ("main", "a"), ("out", "b"), ("doubt", "c"), ("out", "d e f"), ("main", "g")]
+    deep = "<div><ul><li><p>" * 20_000
+    assert kinds(deep + "x" + "</div>" * 20_000) == [("open", "x")]
+
+
+def test_html_copies_hints_and_odd_rows(spark):
+    one = "<div>Our terms are the terms of all</div><p>Only this page has these few words</p>"
+    body = "<article><p>Text number {}</p><div id='related-work'>{}</div></article>"
+    rows = [(1, "http://h.example/1", one), (2, "http://h.example/1?p=2", one), (2, "http://h.example/1?p=2", one), (None, None, one),
+            (4, "http://g.example/4", body.format(4, "Earlier work of others on this")),
+            (5, "http://g.example/5", body.format(5, "Read more on our fine site now")),
+            (6, "http://g.example/6", body.format(6, "Read more on our fine site now")),
+            (7, "http://l.example/7", "<main>" + "<p>long page</p>" * 30_000), (8, "http://l.example/8", "<main></main>"), (9, "", " ")]
+    got = sorted((r.page_id or 0, r.text, r.n_chars, r.n_repeated) for r in html_extract.extract_main(pages_of(spark, rows)).collect())
+    both = "Our terms are the terms of all\nOnly this page has these few words"
+    long = "\n".join(["long page"] * 30_000)
+    assert got == [(0, both, 65, 0), (1, both, 65, 0), (2, both, 65, 0), (2, both, 65, 0),
+                   (4, "Text number 4\nEarlier work of others on this", 44, 0), (5, "Text number 5", 13, 1), (6, "Text number 6", 13, 1),
+                   (7, long, len(long), 0), (8, "", 0, 0), (9, "", 0, 0)]
+    assert html_extract.extract_main(pages_of(spark, rows).limit(0)).count() == 0
+
+
+def test_html_against_brute_force(spark):
+    rng = random.Random(5)
+    shared = [" ".join(rng.choice("ab cd ef gh".split()) for _ in range(rng.randint(2, 9))) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(shared) if rng.random() < 0.4 else " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randint(1, 9)))
+                 for _ in range(5)]
+        inside = "".join(f"<p>{x}</p>" for x in parts[:3])
+        hinted = f"<section class='related-{rng.randrange(3)}x'>{parts[3]}</section>"
+        html = f"<article>{inside}{hinted}</article><p>{parts[4]}</p>" if i % 3 else f"{inside}<footer>{parts[3]}</footer>"
+        rows.append((i, f"http://h{i % 4}.example/{i}", html))
+    rows += [(100 + i, f"http://h{i % 4}.example/copy", rows[i][2]) for i in range(8)]
+    want = brute.main_texts(rows)
+    got = {r.page_id: r.text for r in html_extract.extract_main(pages_of(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) > 30
+
+
 def test_quality_held_out_accuracy(spark):
     d, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     got = quality.score_documents(d, labels).join(labels, "doc_id").collect()
