@@ -12,10 +12,10 @@ D = (a + b)(1 - s)/(1 + s) shingles.  The join runs in four exact steps:
    member met in most cells (the original of a family of copies).
 3. *Count vectors.*  Pairs of a star that are not settled by the pivot
    (both linked to it, hence connected) are searched by count vectors of their
-   differences to the pivot: members are put into zones of their distance to
-   it and dealt by hash into leaves; a pair of leaves is opened only if their
-   boxes, and a pair of points only if the summed coordinate minima, allow the
-   required overlap.
+   differences to the pivot, or of their whole sets where these are smaller:
+   members are put into zones of their distance and dealt by hash into leaves;
+   a pair of leaves is opened only if their boxes, and a pair of points only
+   if the summed coordinate minima, allow the required overlap.
 4. *Verification* of the surviving pairs on the exact shingle sets.
 
 A pure R-tree over the raw count vectors has nothing to prune: at these
@@ -179,45 +179,57 @@ def leaf_links(left: pd.DataFrame, right: pd.DataFrame, bounds: Bounds) -> list[
     return links
 
 
-def rest_links(star: DataFrame, bounds: Bounds) -> DataFrame:
+def rest_links(star: DataFrame, texts: DataFrame, n: int, bounds: Bounds) -> DataFrame:
     """Links (a, b) among members of one star of which at least one is not
-    linked with the pivot.
-
-    Distances to the pivot of linked members differ by at most D, so members
-    are put into zones of that width (each into two, so that neighbours meet)
-    and only zones with an open member and a partner go on.  Leaves hold
-    about LEAF elements; a pair of leaves is one task's work, so a large
-    family spreads over many.
+    linked with the pivot.  ``star`` has rows a (pivot), b (member), linked, n
+    (set size) and x (size of its difference to the pivot).
+
+    Members are told apart by their differences to one set: the pivot, or the
+    empty set where the members' whole sets are smaller than their differences
+    to the pivot (texts that have little in common with it).  The distances
+    to that set of linked members differ by at most D, so members are put into
+    zones of that width (each into two, so that neighbours meet) and only
+    zones with an open member and a partner go on.  All of this uses sizes;
+    elements are fetched for the members left and moved once, to the tiles.
+    Leaves hold about LEAF elements; a pair of leaves is one tile's work, so a
+    large family spreads over many.
     """
-    light = star.select("pivot", "node", "n", "linked", F.size("diff").alias("x"))
-    widest = light.groupBy("pivot").agg((F.max("n") * 2 * (100 - bounds.share) / (100 + bounds.share) + 1).alias("width"))
-    zoned = (light.join(widest, "pivot").withColumn("c", F.floor(F.col("x") / F.col("width")))
-             .select("pivot", "node", "linked", "x", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("zone")))
+    open_ = (star.groupBy("a").agg(
+        F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("rest"),
+        (F.sum("n") < F.sum("x")).alias("plain"),
+        (F.max("n") * 2 * (100 - bounds.share) / (100 + bounds.share) + 1).alias("width"))
+        .where("members > 1 and rest > 0").select("a", "plain", "width"))
+    zoned = (star.join(open_, "a").withColumn("x", F.when(F.col("plain"), F.col("n")).otherwise(F.col("x")))
+             .withColumn("c", F.floor(F.col("x") / F.col("width")))
+             .select("a", "b", "plain", "linked", "x", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("zone")))
     leaves = lambda of: F.ceil(F.sum(F.when(of, F.col("x") + 1).otherwise(0)) / LEAF).cast("int")
-    zones = (zoned.groupBy("pivot", "zone")
+    zones = (zoned.groupBy("a", "zone")
              .agg(F.count("*").alias("members"), leaves(~F.col("linked")).alias("open_leaves"),
                   leaves(F.col("linked")).alias("linked_leaves"))
-             .where("members > 1 and open_leaves > 0"))
-    rows = (zoned.join(zones, ["pivot", "zone"]).drop("x", "members")
-            .withColumn("leaf", F.pmod(F.xxhash64("node"), F.when(F.col("linked"), F.col("linked_leaves"))
-                                       .otherwise(F.col("open_leaves"))).cast("int"))
-            .join(star.select("pivot", "node", "n", "diff"), ["pivot", "node"]))
+             .where("members > 1 and open_leaves > 0").drop("members"))
+    rows = (zoned.join(zones, ["a", "zone"])
+            .withColumn("leaf", F.pmod(F.xxhash64("b"), F.when(F.col("linked"), F.col("linked_leaves"))
+                                       .otherwise(F.col("open_leaves"))).cast("int")))
+    none = F.array().cast("array<long>")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    tile = lambda left, linked, right: F.xxhash64("pivot", "zone", left, linked, right)
+    tile = lambda left, linked, right: F.xxhash64("a", "zone", left, linked, right)
     mine = F.concat(F.transform(F.sequence(F.col("leaf"), F.col("open_leaves") - 1), lambda r: tile("leaf", F.lit(False), r)),
                     F.transform(upto(F.col("linked_leaves")), lambda r: tile("leaf", F.lit(True), r)))
     theirs = (F.when(F.col("linked"), F.transform(upto(F.col("open_leaves")), lambda m: tile(m, F.lit(True), F.col("leaf"))))
               .otherwise(F.transform(F.sequence(F.lit(0), F.col("leaf")), lambda m: tile(m, F.lit(False), F.col("leaf")))))
-    left = rows.where("not linked").select(F.explode(mine).alias("tile"), "node", "n", "diff")
-    right = rows.select(F.explode(theirs).alias("tile"), "node", "n", "diff")
-
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    tiles = (rows.select("a", "b", "plain", F.when(F.col("linked"), none).otherwise(mine).alias("mine"), theirs.alias("theirs"))
+             .groupBy("a", "b", "plain")
+             .agg(F.flatten(F.collect_list("mine")).alias("mine"), F.flatten(F.collect_list("theirs")).alias("theirs")))
+    sided = lambda of, left: F.transform(of, lambda t: F.struct(t.alias("tile"), F.lit(left).alias("mine")))
+    dealt = (compared(cut_lineage(tiles), texts, n, bounds.share, differences=True)
+             .select("b", "n", "diff", F.explode(F.concat(sided("mine", True), sided("theirs", False))).alias("t"))
+             .select("t.tile", "t.mine", F.col("b").alias("node"), "n", "diff"))
+
+    def work(members: pd.DataFrame) -> pd.DataFrame:
+        a, b = members[members["mine"]], members[~members["mine"]]
         found = leaf_links(a, b, bounds) if len(a) and len(b) else []
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-    left = left.select("tile", "node", "n", "diff").toDF("tile", "node", "n", "diff")
-    right = right.select("tile", "node", "n", "diff").toDF("tile", "node", "n", "diff")
-    return (left.groupBy("tile").cogroup(right.groupBy("tile"))
-            .applyInPandas(work, "a long, b long"))
+    return dealt.groupBy("tile").applyInPandas(work, "a long, b long")
 
 
 def set_links(docs: DataFrame, n: int, share: int, text_col: str) -> DataFrame:
@@ -233,13 +245,8 @@ def set_links(docs: DataFrame, n: int, share: int, text_col: str) -> DataFrame:
     pairs = met.join(pivot, "key").where("node <> pivot").select("pivot", "node").distinct()
     pairs = cut_lineage(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     texts = cut_lineage(node_texts(docs, met_often.select("node"), n, text_col))
-    star = cut_lineage(compared(pairs, texts, n, share))
-    # the differences to the pivot are needed where some member is not linked with it and is not alone
-    open_ = (star.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("rest"))
-             .where("members > 1 and rest > 0").select("a"))
-    apart = cut_lineage(compared(star.join(open_, "a", "left_semi").select("a", "b", "linked"), texts, n, share, differences=True)
-                        .withColumnsRenamed({"a": "pivot", "b": "node"}))
-    return star.where("linked").select("a", "b").union(rest_links(apart, bounds))
+    star = cut_lineage(compared(pairs, texts, n, share, sizes=True))
+    return star.where("linked").select("a", "b").union(rest_links(star, texts, n, bounds))
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, n: int, share: int) -> tuple[DataFrame, DataFrame]:

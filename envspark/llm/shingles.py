@@ -66,11 +66,14 @@ def node_texts(docs: DataFrame, nodes: DataFrame, n: int, text_col: str) -> Data
             .where(member_of(nodes, F.col("node"))).join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
-def compared(pairs: DataFrame, texts: DataFrame, n: int, share: int, differences: bool = False) -> DataFrame:
-    """Every pair (a, b) with ``linked``, on the full sets - or with the size
-    ``n`` of b's set and its difference to a's (``diff``).  The partners of one
-    ``a`` are dealt into shares of about STAR, each with one copy of its text.
-    Further columns of the pairs are carried along."""
+def compared(pairs: DataFrame, texts: DataFrame, n: int, share: int, differences: bool = False,
+             sizes: bool = False) -> DataFrame:
+    """Every pair (a, b) with ``linked``, on the full sets (``sizes``: also
+    the size ``n`` of b's set and ``x`` of its difference to a's) - or with
+    ``n`` and the difference itself (``diff``); a pair whose column ``plain``
+    is true gets b's whole set instead.  The partners of one ``a`` are dealt
+    into shares of about STAR, each with one copy of its text.  Further
+    columns of the pairs are carried along."""
     more = [c for c in pairs.columns if c not in ("a", "b")]
     kinds = dict(pairs.dtypes)
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("shares"))
@@ -79,23 +82,27 @@ def compared(pairs: DataFrame, texts: DataFrame, n: int, share: int, differences
                 .select("a", "share", F.lit(1).alias("role"), "b", *more, "text"))
     heads = (shares.join(texts.withColumnRenamed("node", "a"), "a")
              .select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"),
-                     *[F.lit(0).cast(kinds[c]).alias(c) for c in ["b", *more]], "text"))
+                     *[F.lit(None if kinds[c].startswith("array") else 0).cast(kinds[c]).alias(c) for c in ["b", *more]], "text"))
     dealt = heads.union(partners).repartition("a", "share").sortWithinPartitions("a", "share", "role")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = None
         for pdf in batches:
             found = []
-            for role, s in zip(pdf["role"], shingle_sets(pdf["text"], n)):
+            whole = pdf["plain"] if "plain" in more else np.zeros(len(pdf), bool)
+            for role, plain, s in zip(pdf["role"], whole, shingle_sets(pdf["text"], n)):
                 if not role:
                     head = s
                 elif differences:
-                    found.append((len(s), np.setxor1d(head, s, assume_unique=True).view(np.int64)))
+                    diff = s if plain else np.setxor1d(head, s, assume_unique=True)
+                    found.append((len(s), diff.view(np.int64)))
                 else:
                     both = len(np.intersect1d(head, s, assume_unique=True))
-                    found.append((bool(100 * both >= share * (len(head) + len(s) - both)),))
+                    linked = bool(100 * both >= share * (len(head) + len(s) - both))
+                    found.append((linked, len(s), len(head) + len(s) - 2 * both)[:len(made)])
             out = pdf.loc[pdf["role"] == 1, ["a", "b", *more]].reset_index(drop=True)
-            yield out.join(pd.DataFrame(found, columns=["n", "diff"] if differences else ["linked"]))
+            yield out.join(pd.DataFrame(found, columns=made))
+    made = ["n", "diff"] if differences else ["linked", "n", "x"] if sizes else ["linked"]
     carried = "".join(f", {c} {kinds[c]}" for c in more)
     return (dealt.select("a", "role", "b", *more, "text")
-            .mapInPandas(run, f"a long, b long{carried}, " + ("n long, diff array<long>" if differences else "linked boolean")))
+            .mapInPandas(run, f"a long, b long{carried}, " + ("n long, diff array<long>" if differences else "linked boolean" + (", n long, x long" if sizes else ""))))
