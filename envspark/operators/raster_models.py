@@ -12,15 +12,13 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from envspark.operators import detectors, models
+from envspark.operators import blocks, detectors, models
+from envspark.operators.common import join_on
 from envspark.operators.raster import gaussian_blur5
 from envspark.session import cut_lineage
-from envspark.session import ship_package
 
 IMG = "image_id"
 
@@ -49,60 +47,137 @@ def pixel_anomaly(pixels_wide: DataFrame, bands: Sequence[str], method: str = "i
     return gaussian_blur5(amap)
 
 
+def _offsets(d: int):
+    """All steps to a cell and its neighbours in ``d`` dimensions."""
+    return F.array(*[F.array(*[F.lit(o) for o in step]) for step in itertools.product((-1, 0, 1), repeat=d)])
+
+
+def _steps_to(df: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Rows once for their cell and each neighbouring one."""
+    probe = df.withColumn("__o", F.explode(_offsets(len(cell))))
+    return probe.select(*[c for c in df.columns if c not in cell],
+                        *[(F.col(c) + F.col("__o")[i]).alias(c) for i, c in enumerate(cell)])
+
+
+def separate_modes(seeds: DataFrame, dims: int, bandwidth: float, tol: float = 1e-3,
+                   keys: Sequence[str] = ()) -> DataFrame:
+    """Seeds ``(keys, y0.., strength)`` -> modes at least one bandwidth apart:
+    the strongest seed (ties: smallest coordinates) is a mode, seeds closer
+    than a bandwidth to it go, the strongest of the rest is the next one.
+
+    Rounds in place of that order: the best seed of a cell is a mode when no
+    better one lies within a bandwidth, and all such modes clear their
+    surroundings at once; the outcome is the same.  Seeds meet the best ones
+    of their own and the neighbouring cells only, never one another; there are
+    as many rounds as the longest chain of ever stronger neighbours.  Seeds of
+    one cell of ``tol`` bandwidths count as one, the strongest."""
+    keys, ys = list(keys), [f"y{i}" for i in range(dims)]
+    cell = [f"k{i}" for i in range(dims)]
+    best = F.struct((-F.col("strength")).alias("w"), *ys)
+    fine = [F.floor(F.col(y) / (tol * bandwidth)).alias(f"__f{i}") for i, y in enumerate(ys)]
+    left = (seeds.groupBy(*keys, *fine).agg(F.min(best).alias("m"))
+            .select(*keys, "m", *[F.floor(F.col("m")[y] / bandwidth).cast("long").alias(c) for y, c in zip(ys, cell)]))
+    left = cut_lineage(left)
+    found = left.limit(0)
+    dist2 = sum((F.col("m")[y] - F.col("__top")[y]) ** 2 for y in ys)
+
+    def within_reach(tops: DataFrame) -> DataFrame:
+        return join_on(left, _steps_to(tops.withColumnRenamed("m", "__top"), cell), [*keys, *cell],
+                       "inner").where(dist2 < bandwidth * bandwidth)
+
+    while not left.isEmpty():
+        # a seed always meets its own row, so every top has a nearest best
+        tops = left.groupBy(*keys, *cell).agg(F.min("m").alias("m"))
+        best_near = within_reach(tops).groupBy(*keys, "__top").agg(F.min("m").alias("m"))
+        modes = cut_lineage(best_near.where(F.col("m") == F.col("__top")).select(*keys, "m", *[
+            F.floor(F.col("m")[y] / bandwidth).cast("long").alias(c) for y, c in zip(ys, cell)]))
+        found = found.unionByName(modes)
+        gone = within_reach(modes).select(*keys, "m", F.lit(True).alias("__gone")).distinct()
+        left = cut_lineage(join_on(left, gone, [*keys, "m"]).where(F.col("__gone").isNull()).drop("__gone"))
+    return found.select(*keys, (-F.col("m")["w"]).alias("strength"), *[F.col("m")[y].alias(y) for y in ys])
+
+
+def _nearest_modes(cells: DataFrame, modes: DataFrame, dims: int, bandwidth: float,
+                   keys: Sequence[str]) -> DataFrame:
+    """Occupied cells ``(keys, k0..)`` of one bandwidth with ``near``, the
+    modes that can be nearest to some point of the cell: those whose least
+    distance to the box is not above the smallest greatest distance.  Modes
+    are looked for in neighbouring cells of 2, 4, 8 .. bandwidths until that
+    bound lies within the width, so none further away can count."""
+    keys, ys = list(keys), [f"y{i}" for i in range(dims)]
+    cell, big = [f"k{i}" for i in range(dims)], [f"g{i}" for i in range(dims)]
+    low = [F.col(c) * bandwidth for c in cell]
+    least = sum(F.greatest(lo - F.col(y), F.col(y) - (lo + bandwidth), F.lit(0.0)) ** 2 for lo, y in zip(low, ys))
+    most = sum(F.greatest(F.abs(F.col(y) - lo), F.abs(F.col(y) - (lo + bandwidth))) ** 2 for lo, y in zip(low, ys))
+    entry = F.struct("segment", *ys)
+    todo, out, width = cells, None, 1
+    while not todo.isEmpty():
+        width *= 2
+        spread = _steps_to(modes.select(*keys, "segment", *ys, *[
+            F.floor(F.col(y) / (bandwidth * width)).cast("long").alias(g) for y, g in zip(ys, big)]), big)
+        at = todo.select(*keys, *cell, *[F.floor(F.col(c) / width).cast("long").alias(g) for c, g in zip(cell, big)])
+        met = join_on(at, spread, [*keys, *big], "inner").select(*keys, *cell, "segment", *ys, least.alias("__least"),
+                                                                  most.alias("__most"))
+        bound = met.groupBy(*keys, *cell).agg(F.min("__most").alias("__bound"))
+        bound = bound.where(F.col("__bound") <= (bandwidth * width) ** 2)
+        # a hair of slack, so that rounding of a distance loses no mode
+        near = (join_on(met, bound, [*keys, *cell], "inner").where(F.col("__least") <= F.col("__bound") * (1 + 1e-9))
+                .groupBy(*keys, *cell).agg(F.array_sort(F.collect_list(entry)).alias("near")))
+        near = cut_lineage(near)
+        out = near if out is None else out.unionByName(near)
+        done = near.select(*keys, *cell, F.lit(True).alias("__done"))
+        todo = cut_lineage(join_on(todo, done, [*keys, *cell]).where(F.col("__done").isNull()).drop("__done"))
+    if out is None:      # no cells
+        kind = ",".join(f"{y}:double" for y in ys)
+        return cells.withColumn("near", F.array().cast(f"array<struct<segment:int,{kind}>>"))
+    return out
+
+
 def segment_meanshift(pixels_wide: DataFrame, bands: Sequence[str], bandwidth: float = 0.5,
-                      max_iter: int = 50, tol: float = 1e-3, max_modes: int = 100000) -> DataFrame:
-    """Flat-kernel mean shift.  Pixels are quantised to cells of one
-    bandwidth (weighted cell table; a cell's seed is its centroid); every
-    iteration moves each seed to the weighted mean of the cells within one
-    bandwidth, found by an equi-join on neighbouring cell ids.  Converged
-    seeds closer than a bandwidth are merged (stronger seed wins); pixels
-    take the label of the nearest mode."""
-    ship_package(pixels_wide.sparkSession)
-    bands = list(bands)
+                      max_iter: int = 50, tol: float = 1e-3, keys: Sequence[str] = (IMG,)) -> DataFrame:
+    """Flat-kernel mean shift, each image by itself (``keys=[]`` pools
+    all).  Pixels are quantised to cells of one bandwidth (weighted cell table;
+    a cell's seed is its centroid); every iteration moves each seed to the
+    weighted mean of the cells within one bandwidth, found by an equi-join on
+    neighbouring cell ids.  Converged seeds closer than a bandwidth are merged
+    (``separate_modes``); pixels take the label of the nearest mode (ties: the
+    stronger one).  Labels count an image's modes from the strongest, pixels
+    with a missing, NaN or infinite band have -1.  Neither seeds nor modes pass the driver."""
+    bands, keys = list(bands), list(keys)
     d = len(bands)
-    cell_of = [F.floor(F.col(b) / bandwidth).cast("long") for b in bands]
-    cells = (pixels_wide.na.drop(subset=bands).groupBy(*[c.alias(f"k{i}") for i, c in enumerate(cell_of)])
-             .agg(F.count(F.lit(1)).alias("w"), *[F.avg(b).alias(f"x{i}") for i, b in enumerate(bands)]))
-    cells = cut_lineage(cells.withColumn("cid", F.monotonically_increasing_id()))
-    seeds = cells.select(F.col("cid").alias("sid"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(d)])
-    offs = F.array(*[F.array(*[F.lit(o) for o in combo]) for combo in itertools.product((-1, 0, 1), repeat=d)])
-    for it in range(max_iter):
-        probe = seeds.select("sid", *[f"y{i}" for i in range(d)], F.explode(offs).alias("o")).select(
-            "sid", *[f"y{i}" for i in range(d)],
-            *[(F.floor(F.col(f"y{i}") / bandwidth).cast("long") + F.col("o")[i]).alias(f"k{i}") for i in range(d)])
-        near = probe.join(cells, [f"k{i}" for i in range(d)])
-        dist2 = sum((F.col(f"x{i}") - F.col(f"y{i}")) ** 2 for i in range(d))
-        moved = (near.where(dist2 <= bandwidth * bandwidth).groupBy("sid", *[f"y{i}" for i in range(d)])
-                 .agg(*[(F.sum(F.col(f"x{i}") * F.col("w")) / F.sum("w")).alias(f"n{i}") for i in range(d)],
-                      F.sum("w").alias("strength")))
-        shift = moved.agg(F.max(F.sqrt(sum((F.col(f"n{i}") - F.col(f"y{i}")) ** 2 for i in range(d))))
-                          .alias("s")).first()["s"] or 0.0
-        seeds = cut_lineage(moved.select("sid", *[F.col(f"n{i}").alias(f"y{i}") for i in range(d)], "strength"))
-        if shift < tol * bandwidth:
+    ys, cell = [f"y{i}" for i in range(d)], [f"k{i}" for i in range(d)]
+    whole = F.lit(True)
+    for b in bands:
+        whole = whole & F.coalesce(F.abs(F.col(b).cast("double")) < float("inf"), F.lit(False))
+    place = [F.floor(F.col(b) / bandwidth).cast("long").alias(c) for b, c in zip(bands, cell)]
+    cells = cut_lineage(pixels_wide.where(whole).groupBy(*keys, *place)
+                        .agg(F.count(F.lit(1)).alias("w"), *[F.avg(b).alias(f"x{i}") for i, b in enumerate(bands)]))
+    seeds = cells.select(*keys, F.monotonically_increasing_id().alias("sid"), F.col("w").cast("double").alias("strength"),
+                         *[F.col(f"x{i}").alias(y) for i, y in enumerate(ys)])
+    gap2 = sum((F.col(f"x{i}") - F.col(y)) ** 2 for i, y in enumerate(ys))
+    for _ in range(max_iter):
+        probe = _steps_to(seeds.select(*keys, "sid", *ys, *[
+            F.floor(F.col(y) / bandwidth).cast("long").alias(c) for y, c in zip(ys, cell)]), cell)
+        near = join_on(probe, cells, [*keys, *cell], "inner").where(gap2 <= bandwidth * bandwidth)
+        moved = near.groupBy(*keys, "sid", *ys).agg(
+            *[(F.sum(F.col(f"x{i}") * F.col("w")) / F.sum("w")).alias(f"n{i}") for i in range(d)],
+            F.sum("w").cast("double").alias("strength"))
+        step = F.sqrt(sum((F.col(f"n{i}") - F.col(y)) ** 2 for i, y in enumerate(ys)))
+        moved = cut_lineage(moved.select(*keys, "sid", "strength", step.alias("__step"),
+                                         *[F.col(f"n{i}").alias(y) for i, y in enumerate(ys)]))
+        seeds = moved.drop("__step")
+        if (moved.agg(F.max("__step").alias("s")).first()["s"] or 0.0) < tol * bandwidth:
             break
-    # merge converged seeds: modes are few (bounded by max_modes)
-    modes = seeds.select(*[f"y{i}" for i in range(d)], "strength").orderBy(F.col("strength").desc()) \
-        .limit(max_modes + 1).collect()
-    if len(modes) > max_modes:
-        raise ValueError("too many modes; increase the bandwidth")
-    kept: list[np.ndarray] = []
-    for r in modes:
-        p = np.array([r[f"y{i}"] for i in range(d)], dtype=float)
-        if all(np.linalg.norm(p - q) >= bandwidth for q in kept):
-            kept.append(p)
-    centres = np.array(kept)
-    schema = T.StructType(pixels_wide.schema.fields + [T.StructField("segment", T.IntegerType())])
-
-    def label(it):
-        for pdf in it:
-            X = pdf[bands].to_numpy(dtype=float, na_value=np.nan)
-            dd = ((X[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-            lab = np.where(np.isnan(X).any(axis=1), -1, dd.argmin(axis=1) if len(centres) else -1)
-            pdf = pdf.copy()
-            pdf["segment"] = lab.astype("int32")
-            yield pdf
-
-    return pixels_wide.mapInPandas(label, schema)
+    modes = separate_modes(seeds, d, bandwidth, tol, keys).withColumn("__weak", -F.col("strength"))
+    order = ["__weak", *ys]
+    modes = cut_lineage(blocks.with_index(blocks.ranges(modes, keys, order), keys, order, "segment")
+                        .select(*keys, F.col("segment").cast("int").alias("segment"), *ys))
+    near = _nearest_modes(cells.select(*keys, *cell), modes, d, bandwidth, keys)
+    placed = join_on(pixels_wide.where(whole).select("*", *place), near, [*keys, *cell], "inner")
+    nearest = F.array_min(F.transform("near", lambda m: F.struct(
+        sum((F.col(b) - m[y]) ** 2 for b, y in zip(bands, ys)).alias("d"), m["segment"].alias("segment"))))["segment"]
+    return (placed.select(*pixels_wide.columns, nearest.alias("segment"))
+            .unionByName(pixels_wide.where(~whole).withColumn("segment", F.lit(-1))))
 
 
 def segment_slic(pixels_wide: DataFrame, bands: Sequence[str], n_segments: int = 5, compactness: float = 10.0,

@@ -128,7 +128,8 @@ def _detection_bodies(spark, sf):
     d = V(spark, sf, "detections")
     threat = F.when(F.col("id") % 29 == 0, F.lit("meteor")).otherwise(F.col("threat_type"))
     conf = F.when(F.col("id") % 13 != 0, F.col("confidence"))
-    body = F.to_json(F.struct(threat.alias("threat_type"), conf.alias("confidence"),
+    box = F.when(F.col("id") % 3 == 0, F.concat(F.lit("box "), F.col("id").cast("string")))
+    body = F.to_json(F.struct(threat.alias("threat_type"), box.alias("bbox"), conf.alias("confidence"),
                               F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
                               F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lng")).alias("location"),
                               "source_type", "source_id", "image_id", "sensor_reading_id", "is_verified"))
@@ -137,6 +138,7 @@ def _detection_bodies(spark, sf):
 
 @register("s11_ingest_detections",
           "SELECT id, threat_type, confidence, ts, lon, lat, concat('POINT(', lon, ' ', lat, ')') AS location, "
+          "CASE WHEN id % 3 = 0 THEN concat('box ', id) END AS bbox, "
           "source_type, source_id, image_id, sensor_reading_id, '{}' AS metadata, is_verified FROM detections "
           "WHERE id % 13 <> 0 AND id % 29 <> 0", ["detections"])
 def s11(spark, sf):

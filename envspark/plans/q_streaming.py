@@ -136,7 +136,7 @@ _PREV = "(PARTITION BY source_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AN
           ["readings"], rnd=["zscore"])
 def x10r(spark, sf):
     r = _stream_view(spark, sf, "readings")
-    return streams.run_to_table(streams.stream_running_zscore(r, "humidity", 3.0), "x10r")
+    return streams.running_zscore_table(r, "humidity", 3.0)
 
 
 @register("x11_dedup_messages", "SELECT DISTINCT topic, payload FROM messages", ["messages"])

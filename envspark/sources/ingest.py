@@ -162,7 +162,8 @@ def ingest_detections(bodies: DataFrame, as_of, body_col="body") -> tuple[DataFr
     """JSON detection bodies.  Required: threat_type, confidence,
     location{lat,lng}, source_type (enums checked).  Defaults: timestamp =
     ``as_of``, metadata ``{}``, is_verified false.  Location becomes WKT
-    ``POINT(lng lat)``.  Returns (accepted, rejected with reason)."""
+    ``POINT(lng lat)``; ``bbox`` is kept as given (text, null if
+    absent).  Returns (accepted, rejected with reason)."""
     d = bodies.withColumn("__d", F.from_json(F.col(body_col), DETECTION_SCHEMA))
     reason = (F.when(F.col("__d").isNull(), "malformed")
               .when(F.col("__d.threat_type").isNull(), "missing threat_type")
@@ -178,8 +179,8 @@ def ingest_detections(bodies: DataFrame, as_of, body_col="body") -> tuple[DataFr
         F.coalesce(parse_iso(F.col("__d.timestamp")), ts_lit(as_of)).alias("ts"),
         F.col("__d.location.lng").alias("lon"), F.col("__d.location.lat").alias("lat"),
         point_wkt(F.col("__d.location.lng"), F.col("__d.location.lat")).alias("location"),
-        F.col("__d.source_type").alias("source_type"), F.col("__d.source_id").alias("source_id"),
-        F.col("__d.image_id").alias("image_id"), F.col("__d.sensor_reading_id").alias("sensor_reading_id"),
+        F.col("__d.bbox").alias("bbox"), F.col("__d.source_type").alias("source_type"),
+        F.col("__d.source_id").alias("source_id"), F.col("__d.image_id").alias("image_id"), F.col("__d.sensor_reading_id").alias("sensor_reading_id"),
         F.coalesce(F.col("__d.metadata"), F.lit("{}")).alias("metadata"),
         F.coalesce(F.col("__d.is_verified"), F.lit(False)).alias("is_verified"))
     rejected = d.where(F.col("__reason").isNotNull()).select(*keep, F.col("__reason").alias("reason"))

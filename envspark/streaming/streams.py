@@ -14,12 +14,14 @@ import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from envspark.operators import blocks
+from envspark.operators.common import join_on
 from envspark.session import checkpoint_dir
 from envspark.sources import ingest
 from envspark.session import ship_package
@@ -181,7 +183,9 @@ def stream_running_zscore(readings: DataFrame, col: str, threshold: float = 3.0,
                           time_col: str = "ts") -> DataFrame:
     """X10 (running form): per-sensor Welford mean/variance kept in state
     (``applyInPandasWithState``); each reading is scored against the
-    statistics of the readings before it (sample std), then folded in."""
+    statistics of the readings before it (sample std), then folded in.  A
+    key's rows of one micro-batch meet in one Python worker;
+    ``running_zscore_table`` has no such bound."""
     ship_package(readings.sparkSession)
     ties = ["id"] if "id" in readings.columns and key != "id" else []
     out_schema = T.StructType([T.StructField(key, readings.schema[key].dataType), T.StructField(time_col, T.TimestampNTZType()),
@@ -217,6 +221,108 @@ def stream_running_zscore(readings: DataFrame, col: str, threshold: float = 3.0,
                                                     GroupStateTimeout.NoTimeout)
 
 
+def score_running(batch: DataFrame, state: DataFrame, col: str, threshold: float = 3.0, key: str = "source_id",
+                  time_col: str = "ts") -> tuple[DataFrame, DataFrame]:
+    """One micro-batch of the running z-score: rows in time order scored
+    against all readings of their key before them, in ``state`` (key, n, mean,
+    m2; one row per key) and in the batch.  Returns (scored, next state).
+
+    Running count, mean and squared deviations inside ranges of about equal
+    size; each range takes over what the state and the ranges before it hold
+    (one row per key and range).  Squared deviations are sums of positive
+    terms, so they lose no digits when the level of a sensor moves.  Rows
+    that tie in time follow ``id`` if there is one, then the value; null and
+    NaN readings are neither scored nor folded in."""
+    ties = ["id"] if "id" in batch.columns and key != "id" else []
+    rows = blocks.ranges(batch.select(key, time_col, *ties, F.nanvl(F.col(col).cast("double"), F.lit(None))
+                                      .alias(col)), [key], [time_col, *ties, col])
+    part = [key, blocks.RANGE]
+    level = rows.groupBy(*part).agg(F.avg(col).alias("__c"))
+    rows = join_on(rows, level, part, "inner").withColumn("__x", F.col(col) - F.col("__c"))
+    prior = (Window.partitionBy(*part).orderBy(time_col, *ties, col)
+             .rowsBetween(Window.unboundedPreceding, -1))
+    x = F.col("__x")
+    rows = rows.select("*", F.count("__x").over(prior).alias("__n"),
+                       F.coalesce(F.sum("__x").over(prior), F.lit(0.0)).alias("__s"))
+    term = F.when(F.col("__n") > 0, F.col("__n") / (F.col("__n") + 1) * (x - F.col("__s") / F.col("__n")) ** 2)
+    rows = rows.withColumn("__t", F.when(x.isNotNull(), F.coalesce(term, F.lit(0.0))))
+    rows = rows.withColumn("__m2", F.coalesce(F.sum("__t").over(prior), F.lit(0.0)))
+
+    # per key: the state, then one row per range, chained in order
+    totals = rows.groupBy(*part).agg(F.count("__x").alias("n"), F.avg(col).alias("mean"), F.sum("__t").alias("m2"))
+    links = (state.select(key, F.lit(-1).alias(blocks.RANGE), "n", "mean", "m2")
+             .unionByName(totals)).select(key, blocks.RANGE, "n", F.coalesce("mean", F.lit(0.0)).alias("mean"),
+                                          F.coalesce("m2", F.lit(0.0)).alias("m2"))
+    chain = Window.partitionBy(key).orderBy(blocks.RANGE)
+    upto = chain.rowsBetween(Window.unboundedPreceding, -1)
+    start = F.first("mean").over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    links = links.withColumn("__d", F.col("mean") - start).withColumn("__start", start)
+    links = links.select("*", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__n0"),
+                         F.coalesce(F.sum(F.col("n") * F.col("__d")).over(upto), F.lit(0.0)).alias("__s0"))
+    gap = F.col("__d") - F.col("__s0") / F.col("__n0")
+    joint = F.when((F.col("__n0") > 0) & (F.col("n") > 0),
+                   F.col("__n0") * F.col("n") / (F.col("__n0") + F.col("n")) * gap * gap).otherwise(F.lit(0.0))
+    links = links.withColumn("__t", F.col("m2") + joint)
+    links = links.withColumn("__v0", F.coalesce(F.sum("__t").over(upto), F.lit(0.0)))
+    last = links.groupBy(key).agg(F.max_by(F.struct(
+        (F.col("__n0") + F.col("n")).alias("n"), F.col("__start").alias("a"),
+        (F.col("__s0") + F.col("n") * F.col("__d")).alias("s"), (F.col("__v0") + F.col("__t")).alias("m2")),
+        blocks.RANGE).alias("l"))
+    following = last.select(key, F.col("l.n").alias("n"), F.when(
+        F.col("l.n") > 0, F.col("l.a") + F.col("l.s") / F.col("l.n")).otherwise(0.0).alias("mean"),
+        F.col("l.m2").alias("m2"))
+
+    before = links.where(F.col(blocks.RANGE) >= 0).select(*part, "__n0", "__v0", F.when(
+        F.col("__n0") > 0, F.col("__start") + F.col("__s0") / F.col("__n0")).alias("__mean0"))
+    j = join_on(rows, before, part, "inner")
+    n = F.col("__n") + F.col("__n0")
+    own = F.col("__s") / F.col("__n")                   # relative to the level of the range
+    away = F.col("__mean0") - F.col("__c")              # the rows before, likewise
+    both = (F.col("__n") > 0) & (F.col("__n0") > 0)
+    mean = (F.when(both, away + (own - away) * F.col("__n") / n).when(F.col("__n") > 0, own)
+            .when(F.col("__n0") > 0, away))
+    m2 = F.col("__m2") + F.col("__v0") + F.when(
+        both, F.col("__n") * F.col("__n0") / n * (own - away) ** 2).otherwise(F.lit(0.0))
+    sd = F.when(n > 1, F.sqrt(m2 / (n - 1)))
+    j = j.withColumn("zscore", F.when(sd > 0, (x - mean) / sd))
+    scored = j.select(key, time_col, col, "zscore",
+                      F.coalesce(F.abs("zscore") > threshold, F.lit(False)).alias("anomaly"))
+    return scored, following
+
+
+def running_zscore_table(readings: DataFrame, col: str, threshold: float = 3.0, key: str = "source_id",
+                         time_col: str = "ts", base: str | None = None) -> DataFrame:
+    """X10 (running form, sensors of any rate): every micro-batch is scored by
+    ``score_running`` and written under its epoch, its state to one of two
+    slots in turn.  An epoch that is run again after a failure reads the slot
+    of the epoch before and writes the same places, so each reading is scored
+    once; a further run with the same ``base`` (by default a new folder in the
+    shared checkpoint folder) continues where the last one ended.  Returns the
+    table of all scored readings."""
+    spark = readings.sparkSession
+    base = (base or _ckpt(spark, "running-zscore")).rstrip("/")
+    kind = readings.schema[key].dataType
+    held = T.StructType([T.StructField(key, kind), T.StructField("n", T.LongType()),
+                         T.StructField("mean", T.DoubleType()), T.StructField("m2", T.DoubleType())])
+    out = T.StructType([T.StructField(key, kind), readings.schema[time_col], T.StructField(col, T.DoubleType()),
+                        T.StructField("zscore", T.DoubleType()), T.StructField("anomaly", T.BooleanType())])
+
+    def fold(batch: DataFrame, epoch: int) -> None:
+        s = batch.sparkSession
+        state = (s.read.schema(held).parquet(f"{base}/state/{(epoch - 1) % 2}") if epoch > 0
+                 else s.createDataFrame([], held))
+        scored, following = score_running(batch, state, col, threshold, key, time_col)
+        scored.write.mode("overwrite").parquet(f"{base}/data/epoch={epoch}")
+        following.write.mode("overwrite").parquet(f"{base}/state/{epoch % 2}")
+
+    q = (readings.writeStream.foreachBatch(fold).option("checkpointLocation", f"{base}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.schema(out).option("recursiveFileLookup", "true").parquet(f"{base}/data")
+
+
 def dedup_messages(messages: DataFrame, keys: Sequence[str] = ("topic", "payload"), delay: str = "10 minutes",
                    time_col: str = "received_at") -> DataFrame:
     """X11: drop redelivered messages (same keys) within the watermark delay."""
