@@ -20,9 +20,9 @@ def parse_bbox(bbox: str) -> tuple[float, float, float, float]:
     try:
         parts = [float(p) for p in bbox.split(",")]
     except (AttributeError, ValueError) as e:
-        raise ValueError("Invalid bbox format. Use 'min_lon,min_lat,max_lon,max_lat'") from e
+        raise ValueError("a box is four numbers: min_lon,min_lat,max_lon,max_lat") from e
     if len(parts) != 4:
-        raise ValueError("Invalid bbox format. Use 'min_lon,min_lat,max_lon,max_lat'")
+        raise ValueError("a box is four numbers: min_lon,min_lat,max_lon,max_lat")
     return parts[0], parts[1], parts[2], parts[3]
 
 

@@ -456,4 +456,4 @@ def detect_multivariate(df: DataFrame, method: str, cols, **kw) -> DataFrame:
         return isolation_forest(df, cols, **kw)
     if method == "one_class_svm":
         return one_class_svm(df, cols, **kw)
-    raise ValueError(f"Unsupported anomaly detection method: {method}")
+    raise ValueError(f"no multivariate anomaly method called {method!r}")

@@ -23,7 +23,7 @@ def read_sensor(spark: SparkSession, path: str, fmt: str | None = None, time_col
     if fmt is None:
         fmt = os.path.splitext(path.rstrip("/"))[1].lstrip(".").lower()
     if fmt not in FORMATS:
-        raise ValueError(f"Unsupported file format: {fmt}")
+        raise ValueError(f"cannot read {fmt!r} files, only {FORMATS}")
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
@@ -33,7 +33,7 @@ def read_sensor(spark: SparkSession, path: str, fmt: str | None = None, time_col
         r = r.option(k, v)
     df = r.format(fmt).load(path)
     if time_col not in df.columns:
-        raise ValueError(f"Timestamp column '{time_col}' not found in the data")
+        raise ValueError(f"no time column {time_col!r} in {df.columns}")
     ts = F.col(time_col)
     tt = df.schema[time_col].dataType
     if isinstance(tt, T.StringType):
