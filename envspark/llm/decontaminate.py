@@ -2,9 +2,10 @@
 
 1. *Statistics.*  Document frequencies of hashed terms over the whole corpus.
 2. *Latent space.*  A randomised SVD of the TF-IDF matrix of passages: the
-   benchmark items and a bounded sample of corpus passages.  The products
-   with the matrix are computed where its rows are and summed by block of
-   terms; orthonormalisation of the thin factor is the driver's share.
+   benchmark items and all corpus passages, which together weigh as those of
+   ``CORPUS`` documents.  The products with the matrix are computed where its
+   rows are and summed by block of terms; orthonormalisation of the thin
+   factor is the driver's share.
 3. *Search.*  Every passage of every document (``WINDOW`` words, moved by
    ``CHUNK``) is folded into the space and compared with every item of the
    block: the cosine between the passage and the item's latent image.
@@ -12,9 +13,8 @@
    common subsequence of words around the passage holds enough of the item,
    and enough of its ending, where the answer stands.
 
-Steps 1, 3 and 4 read all rows and whole texts; the index covers every
-passage and only the axes of the space come from the sample.  Items are taken
-in blocks of at most ``BLOCK`` items and ``LATENT`` distinct terms (one pass
+Every step reads all rows and whole texts.  Items are taken
+in blocks of at most ``BLOCK`` items and ``LATENT`` distinct terms (three passes
 over the corpus each; an item of more terms is a block of its own), so what is
 broadcast - an idf table, the term loadings and one block - is bounded.
 
@@ -38,13 +38,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from envspark.llm.common import cut_lineage, small_batches
+from envspark.llm.common import small_batches
 from envspark.llm.hashing import ALPHANUMERIC, blocks, word_hashes
 
 CHUNK, WINDOW = 16, 3           # words per chunk, chunks per passage
 TERMS = 1 << 18                 # hashed terms
 LATENT = 1 << 13                # terms with loadings, at most (the items' first)
-SAMPLE = 2_000                  # corpus documents whose passages shape the space, about
+CORPUS = 2_000                  # documents the whole corpus weighs as against the items, at most
 RANK, EXTRA = 256, 16           # axes kept, and more for accuracy
 BLOCK = 256                     # items searched per pass
 FLOOR = 0.5                     # least weight of an item's term
@@ -88,6 +88,18 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     return df, int(rows.loc[rows["term"] < 0, "n"].sum())
 
 
+def _dense(place: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, step: int = 64):
+    """Entries of a sparse matrix of ``n`` rows, by ascending place, as small
+    dense blocks: first row, columns that occur, block."""
+    cuts = np.searchsorted(place, np.arange(0, n + step, step))
+    for b, lo, hi in zip(range(0, n, step), cuts, cuts[1:]):
+        if lo < hi:
+            own, col = np.unique(row[lo:hi], return_inverse=True)
+            size = min(step, n - b)
+            a = np.bincount((place[lo:hi] - b) * len(own) + col, weight[lo:hi], size * len(own))
+            yield b, own, a.reshape(size, -1).astype(np.float32)
+
+
 @dataclass
 class Index:
     """What a task needs to search one block of items."""
@@ -110,10 +122,20 @@ class Index:
             out.append(m)
         return out
 
+    def vocabulary(self):
+        """The items' words, ascending, and how often each item holds each."""
+        vocabulary = np.unique(np.concatenate(self.words))
+        holds = np.zeros((len(self.words), len(vocabulary)), np.int32)
+        for i, ws in enumerate(self.words):
+            np.add.at(holds[i], np.searchsorted(vocabulary, ws), 1)
+        return vocabulary, holds
+
     def search(self, texts) -> list[list[tuple]]:
         """Hits of each text: (item id, cosine, share, first word)."""
         if not hasattr(self, "_masks"):
             self._masks = self.masks()
+            self._vocabulary, self._holds = self.vocabulary()
+            self._sizes = np.array([len(ws) for ws in self.words])
         return [h for words, first in words_in(texts) for h in self._search(words, first)]
 
     def _search(self, words: np.ndarray, begin: np.ndarray) -> list[list[tuple]]:
@@ -132,11 +154,13 @@ class Index:
         size = np.convolve(np.bincount(at, weight * weight, first[-1]), np.ones(WINDOW))[WINDOW - 1:][:first[-1]]
         where = at[there]
         starts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
-        sums = np.add.reduceat(self.loadings[rows[there]], starts, axis=0)
+        sums = np.zeros((len(starts) + 1, self.loadings.shape[1]), np.float32)      # the last: no loaded words
+        nth = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(where)]))
+        for b, own, block in _dense(nth, rows[there], np.ones(len(there)), len(starts)):
+            sums[b:b + len(block)] = block @ self.loadings[own]
         # windows that begin at or just before a chunk with loaded words
-        place = np.full(first[-1] + WINDOW, len(sums))
-        place[where[starts]] = np.arange(len(sums))
-        sums = np.r_[sums, np.zeros((1, sums.shape[1]), sums.dtype)]
+        place = np.full(first[-1] + WINDOW, len(starts))
+        place[where[starts]] = np.arange(len(starts))
         some = np.unique((where[starts][:, None] - np.arange(WINDOW)).ravel())
         some = some[some >= 0]
         window = sums[place[some]]
@@ -145,8 +169,9 @@ class Index:
         least = self.cosine * np.sqrt(np.maximum(size[some], 1e-9))
         found_at, found_item = np.nonzero(window >= least[:, None])
         doc_of = np.searchsorted(first, some, "right") - 1
+        able = self.enough(words, begin, doc_of[found_at], (some - first[doc_of])[found_at] * CHUNK, found_item)
         best: dict[tuple[int, int], tuple] = {}
-        for r, i in zip(found_at.tolist(), found_item.tolist()):
+        for r, i in zip(found_at[able].tolist(), found_item[able].tolist()):
             d, c = int(doc_of[r]), int(some[r])
             found = self.check(i, words[begin[d]:begin[d + 1]], int(c - first[d]) * CHUNK)
             if found is not None and ((d, i) not in best or best[d, i][1] < found[0]):
@@ -155,6 +180,34 @@ class Index:
             hits[d].append((self.ids[i], cos, share, start))
         return hits
 
+    def enough(self, words: np.ndarray, begin: np.ndarray, doc: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which candidates have so many of the item's words around the passage
+        that ``check`` can find the share (a common subsequence has no more)."""
+        out = np.zeros(len(item), bool)
+        slot = np.minimum(np.searchsorted(self._vocabulary, words), len(self._vocabulary) - 1)
+        known = np.flatnonzero(self._vocabulary[slot] == words)
+        slot = slot[known]
+        n = self._sizes[item]
+        low = begin[doc] + np.maximum(0, at - n)
+        high = np.minimum(begin[doc + 1], begin[doc] + at + WINDOW * CHUNK + n)
+        order = np.argsort(item, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else ():
+            holds = self._holds[item[some[0]]]
+            mine = np.flatnonzero(holds[slot])
+            a, b = np.searchsorted(known[mine], low[some]), np.searchsorted(known[mine], high[some])
+            some, a, b = (v[(b - a) / n[some] >= self.share] for v in (some, a, b))
+            # a word counts as often as the item holds it: where its place that many times before is outside
+            word = slot[mine]
+            by_word = np.argsort(word, kind="stable")
+            back = np.arange(len(mine)) - holds[word[by_word]]
+            before = np.full(len(mine), -1)
+            before[by_word] = np.where((back >= 0) & (word[by_word[back]] == word[by_word]), by_word[back], -1)
+            nth = np.repeat(np.arange(len(some)), b - a)
+            at_word = np.arange(len(nth)) + np.repeat(a - np.r_[0, np.cumsum(b - a)][:-1], b - a)
+            count = np.bincount(nth, before[at_word] < a[nth], len(some))
+            out[some] = count / n[some] >= self.share
+        return out
+
     def check(self, item: int, words: np.ndarray, at: int) -> tuple[float, int] | None:
         """Share of the item in a longest common subsequence with the words
         around the passage, if it and the share of the ending suffice."""
@@ -176,46 +229,46 @@ class Index:
         return share, start
 
 
-def _passages(words: np.ndarray) -> Iterator[np.ndarray]:
-    t = term_ids(words)
-    for i in range(0, max(1, len(t)), CHUNK * WINDOW):
-        if len(t[i:i + CHUNK * WINDOW]):
-            yield t[i:i + CHUNK * WINDOW]
-
-
-def _product(rows: list[np.ndarray], weights: list[float], idf, row, q: np.ndarray) -> np.ndarray:
-    """A'(A q) for the TF-IDF rows of some passages (unit length, weighted)."""
-    out = np.zeros_like(q)
-    for t, w in zip(rows, weights):
-        size = np.sqrt((idf[t] ** 2).sum())
-        r = row[t]
-        keep = r >= 0
-        if size > 0 and keep.any():
-            r, x = r[keep], (idf[t[keep]] * (w / size)).astype(np.float32)
-            y = x @ q[r]
-            np.add.at(out, r, x[:, None] * y[None, :])
+def _product(terms: np.ndarray, passage: np.ndarray, idf, row, q: np.ndarray) -> np.ndarray:
+    """A'(A q) for the TF-IDF rows (unit length) of passages, given by their
+    terms and the ascending number of the passage of each."""
+    out = np.zeros(q.shape, np.float64)
+    if not len(terms):
+        return out
+    x, n = idf[terms].astype(np.float64), int(passage[-1]) + 1
+    size = np.sqrt(np.bincount(passage, x * x, n))[passage]
+    r = row[terms]
+    keep = np.flatnonzero((r >= 0) & (size > 0))
+    for _, own, block in _dense(passage[keep], r[keep], x[keep] / size[keep], n):
+        out[own] += block.T @ (block @ q[own])
     return out
 
 
-def _sampled_product(sample: DataFrame, idf, row, q: np.ndarray) -> np.ndarray:
-    """The sample's share of A'(A q): every task multiplies its passages, sums
-    meet per block of terms, and the thin result goes to the driver."""
+def _corpus_product(texts: DataFrame, idf, row, q: np.ndarray) -> np.ndarray:
+    """A'(A q) over all passages of the corpus: every task multiplies its
+    passages, sums meet per block of terms, and the thin result goes to the
+    driver."""
     step, width = 1024, q.shape[1]
-    shared = sample.sparkSession.sparkContext.broadcast((idf, row, q))
+    shared = texts.sparkSession.sparkContext.broadcast((idf, row, q))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         idf_, row_, q_ = shared.value
-        total = np.zeros_like(q_)
+        total = np.zeros(q_.shape, np.float64)
         for pdf in batches:
-            rows = [p for t in pdf["t"] for p in _passages(words_of(t))]
-            total += _product(rows, [1.0] * len(rows), idf_, row_, q_)
+            for words, first in words_in(pdf["t"]):
+                sizes = np.diff(first)
+                pieces = -(-sizes // (CHUNK * WINDOW))
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                start = np.r_[0, np.cumsum(pieces)][:-1]
+                passage = start[doc] + (np.arange(len(words)) - first[doc]) // (CHUNK * WINDOW)
+                total += _product(term_ids(words), passage, idf_, row_, q_)
         for b in range(0, len(q_), step):
-            yield pd.DataFrame({"b": [b], "m": [total[b:b + step].tobytes()]})
+            yield pd.DataFrame({"b": [b], "m": [total[b:b + step].astype(np.float32).tobytes()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(m, np.float32).astype(np.float64) for m in pdf["m"])
         return pd.DataFrame({"b": [pdf["b"].iat[0]], "m": [total.astype(np.float32).tobytes()]})
-    parts = sample.mapInPandas(run, "b int, m binary").groupBy("b").applyInPandas(add, "b int, m binary").collect()
+    parts = texts.mapInPandas(run, "b int, m binary").groupBy("b").applyInPandas(add, "b int, m binary").collect()
     out = np.zeros_like(q)
     for r in parts:
         m = np.frombuffer(r["m"], np.float32).reshape(-1, width)
@@ -223,19 +276,22 @@ def _sampled_product(sample: DataFrame, idf, row, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def latent_axes(sample: DataFrame, items: list[np.ndarray], idf, row, n_terms: int, rank: int, rounds: int = 1,
-                seed: int = 11) -> np.ndarray:
+def latent_axes(texts: DataFrame, share: float, items: list[np.ndarray], idf, row, n_terms: int, rank: int,
+                rounds: int = 1, seed: int = 11) -> np.ndarray:
     """The leading right singular vectors (terms x rank) by randomised
-    subspace iteration.  Items weigh so much that they shape the first axes."""
+    subspace iteration over all passages of the texts, each of the weight
+    ``share``.  Items weigh so much that they shape the first axes."""
     rng = np.random.default_rng(seed)
     width = min(rank + EXTRA, n_terms)
     q, _ = np.linalg.qr(rng.standard_normal((n_terms, width)).astype(np.float32))
-    weights = [10.0] * len(items)
+    terms, item = np.concatenate(items), np.repeat(np.arange(len(items)), [len(t) for t in items])
+
+    def product(q):
+        return (share * _corpus_product(texts, idf, row, q) + 100.0 * _product(terms, item, idf, row, q)).astype(np.float32)
     for _ in range(rounds):
-        y = _sampled_product(sample, idf, row, q) + _product(items, weights, idf, row, q)
-        q, _ = np.linalg.qr(y)
+        q, _ = np.linalg.qr(product(q))
         q = np.ascontiguousarray(q, np.float32)
-    y = _sampled_product(sample, idf, row, q) + _product(items, weights, idf, row, q)
+    y = product(q)
     values, vectors = np.linalg.eigh(q.T.astype(np.float64) @ y)
     return (q @ vectors[:, ::-1][:, :rank].astype(np.float32)).astype(np.float32)
 
@@ -246,9 +302,8 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
     df, n = document_frequencies(small_batches(docs), text_col)
     plain = np.log((n + 1) / (df + 1)).astype(np.float32)
     frequent = df > max(max_df * n, 20)
-    part = F.pmod(F.xxhash64(F.col(text_col), F.lit(1)), F.lit(1_000_000))
-    sample = cut_lineage(docs.where(part < int(1_000_000 * min(1.0, SAMPLE / max(1, n))))
-                         .select(F.col(text_col).alias("t")).repartition(4))
+    # a partial product is as large whatever its task reads, so there are as many as cores, not as files
+    texts = docs.select(F.col(text_col).alias("t")).coalesce(max(12, docs.sparkSession.sparkContext.defaultParallelism))
     taken = benchmark.select(F.col(item_col), F.col(item_text)).orderBy(item_col, item_text)
 
     def item_blocks():
@@ -280,7 +335,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
         row = np.full(TERMS, -1, np.int32)
         row[chosen] = np.arange(len(chosen))
         rank = min(RANK, len(chosen))
-        axes = latent_axes(sample, terms, idf, row, len(chosen), rank)
+        axes = latent_axes(texts, min(1.0, CORPUS / max(1, n)), terms, idf, row, len(chosen), rank)
         # terms of no item that hardly bear on the axes are not looked up
         length = np.linalg.norm(axes, axis=1)
         faint = length < 0.02 * np.median(length[:len(own)])

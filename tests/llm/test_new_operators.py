@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from envspark.llm import hashing, periodic_runs, registry, superminhash, vector_codes
+from envspark.llm import decontaminate, hashing, periodic_runs, registry, superminhash, vector_codes
 from envspark.llm.common import table
 from tests.conftest import SF_CHECK, SF_SMALL
 from tests.llm import brute
@@ -308,3 +308,31 @@ def test_remove_lines_tells_rows_of_one_id_apart(spark):
     got = sorted(((r.doc_id, r.text) for r in line_dedup.remove_lines(df, length_col="n_chars", exact_chars=1).collect()), key=str)
     assert got == sorted([rows[0][:2], (2, "second text with a line of its own"), rows[2][:2],
                           (None, "third text, without an id, starts here"), rows[4][:2], (8, ""), (8, ""), (8, None)], key=str)
+
+
+def test_latent_space_is_fitted_on_every_passage(spark):
+    """The product with the TF-IDF matrix takes in every passage of every
+    text, however many texts there are; candidates are judged alike with and
+    without the count of words that stands before the subsequence."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.4, rng.integers(0, 130)) % 900) for _ in range(2600)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame([(i, " ".join(texts[i].split()[:40])) for i in range(60) if len(texts[i]) > 50],
+                                  "item_id long, text string")
+    index = next(decontaminate.build_indexes(df, bench, "doc_id", "text", "item_id", "text", 0.1, 0.5, 0.2))
+    q = rng.standard_normal((int(index.row.max()) + 1, 7)).astype(np.float32)
+    got = decontaminate._corpus_product(df.select(df.text.alias("t")), index.idf, index.row, q)
+    rows = []
+    for t in texts:
+        terms = decontaminate.term_ids(decontaminate.words_of(t))
+        for i in range(0, len(terms), decontaminate.CHUNK * decontaminate.WINDOW):
+            part = terms[i:i + decontaminate.CHUNK * decontaminate.WINDOW]
+            x, line = index.idf[part].astype(float), np.zeros(len(q))
+            keep = index.row[part] >= 0
+            np.add.at(line, index.row[part][keep], x[keep])
+            rows.append(line / max(np.sqrt((x * x).sum()), 1e-12))
+    a = np.array(rows)
+    assert np.allclose(got, a.T @ (a @ q), rtol=1e-3, atol=1e-3 * np.abs(got).max())
+    found = index.search(texts)
+    index.enough = lambda words, begin, doc, at, item: np.ones(len(item), bool)
+    assert index.search(texts) == found and sum(map(len, found)) >= bench.count()
