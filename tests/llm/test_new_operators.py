@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from envspark.llm import decontaminate, hashing, periodic_runs, registry, superminhash, vector_codes
+from envspark.llm import decontaminate, hashing, periodic_runs, quality, registry, superminhash, vector_codes
 from envspark.llm.common import table
 from tests.conftest import SF_CHECK, SF_SMALL
 from tests.llm import brute
@@ -336,3 +336,38 @@ def test_latent_space_is_fitted_on_every_passage(spark):
     found = index.search(texts)
     index.enough = lambda words, begin, doc, at, item: np.ones(len(item), bool)
     assert index.search(texts) == found and sum(map(len, found)) >= bench.count()
+
+
+def test_quality_weights_are_those_of_all_pairs(spark):
+    """Every labelled row and every good-bad pair counts: the weights equal
+    those of Newton steps over all pairs, one by one."""
+    rng = np.random.default_rng(3)
+    n, k = 700, len(quality.NAMES)
+    x = rng.normal(0, 1, (n, k)) * rng.uniform(0.1, 9, k)
+    x[:, 4] = 2.5                                      # a feature that tells nothing
+    y = (x[:, 0] / x[:, 0].std() + x[:, 1] / x[:, 1].std() + rng.normal(0, 1, n) > 0.3).astype(int)
+    df = spark.createDataFrame([(int(a), *map(float, r)) for a, r in zip(y, x)],
+                               "__y int, " + ", ".join(f"{c} double" for c in quality.NAMES)).repartition(4)
+    got = quality.fit_pairs(df)
+    scale = np.where(x.std(0) > 1e-12, x.std(0), 1.0)
+    z = (x - x.mean(0)) / scale
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, k)
+    w = np.zeros(k)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-d @ w))
+        w -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(k), d.T @ (p - 1) / len(d) + 1e-3 * w)
+    assert np.allclose(got.weights, w, atol=1e-3) and np.allclose(got.centre, x.mean(0)) and np.allclose(got.scale, scale)
+    s, at = np.sort(z @ got.weights), int((y == 0).sum())
+    assert math.isclose(got.threshold, (s[at - 1] + s[at]) / 2, abs_tol=1e-9) and math.isclose(got.width, s.std() / 4)
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """No label is left out, however many there are; null ids, other values
+    and the held-out third are."""
+    docs = spark.range(30000).selectExpr("id as doc_id", "concat('a line of words ', id) as text")
+    labels = spark.range(30000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    labels = labels.unionByName(spark.sql("select cast(null as long) as doc_id, 1 as quality union all select 5L, 7"))
+    seen = []
+    monkeypatch.setattr(quality, "fit_pairs", lambda rows, *a: seen.append(rows.count()))
+    quality.fit(docs, labels)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(30000))]
