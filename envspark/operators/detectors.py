@@ -49,27 +49,33 @@ def avg_path_length(n):
 def _grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
     """Arrays (feature, threshold, left, right, size, depth) of one tree."""
     feat, thr, left, right, size, depth = [], [], [], [], [], []
+    columns = X.T.tolist()
 
     def node(idx, d):
         me = len(feat)
         feat.append(-1), thr.append(0.0), left.append(-1), right.append(-1), size.append(len(idx)), depth.append(d)
         if d >= max_depth or len(idx) <= 1:
             return me
-        sub = X[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        cand = np.nonzero(hi > lo)[0]
-        if len(cand) == 0:
+        cand = []
+        for q, column in enumerate(columns):
+            values = [column[i] for i in idx]
+            lo, hi = min(values), max(values)
+            if hi > lo:
+                cand.append((q, lo, hi, values))
+        if not cand:
             return me
-        q = int(rng.choice(cand))
-        p = float(rng.uniform(lo[q], hi[q]))
-        mask = sub[:, q] < p
+        # the numbers that choice and uniform draw, without their checks
+        q, lo, hi, values = cand[rng.integers(0, len(cand))]
+        if math.isinf(hi - lo):
+            raise OverflowError("high - low range exceeds valid bounds")
+        p = lo + (hi - lo) * rng.random()
         feat[me], thr[me] = q, p
-        li = node(idx[mask], d + 1)
-        ri = node(idx[~mask], d + 1)
+        li = node([i for i, v in zip(idx, values) if v < p], d + 1)
+        ri = node([i for i, v in zip(idx, values) if not v < p], d + 1)
         left[me], right[me] = li, ri
         return me
 
-    node(np.arange(len(X)), 0)
+    node(range(len(X)), 0)
     return feat, thr, left, right, size, depth
 
 
@@ -140,6 +146,24 @@ def _forest_scores(X: np.ndarray, trees: list) -> np.ndarray:
     return out
 
 
+def _scores_by_share(df: DataFrame, keys: list, sizes: DataFrame, scored_rows, schema, forest: DataFrame,
+                     parts: Sequence[str]) -> DataFrame:
+    """Rows of large keys scored in shares, each with the trees of its key."""
+    shares = sizes.select(*keys, F.ceil(F.col("__size") / ROWS_PER_SHARE).cast("int").alias("__shares"))
+    rows = (attach(df, shares, keys, "inner")
+            .withColumn("__share", F.pmod(F.xxhash64(*df.columns), F.col("__shares")).cast("int")).drop("__shares"))
+    spread = (attach(forest, shares, keys, "inner")
+              .withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__shares"))
+    names = [f.name for f in schema.fields]
+
+    def work(pdf: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=names)
+        grown = grown.sort_values("tree")
+        return scored_rows(pdf, list(zip(*[grown[p] for p in parts])))
+    return rows.groupBy(*keys, "__share").cogroup(spread.groupBy(*keys, "__share")).applyInPandas(work, schema)
+
+
 def isolation_forest(df: DataFrame, cols: Sequence[str], contamination="auto", n_trees: int = 100,
                      psi: int = 256, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """Adds ``score`` (2^(-E[h]/c(psi)), higher = more anomalous) and
@@ -149,7 +173,6 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], contamination="auto", n
     threshold are those of the row's key alone."""
     ship_package(df.sparkSession)
     cols, keys = list(cols), list(keys)
-    forest = cut_lineage(fit_isolation_forest(df, cols, n_trees, psi, seed, keys))
     parts = ("feature", "threshold", "left", "right", "size", "depth")
     schema = T.StructType(df.schema.fields + [T.StructField("score", T.DoubleType())])
 
@@ -159,6 +182,7 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], contamination="auto", n
         return pdf
     df_columns = df.columns
     if not keys:
+        forest = cut_lineage(fit_isolation_forest(df, cols, n_trees, psi, seed))
         trees = [tuple(r[p] for p in parts) for r in forest.orderBy("tree").collect()]      # n_trees small trees
 
         def scorer(it):
@@ -166,18 +190,22 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], contamination="auto", n
                 yield scored_rows(pdf, trees)
         scored = df.mapInPandas(scorer, schema)
     else:
-        shares = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SHARE).cast("int").alias("__shares"))
-        rows = (attach(df, shares, keys, "inner")
-                .withColumn("__share", F.pmod(F.xxhash64(*df.columns), F.col("__shares")).cast("int")).drop("__shares"))
-        spread = (attach(forest, shares, keys, "inner")
-                  .withColumn("__share", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1))).drop("__shares"))
-
-        def work(pdf: pd.DataFrame, grown: pd.DataFrame) -> pd.DataFrame:
-            if not len(pdf):
-                return pd.DataFrame(columns=[*df_columns, "score"])
-            grown = grown.sort_values("tree")
-            return scored_rows(pdf, list(zip(*[grown[p] for p in parts])))
-        scored = (rows.groupBy(*keys, "__share").cogroup(spread.groupBy(*keys, "__share")).applyInPandas(work, schema))
+        # a key of up to psi rows is the sample of each of its trees: they are grown and used where its rows are
+        sizes = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")))
+
+        def grown_here(pdf: pd.DataFrame) -> pd.DataFrame:
+            X = pdf[cols].to_numpy(dtype=float, na_value=np.nan)
+            X = X[~np.isnan(X).any(axis=1)]
+            max_depth = int(math.ceil(math.log2(max(len(X), 2))))
+            trees = [_grow_tree(X, np.random.default_rng(seed + t), max_depth) for t in range(n_trees)] if len(X) else []
+            return scored_rows(pdf, trees)
+        small, large = F.col("__size") <= psi, F.col("__size") > psi
+        scored = (attach(df, sizes.where(small), keys, "inner").drop("__size")
+                  .groupBy(*keys).applyInPandas(grown_here, schema))
+        if not sizes.where(large).isEmpty():
+            rest = attach(df, sizes.where(large), keys, "inner").drop("__size")
+            scored = scored.unionByName(_scores_by_share(rest, keys, sizes.where(large), scored_rows, schema, cut_lineage(
+                fit_isolation_forest(rest, cols, n_trees, psi, seed, keys)), parts))
     if contamination == "auto":
         return scored.withColumn("anomaly", F.coalesce(F.col("score") > 0.5, F.lit(False)))
     c = float(contamination)

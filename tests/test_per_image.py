@@ -82,3 +82,21 @@ def test_reconstruction_matches_numpy(spark):
     v = np.linalg.svd(x, full_matrices=False)[2][:2]
     mse = ((x - x @ v.T @ v) ** 2).mean(1)
     assert np.allclose(p.score, (mse - mse.min()) / (mse.max() - mse.min() + 1e-10), atol=1e-8)
+
+
+def test_forest_of_small_images_is_grown_where_their_rows_are(spark, monkeypatch):
+    """Images of up to psi rows need no copies of rows per tree; scores are
+    those of the trees of ``fit_isolation_forest``."""
+    rows = [r for i in range(6) for r in _image(i, 1.0 + i, 7)] + [r for r in _image(None, 2.0, 7)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cols = ["a", "b", "c"]
+    trees = detectors.fit_isolation_forest(df, cols, 12, 64, keys=["image_id"]).toPandas()
+    monkeypatch.setattr(detectors, "fit_isolation_forest", None)        # not called
+    got = detectors.isolation_forest(df, cols, n_trees=12, psi=64, keys=["image_id"]).toPandas()
+    assert len(got) == len(rows)
+    for image, mine in got.groupby("image_id", dropna=False):
+        grown = trees[trees.image_id.isna() if image != image else trees.image_id == image].sort_values("tree")
+        want = detectors._forest_scores(mine[cols].to_numpy(float), list(zip(*[
+            grown[p] for p in ("feature", "threshold", "left", "right", "size", "depth")])))
+        assert len(grown) == 12 and np.array_equal(mine.score.to_numpy(float), want, equal_nan=True)
+        assert mine.score.isna().sum() == 1
