@@ -201,7 +201,8 @@ class Index:
             by_word = np.argsort(word, kind="stable")
             back = np.arange(len(mine)) - holds[word[by_word]]
             before = np.full(len(mine), -1)
-            before[by_word] = np.where((back >= 0) & (word[by_word[back]] == word[by_word]), by_word[back], -1)
+            earlier = by_word[np.maximum(back, 0)]       # an item may hold a word more often than the rows at hand
+            before[by_word] = np.where((back >= 0) & (word[earlier] == word[by_word]), earlier, -1)
             nth = np.repeat(np.arange(len(some)), b - a)
             at_word = np.arange(len(nth)) + np.repeat(a - np.r_[0, np.cumsum(b - a)][:-1], b - a)
             count = np.bincount(nth, before[at_word] < a[nth], len(some))

@@ -358,6 +358,16 @@ def test_decontamination_of_an_item_with_many_words(spark):
     assert all((i.row[decontaminate.term_ids(w)] >= 0).all() for i in index for w in i.words)
 
 
+def test_decontamination_of_an_item_that_repeats_a_word(spark):
+    """An item may hold a word more often than all texts of a batch."""
+    bench = spark.createDataFrame([(0, "echo " * 9 + "alpha beta")], "item_id long, text string")
+    df = docs_of(spark, ["echo alpha beta", "echo " * 9 + "alpha beta", "alpha"], 0)
+    index, = decontaminate.build_indexes(df, bench, "doc_id", "text", "item_id", "text", 0.1, 0.6, 0.4)
+    assert [[h[0] for h in hits] for text in ("echo alpha beta", "echo " * 9 + "alpha beta", "alpha")
+            for hits in index.search([text])] == [[], [0], []]
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()] == [(1, 0)]
+
+
 def test_html(spark):
     menu = "<nav><a>Home</a><a>News</a></nav>"
     pages = [
