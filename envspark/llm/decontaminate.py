@@ -304,7 +304,7 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col:
     plain = np.log((n + 1) / (df + 1)).astype(np.float32)
     frequent = df > max(max_df * n, 20)
     # a partial product is as large whatever its task reads, so there are as many as cores, not as files
-    texts = docs.select(F.col(text_col).alias("t")).coalesce(max(12, docs.sparkSession.sparkContext.defaultParallelism))
+    texts = docs.select(F.col(text_col).alias("t")).coalesce(max(6, docs.sparkSession.sparkContext.defaultParallelism))
     taken = benchmark.select(F.col(item_col), F.col(item_text)).orderBy(item_col, item_text)
 
     def item_blocks():
