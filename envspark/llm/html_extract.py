@@ -36,6 +36,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -235,8 +236,27 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                         parts.append([text])
                         numbers.append(n)
                     n += 1
-                rows.append((page, url, _page_key(_host(url), found), ["\n".join(p) for p in parts], numbers))
-            frame = pd.DataFrame(rows, columns=["__id", "__url", "key", "parts", "numbers"])
+                parts = ["\n".join(p) for p in parts]
+                text = "\n".join(parts).encode()
+                rows.append((page, url, _page_key(_host(url), found), len(text), pa.compress(text, "zstd", asbytes=True),
+                             [len(p) for p in parts], numbers))
+            frame = pd.DataFrame(rows, columns=["__id", "__url", "key", "bytes", "packed", "sizes", "numbers"])
+            frame["__id"] = frame["__id"].astype("Int64")
+            yield frame
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts, repeated = [], []
+            for size, packed, sizes, numbers, boiler in zip(*(pdf[c] for c in ("bytes", "packed", "sizes", "numbers", "boiler"))):
+                text = pa.decompress(packed, size, "zstd", asbytes=True).decode()
+                gone, at, parts = set() if boiler is None else set(boiler), 0, []
+                for n, number in zip(sizes, numbers):
+                    if number not in gone:
+                        parts.append(text[at:at + n])
+                    at += n + 1
+                texts.append("\n".join(parts))
+                repeated.append(len(gone))
+            frame = pdf[["__id", "__url"]].assign(text=texts, n_repeated=repeated)
             frame["__id"] = frame["__id"].astype("Int64")
             yield frame
 
@@ -274,11 +294,10 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     lambda a: a["n"]))
                 .where(F.col("covered") >= covered_share * F.col("n_tokens"))
                 .groupBy("page").agg(F.collect_set("block").alias("boiler")))
-    none = F.array().cast("array<int>")
-    kept = F.filter(F.arrays_zip("parts", "numbers"), lambda b: ~F.array_contains(F.coalesce("boiler", none), b["numbers"]))
-    text = F.array_join(kept["parts"], "\n")
-    return (src.mapInPandas(read, "__id long, __url string, key long, parts array<string>, numbers array<int>")
+    # texts travel compressed: they are most of what the join moves
+    return (src.mapInPandas(read, "__id long, __url string, key long, bytes long, packed binary, sizes array<int>, numbers array<int>")
             .join(repeated, F.col("key") == F.col("page"), "left")
-            .select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), text.alias("text"),
-                    F.length(text).cast("long").alias("n_chars"),
-                    F.when(F.col("boiler").isNull(), 0).otherwise(F.size("boiler")).cast("long").alias("n_repeated")))
+            .select("__id", "__url", "bytes", "packed", "sizes", "numbers", "boiler")
+            .mapInPandas(kept, "__id long, __url string, text string, n_repeated long")
+            .select(F.col("__id").alias(id_col), F.col("__url").alias(url_col), "text",
+                    F.length("text").cast("long").alias("n_chars"), "n_repeated"))

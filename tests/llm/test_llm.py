@@ -421,6 +421,16 @@ def test_html_copies_hints_and_odd_rows(spark):
     assert html_extract.extract_main(pages_of(spark, rows).limit(0)).count() == 0
 
 
+def test_html_moves_texts_compressed(spark):
+    """The join with the repeated blocks moves far less than the texts."""
+    said = " ".join(f"word{i % 50}" for i in range(20_000))
+    rows = [(i, f"http://h.example/{i}", f"<main><p>{i} {said}</p><p>\u00e9 \U0001f642</p></main><p>All the same words on each page</p>") for i in range(6)]
+    found = html_extract.extract_main(pages_of(spark, rows))
+    assert {r.page_id: (r.text, r.n_repeated) for r in found.collect()} == {
+        i: (f"{i} {said}\n\u00e9 \U0001f642", 1) for i in range(6)}
+    assert "packed" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_html_against_brute_force(spark):
     rng = random.Random(5)
     shared = [" ".join(rng.choice("ab cd ef gh".split()) for _ in range(rng.randint(2, 9))) for _ in range(12)]
