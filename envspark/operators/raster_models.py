@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from envspark.operators import blocks, detectors, models
 from envspark.operators.common import join_on
 from envspark.operators.raster import gaussian_blur5
-from envspark.session import cut_lineage
+from envspark.session import cut_lineage, stored
 
 IMG = "image_id"
 
@@ -47,6 +47,9 @@ def pixel_anomaly(pixels_wide: DataFrame, bands: Sequence[str], method: str = "i
     return gaussian_blur5(amap)
 
 
+REACH = 2       # cell coordinates by which rows are dealt out; distances decide over the others
+
+
 def _offsets(d: int):
     """All steps to a cell and its neighbours in ``d`` dimensions."""
     return F.array(*[F.array(*[F.lit(o) for o in step]) for step in itertools.product((-1, 0, 1), repeat=d)])
@@ -77,23 +80,23 @@ def separate_modes(seeds: DataFrame, dims: int, bandwidth: float, tol: float = 1
     fine = [F.floor(F.col(y) / (tol * bandwidth)).alias(f"__f{i}") for i, y in enumerate(ys)]
     left = (seeds.groupBy(*keys, *fine).agg(F.min(best).alias("m"))
             .select(*keys, "m", *[F.floor(F.col("m")[y] / bandwidth).cast("long").alias(c) for y, c in zip(ys, cell)]))
-    left = cut_lineage(left)
+    left = stored(left)
     found = left.limit(0)
     dist2 = sum((F.col("m")[y] - F.col("__top")[y]) ** 2 for y in ys)
 
     def within_reach(tops: DataFrame) -> DataFrame:
-        return join_on(left, _steps_to(tops.withColumnRenamed("m", "__top"), cell), [*keys, *cell],
-                       "inner").where(dist2 < bandwidth * bandwidth)
+        steps = _steps_to(tops.withColumnRenamed("m", "__top").drop(*cell[REACH:]), cell[:REACH])
+        return join_on(left, steps, [*keys, *cell[:REACH]], "inner").where(dist2 < bandwidth * bandwidth)
 
     while not left.isEmpty():
         # a seed always meets its own row, so every top has a nearest best
         tops = left.groupBy(*keys, *cell).agg(F.min("m").alias("m"))
         best_near = within_reach(tops).groupBy(*keys, "__top").agg(F.min("m").alias("m"))
-        modes = cut_lineage(best_near.where(F.col("m") == F.col("__top")).select(*keys, "m", *[
+        modes = stored(best_near.where(F.col("m") == F.col("__top")).select(*keys, "m", *[
             F.floor(F.col("m")[y] / bandwidth).cast("long").alias(c) for y, c in zip(ys, cell)]))
         found = found.unionByName(modes)
         gone = within_reach(modes).select(*keys, "m", F.lit(True).alias("__gone")).distinct()
-        left = cut_lineage(join_on(left, gone, [*keys, "m"]).where(F.col("__gone").isNull()).drop("__gone"))
+        left = stored(join_on(left, gone, [*keys, "m"]).where(F.col("__gone").isNull()).drop("__gone"))
     return found.select(*keys, (-F.col("m")["w"]).alias("strength"), *[F.col("m")[y].alias(y) for y in ys])
 
 
@@ -105,7 +108,7 @@ def _nearest_modes(cells: DataFrame, modes: DataFrame, dims: int, bandwidth: flo
     are looked for in neighbouring cells of 2, 4, 8 .. bandwidths until that
     bound lies within the width, so none further away can count."""
     keys, ys = list(keys), [f"y{i}" for i in range(dims)]
-    cell, big = [f"k{i}" for i in range(dims)], [f"g{i}" for i in range(dims)]
+    cell, big = [f"k{i}" for i in range(dims)], [f"g{i}" for i in range(min(dims, REACH))]
     low = [F.col(c) * bandwidth for c in cell]
     least = sum(F.greatest(lo - F.col(y), F.col(y) - (lo + bandwidth), F.lit(0.0)) ** 2 for lo, y in zip(low, ys))
     most = sum(F.greatest(F.abs(F.col(y) - lo), F.abs(F.col(y) - (lo + bandwidth))) ** 2 for lo, y in zip(low, ys))
@@ -123,10 +126,10 @@ def _nearest_modes(cells: DataFrame, modes: DataFrame, dims: int, bandwidth: flo
         # a hair of slack, so that rounding of a distance loses no mode
         near = (join_on(met, bound, [*keys, *cell], "inner").where(F.col("__least") <= F.col("__bound") * (1 + 1e-9))
                 .groupBy(*keys, *cell).agg(F.array_sort(F.collect_list(entry)).alias("near")))
-        near = cut_lineage(near)
+        near = stored(near)
         out = near if out is None else out.unionByName(near)
         done = near.select(*keys, *cell, F.lit(True).alias("__done"))
-        todo = cut_lineage(join_on(todo, done, [*keys, *cell]).where(F.col("__done").isNull()).drop("__done"))
+        todo = stored(join_on(todo, done, [*keys, *cell]).where(F.col("__done").isNull()).drop("__done"))
     if out is None:      # no cells
         kind = ",".join(f"{y}:double" for y in ys)
         return cells.withColumn("near", F.array().cast(f"array<struct<segment:int,{kind}>>"))
@@ -150,27 +153,32 @@ def segment_meanshift(pixels_wide: DataFrame, bands: Sequence[str], bandwidth: f
     for b in bands:
         whole = whole & F.coalesce(F.abs(F.col(b).cast("double")) < float("inf"), F.lit(False))
     place = [F.floor(F.col(b) / bandwidth).cast("long").alias(c) for b, c in zip(bands, cell)]
-    cells = cut_lineage(pixels_wide.where(whole).groupBy(*keys, *place)
+    cells = stored(pixels_wide.where(whole).groupBy(*keys, *place)
                         .agg(F.count(F.lit(1)).alias("w"), *[F.avg(b).alias(f"x{i}") for i, b in enumerate(bands)]))
     seeds = cells.select(*keys, F.monotonically_increasing_id().alias("sid"), F.col("w").cast("double").alias("strength"),
                          *[F.col(f"x{i}").alias(y) for i, y in enumerate(ys)])
     gap2 = sum((F.col(f"x{i}") - F.col(y)) ** 2 for i, y in enumerate(ys))
+    moving, still = seeds, None
     for _ in range(max_iter):
-        probe = _steps_to(seeds.select(*keys, "sid", *ys, *[
-            F.floor(F.col(y) / bandwidth).cast("long").alias(c) for y, c in zip(ys, cell)]), cell)
-        near = join_on(probe, cells, [*keys, *cell], "inner").where(gap2 <= bandwidth * bandwidth)
+        probe = _steps_to(moving.select(*keys, "sid", *ys, *[
+            F.floor(F.col(y) / bandwidth).cast("long").alias(c) for y, c in zip(ys, cell[:REACH])]), cell[:REACH])
+        near = join_on(probe, cells, [*keys, *cell[:REACH]], "inner").where(gap2 <= bandwidth * bandwidth)
         moved = near.groupBy(*keys, "sid", *ys).agg(
             *[(F.sum(F.col(f"x{i}") * F.col("w")) / F.sum("w")).alias(f"n{i}") for i in range(d)],
             F.sum("w").cast("double").alias("strength"))
         step = F.sqrt(sum((F.col(f"n{i}") - F.col(y)) ** 2 for i, y in enumerate(ys)))
-        moved = cut_lineage(moved.select(*keys, "sid", "strength", step.alias("__step"),
+        moved = stored(moved.select(*keys, "sid", "strength", step.alias("__step"),
                                          *[F.col(f"n{i}").alias(y) for i, y in enumerate(ys)]))
-        seeds = moved.drop("__step")
+        # a seed that came back to its own place has the same cells around it from now on
+        rest = moved.where("__step = 0").drop("__step")
+        still = rest if still is None else still.unionByName(rest)
+        moving = moved.where("__step > 0").drop("__step")
         if (moved.agg(F.max("__step").alias("s")).first()["s"] or 0.0) < tol * bandwidth:
             break
+    seeds = moving if still is None else still.unionByName(moving)
     modes = separate_modes(seeds, d, bandwidth, tol, keys).withColumn("__weak", -F.col("strength"))
     order = ["__weak", *ys]
-    modes = cut_lineage(blocks.with_index(blocks.ranges(modes, keys, order), keys, order, "segment")
+    modes = stored(blocks.with_index(blocks.ranges(modes, keys, order), keys, order, "segment")
                         .select(*keys, F.col("segment").cast("int").alias("segment"), *ys))
     near = _nearest_modes(cells.select(*keys, *cell), modes, d, bandwidth, keys)
     placed = join_on(pixels_wide.where(whole).select("*", *place), near, [*keys, *cell], "inner")

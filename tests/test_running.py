@@ -162,6 +162,17 @@ def test_meanshift_per_image_equals_numpy(spark):
         assert set(mine.segment) <= set(range(len(modes)))
 
 
+def test_meanshift_deals_rows_by_two_coordinates(spark, monkeypatch):
+    """Seeds, tops and modes go to nine cells, however many bands there are."""
+    steps, dealt = raster_models._steps_to, []
+    monkeypatch.setattr(raster_models, "_steps_to", lambda df, cell: dealt.append(len(cell)) or steps(df, cell))
+    rows = [(1, 0, i, *[float(10 * (i % 2) + 0.01 * (i // 2 + b)) for b in range(4)]) for i in range(8)]
+    df = spark.createDataFrame(rows, "image_id long, row long, col long, a double, b double, c double, d double")
+    out = raster_models.segment_meanshift(df, ["a", "b", "c", "d"], bandwidth=0.5)
+    assert [r.segment for r in out.orderBy("col").collect()] in ([0, 1] * 4, [1, 0] * 4)
+    assert dealt and max(dealt) == 2
+
+
 def test_meanshift_without_pixels(spark):
     df = spark.createDataFrame([], "image_id long, row long, col long, a double")
     assert raster_models.segment_meanshift(df, ["a"]).count() == 0
