@@ -102,6 +102,12 @@ def test_isolation_forest_finds_planted_outliers(spark):
     assert set(top) == set(range(10))
 
 
+def test_cosine_of_the_svm_features():
+    x = np.r_[np.random.default_rng(3).normal(0, 20, 20_000), np.linspace(-1e5, 1e5, 4001), 0.0, np.nan]
+    got = detectors._cosine(x.copy())
+    assert np.isnan(got[-1]) and np.abs(got[:-1] - np.cos(x[:-1])).max() < 1e-15
+
+
 def test_one_class_svm_flag_share(spark):
     X = RNG.normal(0, 1, (1500, 2))
     X[:5] = [[7, 7], [-7, 7], [7, -7], [-7, -7], [9, 0]]
