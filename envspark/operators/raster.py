@@ -141,6 +141,40 @@ def gaussian_blur5(pixels: DataFrame, value: str = "value") -> DataFrame:
     return _blur_pass(_blur_pass(pixels, "col", "row", value), "row", "col", value)
 
 
+# Pixels of a block's side, rows a task is dealt, and the
+# occupied bins of a tile up to which they are looked up one by one.
+BLOCK, TASK_PIXELS, DENSE = 256, 400_000, 32
+BLK = [IMG, "band", "__br", "__bc"]
+
+
+def _dealt(pixels: DataFrame, halo: int = 0) -> tuple[DataFrame, int]:
+    """Pixels dealt by block of their image band (``__br``, ``__bc``), with
+    copies for blocks less than ``halo`` pixels away, and the number of
+    partitions.  That number follows the pixels, so a task holds about
+    ``TASK_PIXELS`` of them however large the table is; a block is at most
+    ``BLOCK`` x ``BLOCK`` pixels, whatever the size of the image."""
+    rows = pixels.select(*PIX, "value").where(F.col(IMG).isNotNull() & F.col("band").isNotNull())
+    parts = max(pixels.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_PIXELS))
+    for axis, name in (("row", "__br"), ("col", "__bc")):
+        own = F.floor(F.col(axis) / BLOCK)
+        if halo:
+            own = F.explode(F.array_distinct(F.array(
+                own, F.floor(F.greatest(F.col(axis) - halo, F.lit(0)) / BLOCK), F.floor((F.col(axis) + halo) / BLOCK))))
+        rows = rows.withColumn(name, F.coalesce(own, F.lit(-1)) if not halo else own)
+    return rows.repartition(parts, *BLK), parts
+
+
+def _block_stats(dealt: DataFrame) -> DataFrame:
+    """One row per block with range (``__lo``, ``__hi``) and size (``__H``,
+    ``__W``) of its whole image band."""
+    block = dealt.groupBy(*BLK).agg(F.min("value").alias("__lo"), F.max("value").alias("__hi"),
+                                    F.max("row").alias("__r"), F.max("col").alias("__c"))
+    image = block.groupBy(IMG, "band").agg(
+        F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"),
+        (F.max("__r") + 1).cast("int").alias("__H"), (F.max("__c") + 1).cast("int").alias("__W"))
+    return block.select(*BLK).join(image, [IMG, "band"])
+
+
 def median_filter3(pixels: DataFrame) -> DataFrame:
     """3x3 median per band with replicated borders.  Each pixel gathers
     its nine clamped neighbours through an equi-join on (image, band, row,
@@ -209,8 +243,10 @@ def to_uint8(pixels: DataFrame) -> DataFrame:
     return j.select(*[c for c in pixels.columns if c != "value"], u.cast("int").alias("value"))
 
 
-def _reflect(i: Column, n: Column) -> Column:
-    return F.when(i < n, i).otherwise(2 * (n - 1) - i)
+def _mirrored(i: Column, n: Column, padded: Column) -> Column:
+    """Places of pixel ``i`` in an axis padded by reflection (101) from ``n`` to ``padded``."""
+    m = 2 * (n - 1) - i
+    return F.when((m >= n) & (m < padded), F.array(i, m)).otherwise(F.array(i))
 
 
 def tile_equalise(pixels: DataFrame, clip_limit: float = 0.03, tiles: int = 8) -> DataFrame:
@@ -224,85 +260,75 @@ def tile_equalise(pixels: DataFrame, clip_limit: float = 0.03, tiles: int = 8) -
     4. the cumulative histogram scaled by 255 / area is the tile LUT;
     5. every pixel blends the LUTs of its four nearest tile centres
        bilinearly; result / 255.
-    Only the LUT entries some pixel needs are computed: the clipped
-    cumulative count at bin v is a running sum over the *occupied* bins of
-    the tile plus closed-form terms for the spread excess, so the work is
-    proportional to the pixels, not to tiles x 256 bins.  Step 5 is one
-    equi-join of four candidate rows per pixel with that LUT table."""
-    # one aggregate per image band: value range (for the byte scaling) and
-    # size (for tiles and padding), carried on every pixel by one join
-    st = pixels.groupBy(IMG, "band").agg(
-        F.min("value").alias("__lo"), F.max("value").alias("__hi"),
-        (F.max("row") + 1).cast("int").alias("__H"), (F.max("col") + 1).cast("int").alias("__W"))
-    st = st.select("*", (F.ceil(F.col("__H") / tiles) * tiles).cast("int").alias("__Hp"),
-                   (F.ceil(F.col("__W") / tiles) * tiles).cast("int").alias("__Wp"))
-    st = st.select("*", (F.col("__Hp") / tiles).cast("int").alias("__th"),
-                   (F.col("__Wp") / tiles).cast("int").alias("__tw"))
+    A tile keeps its occupied bins (all 256 LUT entries where many are
+    occupied), so the tables follow the pixels, not tiles x 256 bins.  Pixels
+    stay one row each: they are dealt once by block (``_dealt``), and the tiles
+    of their image (at most ``tiles`` x ``tiles`` x 256 entries) meet them there."""
+    dealt, parts = _dealt(pixels)
+    # one row per block with the value range (for the byte scaling) and the
+    # size (for tiles and padding) of its image band
+    st = _block_stats(dealt)
+    st = st.select("*", F.ceil(F.col("__H") / tiles).cast("int").alias("__th"),
+                   F.ceil(F.col("__W") / tiles).cast("int").alias("__tw"))
     lo, hi, v = F.col("__lo"), F.col("__hi"), F.col("value")
     byte = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * 255)).otherwise(
-        F.pmod(F.floor(v).cast("bigint"), F.lit(256))).cast("int")
-    u8 = pixels.join(st, [IMG, "band"]).select(*PIX, byte.alias("value"), "__H", "__W", "__th", "__tw")
-
-    # padded image: only the pad strips are generated (rows below the image,
-    # columns right of it); each padded position reads its reflect-101 source
-    def span(a, b):
-        return F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
-    strips = F.concat(
-        F.transform(span(F.col("__H"), F.col("__Hp")), lambda r: F.struct(r.alias("r"), F.lit(True).alias("all"))),
-        F.transform(span(F.lit(0), F.col("__H")), lambda r: F.struct(r.alias("r"), F.lit(False).alias("all"))))
-    pad = st.select(IMG, "band", "__H", "__W", "__th", "__tw", "__Wp", F.explode(strips).alias("s"))
-    pad = pad.select("*", F.col("s.r").alias("prow"), F.explode(
-        F.when(F.col("s.all"), span(F.lit(0), F.col("__Wp"))).otherwise(span(F.col("__W"), F.col("__Wp"))))
-        .alias("pcol"))
-    pad = pad.select(IMG, "band", "prow", "pcol",
-                     _reflect(F.col("prow"), F.col("__H")).alias("row"), _reflect(F.col("pcol"), F.col("__W")).alias("col"))
-    padded = (u8.select(IMG, "band", "__th", "__tw", F.col("row").alias("prow"), F.col("col").alias("pcol"), "value")
-              .unionByName(pad.join(u8, [IMG, "band", "row", "col"]).select(
-                  IMG, "band", "__th", "__tw", "prow", "pcol", "value")))
-    tiled = padded.select(IMG, "band", "__th", "__tw", (F.col("prow") / F.col("__th")).cast("int").alias("ty"),
-                          (F.col("pcol") / F.col("__tw")).cast("int").alias("tx"), "value")
-    tk = [IMG, "band", "ty", "tx"]
-    area = F.col("__th") * F.col("__tw")
-    lim = (F.greatest((F.lit(clip_limit) * area / 256).cast("int"), F.lit(1)) if clip_limit > 0
+        F.pmod(F.floor(v).cast("bigint"), F.lit(256))).cast("int").alias("value")
+    size = ["__H", "__W", "__th", "__tw"]
+    tiled = (dealt.join(st, BLK).select(*BLK, "row", "col", byte, *size)
+             .select(*BLK, "col", "value", *size, F.explode(
+                 _mirrored(F.col("row"), F.col("__H"), F.col("__th") * tiles)).alias("prow"))
+             .select(*BLK, "value", *size, "prow", F.explode(
+                 _mirrored(F.col("col"), F.col("__W"), F.col("__tw") * tiles)).alias("pcol"))
+             .where(F.col("prow").isNotNull() & F.col("pcol").isNotNull())
+             .select(*BLK, ((F.col("prow") / F.col("__th")).cast("int") * tiles
+                            + (F.col("pcol") / F.col("__tw")).cast("int")).alias("tile"),
+                     (F.col("__th") * F.col("__tw")).alias("area"), F.coalesce("value", F.lit(-1)).alias("bin")))
+    lim = (F.greatest((F.lit(clip_limit) * F.col("area") / 256).cast("int"), F.lit(1)) if clip_limit > 0
            else F.lit(2 ** 62))
-    hist = (tiled.groupBy(*tk, "__th", "__tw", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("h"))
-            .withColumn("__lim", lim))
-    # per tile: clipped excess -> evenly spread batch + remainder on every step-th bin
-    consts = hist.groupBy(*tk, "__th", "__tw").agg(
-        F.sum(F.greatest(F.col("h") - F.col("__lim"), F.lit(0))).alias("__ex"))
-    consts = consts.select(*tk, "__th", "__tw", (F.col("__ex") / 256).cast("long").alias("__batch"),
-                           (F.col("__ex") - (F.col("__ex") / 256).cast("long") * 256).alias("__res"))
-    consts = consts.withColumn("__step", F.greatest(
-        (F.lit(256) / F.when(F.col("__res") > 0, F.col("__res")).otherwise(1)).cast("long"), F.lit(1)))
+    hist = (tiled.groupBy(*BLK, "tile", "area", "bin").agg(F.count(F.lit(1)).alias("h"))
+            .repartition(parts, IMG, "band")
+            .groupBy(IMG, "band", "tile", "area", "bin").agg(F.sum("h").alias("h"))
+            .withColumn("__c", F.least(F.col("h"), lim)))
+    # per tile: clipped excess -> evenly spread batch + remainder on every step-th
+    # bin; an occupied bin and its clipped count are one number
+    tile = hist.groupBy(IMG, "band", "tile", "area").agg(
+        F.sum(F.col("h") - F.col("__c")).alias("__ex"),
+        F.collect_list(F.col("__c") * 512 + F.col("bin") + 1).alias("bins"))
+    tile = tile.select(IMG, "band", "tile", "area", "bins", (F.col("__ex") / 256).cast("long").alias("batch"),
+                       (F.col("__ex") - (F.col("__ex") / 256).cast("long") * 256).alias("res"))
+
+    def entry(at, bins, batch, res, area):
+        # the clipped cumulative histogram at a bin = counts of occupied bins
+        # up to it + (bin + 1) * batch + number of remainder bins up to it
+        cum = F.aggregate(bins, F.lit(0).cast("long"), lambda n, e: n + F.when(
+            e.bitwiseAND(511) - 1 <= at, F.shiftright(e, 9)).otherwise(F.lit(0).cast("long")))
+        step = F.greatest((F.lit(256) / F.when(res > 0, res).otherwise(1)).cast("long"), F.lit(1))
+        nres = F.when(res > 0, F.least(res, F.floor(at / step) + 1)).otherwise(F.lit(0))
+        total = cum + (at + 1) * batch + nres
+        return F.least(F.greatest(F.bround(total * (F.lit(255.0) / area), 0), F.lit(0.0)), F.lit(255.0))
+    tile = tile.withColumn("lut", F.when(F.size("bins") > DENSE, F.transform(
+        F.sequence(F.lit(0), F.lit(255)), lambda i: entry(i, F.col("bins"), F.col("batch"), F.col("res"), F.col("area")))))
+    luts = tile.groupBy(IMG, "band").agg(F.map_from_entries(F.collect_list(F.struct("tile", F.struct(
+        F.when(F.col("lut").isNull(), F.col("bins")).alias("bins"), "batch", "res", "lut")))).alias("__luts"))
     # bilinear blend: each pixel reads the LUT of its four nearest tile centres
-    t = u8
-    txf = F.col("col") / F.col("__tw") - 0.5
-    tyf = F.col("row") / F.col("__th") - 0.5
-    t = t.select(*PIX, "value", F.floor(txf).alias("__tx1"), F.floor(tyf).alias("__ty1"),
-                 (txf - F.floor(txf)).alias("__xa"), (tyf - F.floor(tyf)).alias("__ya"))
-    last = tiles - 1
-    corners = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1)])
-    t = t.select("*", F.explode(corners).alias("k"))
-    ty = F.least(F.greatest(F.col("__ty1") + F.col("k.dy"), F.lit(0)), F.lit(last))
-    tx = F.least(F.greatest(F.col("__tx1") + F.col("k.dx"), F.lit(0)), F.lit(last))
-    wgt = (F.when(F.col("k.dx") == 1, F.col("__xa")).otherwise(1 - F.col("__xa"))
-           * F.when(F.col("k.dy") == 1, F.col("__ya")).otherwise(1 - F.col("__ya")))
-    t = t.select(*PIX, ty.cast("int").alias("ty"), tx.cast("int").alias("tx"), F.col("value").alias("bin"),
-                 wgt.alias("__w"))
-    # only the LUT entries some pixel needs: the clipped cumulative histogram
-    # at bin v = running sum of min(h, limit) over occupied bins <= v
-    # + (v + 1) * batch + number of remainder bins <= v
-    need = t.select(*tk, "bin").distinct().select(*tk, "bin", F.lit(1).alias("__kind"), F.lit(0).alias("__c"))
-    occ = hist.select(*tk, "bin", F.lit(0).alias("__kind"), F.least(F.col("h"), F.col("__lim")).alias("__c"))
-    run = Window.partitionBy(*tk).orderBy("bin", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (occ.unionByName(need).withColumn("__cum", F.sum("__c").over(run)).where(F.col("__kind") == 1)
-           .join(consts, tk))
-    nres = F.when(F.col("__res") > 0, F.least(F.col("__res"), F.floor(F.col("bin") / F.col("__step")) + 1)) \
-        .otherwise(F.lit(0))
-    total = F.col("__cum") + (F.col("bin") + 1) * F.col("__batch") + nres
-    lut = cum.select(*tk, "bin", F.least(F.greatest(F.bround(total * (F.lit(255.0) / area), 0), F.lit(0.0)),
-                                         F.lit(255.0)).alias("lut"))
-    blended = t.join(lut, [*tk, "bin"]).groupBy(*PIX).agg(F.sum(F.col("__w") * F.col("lut")).alias("__v"))
+    met = dealt.join(st.repartition(parts, IMG, "band").join(luts, [IMG, "band"]), BLK)
+    met = met.select(*BLK, "row", "col", byte, "__luts", (F.col("__th") * F.col("__tw")).alias("__area"),
+                     (F.col("col") / F.col("__tw") - 0.5).alias("__x"), (F.col("row") / F.col("__th") - 0.5).alias("__y"))
+    x, y = F.col("__x"), F.col("__y")
+
+    def corner(dy, dx):
+        near = [F.least(F.greatest(F.floor(f) + d, F.lit(0)), F.lit(tiles - 1)) for f, d in ((y, dy), (x, dx))]
+        share = [f - F.floor(f) if d else 1 - (f - F.floor(f)) for f, d in ((y, dy), (x, dx))]
+        return F.struct((share[1] * share[0]).alias("w"),
+                        F.element_at("__luts", (near[0] * tiles + near[1]).cast("int")).alias("t"))
+
+    def looked_up(t):
+        return F.when(t.isNull(), F.lit(0.0)).when(t["lut"].isNotNull(), F.get(t["lut"], F.col("value"))).otherwise(
+            entry(F.col("value"), t["bins"], t["batch"], t["res"], F.col("__area")))
+    blend = F.aggregate(F.array(*[corner(dy, dx) for dy in (0, 1) for dx in (0, 1)]), F.lit(0.0),
+                        lambda a, k: a + k["w"] * looked_up(k["t"]))
+    blended = (met.where(F.col("value").isNotNull()).select(*BLK, "row", "col", blend.alias("__v"))
+               .groupBy(*BLK, "row", "col").agg(F.sum("__v").alias("__v")))
     return blended.select(*PIX, (F.least(F.greatest(F.bround("__v", 0), F.lit(0.0)), F.lit(255.0)) / 255.0)
                           .alias("value"))
 

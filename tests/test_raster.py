@@ -97,6 +97,24 @@ def test_tile_equalise_matches_numpy(spark, shape, clip):
     assert (np.abs(got - want) > 1e-9).mean() < 0.02
 
 
+@pytest.mark.parametrize("clip", [0.03, 40.0])
+def test_tile_equalise_of_blocks_moves_a_row_a_pixel(spark, monkeypatch, clip):
+    """Images of many blocks and partitions that follow the pixels; no operator of the plan copies pixels
+    (only the few that the padding mirrors)."""
+    monkeypatch.setattr(raster, "BLOCK", 5)
+    monkeypatch.setattr(raster, "TASK_PIXELS", 40)
+    a = RNG.integers(0, 256, (21, 30)).astype(float)
+    a[0, 0], a[-1, -1] = 0.0, 255.0
+    df = _tile(spark, a)
+    dealt, parts = raster._dealt(df)
+    assert parts == dealt.rdd.getNumPartitions() == -(-21 * 30 // 40)
+    out = raster.tile_equalise(df, clip)
+    got, want = _to_array(out, 21, 30), _np_clahe(a.astype(np.uint8), clip)
+    assert np.abs(got - want).max() <= 1 / 255 + 1e-9 and (np.abs(got - want) > 1e-9).mean() < 0.02
+    exploded = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in x]
+    assert exploded and all("prow" in x or "pcol" in x for x in exploded)
+
+
 def test_percentile_stretch(spark):
     a = np.arange(100, dtype=float).reshape(10, 10)
     a[3, 3] = 5000.0                            # nodata
