@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from envspark.functions.geo import point_in_ring, ring_bounds
 from envspark.functions.raster import cloud_mask
 from envspark.operators.quantiles import exact_quantiles
+from envspark.session import stored
 
 IMG = "image_id"
 PIX = [IMG, "band", "row", "col"]
@@ -152,15 +153,14 @@ def _dealt(pixels: DataFrame, halo: int = 0) -> tuple[DataFrame, int]:
     copies for blocks less than ``halo`` pixels away, and the number of
     partitions.  That number follows the pixels, so a task holds about
     ``TASK_PIXELS`` of them however large the table is; a block is at most
-    ``BLOCK`` x ``BLOCK`` pixels, whatever the size of the image."""
+    ``BLOCK`` x ``BLOCK`` pixels, whatever the size of the image.  Joins with
+    it ask for a merge: a small file of pixels is many rows to broadcast."""
     rows = pixels.select(*PIX, "value").where(F.col(IMG).isNotNull() & F.col("band").isNotNull())
     parts = max(pixels.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_PIXELS))
     for axis, name in (("row", "__br"), ("col", "__bc")):
-        own = F.floor(F.col(axis) / BLOCK)
-        if halo:
-            own = F.explode(F.array_distinct(F.array(
-                own, F.floor(F.greatest(F.col(axis) - halo, F.lit(0)) / BLOCK), F.floor((F.col(axis) + halo) / BLOCK))))
-        rows = rows.withColumn(name, F.coalesce(own, F.lit(-1)) if not halo else own)
+        own = F.coalesce(F.floor(F.col(axis) / BLOCK), F.lit(-1))
+        near = F.array_distinct(F.array(own, *[F.coalesce(F.floor((F.col(axis) + d) / BLOCK), own) for d in (-halo, halo)]))
+        rows = rows.withColumn(name, F.explode(F.filter(near, lambda b: (b == own) | (b >= 0))) if halo else own)
     return rows.repartition(parts, *BLK), parts
 
 
@@ -172,24 +172,31 @@ def _block_stats(dealt: DataFrame) -> DataFrame:
     image = block.groupBy(IMG, "band").agg(
         F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"),
         (F.max("__r") + 1).cast("int").alias("__H"), (F.max("__c") + 1).cast("int").alias("__W"))
-    return block.select(*BLK).join(image, [IMG, "band"])
+    return block.select(*BLK).join(image.hint("merge"), [IMG, "band"])
 
 
 def median_filter3(pixels: DataFrame) -> DataFrame:
-    """3x3 median per band with replicated borders.  Each pixel gathers
-    its nine clamped neighbours through an equi-join on (image, band, row,
-    col) and takes the exact median."""
-    dims = pixels.groupBy(IMG, "band").agg(F.max("row").alias("__h"), F.max("col").alias("__w"))
-    offs = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"))
-                     for dr in (-1, 0, 1) for dc in (-1, 0, 1)])
-    tgt = (pixels.select(*PIX).join(dims, [IMG, "band"])
-           .select(*PIX, "__h", "__w", F.explode(offs).alias("o"))
-           .select(*PIX,
-                   F.least(F.greatest(F.col("row") + F.col("o.dr"), F.lit(0)), F.col("__h")).alias("__sr"),
-                   F.least(F.greatest(F.col("col") + F.col("o.dc"), F.lit(0)), F.col("__w")).alias("__sc")))
-    src = pixels.select(IMG, "band", F.col("row").alias("__sr"), F.col("col").alias("__sc"), "value")
-    return (tgt.join(src, [IMG, "band", "__sr", "__sc"])
-            .groupBy(*PIX).agg(F.percentile("value", 0.5).alias("value")))
+    """3x3 median per band with replicated borders (the exact median).
+    A pixel is moved once to its block (and to the next ones at a block's
+    edge); there it is given to the targets around it, as often as the border
+    repeats it."""
+    dealt, _ = _dealt(pixels, halo=1)
+    st = _block_stats(dealt).select(*BLK, (F.col("__H") - 1).alias("__h"), (F.col("__W") - 1).alias("__w"))
+
+    def targets(at, last):
+        # places beside the pixel within the image; a border row counts for the one outside it
+        near = F.transform(F.array(at - 1, at, at + 1), lambda p: F.struct(
+            p.alias("p"), (F.lit(1) + ((p == at) & (p == 0)).cast("int") + ((p == at) & (p == last)).cast("int")).alias("n")))
+        return F.filter(near, lambda t: (t["p"] >= 0) & (t["p"] <= last))
+    given = (dealt.join(st.hint("merge"), BLK).select(*BLK, "col", "value", "__w", "row", F.explode(targets(F.col("row"), F.col("__h"))).alias("__tr"))
+             .where(F.floor(F.col("__tr.p") / BLOCK) == F.col("__br"))
+             .select(*BLK, "row", "col", "value", "__tr", F.explode(targets(F.col("col"), F.col("__w"))).alias("__tc"))
+             .where(F.floor(F.col("__tc.p") / BLOCK) == F.col("__bc"))
+             .select(*BLK, F.col("__tr.p").alias("tr"), F.col("__tc.p").alias("tc"), "value",
+                     (F.col("__tr.n") * F.col("__tc.n")).alias("n"),
+                     ((F.col("__tr.p") == F.col("row")) & (F.col("__tc.p") == F.col("col"))).alias("own")))
+    return (given.groupBy(*BLK, "tr", "tc").agg(F.percentile("value", 0.5, F.col("n")).alias("value"), F.max("own").alias("own"))
+            .where("own").select(IMG, "band", F.col("tr").alias("row"), F.col("tc").alias("col"), "value"))
 
 
 # ---------------------------------------------------------------- clipping
@@ -274,7 +281,7 @@ def tile_equalise(pixels: DataFrame, clip_limit: float = 0.03, tiles: int = 8) -
     byte = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * 255)).otherwise(
         F.pmod(F.floor(v).cast("bigint"), F.lit(256))).cast("int").alias("value")
     size = ["__H", "__W", "__th", "__tw"]
-    tiled = (dealt.join(st, BLK).select(*BLK, "row", "col", byte, *size)
+    tiled = (dealt.join(st.hint("merge"), BLK).select(*BLK, "row", "col", byte, *size)
              .select(*BLK, "col", "value", *size, F.explode(
                  _mirrored(F.col("row"), F.col("__H"), F.col("__th") * tiles)).alias("prow"))
              .select(*BLK, "value", *size, "prow", F.explode(
@@ -311,7 +318,8 @@ def tile_equalise(pixels: DataFrame, clip_limit: float = 0.03, tiles: int = 8) -
     luts = tile.groupBy(IMG, "band").agg(F.map_from_entries(F.collect_list(F.struct("tile", F.struct(
         F.when(F.col("lut").isNull(), F.col("bins")).alias("bins"), "batch", "res", "lut")))).alias("__luts"))
     # bilinear blend: each pixel reads the LUT of its four nearest tile centres
-    met = dealt.join(st.repartition(parts, IMG, "band").join(luts, [IMG, "band"]), BLK)
+    tables = st.repartition(parts, IMG, "band").join(luts.hint("merge"), [IMG, "band"])
+    met = dealt.join(tables.hint("merge"), BLK)
     met = met.select(*BLK, "row", "col", byte, "__luts", (F.col("__th") * F.col("__tw")).alias("__area"),
                      (F.col("col") / F.col("__tw") - 0.5).alias("__x"), (F.col("row") / F.col("__th") - 0.5).alias("__y"))
     x, y = F.col("__x"), F.col("__y")
@@ -337,7 +345,7 @@ def preprocess_raster(pixels: DataFrame, clip_limit: float = 0.03, k: int | None
                       normalize: bool = True) -> DataFrame:
     """Median filter -> tile equalisation -> optional k x k overview ->
     per-band min-max."""
-    out = tile_equalise(median_filter3(pixels), clip_limit)
+    out = tile_equalise(stored(median_filter3(pixels)), clip_limit)      # read four times
     if k:
         out = downsample(out, k)
-    return band_minmax(out) if normalize else out
+    return band_minmax(stored(out)) if normalize else out               # read twice

@@ -44,6 +44,19 @@ def test_median_filter_replicate(spark):
     assert np.allclose(got, want)
 
 
+def test_median_filter_of_blocks(spark, monkeypatch):
+    """Targets on both sides of a block's edge, partitions that follow the pixels, and the join that copied
+    every pixel nine times before its shuffle gone."""
+    monkeypatch.setattr(raster, "BLOCK", 4)
+    monkeypatch.setattr(raster, "TASK_PIXELS", 20)
+    a = RNG.integers(0, 50, (9, 13)).astype(float)
+    df = _tile(spark, a)
+    assert raster._dealt(df, halo=1)[0].count() < 3 * 9 * 13
+    p = np.pad(a, 1, mode="edge")
+    want = np.array([[np.median(p[i:i + 3, j:j + 3]) for j in range(13)] for i in range(9)])
+    assert np.allclose(_to_array(raster.median_filter3(df), 9, 13), want)
+
+
 def _np_clahe(u8: np.ndarray, clip: float, tiles: int = 8) -> np.ndarray:
     """Independent NumPy CLAHE following the published algorithm."""
     H, W = u8.shape
