@@ -74,6 +74,20 @@ def test_kmeans_is_lloyd_and_restarts_do_not_hurt(spark):
     assert cost.first()["cost"] <= single + 1e-9
 
 
+def test_kmeans_of_small_images_settles_where_their_pixels_are(spark, monkeypatch):
+    """Images of one block take no rounds of jobs; blocks do not change the
+    segments, the keys or the pixels without one."""
+    rows = MORE + [(2 ** 60 + 1, *r[1:]) for r in ONE]
+    df, bands = spark.createDataFrame(rows, SCHEMA), ["a", "b", "c"]
+    dealt, costs = models.segment_kmeans(df, bands, 4, block=60)
+    monkeypatch.setattr(models, "_start_centres", None)          # not called
+    whole, cost = models.segment_kmeans(df, bands, 4)
+    assert whole.count() == len(rows) and whole.where("image_id = 1152921504606846977").count() == 400
+    assert sorted(map(str, whole.collect())) == sorted(map(str, dealt.collect()))
+    a, b = ({r.image_id: r.cost for r in c.collect()} for c in (cost, costs))
+    assert a.keys() == b.keys() == {2, 3, 4, None, 2 ** 60 + 1} and all(np.isclose(a[i], b[i]) for i in a)
+
+
 def test_reconstruction_matches_numpy(spark):
     p = models.reconstruction_score(spark.createDataFrame(ONE, SCHEMA), ["a", "b", "c"], 2).toPandas()
     assert p.score.isna().sum() == 1
