@@ -187,22 +187,32 @@ class Index:
         slot = np.minimum(np.searchsorted(self._vocabulary, words), len(self._vocabulary) - 1)
         known = np.flatnonzero(self._vocabulary[slot] == words)
         slot = slot[known]
+        by_slot = np.argsort(slot, kind="stable")
+        first = np.searchsorted(slot[by_slot], np.arange(len(self._vocabulary) + 1))
         n = self._sizes[item]
-        low = begin[doc] + np.maximum(0, at - n)
-        high = np.minimum(begin[doc + 1], begin[doc] + at + WINDOW * CHUNK + n)
+        low = np.searchsorted(known, begin[doc] + np.maximum(0, at - n))
+        high = np.searchsorted(known, np.minimum(begin[doc + 1], begin[doc] + at + WINDOW * CHUNK + n))
         order = np.argsort(item, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(item[order])) + 1) if len(order) else ():
-            holds = self._holds[item[some[0]]]
-            mine = np.flatnonzero(holds[slot])
-            a, b = np.searchsorted(known[mine], low[some]), np.searchsorted(known[mine], high[some])
+            own = np.flatnonzero(self._holds[item[some[0]]])
+            sizes = first[own + 1] - first[own]
+            start = np.cumsum(sizes) - sizes
+            # places of the item's words, word by word, and how many there are before each place
+            nth = np.arange(sizes.sum()) - np.repeat(start, sizes)
+            places = by_slot[np.repeat(first[own], sizes) + nth]
+            mine = np.zeros(len(known) + 1, np.int32)
+            mine[places + 1] = 1
+            np.cumsum(mine, out=mine)
+            a, b = mine[low[some]], mine[high[some]]
             some, a, b = (v[(b - a) / n[some] >= self.share] for v in (some, a, b))
+            if not len(some):
+                continue
             # a word counts as often as the item holds it: where its place that many times before is outside
-            word = slot[mine]
-            by_word = np.argsort(word, kind="stable")
-            back = np.arange(len(mine)) - holds[word[by_word]]
-            before = np.full(len(mine), -1)
-            earlier = by_word[np.maximum(back, 0)]       # an item may hold a word more often than the rows at hand
-            before[by_word] = np.where((back >= 0) & (word[earlier] == word[by_word]), earlier, -1)
+            often = np.repeat(self._holds[item[some[0]], own], sizes)
+            at_place = mine[places]
+            before = np.full(len(places), -1)
+            more = np.flatnonzero(nth >= often)
+            before[at_place[more]] = at_place[more - often[more]]
             nth = np.repeat(np.arange(len(some)), b - a)
             at_word = np.arange(len(nth)) + np.repeat(a - np.r_[0, np.cumsum(b - a)][:-1], b - a)
             count = np.bincount(nth, before[at_word] < a[nth], len(some))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -371,3 +372,24 @@ def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
     monkeypatch.setattr(quality, "fit_pairs", lambda rows, *a: seen.append(rows.count()))
     quality.fit(docs, labels)
     assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(30000))]
+
+
+def test_candidates_keep_what_counts_of_words_allow():
+    """``enough`` against counters of the words around each passage."""
+    rng = np.random.default_rng(8)
+    vocabulary = rng.integers(0, 2 ** 63, 30).astype(np.uint64)
+    items = [vocabulary[rng.integers(0, 30, n)] for n in (1, 7, 20, 40)] + [rng.integers(0, 2 ** 63, 5).astype(np.uint64)]
+    index = decontaminate.Index(list(range(5)), items, None, None, None, 0.1, 0.6, 0.4)
+    index._vocabulary, index._holds = index.vocabulary()
+    index._sizes = np.array([len(ws) for ws in items])
+    docs = [vocabulary[rng.integers(0, 30, n)] if n % 2 else rng.integers(0, 2 ** 63, n).astype(np.uint64) for n in (3, 200, 0, 91, 40)]
+    words, begin = np.concatenate(docs), np.r_[0, np.cumsum([len(d) for d in docs])]
+    doc, at, item = (v.ravel() for v in np.meshgrid(np.arange(5), np.arange(0, 200, decontaminate.CHUNK), np.arange(5)))
+    real = at < np.array([len(d) for d in docs])[doc]
+    doc, at, item = doc[real], at[real], item[real]
+    want = []
+    for d, a, i in zip(doc, at, item):
+        n = len(items[i])
+        around = Counter(docs[d][max(0, a - n):a + decontaminate.WINDOW * decontaminate.CHUNK + n].tolist())
+        want.append((around & Counter(items[i].tolist())).total() / n >= 0.6)
+    assert index.enough(words, begin, doc, at, item).tolist() == want and 0 < sum(want) < len(want)
