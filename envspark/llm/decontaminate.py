@@ -280,6 +280,7 @@ def _corpus_product(texts: DataFrame, idf, row, q: np.ndarray) -> np.ndarray:
         total = sum(np.frombuffer(m, np.float32).astype(np.float64) for m in pdf["m"])
         return pd.DataFrame({"b": [pdf["b"].iat[0]], "m": [total.astype(np.float32).tobytes()]})
     parts = texts.mapInPandas(run, "b int, m binary").groupBy("b").applyInPandas(add, "b int, m binary").collect()
+    shared.destroy()
     out = np.zeros_like(q)
     for r in parts:
         m = np.frombuffer(r["m"], np.float32).reshape(-1, width)
@@ -287,6 +288,24 @@ def _corpus_product(texts: DataFrame, idf, row, q: np.ndarray) -> np.ndarray:
     return out
 
 
+def _orthonormal(y: np.ndarray) -> np.ndarray:
+    """The thin factor of y = QR, written over y.  Blocks of rows are factored
+    one at a time and their triangles once more, so that the driver holds no
+    further matrix of that size."""
+    n, width = y.shape
+    cuts = np.arange(0, max(1, n - 4 * width + 1), 4 * width).tolist() + [n]      # the last block is the longest
+    tops = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        q, r = np.linalg.qr(y[lo:hi])
+        y[lo:hi] = q
+        tops.append(r)
+    if len(tops) > 1:
+        top, _ = np.linalg.qr(np.concatenate(tops))
+        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            y[lo:hi] = y[lo:hi] @ top[i * width:(i + 1) * width]
+    return y
+
+
 def latent_axes(texts: DataFrame, share: float, items: list[np.ndarray], idf, row, n_terms: int, rank: int,
                 rounds: int = 1, seed: int = 11) -> np.ndarray:
     """The leading right singular vectors (terms x rank) by randomised
@@ -294,16 +313,24 @@ def latent_axes(texts: DataFrame, share: float, items: list[np.ndarray], idf, ro
     ``share``.  Items weigh so much that they shape the first axes."""
     rng = np.random.default_rng(seed)
     width = min(rank + EXTRA, n_terms)
-    q, _ = np.linalg.qr(rng.standard_normal((n_terms, width)).astype(np.float32))
+    q = np.empty((n_terms, width), np.float32)
+    for b in range(0, n_terms, 1024):
+        q[b:b + 1024] = rng.standard_normal(q[b:b + 1024].shape)
+    q = _orthonormal(q)
     terms, item = np.concatenate(items), np.repeat(np.arange(len(items)), [len(t) for t in items])
 
     def product(q):
-        return (share * _corpus_product(texts, idf, row, q) + 100.0 * _product(terms, item, idf, row, q)).astype(np.float32)
+        y = _corpus_product(texts, idf, row, q)
+        y *= np.float32(share)
+        own = _product(terms, item, idf, row, q)
+        own *= 100.0
+        y += own
+        return y
     for _ in range(rounds):
-        q, _ = np.linalg.qr(product(q))
-        q = np.ascontiguousarray(q, np.float32)
+        q = _orthonormal(product(q))
     y = product(q)
-    values, vectors = np.linalg.eigh(q.T.astype(np.float64) @ y)
+    values, vectors = np.linalg.eigh(sum(q[b:b + 1024].T.astype(np.float64) @ y[b:b + 1024] for b in range(0, n_terms, 1024)))
+    del y
     return (q @ vectors[:, ::-1][:, :rank].astype(np.float32)).astype(np.float32)
 
 

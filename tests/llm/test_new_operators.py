@@ -374,6 +374,28 @@ def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
     assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(30000))]
 
 
+def test_latent_axes_hold_few_matrices_on_the_driver(monkeypatch):
+    """The driver's share of the axes: orthonormal factors written in place."""
+    import tracemalloc
+    n, width = 6000, 100 + decontaminate.EXTRA
+    rng = np.random.default_rng(4)
+    y = (rng.standard_normal((n, width)) * np.logspace(2, -2, width)).astype(np.float32)
+    idf, row = np.ones(decontaminate.TERMS, np.float32), np.full(decontaminate.TERMS, -1, np.int32)
+    row[:n] = np.arange(n)
+    monkeypatch.setattr(decontaminate, "_corpus_product", lambda t, i, r, q: y @ (y.T @ q))
+    tracemalloc.start()
+    held = tracemalloc.get_traced_memory()[0]
+    axes = decontaminate.latent_axes(None, 1.0, [np.arange(40)], idf, row, n, 100)
+    peak = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert peak < 5.5 * y.nbytes
+    assert np.allclose(axes.T @ axes, np.eye(100), atol=1e-5)
+    for rows in (3, width, 5 * width, n):
+        q = decontaminate._orthonormal(y[:rows, :min(rows, width)].copy())
+        assert np.allclose(q.T @ q, np.eye(q.shape[1]), atol=1e-5)
+        assert np.allclose(q @ (q.T @ y[:rows, :q.shape[1]]), y[:rows, :q.shape[1]], atol=1e-2)
+
+
 def test_candidates_keep_what_counts_of_words_allow():
     """``enough`` against counters of the words around each passage."""
     rng = np.random.default_rng(8)
