@@ -290,19 +290,18 @@ def _corpus_product(texts: DataFrame, idf, row, q: np.ndarray) -> np.ndarray:
 
 def _orthonormal(y: np.ndarray) -> np.ndarray:
     """The thin factor of y = QR, written over y.  Blocks of rows are factored
-    one at a time and their triangles once more, so that the driver holds no
-    further matrix of that size."""
+    one at a time and their triangles once more, in double precision, so that
+    the driver holds no further matrix of that size."""
     n, width = y.shape
     cuts = np.arange(0, max(1, n - 4 * width + 1), 4 * width).tolist() + [n]      # the last block is the longest
-    tops = []
-    for lo, hi in zip(cuts, cuts[1:]):
-        q, r = np.linalg.qr(y[lo:hi])
-        y[lo:hi] = q
-        tops.append(r)
-    if len(tops) > 1:
-        top, _ = np.linalg.qr(np.concatenate(tops))
-        for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-            y[lo:hi] = y[lo:hi] @ top[i * width:(i + 1) * width]
+    pairs = list(zip(cuts, cuts[1:]))
+    if len(pairs) == 1:
+        y[:], _ = np.linalg.qr(y.astype(np.float64))
+        return y
+    top, _ = np.linalg.qr(np.concatenate([np.linalg.qr(y[lo:hi].astype(np.float64), "r") for lo, hi in pairs]))
+    for i, (lo, hi) in enumerate(pairs):
+        q, _ = np.linalg.qr(y[lo:hi].astype(np.float64))
+        y[lo:hi] = q @ top[i * width:(i + 1) * width]
     return y
 
 
