@@ -10,9 +10,15 @@ D = (a + b)(1 - s)/(1 + s) shingles.  The join runs in four exact steps:
    its own band and in the one below.  A cell is (band, group, content).
 2. *Stars.*  In a cell every member is compared with one pivot only, the
    member met in most cells (the original of a family of copies).
-3. *Count vectors.*  Pairs of a star that are not settled by the pivot
-   (both linked to it, hence connected) are searched by count vectors of their
-   differences to the pivot, or of their whole sets where these are smaller:
+3. *Count vectors.*  Every set has a count vector modulo two, a bit for each
+   coordinate and about as many coordinates as elements; two of them differ
+   in no more bits than the sets in elements.  Pairs whose sizes or bits
+   exclude a link end here, before a text is moved: chance meetings in a cell,
+   whose number grows faster than the documents.
+   Pairs of a star that are not settled by the pivot (both linked to it, hence
+   connected) and met in a cell of three or more are searched by the bits and,
+   as far as these leave them, by count vectors of their differences to the
+   pivot, or of their whole sets where these are smaller:
    members are put into zones of their distance and dealt by hash into leaves;
    a pair of leaves is opened only if their boxes, and a pair of points only
    if the summed coordinate minima, allow the required overlap.
@@ -44,10 +50,11 @@ from pyspark.sql import functions as F
 
 from envspark.llm.common import connected_components, cut_lineage, member_of, small_batches
 from envspark.llm.hashing import FACTORS, mix
-from envspark.llm.shingles import compared, node_texts, set_digest, shingle_sets
+from envspark.llm.shingles import compared, set_digest, shingle_sets
 
 GROUPS = 64             # coordinates of a count vector
 LEAF = 1 << 17          # difference elements in a leaf of the tree
+BITS_LEAF = 1 << 20     # elements in a leaf of sets given by their bits
 
 
 class Bounds:
@@ -104,18 +111,53 @@ def _cells_of(s: np.ndarray, bounds: Bounds) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """The count vector of a set modulo two, one bit a coordinate.  There are
+    at least 64 coordinates and as many as elements, a power of two, so the
+    halves of a vector give the vector of half the coordinates.  Those of two
+    sets differ in no more bits than the sets in elements."""
+    size = max(64, 1 << (len(s) - 1).bit_length())
+    counts = np.bincount((mix(s + FACTORS[5]) & np.uint64(size - 1)).astype(np.intp), minlength=size)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
+
+
+def _folded(bits: list[bytes], words: int) -> np.ndarray:
+    """Vectors of ``words`` * 64 bits, one a row."""
+    out = np.empty((len(bits), words), np.uint64)
+    for i, b in enumerate(bits):
+        v = np.frombuffer(b, np.uint64)
+        while len(v) > words:
+            v = v[:len(v) // 2] ^ v[len(v) // 2:]
+        out[i] = v
+    return out
+
+
 def document_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, set size and the node of every row (null without shingles), and
-    a ``row`` key that tells apart rows of one id with different texts."""
+    a ``row`` key that tells apart rows of one id with different texts.  The
+    first row of a node in a task also has its ``bits`` (see ``parities``)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for pdf in batches:
             sets = list(shingle_sets(pdf["text"], n))
+            nodes = [set_digest(s) if len(s) else None for s in sets]
+            bits = [parities(s) if x is not None and x not in seen and not seen.add(x) else None for x, s in zip(nodes, sets)]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
-                "node": pd.array([set_digest(s) if len(s) else None for s in sets], "Int64"), "row": pdf["row"]})
+                "node": pd.array(nodes, "Int64"), "row": pdf["row"], "bits": pd.Series(bits, dtype=object)})
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
             .withColumn("row", F.xxhash64("doc_id", "text"))
-            .mapInPandas(run, "doc_id long, n_shingles long, node long, row long"))
+            .mapInPandas(run, "doc_id long, n_shingles long, node long, row long, bits binary"))
+
+
+def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One text for each of ``nodes`` (column node), found by its row key."""
+    rows = cut_lineage(sets.where("node is not null").join(nodes, "node", "left_semi")
+                       .groupBy("node").agg(F.min("row").alias("row")))
+    own_key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    return (docs.where(member_of(rows.select("row"), own_key))
+            .select(own_key.alias("row"), F.col(text_col).alias("text")).dropDuplicates(["row"])
+            .join(rows, "row").select("node", "text"))
 
 
 def document_cells(docs: DataFrame, n: int, bounds: Bounds, text_col: str) -> DataFrame:
@@ -179,20 +221,36 @@ def leaf_links(left: pd.DataFrame, right: pd.DataFrame, bounds: Bounds) -> list[
     return links
 
 
-def rest_links(star: DataFrame, texts: DataFrame, n: int, bounds: Bounds) -> DataFrame:
-    """Links (a, b) among members of one star of which at least one is not
-    linked with the pivot.  ``star`` has rows a (pivot), b (member), linked, n
-    (set size) and x (size of its difference to the pivot).
+def near_pairs(pairs: DataFrame, sketches: DataFrame, bounds: Bounds) -> DataFrame:
+    """Every pair (a, b) with the size ``n`` of b's set and whether sizes and
+    bits allow a link (``near``).  ``sketches`` has node, n_shingles and bits."""
+    side = lambda x: sketches.toDF(x, f"n_{x}", f"bits_{x}")
 
-    Members are told apart by their differences to one set: the pivot, or the
-    empty set where the members' whole sets are smaller than their differences
-    to the pivot (texts that have little in common with it).  The distances
-    to that set of linked members differ by at most D, so members are put into
-    zones of that width (each into two, so that neighbours meet) and only
-    zones with an open member and a partner go on.  All of this uses sizes;
-    elements are fetched for the members left and moved once, to the tiles.
-    Leaves hold about LEAF elements; a pair of leaves is one tile's work, so a
-    large family spreads over many.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            na, nb = pdf["n_a"].to_numpy(np.int64), pdf["n_b"].to_numpy(np.int64)
+            most = bounds.most_difference(na + nb)
+            near = np.abs(na - nb) <= most
+            words = np.minimum(pdf["bits_a"].str.len(), pdf["bits_b"].str.len()).to_numpy(np.int64) // 8
+            for w in np.unique(words[near]):
+                at = np.flatnonzero(near & (words == w))
+                va, vb = (_folded(pdf[c].iloc[at].tolist(), int(w)) for c in ("bits_a", "bits_b"))
+                near[at] = np.bitwise_count(va ^ vb).sum(1) <= most[at]
+            yield pdf[["a", "b", "wide"]].assign(n=nb, near=near)
+    return (pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "wide", "n_a", "bits_a", "n_b", "bits_b")
+            .mapInPandas(run, "a long, b long, wide boolean, n long, near boolean"))
+
+
+def _tiles(star: DataFrame, bounds: Bounds, leaf: int) -> DataFrame:
+    """The tiles of every member of a star in which it may meet a partner: a,
+    b, ``plain`` (given by its whole set) and the tiles on either side.
+
+    ``star`` has rows a (pivot), b (member), linked, n (set size) and x (its
+    distance to one set).  The distances of linked members differ by at most D,
+    so members are put into zones of that width (each into two, so that
+    neighbours meet) and only zones with an open member and a partner go on.
+    Leaves hold about ``leaf`` elements; a pair of leaves is one tile's work,
+    so a large family spreads over many.
     """
     open_ = (star.groupBy("a").agg(
         F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("rest"),
@@ -202,7 +260,7 @@ def rest_links(star: DataFrame, texts: DataFrame, n: int, bounds: Bounds) -> Dat
     zoned = (star.join(open_, "a").withColumn("x", F.when(F.col("plain"), F.col("n")).otherwise(F.col("x")))
              .withColumn("c", F.floor(F.col("x") / F.col("width")))
              .select("a", "b", "plain", "linked", "x", F.explode(F.array(F.col("c"), F.col("c") + 1)).alias("zone")))
-    leaves = lambda of: F.ceil(F.sum(F.when(of, F.col("x") + 1).otherwise(0)) / LEAF).cast("int")
+    leaves = lambda of: F.ceil(F.sum(F.when(of, F.col("x") + 1).otherwise(0)) / leaf).cast("int")
     zones = (zoned.groupBy("a", "zone")
              .agg(F.count("*").alias("members"), leaves(~F.col("linked")).alias("open_leaves"),
                   leaves(F.col("linked")).alias("linked_leaves"))
@@ -217,13 +275,90 @@ def rest_links(star: DataFrame, texts: DataFrame, n: int, bounds: Bounds) -> Dat
                     F.transform(upto(F.col("linked_leaves")), lambda r: tile("leaf", F.lit(True), r)))
     theirs = (F.when(F.col("linked"), F.transform(upto(F.col("open_leaves")), lambda m: tile(m, F.lit(True), F.col("leaf"))))
               .otherwise(F.transform(F.sequence(F.lit(0), F.col("leaf")), lambda m: tile(m, F.lit(False), F.col("leaf")))))
-    tiles = (rows.select("a", "b", "plain", F.when(F.col("linked"), none).otherwise(mine).alias("mine"), theirs.alias("theirs"))
-             .groupBy("a", "b", "plain")
-             .agg(F.flatten(F.collect_list("mine")).alias("mine"), F.flatten(F.collect_list("theirs")).alias("theirs")))
+    return (rows.select("a", "b", "plain", F.when(F.col("linked"), none).otherwise(mine).alias("mine"), theirs.alias("theirs"))
+            .groupBy("a", "b", "plain")
+            .agg(F.flatten(F.collect_list("mine")).alias("mine"), F.flatten(F.collect_list("theirs")).alias("theirs")))
+
+
+def _dealt(tiled: DataFrame, *columns: str) -> DataFrame:
+    """A row for each tile and side of every member, with some of its columns."""
     sided = lambda of, left: F.transform(of, lambda t: F.struct(t.alias("tile"), F.lit(left).alias("mine")))
-    dealt = (compared(cut_lineage(tiles), texts, n, bounds.share, differences=True)
-             .select("b", "n", "diff", F.explode(F.concat(sided("mine", True), sided("theirs", False))).alias("t"))
-             .select("t.tile", "t.mine", F.col("b").alias("node"), "n", "diff"))
+    return (tiled.select(*columns, F.explode(F.concat(sided("mine", True), sided("theirs", False))).alias("t"))
+            .select("t.tile", "t.mine", *columns))
+
+
+def near_members(tiles: pd.DataFrame, bounds: Bounds) -> pd.DataFrame:
+    """The members (a, b) whose sizes and bits allow a link with a member on
+    the other side of their tile (null: on both).  Rows have tile (ascending),
+    mine, a, b, n_shingles and bits."""
+    tile, mine, nodes = tiles["tile"].to_numpy(), tiles["mine"].to_numpy(object), tiles["b"].to_numpy()
+    either = pd.isna(mine)
+    mine, theirs_too = np.where(either, True, mine).astype(bool), either | (mine == False)  # noqa: E712
+    size, bits = tiles["n_shingles"].to_numpy(np.int64), tiles["bits"].to_numpy()
+    cuts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
+    out = np.zeros(len(tiles), bool)
+    for lo, hi in zip(cuts, cuts[1:]):
+        left, right = lo + np.flatnonzero(mine[lo:hi]), lo + np.flatnonzero(theirs_too[lo:hi])
+        if not len(left) or not len(right):
+            continue
+        words = min(len(b) for b in bits[lo:hi]) // 8
+        ours, theirs = _folded(bits[left], words), _folded(bits[right], words)
+        for i, v in zip(left, ours):
+            most = bounds.most_difference(size[i] + size[right])
+            some = np.flatnonzero((np.abs(size[i] - size[right]) <= most) & (nodes[right] != nodes[i]))
+            some = some[np.bitwise_count(theirs[some] ^ v).sum(1) <= most[some]]
+            out[i] |= len(some) > 0
+            out[right[some]] = True
+    return tiles.loc[out, ["a", "b"]].drop_duplicates()
+
+
+def open_members(star: DataFrame, sketches: DataFrame, bounds: Bounds) -> DataFrame:
+    """The members (a, b) of a star that their bits allow a link with another
+    member of it, unless both are linked with the pivot.  ``star`` has a, b,
+    linked and n.  A star of up to BITS_LEAF elements is one tile, in which its
+    members are once each; only larger ones are dealt into zones and leaves, by
+    the sizes of their sets."""
+    star = star.withColumn("n", F.greatest("n", F.lit(64))).withColumn("x", F.col("n"))    # 64 bits at least
+    size = (star.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("linked")).alias("rest"),
+                                  (F.sum("n") <= BITS_LEAF).alias("small"))
+            .where("members > 1 and rest > 0").select("a", "small"))
+    star = star.join(size, "a")
+    sides = F.when(~F.col("linked"), F.lit(None).cast("boolean")).otherwise(False)
+    bits = sketches.withColumnRenamed("node", "b")
+    small = star.where("small").select(F.col("a").alias("tile"), sides.alias("mine"), "a", "b")
+    large = _dealt(_tiles(star.where("not small").drop("small"), bounds, BITS_LEAF), "a", "b")
+    dealt = small.union(large).join(bits, "b").select("tile", "mine", "a", "b", "n_shingles", "bits")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []       # rows of one tile
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            tile = pdf["tile"].to_numpy()
+            cut = int((tile != tile[-1]).sum())     # rows are sorted by tile
+            if held and (cut or held[0]["tile"].iat[0] != tile[-1]) or cut:
+                yield near_members(pd.concat([*held, pdf.iloc[:cut]]), bounds)
+                held = []
+            held.append(pdf.iloc[cut:])
+        if held:
+            yield near_members(pd.concat(held), bounds)
+    return (dealt.repartition("tile").sortWithinPartitions("tile")
+            .mapInPandas(run, "a long, b long").distinct())
+
+
+def rest_links(star: DataFrame, texts: DataFrame, n: int, bounds: Bounds) -> DataFrame:
+    """Links (a, b) among members of one star of which at least one is not
+    linked with the pivot.  ``star`` has rows a (pivot), b (member), linked, n
+    (set size) and x (size of its difference to the pivot).
+
+    Members are told apart by their differences to one set: the pivot, or the
+    empty set where the members' whole sets are smaller than their differences
+    to the pivot (texts that have little in common with it).  Zones and leaves
+    use sizes; elements are fetched for the members left and moved once, to
+    the tiles.
+    """
+    dealt = _dealt(compared(cut_lineage(_tiles(star, bounds, LEAF)), texts, n, bounds.share, differences=True)
+                   .withColumn("node", F.col("b")), "node", "n", "diff")
 
     def work(members: pd.DataFrame) -> pd.DataFrame:
         a, b = members[members["mine"]], members[~members["mine"]]
@@ -232,8 +367,12 @@ def rest_links(star: DataFrame, texts: DataFrame, n: int, bounds: Bounds) -> Dat
     return dealt.groupBy("tile").applyInPandas(work, "a long, b long")
 
 
-def set_links(docs: DataFrame, n: int, share: int, text_col: str) -> DataFrame:
-    """Links (a, b) between nodes that connect what similarity connects."""
+def set_links(docs: DataFrame, sets: DataFrame, n: int, share: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between nodes that connect what similarity connects.
+    ``sets`` are the documents' sets (``document_sets``).
+
+    Two members that are not linked with the pivot of their cell share a cell
+    of three or more, so only such cells make a pair ``wide``."""
     bounds = Bounds(share)
     key = Window.partitionBy("key")
     met = cut_lineage(document_cells(docs, n, bounds, text_col)
@@ -241,18 +380,29 @@ def set_links(docs: DataFrame, n: int, share: int, text_col: str) -> DataFrame:
                       .where("lo <> hi").select("key", "node").distinct())
     met_often = met.groupBy("node").agg(F.count("*").alias("cells"))
     pivot = (met.join(met_often, "node").groupBy("key")
-             .agg(F.max(F.struct("cells", "node")).alias("top")).select("key", F.col("top.node").alias("pivot")))
-    pairs = met.join(pivot, "key").where("node <> pivot").select("pivot", "node").distinct()
-    pairs = cut_lineage(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    texts = cut_lineage(node_texts(docs, met_often.select("node"), n, text_col))
-    star = cut_lineage(compared(pairs, texts, n, share, sizes=True))
-    return star.where("linked").select("a", "b").union(rest_links(star, texts, n, bounds))
+             .agg(F.max(F.struct("cells", "node")).alias("top"), (F.count("*") > 2).alias("wide"))
+             .select("key", F.col("top.node").alias("a"), "wide"))
+    pairs = (met.join(pivot, "key").where("node <> a").groupBy("a", F.col("node").alias("b"))
+             .agg(F.max("wide").alias("wide")))
+    sketches = cut_lineage(sets.where("bits is not null").join(met_often, "node", "left_semi")
+                           .select("node", "n_shingles", "bits").dropDuplicates(["node"]))
+    judged = cut_lineage(near_pairs(pairs, sketches, bounds))
+    ends = lambda of: of.select(F.col("a").alias("node")).union(of.select("b")).distinct()
+
+    def star_of(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        texts = cut_lineage(texts_of(docs, sets, ends(some), id_col, text_col))
+        return texts, cut_lineage(compared(some, texts, n, share, sizes=True))
+    _, star = star_of(judged.where("near").select("a", "b", "wide"))
+    members = (star.where("wide").select("a", "b", "linked", "n")
+               .union(judged.where("wide and not near").select("a", "b", F.lit(False), "n")))
+    texts, rest = star_of(cut_lineage(open_members(members, sketches, bounds)))
+    return star.where("linked").select("a", "b").union(rest_links(rest, texts, n, bounds))
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, n: int, share: int) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows, and (node, component) of the distinct ones."""
     sets = cut_lineage(document_sets(small_batches(docs), n, id_col, text_col))
-    comps = connected_components(set_links(docs, n, share, text_col))
+    comps = connected_components(set_links(docs, sets, n, share, id_col, text_col))
     nodes = sets.where("node is not null").select("node").distinct()
     return sets, (nodes.join(comps, "node", "left")
                   .select("node", F.coalesce("component", "node").alias("component")))

@@ -415,3 +415,84 @@ def test_candidates_keep_what_counts_of_words_allow():
         around = Counter(docs[d][max(0, a - n):a + decontaminate.WINDOW * decontaminate.CHUNK + n].tolist())
         want.append((around & Counter(items[i].tolist())).total() / n >= 0.6)
     assert index.enough(words, begin, doc, at, item).tolist() == want and 0 < sum(want) < len(want)
+
+
+# -- chance meetings --------------------------------------------------------
+
+def test_chance_meetings_move_no_texts(spark, monkeypatch):
+    """Unrelated texts of few words meet in cells; their texts, and the
+    elements of their sets, stay where they are, and every link is found."""
+    from envspark.llm import jaccard_join
+    rng = random.Random(6)
+    some = lambda k: rng.choices([f"w{i}" for i in range(12)], [40, 20, 10, 8, 6, 4, 3, 3, 2, 2, 1, 1], k=k)
+    texts = {d: some(rng.randint(200, 330)) for d in range(240)}
+    for d in range(300, 360):               # near copies on both sides of the threshold
+        texts[d] = list(texts[d % 7])
+        for p in rng.sample(range(10, 190, 20), rng.randint(0, 9)):
+            texts[d][p] = f"z{rng.randrange(9)}"
+    texts = {d: " ".join(w) for d, w in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    moved, plain = [], jaccard_join.compared
+
+    def compared(pairs, *a, **b):
+        moved.extend((r.a, r.b) for r in pairs.select("a", "b").collect())
+        return plain(pairs, *a, **b)
+    monkeypatch.setattr(jaccard_join, "compared", compared)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(df, n=5, share=80).collect()}
+    want = brute.jaccard_components(texts, 5, 80)
+    assert got == want
+    node = {jaccard_join.set_digest(next(jaccard_join.shingle_sets([t], 5))): d for d, t in texts.items()}
+    family = {d for d in texts if d < 7 or d >= 300}
+    met = [(node[a], node[b]) for a, b in moved]
+    assert any(a in family for a, _ in met) and len({c for _, c in want.values()}) > 233
+    assert sum(a not in family or b not in family for a, b in met) < 10
+
+
+def test_bits_of_sets_never_exclude_a_link():
+    """``parities`` differ in no more bits than sets in elements, at any sizes."""
+    from envspark.llm import jaccard_join
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 40, 63, 64, 65, 127, 130, 700, 1030):
+        for k in (0, 1, n // 5, n // 2, n):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.r_[a[:n - k], rng.integers(0, 1 << 63, k // 2 + 1).astype(np.uint64)]
+            bits = [jaccard_join.parities(s) for s in (a, b)]
+            va, vb = jaccard_join._folded(bits, min(map(len, bits)) // 8)
+            assert min(len(a), len(b)) <= 64 * len(va) and np.bitwise_count(va ^ vb).sum() <= k + k // 2 + 1
+
+
+def test_open_members_against_all_pairs(spark, monkeypatch):
+    """Stars in one tile and in many give the members that a plain search over
+    all pairs of a star gives, but for pairs that are both linked; each member
+    of a star in one tile is moved once."""
+    from envspark.llm import jaccard_join
+    rng = np.random.default_rng(5)
+    bounds, sets, star = jaccard_join.Bounds(80), {}, []
+    for a in range(4):
+        base = rng.integers(0, 1 << 63, 90).astype(np.uint64)
+        for i in range(30):
+            k = int(rng.integers(0, 60))
+            sets[a * 100 + i] = np.r_[base[:90 - k], rng.integers(0, 1 << 63, int(rng.integers(1, 30))).astype(np.uint64)]
+            star.append((a, a * 100 + i, bool(rng.random() < 0.4), len(sets[a * 100 + i])))
+    star.append((9, 0, False, len(sets[0])))            # alone in its star
+    rows = [(b, len(s), jaccard_join.parities(s)) for b, s in sets.items()]
+    sketches = spark.createDataFrame(rows, "node long, n_shingles long, bits binary")
+    df = spark.createDataFrame(star, "a long, b long, linked boolean, n long")
+
+    def allowed(x, y):
+        v = [jaccard_join._folded([jaccard_join.parities(s)], 1 if min(len(sets[x]), len(sets[y])) <= 64 else 2) for s in (sets[x], sets[y])]
+        most = bounds.most_difference(len(sets[x]) + len(sets[y]))
+        return abs(len(sets[x]) - len(sets[y])) <= most and np.bitwise_count(v[0] ^ v[1]).sum() <= most
+    want, sure = set(), set()
+    for a, x, lx, _ in star:
+        for c, y, ly, _ in star:
+            if a == c and x < y and not (lx and ly):
+                if len(np.setxor1d(sets[x], sets[y])) <= bounds.most_difference(len(sets[x]) + len(sets[y])):
+                    sure |= {(a, x), (a, y)}
+                if allowed(x, y):
+                    want |= {(a, x), (a, y)}
+    for leaf in (jaccard_join.BITS_LEAF, 400):
+        monkeypatch.setattr(jaccard_join, "BITS_LEAF", leaf)
+        got = {tuple(r) for r in jaccard_join.open_members(df, sketches, bounds).collect()}
+        # members of a tile are compared by the bits of its smallest set, which exclude less
+        assert sure <= want <= got and len(got) < len(star)
